@@ -21,7 +21,8 @@ MIN_TOKEN_BYTES_EXCLUSIVE = 2
 JSON_FENCES = ["```json", "```JSON", "```"]
 # White space removed by the trim used before extraction (ASCII white space
 # plus NEL, NBSP and the Unicode space separators).
-_WS = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITESPACE_CLASS = (r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
+                    r"\x{202F}\x{205F}\x{3000}")
 # ---------------------------------------------------------------------------
 
 # Anything that is not a Unicode letter or decimal digit separates tokens.
@@ -49,9 +50,9 @@ def relevance_score(tokens, relative_path, summary) -> Column:
     return F.size(F.filter(_c(tokens), lambda t: F.contains(hay, t))).cast("bigint")
 
 
-def go_trim(text) -> Column:
+def trim_space(text) -> Column:
     """Trim leading and trailing white space (Unicode-aware)."""
-    return F.regexp_replace(_c(text), rf"^[{_WS}]+|[{_WS}]+$", "")
+    return F.regexp_replace(_c(text), rf"^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+$", "")
 
 
 def _fenced_body(s: Column, fence: str) -> Column:
@@ -60,13 +61,13 @@ def _fenced_body(s: Column, fence: str) -> Column:
     start = F.instr(s, fence)
     rest = F.substring(s, start + F.lit(len(fence)), F.lit(1 << 30))
     close = F.instr(rest, "```")
-    return F.when((start > 0) & (close > 0), go_trim(F.substring(rest, F.lit(1), close - 1)))
+    return F.when((start > 0) & (close > 0), trim_space(F.substring(rest, F.lit(1), close - 1)))
 
 
 def extract_json_block(raw) -> Column:
     """Trim, take the body of the first fence that has a closing fence, then
     cut from the first '{' to the last '}' (text returned as-is when absent)."""
-    s0 = go_trim(_c(raw))
+    s0 = trim_space(_c(raw))
     s = F.coalesce(*[_fenced_body(s0, f) for f in JSON_FENCES], s0)
     first = F.instr(s, "{")
     last_rev = F.instr(F.reverse(s), "}")
