@@ -46,16 +46,13 @@ def detect_projects(cwds: DataFrame, projects: DataFrame) -> DataFrame:
     best = (matches.groupBy("cwd_id")
             .agg(F.min_by("project_id", F.struct(-F.length("prefix"), F.col("created_at"),
                                                  F.col("project_id"))).alias("detected")))
-    # Exactly one project -> that project for every cwd.  A one-row
-    # aggregate joined on a constant key (a broadcast hash join, 1 row).
-    only = (projects.agg(F.count("*").alias("n_projects"), F.min("id").alias("only_id"))
-            .withColumn("_k", F.lit(1)))
+    # Exactly one project -> that project for every cwd.  Two scalar
+    # subqueries (evaluated once, then used as literals): no join needed.
+    n_projects = projects.agg(F.count("*")).scalar()
+    only_id = projects.agg(F.min("id")).scalar()
     out = (cwds.join(best, "cwd_id", "left")
-           .withColumn("_k", F.lit(1))
-           .join(F.broadcast(only), "_k")
            .select("cwd_id", "cwd",
-                   F.when(F.col("n_projects") == 1, F.col("only_id"))
-                   .otherwise(F.col("detected")).alias("project_id")))
+                   F.when(n_projects == 1, only_id).otherwise(F.col("detected")).alias("project_id")))
     return out
 
 
@@ -67,13 +64,16 @@ def latest_settings(log: DataFrame) -> DataFrame:
     )
 
 
-def active_project(settings: DataFrame, projects: DataFrame) -> DataFrame:
-    """(active_id, active_exists) -- one row; active_id NULL when unset/blank."""
+def active_project(settings: DataFrame, projects: DataFrame) -> tuple[Column, Column]:
+    """(active_id, active_exists) as scalar-subquery columns; active_id is
+    NULL when the setting is unset or blank.  ``settings`` holds one row per
+    key (see ``latest_settings``)."""
     a = (settings.where((F.col("key") == ACTIVE_KEY) & (F.col("value") != ""))
          .select(F.col("value").alias("active_id")))
-    exists = projects.select(F.col("id").alias("active_id"), F.lit(True).alias("active_exists"))
-    one = F.broadcast(a.join(exists, "active_id", "left"))
-    return one
+    active_id = a.agg(F.max("active_id")).scalar()
+    exists = (a.join(projects.select(F.col("id").alias("active_id")), "active_id")
+              .agg(F.count("*") > 0).scalar())
+    return active_id, exists
 
 
 def resolve_projects(cwds: DataFrame, projects: DataFrame, settings: DataFrame,
@@ -85,11 +85,10 @@ def resolve_projects(cwds: DataFrame, projects: DataFrame, settings: DataFrame,
     mode ``detect_first`` (inbox, hooks): directory detection, then active.
     Returns (cwd_id, cwd, project_id, resolved_by, error).
     """
-    det = detect_projects(cwds, projects)
-    act = active_project(settings, projects).withColumn("_k", F.lit(1))
-    j = det.withColumn("_k", F.lit(1)).join(act, "_k", "left").drop("_k")
+    active_id, exists = active_project(settings, projects)
+    j = detect_projects(cwds, projects).withColumn("active_id", active_id)
     has_active = F.col("active_id").isNotNull()
-    active_ok = has_active & F.col("active_exists").isNotNull()
+    active_ok = has_active & exists
     detected = F.col("project_id").isNotNull()
     if mode == "active_first":
         pid = F.when(active_ok, F.col("active_id")).when(has_active, F.lit(None)).otherwise(F.col("project_id"))
