@@ -47,37 +47,25 @@ def documents_by_project(documents: DataFrame) -> DataFrame:
     return documents.orderBy("project_id", "relative_path")
 
 
-def rank_documents(requests: DataFrame, documents: DataFrame, rank_before_limit: bool = False) -> DataFrame:
+def rank_documents(requests: DataFrame, documents: DataFrame) -> DataFrame:
     """J8 + O4: score each request's context documents against its goal.
 
     ``requests``: (request_id, project_id, goal, doc_limit).  The recency cut
-    happens first (O3 with the largest level limit, then each request's own
-    limit), so each request meets at most 15 documents of its project and the
-    join output is bounded by 15 x requests whatever the project skew.
-    Within a request, a stable sort by score descending keeps recency order
-    for ties (so a goal without tokens leaves the recency order unchanged).
-    With ``rank_before_limit`` every summarised document of the project is
-    scored before the cut (an extension).
+    happens first, as in the reference (O3 with the largest level limit, then
+    each request's own limit), so each request meets at most 15 documents of
+    its project and the join output is bounded by 15 x requests whatever the
+    project skew.  Within a request, a stable sort by score descending keeps
+    recency order for ties (a goal without tokens keeps the recency order).
     Returns (request_id, project_id, doc_id, relative_path, summary, score,
     recency_rank, relevance_rank).
     """
-    if rank_before_limit:
-        docs = newest_per_project(
-            documents.where(F.col("summary") != "").select(
-                "id", "project_id", "relative_path", "summary", "modified_at"),
-            F.lit(1 << 30), "modified_at")
-    else:
-        docs = recent_doc_summaries(documents, L.MAX_CONTEXT_DOCS)
-    docs = docs.select(F.col("id").alias("doc_id"), "project_id", "relative_path", "summary", "recency_rank")
+    docs = recent_doc_summaries(documents, L.MAX_CONTEXT_DOCS).select(
+        F.col("id").alias("doc_id"), "project_id", "relative_path", "summary", "recency_rank")
     req = requests.select("request_id", "project_id", tokenize("goal").alias("tokens"), "doc_limit")
-    j = req.join(docs, "project_id")
-    if not rank_before_limit:
-        j = j.where(F.col("recency_rank") <= F.col("doc_limit"))
+    j = req.join(docs, "project_id").where(F.col("recency_rank") <= F.col("doc_limit"))
     scored = j.withColumn("score", relevance_score("tokens", "relative_path", "summary"))
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("recency_rank").asc())
     ranked = scored.withColumn("relevance_rank", F.row_number().over(w).cast("bigint"))
-    if rank_before_limit:
-        ranked = ranked.where(F.col("relevance_rank") <= F.col("doc_limit"))
     return ranked.select("request_id", "project_id", "doc_id", "relative_path", "summary",
                          "score", "recency_rank", "relevance_rank")
 
@@ -104,8 +92,10 @@ def context_bundles(projects: DataFrame, outputs: DataFrame, sessions: DataFrame
          .agg(_ordered(None, ["id", "goal", "next_actions", "blockers", "decisions", "files"], "outputs")))
     s = (recent_sessions(sessions, max_sessions).groupBy("project_id")
          .agg(_ordered(None, ["id", "type", "summary", "next_action"], "sessions")))
-    d = (recent_doc_summaries(documents, max_docs).groupBy("project_id")
-         .agg(_ordered(None, ["relative_path", "summary", "kind"], "docs")))
+    d = None
+    if max_docs > 0:
+        d = (recent_doc_summaries(documents, max_docs).groupBy("project_id")
+             .agg(_ordered(None, ["relative_path", "summary", "kind"], "docs")))
     empty = {
         "outputs": "array<struct<id:string,goal:string,next_actions:array<string>,blockers:array<string>,"
                    "decisions:array<string>,files:array<string>>>",
@@ -113,7 +103,8 @@ def context_bundles(projects: DataFrame, outputs: DataFrame, sessions: DataFrame
         "docs": "array<struct<relative_path:string,summary:string,kind:string>>",
     }
     p = projects.select(F.col("id").alias("project_id"), "name", "root_path", "summary", "active_goals")
-    j = p.join(o, "project_id", "left").join(s, "project_id", "left").join(d, "project_id", "left")
+    j = p.join(o, "project_id", "left").join(s, "project_id", "left")
+    j = j.join(d, "project_id", "left") if d is not None else j.withColumn("docs", F.lit(None))
     for k, t in empty.items():
         j = j.withColumn(k, F.coalesce(F.col(k), F.array().cast(t)))
     return j

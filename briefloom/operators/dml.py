@@ -6,7 +6,7 @@ rows to append) with joins, and the caller writes it to a new folder.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,17 +15,28 @@ def register_projects(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     status: ``created`` / ``name_required`` / ``duplicate_name``.
 
     A name must be non-empty and unique: it may not exist already, and among
-    candidates with one name the earliest (then smallest root) is created.
-    Created rows get a deterministic id and empty tag/goal lists.
+    candidates with one name the earliest (then smallest root, then summary)
+    is created; every other candidate comes back as a duplicate.  Created
+    rows get a deterministic id and empty tag/goal lists.
+
+    No window over a name: identical candidates are first counted (partial
+    aggregation), the winner per name is a hash aggregate, and the counts
+    are expanded back so every candidate row is reported once.
     """
+    cols = ["name", "root_path", "summary", "created_at"]
+    groups = candidates.groupBy(*cols).agg(F.count("*").alias("_n"))
+    winners = (groups.where(F.col("name") != "").groupBy("name")
+               .agg(F.min(F.struct("created_at", "root_path", "summary")).alias("_w")))
     taken = existing.select(F.col("name").alias("_taken")).distinct()
-    w = Window.partitionBy("name").orderBy("created_at", "root_path")
-    c = (candidates.withColumn("_n", F.row_number().over(w))
-         .join(taken, F.col("name") == F.col("_taken"), "left"))
+    j = (groups.join(winners, "name", "left")
+         .join(taken, F.col("name") == F.col("_taken"), "left")
+         .withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))))
+    is_winner = ((F.col("_w.created_at") == F.col("created_at")) & (F.col("_w.root_path") == F.col("root_path"))
+                 & (F.col("_w.summary") == F.col("summary")) & (F.col("_k") == 1))
     status = (F.when(F.col("name") == "", "name_required")
-              .when(F.col("_taken").isNotNull() | (F.col("_n") > 1), "duplicate_name")
-              .otherwise("created"))
-    return c.select(
+              .when(F.col("_taken").isNull() & is_winner, "created")
+              .otherwise("duplicate_name"))
+    return j.select(
         F.when(status == "created", F.sha2(F.concat(F.lit("project|"), F.col("name")), 256)).alias("id"),
         "name", "root_path", "summary",
         F.array().cast("array<string>").alias("tags"),

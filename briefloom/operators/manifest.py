@@ -62,8 +62,9 @@ def incremental_scan(files: DataFrame, marks: DataFrame, first_exts=(".md", ".js
         F.when(has_mark, F.col("path")).asc_nulls_last(),
         F.when(~has_mark, F.col("path")).desc_nulls_last(),
     )
-    ranked = cand.withColumn("ord", F.row_number().over(w))
-    taken = ranked.where((has_mark & (F.col("ord") <= batch)) | (~has_mark & (F.col("ord") == 1)))
+    # a plain rank bound first, so Spark trims each folder before the shuffle
+    ranked = cand.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= max(batch, 1))
+    taken = ranked.where(has_mark | (F.col("ord") == 1))
     taken = taken.select("folder", "path", "mtime", F.col("ord").cast("bigint").alias("ord"))
     new_marks = (taken.groupBy("folder").agg(F.max("mtime").alias("hwm"))
                  .unionByName(marks.join(taken.select("folder").distinct(), "folder", "left_anti"))

@@ -41,16 +41,17 @@ def detect_projects(cwds: DataFrame, projects: DataFrame) -> DataFrame:
     roots = (projects.where(F.col("root_path") != "")
              .select(F.col("id").alias("project_id"), _root_key(F.col("root_path")).alias("prefix"),
                      "created_at"))
-    exploded = cwds.select("cwd_id", F.explode(cwd_prefixes(F.col("cwd"))).alias("prefix"))
-    matches = exploded.join(roots, "prefix")
-    best = (matches.groupBy("cwd_id")
-            .agg(F.min_by("project_id", F.struct(-F.length("prefix"), F.col("created_at"),
-                                                 F.col("project_id"))).alias("detected")))
-    # Exactly one project -> that project for every cwd.  Two scalar
-    # subqueries (evaluated once, then used as literals): no join needed.
-    n_projects = projects.agg(F.count("*")).scalar()
-    only_id = projects.agg(F.min("id")).scalar()
-    out = (cwds.join(best, "cwd_id", "left")
+    exploded = cwds.select("cwd_id", "cwd", F.explode(cwd_prefixes(F.col("cwd"))).alias("prefix"))
+    # left join keeps cwds without any match; the per-cwd pick is a hash
+    # aggregate (partial before the shuffle), so no join back to ``cwds``
+    matches = exploded.join(roots, "prefix", "left")
+    rank = F.struct(F.col("project_id").isNull(), -F.length("prefix"), F.col("created_at"), F.col("project_id"))
+    best = matches.groupBy("cwd_id", "cwd").agg(F.min_by("project_id", rank).alias("detected"))
+    # Exactly one project -> that project for every cwd.  One scalar
+    # subquery (evaluated once, then used as a literal): no join needed.
+    store = projects.agg(F.struct(F.count("*").alias("n"), F.min("id").alias("only_id"))).scalar()
+    n_projects, only_id = store["n"], store["only_id"]
+    out = (best
            .select("cwd_id", "cwd",
                    F.when(n_projects == 1, only_id).otherwise(F.col("detected")).alias("project_id")))
     return out
