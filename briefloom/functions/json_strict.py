@@ -33,6 +33,7 @@ PLAN_SHAPE = {
     "relevant_files": "refs", "execution_plan": "list", "constraints": "list",
     "validation": "list", "expected_output": "str", "copy_ready_prompt": "str",
 }
+HOOK_SHAPE = {"session_id": "str", "transcript_path": "str", "cwd": "str", "hook_event_name": "str"}
 _REF_SHAPE = {"path": "str", "reason": "str"}
 
 _STR = T.StringType()
@@ -127,6 +128,7 @@ def _make_udf(shape: dict):
 
 _extraction_udf = _make_udf(EXTRACTION_SHAPE)
 _plan_udf = _make_udf(PLAN_SHAPE)
+_hook_udf = _make_udf(HOOK_SHAPE)
 
 
 def strict_extraction(text) -> Column:
@@ -139,3 +141,9 @@ def strict_plan(text) -> Column:
     """Struct of the plan shape, or NULL when the text does not decode."""
     col = F.col(text) if isinstance(text, str) else text
     return F.from_json(_plan_udf(col), shape_schema(PLAN_SHAPE))
+
+
+def strict_hook_payload(text) -> Column:
+    """Struct of the hook-payload shape, or NULL when the text does not decode."""
+    col = F.col(text) if isinstance(text, str) else text
+    return F.from_json(_hook_udf(col), shape_schema(HOOK_SHAPE))

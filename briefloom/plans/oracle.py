@@ -729,7 +729,7 @@ Q["hook_payloads"] = _with("fx_projects") + f"""
   SELECT conv_id, turn, 's' || {_C} || '-' || {_T} AS session_id,
          CASE WHEN turn % 5 = 4 THEN '' ELSE '/t/' || {_C} || '/' || {_T} || '.jsonl' END AS transcript_path,
          '/w/src' || {_v('conv_id % 20')} || '/sub' AS cwd,
-         (conv_id + turn) % 7 = 0 AS malformed
+         (conv_id + turn) % 7 IN (0, 1) AS malformed
   FROM conversations),
 tr AS (SELECT '/t/' || {_C} || '/' || {_T} || '.jsonl' AS transcript_path, text FROM conversations),
 roots AS (SELECT id, created_at, root_path || '/' AS rk FROM fx_projects WHERE root_path <> ''),

@@ -384,7 +384,9 @@ def _payload_texts(spark, sf):
     body = F.concat(F.lit('{"session_id": "s'), cid, F.lit("-"), turn, F.lit('", "transcript_path": "'), tpath,
                     F.lit('", "cwd": "/w/src'), (F.col("conv_id") % 20).cast("string"),
                     F.lit('/sub", "hook_event_name": "Stop"}'))
-    text = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.substring(body, 1, 20)).otherwise(body)
+    wrong = F.concat(F.lit('{"session_id": '), cid, F.lit(', "transcript_path": "'), tpath, F.lit('"}'))
+    k = (F.col("conv_id") + F.col("turn")) % 7
+    text = F.when(k == 0, F.substring(body, 1, 20)).when(k == 1, wrong).otherwise(body)
     return c.select(text.alias("payload"))
 
 

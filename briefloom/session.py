@@ -35,12 +35,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
+def shared_dir(spark: SparkSession, purpose: str, unique: bool = True) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     The directory comes from ``spark.checkpoint.dir`` (or the context's
     checkpoint dir).  Only when neither is set -- a local test run -- do we
     create one, and we register it on the context so ``checkpoint()`` works.
+    With ``unique=False`` the folder name is ``purpose`` itself, so a re-run
+    of the same step overwrites its own intermediate.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -49,7 +51,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="briefloom-ckpt-")
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
-    return f"{base}/briefloom/{purpose}-{uuid.uuid4().hex[:12]}"
+    suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
+    return f"{base}/briefloom/{purpose}{suffix}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -12,17 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from briefloom.operators.resolve import resolve_projects
-from briefloom.schemas import HOOK_PAYLOAD
+from briefloom.functions.json_strict import strict_hook_payload
 
 
 def parse_payloads(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
-    """(session_id, transcript_path, cwd, hook_event_name) of well-formed payloads."""
-    p = F.from_json(F.col(text_col), HOOK_PAYLOAD, {"columnNameOfCorruptRecord": "_corrupt_record",
-                                                    "mode": "PERMISSIVE"})
-    parsed = payloads.select(p.alias("p"))
-    return (parsed.where(F.col("p").isNotNull() & F.col("p._corrupt_record").isNull())
-            .select(*[F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c)
-                      for c in ("session_id", "transcript_path", "cwd", "hook_event_name")]))
+    """(session_id, transcript_path, cwd, hook_event_name) of payloads that
+    decode strictly (an object, string-typed known keys, no trailing text);
+    anything else is skipped."""
+    p = strict_hook_payload(F.col(text_col))
+    return payloads.select(p.alias("p")).where(F.col("p").isNotNull()).select("p.*")
 
 
 def ingest_hook_payloads(payloads: DataFrame, transcripts: DataFrame, projects: DataFrame,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from briefloom.functions import paths as P
 from briefloom.operators.extraction import sessions_from_outputs
@@ -21,27 +22,38 @@ from briefloom.operators.extraction import sessions_from_outputs
 # Fixed values.
 PROCESSED_DIR = "processed"
 
+BINARY_FILE_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("modificationTime", T.TimestampType(), False),
+    T.StructField("length", T.LongType(), False),
+    T.StructField("content", T.BinaryType(), True),
+])
 
-def read_inbox(spark: SparkSession, inbox_dir: str, archive_dir: str | None = None) -> DataFrame:
+
+def read_inbox(spark: SparkSession, inbox_dir: str, project_id: str,
+               archive_dir: str | None = None) -> DataFrame:
     """S5 + F6 + F7 + D8: a stream of whole files dropped into ``inbox_dir``.
 
     Top level only (subfolders such as ``processed/`` are never read);
     accepted extensions via ``pathGlobFilter`` (case-sensitive).  With
     ``archive_dir`` (outside the inbox) consumed files are moved there.
-    Columns: arrival_id, path, content, arrived_at.
+    One inbox feeds one project (resolved by the caller, detection first).
+    Columns: arrival_id, path, content, arrived_at, project_id.
     """
     exts = ",".join(e.lstrip(".") for e in P.INBOX_EXTS)
-    reader = (spark.readStream.format("text").option("wholetext", "true")
+    # binaryFile (not text/wholetext): an empty file is still one arrival
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("pathGlobFilter", f"*.{{{exts}}}"))
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     df = reader.load(inbox_dir)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:", "")
+    path = F.regexp_replace(F.col("path"), "^file:", "")
     return df.select(
         F.sha2(path, 256).alias("arrival_id"),
         path.alias("path"),
-        F.col("value").alias("content"),
-        F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("arrived_at"),
+        F.decode(F.col("content"), "UTF-8").alias("content"),
+        F.col("modificationTime").cast("timestamp_ntz").alias("arrived_at"),
+        F.lit(project_id).alias("project_id"),
     )
 
 
