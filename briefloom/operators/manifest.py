@@ -20,16 +20,19 @@ def scan_manifest(files: DataFrame, max_size_bytes: int = P.DEFAULT_MAX_SIZE_BYT
     relative path.
 
     ``files`` needs ``root``, ``path``, ``size`` and optionally ``is_symlink``.
-    One narrow ``where`` + ``select``: no shuffle, and the size predicate is
-    pushed to the Parquet scan when ``files`` comes straight from one.
+    A row whose path *is* its root is a single-file ingest (S2): it bypasses
+    every filter.  One narrow ``where`` + ``select``: no shuffle, and the
+    size predicate is pushed to the Parquet scan when ``files`` comes
+    straight from one.
     """
+    single = F.col("path") == F.col("root")
     cond = P.passes_file_filter("path", "size", max_size_bytes)
     if "is_symlink" in files.columns:
         cond = ~F.col("is_symlink") & cond
     rel = P.relative_path("path", "root")
-    return (files.where(cond)
+    return (files.where(single | cond)
             .withColumn("relative_path", rel)
-            .where(P.passes_dir_filter("relative_path"))
+            .where(single | P.passes_dir_filter("relative_path"))
             .withColumn("kind", P.file_kind("path")))
 
 

@@ -8,9 +8,42 @@ from pyspark.sql import functions as F
 from briefloom.schemas import HOOK_PAYLOAD
 
 
+# A table smaller than this, stored in fewer files than there are cores, is
+# spread round-robin after the scan (one file with one row group is read by
+# a single task).  Larger inputs are never reshuffled: they already come in
+# many files / row groups and their scan parallelism is fine.
+BALANCE_MIN_BYTES = 4 << 20
+BALANCE_MAX_BYTES = 2 << 30
+
+_SIZE_CACHE: dict[str, int] = {}
+
+
+def _input_bytes(spark: SparkSession, path: str) -> int:
+    if path not in _SIZE_CACHE:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        _SIZE_CACHE[path] = int(fs.getContentSummary(p).getLength())
+    return _SIZE_CACHE[path]
+
+
+def balanced(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """Round-robin a small, few-file input over the cores (size-checked)."""
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        n_files = len(df.inputFiles())
+        size = _input_bytes(spark, path)
+    except Exception:  # noqa: BLE001 -- size unknown: leave the scan as it is
+        return df
+    if n_files < cores and BALANCE_MIN_BYTES <= size <= BALANCE_MAX_BYTES:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (``<sf_dir>/<name>.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return balanced(spark, spark.read.parquet(path), path)
 
 
 def read_binary_tree(spark: SparkSession, root: str) -> DataFrame:

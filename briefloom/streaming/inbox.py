@@ -57,6 +57,16 @@ def read_inbox(spark: SparkSession, inbox_dir: str, project_id: str,
     )
 
 
+def archive_name(path, batch_id) -> F.Column:
+    """``<stem>-<batch id><ext>`` -- the batch id replaces the clock, so
+    a replayed batch archives under the same name."""
+    path = F.col(path) if isinstance(path, str) else path
+    base = P.base_name(path)
+    ext = P.extension(path)
+    stem = F.substring(base, F.lit(1), F.length(base) - F.length(ext))
+    return F.concat(stem, F.lit("-"), F.lit(batch_id).cast("string"), ext)
+
+
 def accepted(files: DataFrame, inbox_dir: str | None = None) -> DataFrame:
     """F6 + F7 as row filters (for sources that cannot filter by glob)."""
     cond = P.inbox_accepts("path")

@@ -74,3 +74,27 @@ def test_incremental_scan_advances_to_last_taken(spark):
     assert t == [("f", f"/d/{i}.md") for i in range(2, 7)] + [("g", "/g/b.json")]
     m = {r.folder: str(r.hwm) for r in new_marks.collect()}
     assert m["f"] == "2024-01-01 00:06:00"
+
+
+def test_single_file_ingest_bypasses_filters(spark):
+    rows = [("p", "/w/p/img.png", "/w/p/img.png", 10), ("p", "/w/p", "/w/p/img.png", 10),
+            ("p", "/w/p/.git/x.go", "/w/p/.git/x.go", 10), ("p", "/w/p/big.go", "/w/p/big.go", 5 << 20)]
+    files = spark.createDataFrame(rows, "project_id string, root string, path string, size bigint")
+    got = sorted((r.path, r.relative_path) for r in scan_manifest(files).collect())
+    assert got == [("/w/p/.git/x.go", "x.go"), ("/w/p/big.go", "big.go"), ("/w/p/img.png", "img.png")]
+
+
+def test_explicit_ingest_rejects_empty_text(spark):
+    from briefloom.operators.extraction import normalize_outputs
+    outs = fx.coding_outputs(spark, SF_SMALL)
+    empty = outs.limit(1).withColumn("raw_text", F.lit("")).withColumn("id", F.lit("empty"))
+    both = outs.unionByName(empty)
+    resp = fx.extraction_responses(spark, SF_SMALL)
+    assert normalize_outputs(both, resp).count() == outs.count() + 1
+    assert normalize_outputs(both, resp, reject_empty=True).count() == outs.count()
+
+
+def test_archive_name(spark):
+    from briefloom.streaming.inbox import archive_name
+    df = spark.createDataFrame([("/in/a.md",), ("/in/noext",), ("/in/x.tar.gz",)], "p string")
+    assert [r[0] for r in df.select(archive_name("p", 7)).collect()] == ["a-7.md", "noext-7", "x.tar-7.gz"]
