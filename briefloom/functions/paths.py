@@ -5,6 +5,8 @@ inside whole-stage codegen and push down where Spark can.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,8 +92,18 @@ def dir_is_ignored(name: Column) -> Column:
     return F.lower(name).isin(lowered) | (name.startswith(".") & (name != F.lit(".")))
 
 
+# A directory segment is any segment followed by '/'.  One anchored regex
+# (compiled once, evaluated inside whole-stage codegen) instead of a lambda
+# over the split path: hidden directories ('.x', but not '.') or an ignored
+# name, compared case-insensitively.
+IGNORED_DIR_REGEX = (r"(?iu)(^|/)(\.[^/]+|"
+                     + "|".join(re.escape(d) for d in IGNORED_DIRS if not d.startswith("."))
+                     + r")/")
+
+
 def passes_dir_filter(rel_path) -> Column:
-    return ~F.exists(directory_segments(rel_path), dir_is_ignored)
+    """F1 + F2 over every directory between the root and the file."""
+    return ~_c(rel_path).rlike(IGNORED_DIR_REGEX)
 
 
 def passes_file_filter(path, size, max_size_bytes: int = DEFAULT_MAX_SIZE_BYTES) -> Column:

@@ -97,8 +97,10 @@ def parse_plans(responses: DataFrame) -> DataFrame:
 
     A decoded plan needs a goal or a prompt; otherwise (or when the answer
     does not decode) the fallback plan: title 'Session Brief', the request's
-    goal, and the raw answer as the prompt.  A missing/failed answer gives
-    the no-op plan (goal and prompt = request goal).  Adds ``ok``.
+    goal, and the raw answer as the prompt.  A missing answer (no model was
+    configured) gives the no-op plan (goal and prompt = request goal).  A
+    failed call (error != '') is flagged ``call_failed``: the reference
+    reports it to the user and records nothing.  Adds ``ok``.
     """
     answered = F.col("content").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == "")
     p = F.col("_p")
@@ -122,6 +124,7 @@ def parse_plans(responses: DataFrame) -> DataFrame:
         s("expected_output", F.lit("")),
         s("copy_ready_prompt", F.when(answered, F.col("content")).otherwise(F.col("request_goal"))),
         valid.alias("ok"),
+        (F.coalesce(F.col("error"), F.lit("")) != "").alias("call_failed"),
     )
 
 
@@ -139,7 +142,10 @@ def noop_plans(requests: DataFrame) -> DataFrame:
 
 
 def plan_sessions(plans: DataFrame) -> DataFrame:
-    """C6 + P12 + P20: the two session rows recorded per brief."""
+    """C6 + P12 + P20: the two session rows recorded per brief (none for a
+    failed call)."""
+    if "call_failed" in plans.columns:
+        plans = plans.where(~F.col("call_failed"))
     first = plans.select(
         "request_id", "project_id", F.lit(1).alias("seq"),
         F.lit(SESSION_SPIT).alias("type"),

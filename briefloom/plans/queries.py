@@ -50,7 +50,8 @@ def q_manifest_scan(spark, sf):
 
 
 def q_content_hash(spark, sf):
-    return content_hash(read_table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "hash")
+    d = read_table(spark, sf, "documents", balance=True).select("doc_id", "text")
+    return content_hash(d).select("doc_id", "hash")
 
 
 def q_kind_distribution(spark, sf):
@@ -220,7 +221,7 @@ def q_document_counts(spark, sf):
 
 
 def q_token_counts(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    d = read_table(spark, sf, "documents", balance=True).select("doc_id", "text")
     return d.select("doc_id", _n(tokenize("text")).alias("n_tokens"))
 
 

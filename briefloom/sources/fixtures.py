@@ -46,7 +46,7 @@ MANIFEST_DIRS = ["src", "node_modules/pkg", ".git/objects", "Docs", ".vscode/x",
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file: project_id, root, path, size, mtime, hash, prev_hash, doc_id, is_symlink."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    d = read_table(spark, sf_dir, "documents", balance=True).select("doc_id", "text", "source", "n_chars")
     i = F.col("doc_id")
     s = i.cast("string")
     base = _pick(i % 12, [

@@ -40,10 +40,15 @@ def balanced(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory (``<sf_dir>/<name>.parquet``)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
+    """One Parquet table of a data directory (``<sf_dir>/<name>.parquet``).
+
+    ``balance`` is for callers that do heavy per-row work next (hashing or
+    tokenizing whole texts); see ``balanced``.
+    """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return balanced(spark, spark.read.parquet(path), path)
+    df = spark.read.parquet(path)
+    return balanced(spark, df, path) if balance else df
 
 
 def read_binary_tree(spark: SparkSession, root: str) -> DataFrame:
