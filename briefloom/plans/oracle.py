@@ -724,20 +724,33 @@ SELECT id, CAST(len(next_actions) AS BIGINT) AS n_items, true AS roundtrip_ok,
        CAST(CASE WHEN json_valid('[' || goal) THEN len(CAST(json('[' || goal) AS VARCHAR[])) ELSE 0 END AS BIGINT)
          AS n_malformed_items
 FROM fx_outputs"""
+_HSTR = ["session_id", "transcript_path", "cwd", "hook_event_name"]
 Q["hook_payloads"] = _with("fx_projects") + f"""
-, payloads AS (
-  SELECT conv_id, turn, 's' || {_C} || '-' || {_T} AS session_id,
-         CASE WHEN turn % 5 = 4 THEN '' ELSE '/t/' || {_C} || '/' || {_T} || '.jsonl' END AS transcript_path,
-         '/w/src' || {_v('conv_id % 20')} || '/sub' AS cwd,
-         (conv_id + turn) % 7 IN (0, 1) AS malformed
+, p0 AS (
+  SELECT conv_id, turn,
+         CASE WHEN turn % 5 = 4 THEN '' ELSE '/t/' || {_C} || '/' || {_T} || '.jsonl' END AS tpath,
+         '{{"session_id": "s' || {_C} || '-' || {_T} || '", "transcript_path": "' ||
+           (CASE WHEN turn % 5 = 4 THEN '' ELSE '/t/' || {_C} || '/' || {_T} || '.jsonl' END) ||
+           '", "cwd": "/w/src' || {_v('conv_id % 20')} || '/sub", "hook_event_name": "Stop"}}' AS body
   FROM conversations),
+p1 AS (
+  SELECT conv_id, turn,
+         CASE WHEN (conv_id + turn) % 7 = 0 THEN substring(body, 1, 20)
+              WHEN (conv_id + turn) % 7 = 1 THEN '{{"session_id": ' || {_C} || ', "transcript_path": "' || tpath || '"}}'
+              ELSE body END AS payload
+  FROM p0),
+p2 AS (SELECT *, CASE WHEN json_valid(payload) THEN payload ELSE '"not json"' END AS vj FROM p1),
+payloads AS (
+  SELECT conv_id, turn, {jstr('vj', 'session_id')} AS session_id, {jstr('vj', 'transcript_path')} AS transcript_path,
+         {jstr('vj', 'cwd')} AS cwd
+  FROM p2 WHERE {shape_ok('vj', _HSTR, [])}),
 tr AS (SELECT '/t/' || {_C} || '/' || {_T} || '.jsonl' AS transcript_path, text FROM conversations),
 roots AS (SELECT id, created_at, root_path || '/' AS rk FROM fx_projects WHERE root_path <> ''),
 m AS (
   SELECT p.session_id, p.transcript_path, r.id AS project_id,
          row_number() OVER (PARTITION BY p.conv_id, p.turn ORDER BY length(r.rk) DESC, r.created_at, r.id) AS rn
   FROM payloads p JOIN roots r ON starts_with(p.cwd || '/', r.rk)
-  WHERE NOT p.malformed AND p.transcript_path <> '')
+  WHERE p.transcript_path <> '')
 SELECT m.session_id, m.transcript_path, m.project_id, CAST(length(tr.text) AS BIGINT) AS n_chars
 FROM m JOIN tr ON tr.transcript_path = m.transcript_path WHERE m.rn = 1"""
 Q["inbox_stream"] = _with("fx_inbox") + "SELECT arrival_id, path, project_id FROM fx_inbox"

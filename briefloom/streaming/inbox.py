@@ -81,11 +81,16 @@ def rejected(files: DataFrame) -> DataFrame:
             .select("arrival_id", "path", F.lit("unsupported_extension").alias("reason")))
 
 
-def dedupe_paths(files: DataFrame) -> DataFrame:
+def dedupe_paths(files: DataFrame, horizon: str | None = None) -> DataFrame:
     """The first arrival of each path; later re-drops are ignored.
 
-    On a stream the seen paths live in the state store (checkpointed).
+    On a stream the seen paths live in the state store (checkpointed).  Like
+    the reference's seen-set, that state grows with every distinct path; with
+    ``horizon`` (e.g. ``"7 days"``) a re-drop is only recognised within that
+    event-time window of ``arrived_at`` and older state is evicted.
     """
+    if horizon:
+        return files.withWatermark("arrived_at", horizon).dropDuplicatesWithinWatermark(["path"])
     return files.dropDuplicates(["path"])
 
 
@@ -119,10 +124,12 @@ def ingest_batch_writer(out_dir: str, ingested_at: str):
 
 
 def run_inbox(files: DataFrame, out_dir: str, checkpoint_dir: str, ingested_at: str,
-              available_now: bool = True):
+              available_now: bool = True, horizon: str | None = None):
     """Start the inbox ingest on a streaming DataFrame of
-    (arrival_id, path, content, project_id).  Returns the StreamingQuery."""
-    deduped = dedupe_paths(accepted(files))
+    (arrival_id, path, content, project_id[, arrived_at]).  Returns the
+    StreamingQuery.  For large seen-sets use the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass``) or a ``horizon``."""
+    deduped = dedupe_paths(accepted(files), horizon)
     writer = (deduped.writeStream.foreachBatch(ingest_batch_writer(out_dir, ingested_at))
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")
