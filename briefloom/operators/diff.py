@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.functions import formats as T
+from briefloom.functions.formats import render
 from briefloom.operators.manifest import document_key
 from briefloom.schemas import SESSION_FILE_INGEST, SESSION_FOLDER_INGEST
 
@@ -94,7 +96,7 @@ def ingest_sessions(counters: DataFrame, roots: DataFrame) -> DataFrame:
     return j.select(
         "project_id",
         F.when(n == 1, SESSION_FILE_INGEST).otherwise(SESSION_FOLDER_INGEST).alias("type"),
-        F.format_string("Ingested %s: %d new, %d updated, %d skipped",
-                        F.col("root"), F.col("new"), F.col("updated"), F.col("skipped")).alias("summary"),
+        render(T.INGEST_SUMMARY, path=F.col("root"), new=F.col("new").cast("string"),
+               updated=F.col("updated").cast("string"), skipped=F.col("skipped").cast("string")).alias("summary"),
         F.lit("").alias("next_action"),
     )

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.functions import formats as T
+from briefloom.functions.formats import render
 from briefloom.functions.json_strict import strict_extraction, strict_plan
 from briefloom.functions.text import extract_json_block
 from briefloom.schemas import SESSION_OUTPUT_INGEST, SESSION_SPIT
 
 EXTRACTION_LISTS = ["actions", "decisions", "blockers", "next_actions", "files_mentioned"]
 PLAN_LISTS = ["current_context", "execution_plan", "constraints", "validation"]
-# Fixed values.
-FALLBACK_TITLE = "Session Brief"
+FALLBACK_TITLE = T.FALLBACK_PLAN_TITLE
 
 
 def first_or_empty(arr) -> Column:
@@ -78,7 +79,7 @@ def sessions_from_outputs(outputs: DataFrame) -> DataFrame:
     """P10 + P11: the session row recorded for each saved output."""
     summary = F.coalesce(F.nullif(F.col("goal"), F.lit("")),
                          F.nullif(F.get(F.col("actions"), 0), F.lit("")),
-                         F.concat(F.lit("coding output from "), F.col("source")))
+                         render(T.OUTPUT_SUMMARY_FALLBACK, source=F.col("source")))
     return outputs.select(
         F.sha2(F.concat(F.lit("session|"), F.col("id")), 256).alias("id"),
         "project_id",
@@ -149,14 +150,14 @@ def plan_sessions(plans: DataFrame) -> DataFrame:
     first = plans.select(
         "request_id", "project_id", F.lit(1).alias("seq"),
         F.lit(SESSION_SPIT).alias("type"),
-        F.concat(F.lit("spit: "), F.col("request_goal"), F.lit(" → "), F.col("title")).alias("summary"),
+        render(T.SPIT_SUMMARY, goal=F.col("request_goal"), title=F.col("title")).alias("summary"),
         F.array().cast("array<string>").alias("related_files"),
         F.lit("").alias("next_action"),
     )
     second = plans.select(
         "request_id", "project_id", F.lit(2).alias("seq"),
         F.lit(SESSION_SPIT).alias("type"),
-        F.concat(F.col("title"), F.lit(": "), F.col("goal")).alias("summary"),
+        render(T.PLAN_SUMMARY, title=F.col("title"), goal=F.col("goal")).alias("summary"),
         F.transform("relevant_files", lambda r: r["path"]).alias("related_files"),
         first_or_empty("execution_plan").alias("next_action"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: settings key of the active project.
 ACTIVE_KEY = "active_project_id"
 
 

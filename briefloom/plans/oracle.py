@@ -11,6 +11,8 @@ from __future__ import annotations
 from briefloom.functions import levels as L
 from briefloom.functions import paths as P
 from briefloom.functions import text as TX
+from briefloom.functions import formats as T
+from briefloom.functions.formats import render_sql as R
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 GENERATED = "2024-06-01 12:00"
@@ -361,7 +363,7 @@ fx_plans AS (
          CASE WHEN decoded THEN vj ELSE '{{}}' END AS jb FROM fx_presp),
 fx_plan_fields AS (
   SELECT request_id, project_id, request_goal, ok,
-         CASE WHEN ok THEN {jstr('jb', 'title')} ELSE 'Session Brief' END AS title,
+         CASE WHEN ok THEN {jstr('jb', 'title')} ELSE {_lit(T.FALLBACK_PLAN_TITLE)} END AS title,
          CASE WHEN ok THEN {jstr('jb', 'goal')} ELSE request_goal END AS goal,
          CASE WHEN ok THEN {jstr('jb', 'copy_ready_prompt')} ELSE content END AS copy_ready_prompt,
          CASE WHEN ok THEN {jlist('jb', 'execution_plan')} ELSE []::VARCHAR[] END AS execution_plan,
@@ -435,13 +437,13 @@ Q["ingest_summary"] = _with("fx_diff") + """
 SELECT project_id, count(*) FILTER (WHERE status = 'new') AS new, count(*) FILTER (WHERE status = 'updated') AS updated,
        count(*) FILTER (WHERE status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS errors
 FROM fx_diff WHERE status <> 'missing' GROUP BY project_id"""
-Q["ingest_sessions"] = _with("fx_diff") + """
+Q["ingest_sessions"] = _with("fx_diff") + f"""
 , c AS (
   SELECT project_id, count(*) FILTER (WHERE status = 'new') AS n_new, count(*) FILTER (WHERE status = 'updated') AS n_upd,
          count(*) FILTER (WHERE status = 'skipped') AS n_skip
   FROM fx_diff WHERE status <> 'missing' GROUP BY project_id)
 SELECT project_id, CASE WHEN n_new + n_upd = 1 THEN 'file_ingest' ELSE 'folder_ingest' END AS type,
-       'Ingested /w/' || project_id || ': ' || n_new || ' new, ' || n_upd || ' updated, ' || n_skip || ' skipped' AS summary,
+       {R(T.INGEST_SUMMARY, path="'/w/' || project_id", new=_v('n_new'), updated=_v('n_upd'), skipped=_v('n_skip'))} AS summary,
        '' AS next_action
 FROM c"""
 Q["document_upsert"] = _with("fx_diff") + """
@@ -597,41 +599,44 @@ def _sec(cond, text):
     return f"(CASE WHEN {cond} THEN {text} ELSE '' END)"
 
 
-NL = "chr(10)"
+def _items(arr, template):
+    return _lines(arr, f"lambda x: {R(template, item='x')}")
 
 
 def _handoff_sql(limits, compact):
-    ctx = "list_concat(active_goals, list_transform(sessions, lambda s: '[' || s.type || '] ' || s.summary))"
+    full_view = "false" if compact else "true"
+    ctx = ("list_concat(active_goals, list_transform(sessions, lambda s: "
+           f"{R(T.HANDOFF_CONTEXT_SESSION, type='s.type', summary='s.summary')}))")
     steps = ("list_concat(list_filter(list_transform(sessions, lambda s: s.next_action), lambda a: a <> ''), "
              "flatten(list_transform(outputs, lambda o: o.next_actions)))")
     files = ("list_concat(flatten(list_transform(outputs, lambda o: list_transform(o.files, lambda f: "
-             "struct_pack(path := f, reason := 'mentioned in recent coding output')))), "
+             f"struct_pack(path := f, reason := {_lit(T.HANDOFF_FILE_REASON)})))), "
              "list_transform(docs, lambda d: struct_pack(path := d.relative_path, reason := d.summary)))")
     nexts = "flatten(list_transform(outputs, lambda o: o.next_actions))"
     prompt = " || ".join([
-        f"'Project: ' || name || {NL}",
-        _sec("summary <> ''", f"'Description: ' || summary || {NL}"),
-        _sec("len(active_goals) > 0", f"'Goals:' || {NL} || " + _lines("active_goals", f"lambda g: '  - ' || g || {NL}")),
-        _sec("len(sessions) > 0", f"{NL} || 'Recent progress:' || {NL} || " +
-             _lines("sessions", f"lambda s: '  - ' || s.summary || {NL}")),
-        _sec(f"len({nexts}) > 0", f"{NL} || 'Suggested next actions:' || {NL} || " +
-             _lines(nexts, f"lambda a: '  - ' || a || {NL}")),
-        _sec(f"{'false' if compact else 'true'} AND len(docs) > 0", f"{NL} || 'Key files:' || {NL} || " +
-             _lines("docs", f"lambda d: '  - ' || d.relative_path || ': ' || d.summary || {NL}")),
+        R(T.HANDOFF_PROMPT_PROJECT, name="name"),
+        _sec("summary <> ''", R(T.HANDOFF_PROMPT_DESCRIPTION, summary="summary")),
+        _sec("len(active_goals) > 0", f"{_lit(T.HANDOFF_PROMPT_GOALS)} || " + _items("active_goals", T.HANDOFF_PROMPT_ITEM)),
+        _sec("len(sessions) > 0", f"{_lit(T.HANDOFF_PROMPT_PROGRESS)} || " +
+             _items("list_transform(sessions, lambda s: s.summary)", T.HANDOFF_PROMPT_ITEM)),
+        _sec(f"len({nexts}) > 0", f"{_lit(T.HANDOFF_PROMPT_NEXT)} || " + _items(nexts, T.HANDOFF_PROMPT_ITEM)),
+        _sec(f"{full_view} AND len(docs) > 0", f"{_lit(T.HANDOFF_PROMPT_FILES)} || " +
+             _lines("docs", f"lambda d: {R(T.HANDOFF_PROMPT_FILE, path='d.relative_path', summary='d.summary')}")),
     ])
+    end = _lit(T.HANDOFF_DOC_SECTION_END)
     doc = " || ".join([
-        f"'# Handoff: ' || name || {NL} || {NL} || 'Generated: ' || {_lit(GENERATED)} || {NL} || {NL}",
-        f"'## Project: ' || name || {NL} || {NL}",
-        _sec("summary <> ''", f"summary || {NL} || {NL}"),
-        _sec("len(ctx) > 0", f"'## Current Context' || {NL} || {NL} || " +
-             _lines("ctx", f"lambda c: '- ' || c || {NL}") + f" || {NL}"),
-        _sec("len(steps) > 0", f"'## Next Steps' || {NL} || {NL} || " +
-             f"array_to_string(list_transform(steps, lambda s, i: CAST(i AS VARCHAR) || '. ' || s || {NL}), '')"
-             + f" || {NL}"),
-        _sec(f"{'false' if compact else 'true'} AND len(files) > 0", f"'## Relevant Files' || {NL} || {NL} || " +
-             _lines("files", f"lambda f: CASE WHEN f.reason <> '' THEN '- `' || f.path || '`: ' || f.reason || {NL} "
-                             f"ELSE '- `' || f.path || '`' || {NL} END") + f" || {NL}"),
-        f"'## Copy-Ready Prompt' || {NL} || {NL} || '```' || {NL} || prompt || {NL} || '```' || {NL}",
+        R(T.HANDOFF_DOC_HEAD, title=R(T.HANDOFF_TITLE, name="name"), generated=_lit(GENERATED)),
+        R(T.HANDOFF_DOC_PROJECT, name="name"),
+        _sec("summary <> ''", R(T.HANDOFF_DOC_SUMMARY, summary="summary")),
+        _sec("len(ctx) > 0", f"{_lit(T.HANDOFF_DOC_CONTEXT)} || " + _items("ctx", T.HANDOFF_DOC_ITEM) + f" || {end}"),
+        _sec("len(steps) > 0", f"{_lit(T.HANDOFF_DOC_STEPS)} || " +
+             f"array_to_string(list_transform(steps, lambda s, i: {R(T.HANDOFF_DOC_STEP, n='CAST(i AS VARCHAR)', step='s')}), '')"
+             + f" || {end}"),
+        _sec(f"{full_view} AND len(files) > 0", f"{_lit(T.HANDOFF_DOC_FILES)} || " +
+             _lines("files", f"lambda f: CASE WHEN f.reason <> '' THEN "
+                             f"{R(T.HANDOFF_DOC_FILE_REASON, path='f.path', reason='f.reason')} "
+                             f"ELSE {R(T.HANDOFF_DOC_FILE, path='f.path')} END") + f" || {end}"),
+        R(T.HANDOFF_DOC_PROMPT, prompt="prompt"),
     ])
     return _bundles_with(limits) + f"""
 , h0 AS (SELECT *, {ctx} AS ctx, {steps} AS steps, {files} AS files FROM fx_bundles),
@@ -641,7 +646,7 @@ h AS (SELECT *, {doc} AS document FROM h1)
 
 
 Q["handoff_export"] = _handoff_sql((5, 5, 10), False) + \
-    "SELECT project_id, 'Handoff: ' || name AS title, document FROM h"
+    f"SELECT project_id, {R(T.HANDOFF_TITLE, name='name')} AS title, document FROM h"
 Q["handoff_steps"] = _handoff_sql((10, 10, 20), False) + \
     "SELECT project_id, CAST(len(steps) AS BIGINT) AS n_steps, array_to_string(steps, '|') AS steps, " \
     "array_to_string(ctx, '|') AS context FROM h"
@@ -651,27 +656,32 @@ Q["handoff_files"] = _handoff_sql((2, 2, 5), True) + \
 
 
 def _brief_prompt():
-    bl = lambda arr, ind: _lines(arr, f"lambda x: '{ind}- ' || x || {NL}")
+    end = _lit(T.BRIEF_SECTION_END)
     project = " || ".join([
-        f"'PROJECT: ' || name || {NL}",
-        _sec("root_path <> ''", f"'ROOT: ' || root_path || {NL}"),
-        _sec("summary <> ''", f"'DESCRIPTION: ' || summary || {NL}"),
-        _sec("len(active_goals) > 0", f"'ACTIVE GOALS:' || {NL} || " + bl("active_goals", "  ")),
-        NL,
+        R(T.BRIEF_PROJECT, name="name"),
+        _sec("root_path <> ''", R(T.BRIEF_ROOT, root="root_path")),
+        _sec("summary <> ''", R(T.BRIEF_DESCRIPTION, summary="summary")),
+        _sec("len(active_goals) > 0", f"{_lit(T.BRIEF_GOALS)} || " + _items("active_goals", T.BRIEF_GOAL_ITEM)),
+        end,
     ])
-    history = _sec("len(ses) > 0", f"'RECENT SESSION HISTORY:' || {NL} || " + _lines(
-        "ses", f"lambda s: '  [' || s.type || '] ' || s.summary || {NL} || "
-               f"(CASE WHEN s.next_action <> '' THEN '    → next: ' || s.next_action || {NL} ELSE '' END)") + f" || {NL}")
-    outs = _sec("len(outs) > 0", f"'RECENT CODING AGENT OUTPUTS:' || {NL} || " + _lines(
+    history = _sec("len(ses) > 0", f"{_lit(T.BRIEF_HISTORY)} || " + _lines(
+        "ses", f"lambda s: {R(T.BRIEF_SESSION, type='s.type', summary='s.summary')} || "
+               f"(CASE WHEN s.next_action <> '' THEN {R(T.BRIEF_SESSION_NEXT, next_action='s.next_action')} "
+               f"ELSE '' END)") + f" || {end}")
+
+    def listed(arr, header):
+        return _sec(f"len({arr}) > 0", f"{_lit(header)} || " + _items(arr, T.BRIEF_OUTPUT_ITEM))
+
+    outs = _sec("len(outs) > 0", f"{_lit(T.BRIEF_OUTPUTS)} || " + _lines(
         "outs", "lambda o: " + " || ".join([
-            _sec("o.goal <> ''", f"'  Goal: ' || o.goal || {NL}"),
-            _sec("len(o.next_actions) > 0", f"'  Next actions:' || {NL} || " + bl("o.next_actions", "    ")),
-            _sec("len(o.blockers) > 0", f"'  Blockers:' || {NL} || " + bl("o.blockers", "    ")),
-            _sec("len(o.decisions) > 0", f"'  Decisions:' || {NL} || " + bl("o.decisions", "    ")),
-        ])) + f" || {NL}")
-    files = _sec("len(rdocs) > 0", f"'RELEVANT PROJECT FILES:' || {NL} || " + _lines(
-        "rdocs", f"lambda d: '  [' || d.relative_path || '] ' || d.summary || {NL}") + f" || {NL}")
-    return f"{project} || {history} || {outs} || {files} || 'DEVELOPER REQUEST: ' || goal || {NL}"
+            _sec("o.goal <> ''", R(T.BRIEF_OUTPUT_GOAL, goal="o.goal")),
+            listed("o.next_actions", T.BRIEF_OUTPUT_NEXT),
+            listed("o.blockers", T.BRIEF_OUTPUT_BLOCKERS),
+            listed("o.decisions", T.BRIEF_OUTPUT_DECISIONS),
+        ])) + f" || {end}")
+    files = _sec("len(rdocs) > 0", f"{_lit(T.BRIEF_FILES)} || " + _lines(
+        "rdocs", f"lambda d: {R(T.BRIEF_FILE, path='d.relative_path', summary='d.summary')}") + f" || {end}")
+    return f"{project} || {history} || {outs} || {files} || {R(T.BRIEF_REQUEST, goal='goal')}"
 
 
 Q["plan_requests"] = _bundles_with((10, 8, 0), "fx_ranked") + f"""
@@ -697,9 +707,9 @@ SELECT id, goal, array_to_string(actions, '|') AS actions, array_to_string(decis
        array_to_string(blockers, '|') AS blockers, array_to_string(next_actions, '|') AS next_actions,
        array_to_string(files, '|') AS files
 FROM fx_normalized"""
-Q["sessions_from_outputs"] = _with("fx_normalized") + """
+Q["sessions_from_outputs"] = _with("fx_normalized") + f"""
 SELECT sha256('session|' || id) AS id, project_id,
-       coalesce(nullif(goal, ''), nullif(actions[1], ''), 'coding output from ' || source) AS summary,
+       coalesce(nullif(goal, ''), nullif(actions[1], ''), {R(T.OUTPUT_SUMMARY_FALLBACK, source='source')}) AS summary,
        coalesce(next_actions[1], '') AS next_action, array_to_string(files, '|') AS related_files,
        array_to_string(blockers, '|') AS open_questions
 FROM fx_normalized"""
@@ -708,16 +718,16 @@ SELECT request_id, ok, title, goal, copy_ready_prompt, array_to_string(execution
        array_to_string(current_context, '|') AS current_context,
        array_to_string(list_transform(relevant_files, lambda r: r.path || '=' || r.reason), '|') AS relevant_files
 FROM fx_plan_fields"""
-Q["plan_sessions"] = _with("fx_plans") + """
-SELECT sha256('spit|' || request_id || '|1') AS id, request_id, 'spit: ' || request_goal || ' → ' || title AS summary,
+Q["plan_sessions"] = _with("fx_plans") + f"""
+SELECT sha256('spit|' || request_id || '|1') AS id, request_id, {R(T.SPIT_SUMMARY, goal='request_goal', title='title')} AS summary,
        '' AS next_action, '' AS related_files
 FROM fx_plan_fields
 UNION ALL
-SELECT sha256('spit|' || request_id || '|2'), request_id, title || ': ' || goal,
+SELECT sha256('spit|' || request_id || '|2'), request_id, {R(T.PLAN_SUMMARY, title='title', goal='goal')},
        coalesce(execution_plan[1], ''), array_to_string(list_transform(relevant_files, lambda r: r.path), '|')
 FROM fx_plan_fields"""
-Q["noop_plans"] = _with("fx_requests") + """
-SELECT request_id, 'Session Brief' AS title, goal, goal AS copy_ready_prompt, CAST(0 AS BIGINT) AS n_steps
+Q["noop_plans"] = _with("fx_requests") + f"""
+SELECT request_id, {_lit(T.FALLBACK_PLAN_TITLE)} AS title, goal, goal AS copy_ready_prompt, CAST(0 AS BIGINT) AS n_steps
 FROM fx_valid_requests"""
 Q["json_lists"] = _with("fx_outputs") + """
 SELECT id, CAST(len(next_actions) AS BIGINT) AS n_items, true AS roundtrip_ok,
@@ -756,8 +766,9 @@ FROM m JOIN tr ON tr.transcript_path = m.transcript_path WHERE m.rn = 1"""
 Q["inbox_stream"] = _with("fx_inbox") + "SELECT arrival_id, path, project_id FROM fx_inbox"
 Q["inbox_dedup"] = _with("fx_inbox") + \
     "SELECT DISTINCT path, project_id, CAST(strlen(content) AS BIGINT) AS n_bytes FROM fx_inbox"
-Q["inbox_sessions"] = _with("fx_inbox") + """
-SELECT DISTINCT project_id, path AS source, 'coding output from ' || path AS summary, '' AS next_action FROM fx_inbox"""
+Q["inbox_sessions"] = _with("fx_inbox") + f"""
+SELECT DISTINCT project_id, path AS source, {R(T.OUTPUT_SUMMARY_FALLBACK, source='path')} AS summary, '' AS next_action
+FROM fx_inbox"""
 Q["inbox_rejects"] = _with("fx_inbox") + f"""
 SELECT arrival_id, path, 'unsupported_extension' AS reason FROM fx_inbox0
 WHERE {ext('path')} NOT IN {_in(P.INBOX_EXTS)}"""
