@@ -45,7 +45,7 @@ HOOK_PAYLOAD = T.StructType([
     _f("_corrupt_record", S, True),
 ])
 
-# Session types and the settings key of the active project.
+# Session types.
 SESSION_FOLDER_INGEST = "folder_ingest"
 SESSION_FILE_INGEST = "file_ingest"
 SESSION_OUTPUT_INGEST = "coding_output_ingest"
