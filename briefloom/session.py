@@ -47,10 +47,16 @@ def shared_dir(spark: SparkSession, purpose: str, unique: bool = True) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
+        try:
+            base = spark.sparkContext.getCheckpointDir()
+        except Exception:  # noqa: BLE001 -- no SparkContext (Spark Connect)
+            base = None
     if not base:
         base = tempfile.mkdtemp(prefix="briefloom-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
+        try:
+            spark.sparkContext.setCheckpointDir(base)
+        except Exception:  # noqa: BLE001
+            pass
     base = base.rstrip("/")
     suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
     return f"{base}/briefloom/{purpose}{suffix}"
