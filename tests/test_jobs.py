@@ -41,3 +41,23 @@ def test_brief_requests_job_rejects_unknown_levels(spark):
     assert req.count() + rej.count() == total and rej.count() > 0
     assert rej.first().error.startswith('unknown detail level "bogus"')
     assert req.where(F.col("messages")[0]["content"] != "sys").count() == 0
+
+
+def test_other_jobs_write_their_tables(spark):
+    out = tempfile.mkdtemp(prefix="briefloom-test-")
+    projects, outputs = fx.context_projects(spark, SF_SMALL), fx.coding_outputs(spark, SF_SMALL)
+    sessions, docs = fx.session_entries(spark, SF_SMALL), fx.context_documents(spark, SF_SMALL)
+    a = jobs.output_ingest(spark, outputs, fx.extraction_responses(spark, SF_SMALL), out, "r1")
+    assert spark.read.parquet(a["coding_outputs"]).count() == outputs.count()
+    assert spark.read.parquet(a["session_entries"]).count() == outputs.count()
+    b = jobs.plan_ingest(spark, fx.plan_responses(spark, SF_SMALL), out, "r1")
+    n_plans = spark.read.parquet(b["plan_results"]).count()
+    assert spark.read.parquet(b["session_entries"]).count() == 2 * n_plans
+    c = jobs.handoff_export(spark, projects, outputs, sessions, docs, out, "r1", "2024-06-01 12:00")
+    h = spark.read.parquet(c["handoffs"])
+    assert h.count() == projects.count()
+    assert h.where(~F.col("document").startswith("# Handoff: ")).count() == 0
+    assert spark.read.parquet(c["session_entries"]).where(F.col("summary").startswith("export for project '")).count() \
+        == projects.count()
+    d = jobs.project_status(spark, projects, docs, sessions, out, "r1")
+    assert spark.read.parquet(d["project_status"]).count() == projects.count()
