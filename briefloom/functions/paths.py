@@ -143,8 +143,9 @@ def file_kind(path) -> Column:
 
 def default_project_name(root_path) -> Column:
     """Base name of a directory, spaces to '-', lower-cased."""
+    from briefloom.functions.text import lower_simple
     trimmed = F.regexp_replace(_c(root_path), "/+$", "")
-    return F.lower(F.replace(base_name(trimmed), F.lit(" "), F.lit("-")))
+    return lower_simple(F.replace(base_name(trimmed), F.lit(" "), F.lit("-")))
 
 
 def inbox_accepts(path) -> Column:

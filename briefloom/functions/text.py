@@ -23,6 +23,10 @@ JSON_FENCES = ["```json", "```JSON", "```"]
 # plus NEL, NBSP and the Unicode space separators).
 WHITESPACE_CLASS = (r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
                     r"\x{202F}\x{205F}\x{3000}")
+# Characters whose context-free lower case differs from what Spark's lower()
+# gives (full case mapping): dotted capital I and capital sigma.
+SIMPLE_LOWER_FROM = "İΣ"
+SIMPLE_LOWER_TO = "iσ"
 # ---------------------------------------------------------------------------
 
 # Anything that is not a Unicode letter or decimal digit separates tokens.
@@ -33,9 +37,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def lower_simple(text) -> Column:
+    """Per-character lower case (no context rules, no length change)."""
+    return F.lower(F.translate(_c(text), SIMPLE_LOWER_FROM, SIMPLE_LOWER_TO))
+
+
 def tokenize(text) -> Column:
     """array<string> of lower-cased tokens, duplicates kept, in text order."""
-    parts = F.split(F.lower(_c(text)), TOKEN_SPLIT)
+    parts = F.split(lower_simple(text), TOKEN_SPLIT)
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     return F.filter(
         parts,
@@ -46,7 +55,7 @@ def tokenize(text) -> Column:
 def relevance_score(tokens, relative_path, summary) -> Column:
     """Number of goal tokens found as substrings of lower(path + ' ' + summary);
     a repeated token counts each time."""
-    hay = F.lower(F.concat(_c(relative_path), F.lit(" "), _c(summary)))
+    hay = lower_simple(F.concat(_c(relative_path), F.lit(" "), _c(summary)))
     return F.size(F.filter(_c(tokens), lambda t: F.contains(hay, t))).cast("bigint")
 
 
