@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from briefloom.functions.text import lower_simple
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's defaults for identical results).
 # ---------------------------------------------------------------------------
@@ -89,21 +91,21 @@ def directory_segments(rel_path) -> Column:
 def dir_is_ignored(name: Column) -> Column:
     """F1 + F2 on one directory name."""
     lowered = [d.lower() for d in IGNORED_DIRS]
-    return F.lower(name).isin(lowered) | (name.startswith(".") & (name != F.lit(".")))
+    return lower_simple(name).isin(lowered) | (name.startswith(".") & (name != F.lit(".")))
 
 
 # A directory segment is any segment followed by '/'.  One anchored regex
 # (compiled once, evaluated inside whole-stage codegen) instead of a lambda
-# over the split path: hidden directories ('.x', but not '.') or an ignored
-# name, compared case-insensitively.
-IGNORED_DIR_REGEX = (r"(?iu)(^|/)(\.[^/]+|"
-                     + "|".join(re.escape(d) for d in IGNORED_DIRS if not d.startswith("."))
+# over the split path, matched on the lower-cased path: hidden directories
+# ('.x', but not '.') or an ignored name.
+IGNORED_DIR_REGEX = (r"(^|/)(\.[^/]+|"
+                     + "|".join(re.escape(d.lower()) for d in IGNORED_DIRS if not d.startswith("."))
                      + r")/")
 
 
 def passes_dir_filter(rel_path) -> Column:
     """F1 + F2 over every directory between the root and the file."""
-    return ~_c(rel_path).rlike(IGNORED_DIR_REGEX)
+    return ~lower_simple(rel_path).rlike(IGNORED_DIR_REGEX)
 
 
 def passes_file_filter(path, size, max_size_bytes: int = DEFAULT_MAX_SIZE_BYTES) -> Column:
@@ -111,7 +113,7 @@ def passes_file_filter(path, size, max_size_bytes: int = DEFAULT_MAX_SIZE_BYTES)
     path, size = _c(path), _c(size)
     base = base_name(path)
     ok_size = F.lit(True) if max_size_bytes <= 0 else (size <= F.lit(max_size_bytes))
-    ok_ext = ~F.lower(extension(path)).isin(IGNORED_EXTS)
+    ok_ext = ~lower_simple(extension(path)).isin(IGNORED_EXTS)
     suffixes = [p[1:] for p in IGNORED_PATTERNS if p.startswith("*")]
     literals = [p for p in IGNORED_PATTERNS if not p.startswith("*")]
     hit_glob = F.lit(False)
@@ -124,8 +126,8 @@ def passes_file_filter(path, size, max_size_bytes: int = DEFAULT_MAX_SIZE_BYTES)
 def file_kind(path) -> Column:
     """Classify a path: source / markdown / text / config / other."""
     path = _c(path)
-    ext = F.lower(extension(path))
-    base = F.lower(base_name(path))
+    ext = lower_simple(extension(path))
+    base = lower_simple(base_name(path))
     suffix_hit = F.lit(False)
     for s in CONFIG_SUFFIXES:
         suffix_hit = suffix_hit | base.endswith(s)
@@ -143,7 +145,6 @@ def file_kind(path) -> Column:
 
 def default_project_name(root_path) -> Column:
     """Base name of a directory, spaces to '-', lower-cased."""
-    from briefloom.functions.text import lower_simple
     trimmed = F.regexp_replace(_c(root_path), "/+$", "")
     return lower_simple(F.replace(base_name(trimmed), F.lit(" "), F.lit("-")))
 

@@ -39,3 +39,33 @@ def test_tokenizer_matches_sql_twin(spark, values):
     con.register("g0", pd.DataFrame({"i": range(len(values)), "g": values}))
     want = [list(r[1]) for r in con.sql(f"SELECT i, {O.tokens('g')} FROM g0 ORDER BY i").fetchall()]
     assert got == want
+
+
+SEGMENTS = ["src", "Docs", ".git", "node_modules", "VENDOR", "diſt", "dİst", ".", "..", ".hidden", "_x",
+            "tmp", "outer", "out", "a b", "é"]
+BASES = ["main.go", "MAIN.GO", "x.min.js", "x.MIN.JS", "go.sum", "Go.sum", "README", "readme.txt", ".env",
+         "a.env.example", "Makefile", "x.", "noext", "pic.PNG", "a.pb.go", "x.İNİ", "ſ.md"]
+paths = st.tuples(st.lists(st.sampled_from(SEGMENTS), max_size=4), st.sampled_from(BASES),
+                  st.integers(min_value=0, max_value=3 << 20))
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(paths, min_size=1, max_size=30))
+def test_path_rules_match_sql_twin(spark, items):
+    from pyspark.sql import functions as F
+
+    from briefloom.functions import paths as P
+    rows = [(i, "/r/" + "/".join(segs + [b]), s) for i, (segs, b, s) in enumerate(items)]
+    df = spark.createDataFrame(rows, "i int, path string, size bigint").withColumn("root", F.lit("/r"))
+    rel = P.relative_path("path", "root")
+    got = [tuple(r)[1:] for r in df.select(
+        "i", rel.alias("rel"), P.file_kind("path").alias("kind"),
+        P.passes_file_filter("path", "size").alias("f_ok"), P.passes_dir_filter(rel).alias("d_ok"),
+        P.default_project_name("path").alias("name")).orderBy("i").collect()]
+    con = duckdb.connect()
+    con.register("p0", pd.DataFrame({"i": [r[0] for r in rows], "path": [r[1] for r in rows],
+                                     "size": [r[2] for r in rows], "root": "/r"}))
+    sql = (f"SELECT i, {O.rel('path', 'root')}, {O.kind('path')}, {O.file_ok('path', 'size')}, "
+           f"{O.dir_ok(O.rel('path', 'root'))}, {O.default_name('path')} FROM p0 ORDER BY i")
+    want = [tuple(r)[1:] for r in con.sql(sql).fetchall()]
+    assert got == want
