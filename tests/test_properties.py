@@ -69,3 +69,38 @@ def test_path_rules_match_sql_twin(spark, items):
            f"{O.dir_ok(O.rel('path', 'root'))}, {O.default_name('path')} FROM p0 ORDER BY i")
     want = [tuple(r)[1:] for r in con.sql(sql).fetchall()]
     assert got == want
+
+
+_values = st.one_of(st.just(None), st.text(alphabet="ab é\"\\", max_size=4), st.integers(-5, 5),
+                    st.lists(st.one_of(st.just(None), st.text(alphabet="xy", max_size=3)), max_size=3),
+                    st.lists(st.integers(0, 3), min_size=1, max_size=2))
+_keys = st.sampled_from(["summary", "goal", "actions", "decisions", "blockers", "next_actions",
+                         "files_mentioned", "extra"])
+_objects = st.dictionaries(_keys, _values, max_size=5)
+_answers = st.tuples(_objects, st.sampled_from(["", " ", "\n", " tail", "{}", "]"])).map(
+    lambda t: __import__("json").dumps(t[0]) + t[1]) | st.sampled_from(["null", "[]", "3", '"s"', ""])
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_answers, min_size=1, max_size=30))
+def test_strict_extraction_matches_sql_twin(spark, answers):
+    from pyspark.sql import functions as F
+
+    from briefloom.functions.json_strict import strict_extraction
+    lists = ["actions", "decisions", "blockers", "next_actions", "files_mentioned"]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, t string")
+    p = df.select("i", strict_extraction("t").alias("p"))
+    got = [(r.i, r.p is not None, (r.p.goal if r.p else None),
+            tuple("|".join(r.p[c]) for c in lists) if r.p else None)
+           for r in p.orderBy("i").collect()]
+    con = duckdb.connect()
+    con.register("a0", pd.DataFrame({"i": range(len(answers)), "t": answers}))
+    ok = O.shape_ok("vj", ["summary", "goal"], lists)
+    lcols = ", ".join(f"array_to_string({O.jlist('jb', c)}, '|')" for c in lists)
+    sql = f"""WITH a1 AS (SELECT i, CASE WHEN json_valid(t) THEN t ELSE '"not json"' END AS vj FROM a0),
+              a2 AS (SELECT i, {ok} AS ok, vj FROM a1),
+              a3 AS (SELECT i, ok, CASE WHEN ok THEN vj ELSE '{{}}' END AS jb FROM a2)
+              SELECT i, ok, CASE WHEN ok THEN {O.jstr('jb', 'goal')} END, CASE WHEN ok THEN [{lcols}] END
+              FROM a3 ORDER BY i"""
+    want = [(r[0], r[1], r[2], tuple(r[3]) if r[3] is not None else None) for r in con.sql(sql).fetchall()]
+    assert got == want
