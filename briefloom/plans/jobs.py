@@ -35,23 +35,42 @@ def _materialize(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_documents_table(df: DataFrame, name: str, buckets: int) -> str:
+    """Write a document snapshot as a catalog table bucketed (and sorted) on
+    the diff key, so the next ingest joins against it without shuffling it:
+    only the new scan moves.  Each run writes its own table (a job cannot
+    overwrite the table it reads)."""
+    (df.write.mode("overwrite").bucketBy(buckets, *D.KEY).sortBy(*D.KEY).saveAsTable(name))
+    return name
+
+
 def corpus_ingest(spark: SparkSession, files: DataFrame, previous: DataFrame, roots: DataFrame,
                   out_dir: str, run_id: str, ingested_at: str,
-                  max_size_bytes: int | None = None) -> dict[str, str]:
+                  max_size_bytes: int | None = None, documents_table: str | None = None,
+                  buckets: int = 0) -> dict[str, str]:
     """Scan -> diff -> next document snapshot, counters, ingest sessions.
 
     ``files``: manifest (project_id, root, path, size, mtime, hash[, is_symlink]).
-    ``previous``: the current document snapshot.  ``roots``: (project_id, root).
+    ``previous``: the current document snapshot (``spark.table(...)`` of a
+    bucketed snapshot keeps its side of the join in place).
+    ``roots``: (project_id, root).  With ``documents_table`` and ``buckets``
+    the next snapshot is written as the bucketed catalog table
+    ``<documents_table>_<run_id>`` (returned under "documents_table").
     """
     kw = {} if max_size_bytes is None else {"max_size_bytes": max_size_bytes}
     diff = _materialize(spark, D.diff_documents(scan_manifest(files, **kw), previous, include_missing=True),
                         f"ingest-diff-{run_id}")
     counters = D.ingest_counters(diff.where("status != 'missing'"))
-    return {
-        "documents": _write(D.next_document_snapshot(diff, ingested_at), out_dir, "documents", run_id),
+    snapshot = D.next_document_snapshot(diff, ingested_at)
+    out = {
+        "documents": _write(snapshot, out_dir, "documents", run_id),
         "ingest_counters": _write(counters, out_dir, "ingest_counters", run_id),
         "session_entries": _write(D.ingest_sessions(counters, roots), out_dir, "session_entries", run_id),
     }
+    if documents_table and buckets > 0:
+        snap = spark.read.parquet(out["documents"])
+        out["documents_table"] = write_documents_table(snap, f"{documents_table}_{run_id}", buckets)
+    return out
 
 
 def output_ingest(spark: SparkSession, outputs: DataFrame, responses: DataFrame, out_dir: str,

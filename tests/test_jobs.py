@@ -61,3 +61,23 @@ def test_other_jobs_write_their_tables(spark):
         == projects.count()
     d = jobs.project_status(spark, projects, docs, sessions, out, "r1")
     assert spark.read.parquet(d["project_status"]).count() == projects.count()
+
+
+def test_bucketed_snapshot_keeps_previous_side_in_place(spark):
+    import re
+
+    from briefloom.operators import diff as D
+    from briefloom.operators.manifest import scan_manifest
+    out = tempfile.mkdtemp(prefix="briefloom-test-")
+    files = fx.current_scan(spark, SF_SMALL)
+    roots = files.select("project_id", "root").distinct()
+    a = jobs.corpus_ingest(spark, files, fx.previous_documents(spark, SF_SMALL), roots, out, "b1",
+                           "2024-06-01 00:00:00", documents_table="documents", buckets=8)
+    prev = spark.table(a["documents_table"])
+    diff = D.diff_documents(scan_manifest(files), prev, include_missing=True)
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(project_id", plan)) == 1
+    plain = D.diff_documents(scan_manifest(files), spark.read.parquet(a["documents"]), include_missing=True)
+    cols = ["project_id", "relative_path", "status", "id"]
+    assert sorted(diff.select(*cols).collect()) == sorted(plain.select(*cols).collect())
+    assert {r.status for r in diff.select("status").distinct().collect()} <= {"skipped", "missing"}
