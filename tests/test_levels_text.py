@@ -1,7 +1,6 @@
 """Detail levels, the goal tokenizer, relevance scoring and JSON extraction."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from briefloom.functions import levels as L
 from briefloom.functions.json_strict import EXTRACTION_SHAPE, PLAN_SHAPE, canonical_json

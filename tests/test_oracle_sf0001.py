@@ -1,6 +1,5 @@
 """Every registered query against its DuckDB twin on the smallest tables."""
 
-import os
 
 import duckdb
 import pytest
