@@ -70,7 +70,7 @@ def rank_documents(requests: DataFrame, documents: DataFrame) -> DataFrame:
                          "score", "recency_rank", "relevance_rank")
 
 
-def _ordered(df: DataFrame, fields: list[str], name: str) -> Column:
+def _ordered(fields: list[str], name: str) -> Column:
     """A4: rows of one project gathered into a list in recency order.  The
     list is sorted on an explicit rank, never on collection order."""
     return F.transform(
@@ -89,13 +89,13 @@ def context_bundles(projects: DataFrame, outputs: DataFrame, sessions: DataFrame
     joins are 1:1 on project_id and every list holds at most n entries.
     """
     o = (recent_outputs(outputs, max_outputs).groupBy("project_id")
-         .agg(_ordered(None, ["id", "goal", "next_actions", "blockers", "decisions", "files"], "outputs")))
+         .agg(_ordered(["id", "goal", "next_actions", "blockers", "decisions", "files"], "outputs")))
     s = (recent_sessions(sessions, max_sessions).groupBy("project_id")
-         .agg(_ordered(None, ["id", "type", "summary", "next_action"], "sessions")))
+         .agg(_ordered(["id", "type", "summary", "next_action"], "sessions")))
     d = None
     if max_docs > 0:
         d = (recent_doc_summaries(documents, max_docs).groupBy("project_id")
-             .agg(_ordered(None, ["relative_path", "summary", "kind"], "docs")))
+             .agg(_ordered(["relative_path", "summary", "kind"], "docs")))
     empty = {
         "outputs": "array<struct<id:string,goal:string,next_actions:array<string>,blockers:array<string>,"
                    "decisions:array<string>,files:array<string>>>",
@@ -119,7 +119,7 @@ def project_status(projects: DataFrame, documents: DataFrame, sessions: DataFram
     """Per project its document count and newest sessions."""
     counts = document_counts(documents)
     recent = (recent_sessions(sessions, n_sessions).groupBy("project_id")
-              .agg(_ordered(None, ["type", "summary"], "recent_sessions")))
+              .agg(_ordered(["type", "summary"], "recent_sessions")))
     p = projects.select(F.col("id").alias("project_id"), "name", "root_path", "summary", "active_goals")
     return (p.join(counts, "project_id", "left").join(recent, "project_id", "left")
             .withColumn("n_documents", F.coalesce("n_documents", F.lit(0).cast("bigint")))

@@ -60,11 +60,3 @@ def shared_dir(spark: SparkSession, purpose: str, unique: bool = True) -> str:
     base = base.rstrip("/")
     suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
     return f"{base}/briefloom/{purpose}{suffix}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable, never overriding a cluster setting."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="briefloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(base)
