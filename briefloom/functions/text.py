@@ -52,10 +52,16 @@ def tokenize(text) -> Column:
     )
 
 
-def relevance_score(tokens, relative_path, summary) -> Column:
-    """Number of goal tokens found as substrings of lower(path + ' ' + summary);
-    a repeated token counts each time."""
-    hay = lower_simple(F.concat(_c(relative_path), F.lit(" "), _c(summary)))
+def relevance_haystack(relative_path, summary) -> Column:
+    """The text goal tokens are looked for in: lower(path + ' ' + summary).
+    Compute it once per document (a column), not inside the token lambda."""
+    return lower_simple(F.concat(_c(relative_path), F.lit(" "), _c(summary)))
+
+
+def relevance_score(tokens, haystack) -> Column:
+    """Number of goal tokens found as substrings of ``haystack``; a repeated
+    token counts each time."""
+    hay = _c(haystack)
     return F.size(F.filter(_c(tokens), lambda t: F.contains(hay, t))).cast("bigint")
 
 

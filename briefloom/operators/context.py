@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions import levels as L
-from briefloom.functions.text import relevance_score, tokenize
+from briefloom.functions.text import relevance_haystack, relevance_score, tokenize
 
 
 def newest_per_project(df: DataFrame, n, time_col: str, id_col: str = "id",
@@ -59,11 +59,13 @@ def rank_documents(requests: DataFrame, documents: DataFrame) -> DataFrame:
     Returns (request_id, project_id, doc_id, relative_path, summary, score,
     recency_rank, relevance_rank).
     """
+    # the haystack is lower-cased once per document, before the join
     docs = recent_doc_summaries(documents, L.MAX_CONTEXT_DOCS).select(
-        F.col("id").alias("doc_id"), "project_id", "relative_path", "summary", "recency_rank")
+        F.col("id").alias("doc_id"), "project_id", "relative_path", "summary", "recency_rank",
+        relevance_haystack("relative_path", "summary").alias("_hay"))
     req = requests.select("request_id", "project_id", tokenize("goal").alias("tokens"), "doc_limit")
     j = req.join(docs, "project_id").where(F.col("recency_rank") <= F.col("doc_limit"))
-    scored = j.withColumn("score", relevance_score("tokens", "relative_path", "summary"))
+    scored = j.withColumn("score", relevance_score("tokens", "_hay"))
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("recency_rank").asc())
     ranked = scored.withColumn("relevance_rank", F.row_number().over(w).cast("bigint"))
     return ranked.select("request_id", "project_id", "doc_id", "relative_path", "summary",

@@ -202,7 +202,7 @@ FX["fx_diff"] = """fx_diff AS (
     ON c.project_id = p.project_id AND c.relative_path = p.relative_path)"""
 FX["fx_docs"] = f"""fx_docs AS (
   SELECT {_v('doc_id')} AS id, source AS project_id, lang || '/' || {_v('doc_id')} || '.md' AS relative_path,
-         'markdown' AS kind, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substring(text, 1, 80) END AS summary,
+         'markdown' AS kind, CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS summary,
          {minutes('doc_id')} AS modified_at
   FROM documents)"""
 FX["fx_outputs"] = f"""fx_outputs AS (
@@ -266,7 +266,7 @@ fx_detect AS (
 _LEVEL_CASE = _pick("item_id % 5", [_lit(x) for x in ["", "compact", "standard", "full", "bogus"]])
 FX["fx_requests"] = f"""fx_requests0 AS (
   SELECT 'r' || {_v('item_id')} AS request_id, 'src' || {_v('item_id % 20')} AS project_id,
-         substring(text, 1, 60) AS goal, {_LEVEL_CASE} AS level0,
+         text AS goal, {_LEVEL_CASE} AS level0,
          item_id % 7 = 0 AS compact_only, item_id % 7 = 1 AS full_flag,
          CASE WHEN item_id % 2 = 0 THEN '' ELSE 'model-b' END AS model_override
   FROM benchmark),
@@ -503,7 +503,7 @@ st AS (
 SELECT CASE WHEN status = 'created' THEN sha256('project|' || name) END AS id, name, root_path, status FROM st"""
 Q["project_update"] = _with("fx_projects") + """
 , ch AS (
-  SELECT 'src' || CAST(item_id % 25 AS VARCHAR) AS id, substring(text, 1, 30) AS summary, item_id FROM benchmark),
+  SELECT 'src' || CAST(item_id % 25 AS VARCHAR) AS id, text AS summary, item_id FROM benchmark),
 last AS (SELECT id, arg_max(summary, item_id) AS summary FROM ch GROUP BY id)
 SELECT coalesce(p.id, l.id) AS id, coalesce(l.summary, p.summary) AS summary,
        CASE WHEN p.id IS NULL THEN 'not_found' WHEN l.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS status

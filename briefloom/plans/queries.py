@@ -163,7 +163,7 @@ def q_project_register(spark, sf):
 def _changes(spark, sf):
     b = read_table(spark, sf, "benchmark").select("item_id", "text")
     return b.select(F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("id"),
-                    F.substring("text", 1, 30).alias("summary"),
+                    F.col("text").alias("summary"),
                     F.expr(f"timestampadd(HOUR, item_id, TIMESTAMP_NTZ'2024-03-01 00:00:00')").alias("updated_at"))
 
 

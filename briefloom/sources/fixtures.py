@@ -112,7 +112,7 @@ def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("project_id"),
         F.concat("lang", F.lit("/"), i.cast("string"), F.lit(".md")).alias("relative_path"),
         F.lit("markdown").alias("kind"),
-        F.when(i % 5 == 0, F.lit("")).otherwise(F.substring("text", 1, 80)).alias("summary"),
+        F.when(i % 5 == 0, F.lit("")).otherwise(F.col("text")).alias("summary"),
         _minutes("doc_id").alias("modified_at"),
     )
 
@@ -263,7 +263,7 @@ def plan_requests_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(
         F.concat(F.lit("r"), i.cast("string")).alias("request_id"),
         F.concat(F.lit("src"), (i % 20).cast("string")).alias("project_id"),
-        F.substring("text", 1, 60).alias("goal"),
+        F.col("text").alias("goal"),
         _pick(i % 5, REQUEST_LEVELS).alias("level"),
         (i % 7 == 0).alias("compact_only"),
         (i % 7 == 1).alias("full"),

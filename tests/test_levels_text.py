@@ -4,7 +4,7 @@ import pytest
 
 from briefloom.functions import levels as L
 from briefloom.functions.json_strict import EXTRACTION_SHAPE, PLAN_SHAPE, canonical_json
-from briefloom.functions.text import extract_json_block, relevance_score, tokenize
+from briefloom.functions.text import extract_json_block, relevance_haystack, relevance_score, tokenize
 
 LEVEL_CASES = [("compact", "compact", True), ("standard", "standard", True), ("detailed", "detailed", True),
                ("full", "detailed", True), ("", "standard", True), ("bogus", "standard", False)]
@@ -40,7 +40,7 @@ def test_tokenizer_bytes_and_stopwords(spark):
 
 def test_relevance_counts_repeats_and_substrings(spark):
     df = spark.createDataFrame([("auth auth flows", "src/authz.go", "handles flows")], "g string, p string, s string")
-    assert df.select(relevance_score(tokenize("g"), "p", "s")).first()[0] == 3
+    assert df.select(relevance_score(tokenize("g"), relevance_haystack("p", "s"))).first()[0] == 3
 
 
 @pytest.mark.parametrize("raw,want", [
