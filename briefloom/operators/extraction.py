@@ -27,6 +27,18 @@ def first_or_empty(arr) -> Column:
     return F.coalesce(F.get(arr, 0), F.lit(""))
 
 
+def one_answer(responses: DataFrame, key: str = "request_id") -> DataFrame:
+    """At most one answer per request: a runner may write an answer more than
+    once (retries).  A successful answer wins over a failed one; among equals
+    the larger content is kept, so the choice is deterministic.  A hash
+    aggregate (partial before the shuffle), so a hot key is pre-reduced."""
+    cols = [c for c in responses.columns if c != key]
+    ok = (F.coalesce(F.col("error"), F.lit("")) == "") & F.col("content").isNotNull()
+    rank = F.struct(ok, F.coalesce(F.col("content"), F.lit("")), F.coalesce(F.col("error"), F.lit("")))
+    return (responses.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_a"))
+            .select(key, *[F.col(f"_a.{c}").alias(c) for c in cols]))
+
+
 def parse_extractions(responses: DataFrame) -> DataFrame:
     """P6 + P7 over (request_id, content, error).
 
@@ -35,6 +47,7 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
     empty; a missing/failed answer (error != '' or NULL content) gives the
     no-op result.  Adds ``ok`` (decoded) and ``answered``.
     """
+    responses = one_answer(responses)
     answered = F.col("content").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == "")
     parsed = strict_extraction(extract_json_block(F.col("content")))
     r = responses.withColumn("_p", F.when(answered, parsed)).withColumn("_answered", answered)
@@ -103,6 +116,7 @@ def parse_plans(responses: DataFrame) -> DataFrame:
     failed call (error != '') is flagged ``call_failed``: the reference
     reports it to the user and records nothing.  Adds ``ok``.
     """
+    responses = one_answer(responses)
     answered = F.col("content").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == "")
     p = F.col("_p")
     valid = p.isNotNull() & ~((p["goal"] == "") & (p["copy_ready_prompt"] == ""))
@@ -165,6 +179,23 @@ def plan_sessions(plans: DataFrame) -> DataFrame:
     return both.withColumn("id", F.sha2(F.concat_ws("|", F.lit("spit"), "request_id", F.col("seq").cast("string")), 256))
 
 
+def outputs_from_texts(texts: DataFrame, batch_id: str, created_at: str) -> DataFrame:
+    """C2 pass 0: raw agent outputs (project_id, source, raw_text) as
+    ``CODING_OUTPUTS`` rows with empty lists.  The id hashes project, source,
+    content and the ingest batch: a retry of one batch gives the same ids,
+    while the same text ingested in a later batch is a new output (as in the
+    reference)."""
+    empty = F.array().cast("array<string>")
+    oid = F.sha2(F.concat_ws("|", F.col("project_id"), F.col("source"), F.sha2(F.col("raw_text"), 256),
+                             F.lit(batch_id)), 256)
+    return texts.select(
+        oid.alias("id"), "project_id", "source", "raw_text", F.lit("").alias("goal"),
+        empty.alias("actions"), empty.alias("files"), empty.alias("decisions"), empty.alias("blockers"),
+        empty.alias("next_actions"), empty.alias("validation_notes"), empty.alias("commit_recommendations"),
+        F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 def extraction_requests(outputs: DataFrame, system_prompt: str = "", model: str = "default") -> DataFrame:
     """E2 pass 1: one extraction request per output (1024 tokens, temperature 0.1)."""
     return outputs.select(

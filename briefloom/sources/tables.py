@@ -95,7 +95,7 @@ def manifest_from_tree(spark: SparkSession, root: str, project_id: str,
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Each file as one string; ``source`` is the file path."""
-    df = spark.read.option("wholetext", "true").text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(
         F.regexp_replace(F.col("_metadata.file_path"), "^file:", "").alias("source"),
         F.col("value").alias("raw_text"),

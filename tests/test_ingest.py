@@ -98,3 +98,35 @@ def test_archive_name(spark):
     from briefloom.streaming.inbox import archive_name
     df = spark.createDataFrame([("/in/a.md",), ("/in/noext",), ("/in/x.tar.gz",)], "p string")
     assert [r[0] for r in df.select(archive_name("p", 7)).collect()] == ["a-7.md", "noext-7", "x.tar-7.gz"]
+
+
+def test_one_answer_per_request(spark):
+    from briefloom.operators.extraction import one_answer, parse_extractions
+    rows = [("r1", "o1", None, "timeout"), ("r1", "o1", '{"goal": "g"}', ""), ("r2", "o2", "x", "boom"),
+            ("r2", "o2", None, "boom")]
+    resp = spark.createDataFrame(rows, "request_id string, output_id string, content string, error string")
+    one = {r.request_id: (r.content, r.error) for r in one_answer(resp).collect()}
+    assert one == {"r1": ('{"goal": "g"}', ""), "r2": ("x", "boom")}
+    p = {r.request_id: (r.ok, r.goal) for r in parse_extractions(resp).collect()}
+    assert p == {"r1": (True, "g"), "r2": (False, "")}
+
+
+def test_outputs_from_whole_texts(spark):
+    import os
+    import tempfile
+
+    from briefloom.operators.extraction import normalize_outputs, outputs_from_texts
+    from briefloom.sources.tables import read_whole_texts
+    d = tempfile.mkdtemp(prefix="briefloom-texts-")
+    for name, text in [("a.md", "Goal line\nnext: x"), ("b.txt", "plain")]:
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    texts = read_whole_texts(spark, d).withColumn("project_id", F.lit("p1"))
+    o1 = outputs_from_texts(texts, "batch-1", "2024-06-01 00:00:00")
+    o2 = outputs_from_texts(texts, "batch-1", "2024-06-01 00:00:00")
+    assert sorted(r.id for r in o1.collect()) == sorted(r.id for r in o2.collect())
+    o3 = outputs_from_texts(texts, "batch-2", "2024-06-01 00:00:00")
+    assert not {r.id for r in o1.collect()} & {r.id for r in o3.collect()}
+    resp = spark.createDataFrame([], "request_id string, output_id string, content string, error string")
+    n = normalize_outputs(o1, resp, reject_empty=True)
+    assert sorted(r.raw_text for r in n.collect()) == ["Goal line\nnext: x", "plain"]
