@@ -218,5 +218,10 @@ def normalize_outputs(outputs: DataFrame, responses: DataFrame, reject_empty: bo
     if reject_empty:
         outputs = outputs.where(F.length("raw_text") > 0)
     ex = parse_extractions(responses)
-    e = ex.select(F.col("output_id").alias("id"), "goal", *EXTRACTION_LISTS)
+    # one extraction per output even if an output was asked twice: a decoded
+    # answer wins, then the later request id (hash aggregate, no fan-out)
+    fields = F.struct("goal", *EXTRACTION_LISTS)
+    e = (ex.groupBy(F.col("output_id").alias("id"))
+         .agg(F.max_by(fields, F.struct("ok", "request_id")).alias("_x"))
+         .select("id", "_x.*"))
     return fill_outputs(outputs, e, on="id")
