@@ -24,7 +24,8 @@ def _one_per_key(scanned: DataFrame) -> DataFrame:
             .select(*KEY, "r.*"))
 
 
-def diff_documents(scanned: DataFrame, previous: DataFrame, include_missing: bool = False) -> DataFrame:
+def diff_documents(scanned: DataFrame, previous: DataFrame, include_missing: bool = False,
+                   dedupe_previous: bool = False) -> DataFrame:
     """Classify each scanned file against the previous document table.
 
     ``scanned``: output of ``scan_manifest`` (project_id, path, relative_path,
@@ -33,8 +34,17 @@ def diff_documents(scanned: DataFrame, previous: DataFrame, include_missing: boo
     (same hash) and, with ``include_missing``, ``missing`` (previous row whose
     file was not scanned).  A sort-merge (or AQE broadcast) equi-join on
     (project_id, relative_path); AQE splits a skewed project.
+    Snapshots written by ``next_document_snapshot`` hold one row per key; for
+    a previous table that may not (the key is not enforced unique), pass
+    ``dedupe_previous`` to keep its oldest row per key (same partitioning as
+    the join, so no extra shuffle).
     """
     cur = _one_per_key(scanned.select(*KEY, "path", "kind", "hash", "size", "mtime"))
+    if dedupe_previous:
+        rest = [c for c in previous.columns if c not in KEY]
+        previous = (previous.groupBy(*KEY)
+                    .agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_p"))
+                    .select(*KEY, *[F.col(f"_p.{c}").alias(c) for c in rest]))
     prev = previous.select(*KEY, *[F.col(c).alias(f"prev_{c}") for c in previous.columns if c not in KEY])
     how = "full" if include_missing else "left"
     j = cur.join(prev, KEY, how)

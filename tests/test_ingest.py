@@ -130,3 +130,15 @@ def test_outputs_from_whole_texts(spark):
     resp = spark.createDataFrame([], "request_id string, output_id string, content string, error string")
     n = normalize_outputs(o1, resp, reject_empty=True)
     assert sorted(r.raw_text for r in n.collect()) == ["Goal line\nnext: x", "plain"]
+
+
+def test_dedupe_previous_keeps_oldest_row(spark):
+    scanned = scan_manifest(fx.current_scan(spark, SF_SMALL))
+    prev = fx.previous_documents(spark, SF_SMALL)
+    dup = prev.withColumn("id", F.concat(F.col("id"), F.lit("-dup"))).withColumn(
+        "created_at", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")).withColumn("hash", F.lit("other"))
+    both = prev.unionByName(dup)
+    a = D.diff_documents(scanned, prev, include_missing=True).select("relative_path", "status", "id")
+    b = D.diff_documents(scanned, both, include_missing=True, dedupe_previous=True).select(
+        "relative_path", "status", "id")
+    assert sorted(a.collect()) == sorted(b.collect())
