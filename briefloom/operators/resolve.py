@@ -78,6 +78,28 @@ def active_project(settings: DataFrame, projects: DataFrame) -> tuple[Column, Co
     return active_id, exists
 
 
+MODES = ("active_first", "detect_first")
+
+
+def _resolve(det: DataFrame, active_id: Column, exists: Column, mode: Column, keep=()) -> DataFrame:
+    """Apply a resolution mode (a column, so one pass can carry both)."""
+    j = det.withColumn("active_id", active_id)
+    has_active = F.col("active_id").isNotNull()
+    active_ok = has_active & exists
+    detected = F.col("project_id").isNotNull()
+    first = mode == "active_first"
+    pid = (F.when(first, F.when(active_ok, F.col("active_id")).when(has_active, F.lit(None))
+                  .otherwise(F.col("project_id")))
+           .otherwise(F.when(detected, F.col("project_id")).when(active_ok, F.col("active_id"))))
+    by = (F.when(first, F.when(active_ok, "active").when(has_active, F.lit(None)).when(detected, "detected"))
+          .otherwise(F.when(detected, "detected").when(active_ok, "active")))
+    err = (F.when(first, F.when(has_active & ~active_ok, "active project not found")
+                  .when(~detected, "no project found"))
+           .otherwise(F.when(~detected & ~active_ok, "no project found")))
+    return j.select("cwd_id", "cwd", *keep, pid.alias("project_id"), by.alias("resolved_by"),
+                    F.coalesce(err, F.lit("")).alias("error"))
+
+
 def resolve_projects(cwds: DataFrame, projects: DataFrame, settings: DataFrame,
                      mode: str = "active_first") -> DataFrame:
     """Resolve each cwd to a project.
@@ -87,25 +109,17 @@ def resolve_projects(cwds: DataFrame, projects: DataFrame, settings: DataFrame,
     mode ``detect_first`` (inbox, hooks): directory detection, then active.
     Returns (cwd_id, cwd, project_id, resolved_by, error).
     """
-    active_id, exists = active_project(settings, projects)
-    j = detect_projects(cwds, projects).withColumn("active_id", active_id)
-    has_active = F.col("active_id").isNotNull()
-    active_ok = has_active & exists
-    detected = F.col("project_id").isNotNull()
-    if mode == "active_first":
-        pid = F.when(active_ok, F.col("active_id")).when(has_active, F.lit(None)).otherwise(F.col("project_id"))
-        by = (F.when(active_ok, "active").when(has_active, F.lit(None))
-              .when(detected, "detected"))
-        err = (F.when(has_active & ~active_ok, "active project not found")
-               .when(~detected, "no project found"))
-    elif mode == "detect_first":
-        pid = F.when(detected, F.col("project_id")).when(active_ok, F.col("active_id"))
-        by = F.when(detected, "detected").when(active_ok, "active")
-        err = F.when(~detected & ~active_ok, "no project found")
-    else:
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    return j.select("cwd_id", "cwd", pid.alias("project_id"), by.alias("resolved_by"),
-                    F.coalesce(err, F.lit("")).alias("error"))
+    active_id, exists = active_project(settings, projects)
+    return _resolve(detect_projects(cwds, projects), active_id, exists, F.lit(mode))
+
+
+def resolve_projects_all_modes(cwds: DataFrame, projects: DataFrame, settings: DataFrame) -> DataFrame:
+    """J4 in both modes from one detection pass; adds ``mode``."""
+    active_id, exists = active_project(settings, projects)
+    det = detect_projects(cwds, projects).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in MODES])))
+    return _resolve(det, active_id, exists, F.col("mode"), keep=("mode",))
 
 
 def lookup_projects(keys: DataFrame, projects: DataFrame) -> DataFrame:

@@ -124,11 +124,9 @@ def q_resolve_project(spark, sf):
 
 
 def q_resolve_project_modes(spark, sf):
-    cwds, projects, settings = (fx.resolution_cwds(spark, sf), fx.resolution_projects(spark, sf),
-                                _settings(spark, sf))
-    a = J.resolve_projects(cwds, projects, settings, "active_first").withColumn("mode", F.lit("active_first"))
-    b = J.resolve_projects(cwds, projects, settings, "detect_first").withColumn("mode", F.lit("detect_first"))
-    return a.unionByName(b).select("cwd_id", "mode", "project_id", "resolved_by", "error")
+    r = J.resolve_projects_all_modes(fx.resolution_cwds(spark, sf), fx.resolution_projects(spark, sf),
+                                     _settings(spark, sf))
+    return r.select("cwd_id", "mode", "project_id", "resolved_by", "error")
 
 
 def _lookup_keys(spark, sf):
