@@ -90,7 +90,9 @@ def dedupe_paths(files: DataFrame, horizon: str | None = None) -> DataFrame:
     event-time window of ``arrived_at`` and older state is evicted.
     """
     if horizon:
-        return files.withWatermark("arrived_at", horizon).dropDuplicatesWithinWatermark(["path"])
+        # watermarks need TIMESTAMP (not TIMESTAMP_NTZ): use a cast copy
+        return (files.withColumn("_wm", F.col("arrived_at").cast("timestamp"))
+                .withWatermark("_wm", horizon).dropDuplicatesWithinWatermark(["path"]).drop("_wm"))
     return files.dropDuplicates(["path"])
 
 

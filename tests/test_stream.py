@@ -48,3 +48,15 @@ def test_inbox_stream_end_to_end(spark):
                      F.decode("content", "UTF-8").alias("content"), F.lit("p1").alias("project_id"))
     want = I.outputs_from_files(I.accepted(b), "2024-06-01 00:00:00").select("id", "source", "raw_text")
     assert sorted(want.collect()) == sorted(outputs.select("id", "source", "raw_text").collect())
+
+
+def test_inbox_with_bounded_dedupe_state(spark):
+    root = tempfile.mkdtemp(prefix="briefloom-inbox-")
+    inbox, out, ckpt = (os.path.join(root, x) for x in ("inbox", "out", "ckpt"))
+    os.makedirs(inbox)
+    for name, text in [("a.md", "alpha"), ("b.json", "{}"), ("c.pdf", "x")]:
+        _drop(inbox, name, text)
+    q = I.run_inbox(I.read_inbox(spark, inbox, "p1"), out, ckpt, "2024-06-01 00:00:00", horizon="1 hour")
+    q.awaitTermination()
+    got = sorted(os.path.basename(r.source) for r in spark.read.parquet(os.path.join(out, "outputs")).collect())
+    assert got == ["a.md", "b.json"]
