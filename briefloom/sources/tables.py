@@ -31,11 +31,12 @@ def balanced(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Round-robin a small, few-file input over the cores (size-checked)."""
     try:
         cores = spark.sparkContext.defaultParallelism
-        n_files = len(df.inputFiles())
-        size = _input_bytes(spark, path)
+        if len(df.inputFiles()) >= cores:  # the file index is already listed
+            return df
+        size = _input_bytes(spark, path)  # only asked for few-file inputs
     except Exception:  # noqa: BLE001 -- size unknown: leave the scan as it is
         return df
-    if n_files < cores and BALANCE_MIN_BYTES <= size <= BALANCE_MAX_BYTES:
+    if BALANCE_MIN_BYTES <= size <= BALANCE_MAX_BYTES:
         return df.repartition(cores)
     return df
 
