@@ -123,7 +123,10 @@ def _make_udf(shape: dict):
     @F.pandas_udf(T.StringType())
     def _strict(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: canonical_json(t, shape))
-    return _strict
+    # The function is deterministic; the flag only stops the optimizer from
+    # copying the call into both a pushed-down filter and the projection,
+    # which would run the Python worker twice per row.
+    return _strict.asNondeterministic()
 
 
 _extraction_udf = _make_udf(EXTRACTION_SHAPE)

@@ -158,24 +158,23 @@ def noop_plans(requests: DataFrame) -> DataFrame:
 
 def plan_sessions(plans: DataFrame) -> DataFrame:
     """C6 + P12 + P20: the two session rows recorded per brief (none for a
-    failed call)."""
+    failed call).  Both rows come out of one pass over ``plans`` (an
+    ``explode`` of a two-element array), so the parse above runs once."""
     if "call_failed" in plans.columns:
         plans = plans.where(~F.col("call_failed"))
-    first = plans.select(
-        "request_id", "project_id", F.lit(1).alias("seq"),
-        F.lit(SESSION_SPIT).alias("type"),
-        render(T.SPIT_SUMMARY, goal=F.col("request_goal"), title=F.col("title")).alias("summary"),
-        F.array().cast("array<string>").alias("related_files"),
-        F.lit("").alias("next_action"),
+    no_files = F.array().cast("array<string>")
+    rows = F.array(
+        F.struct(F.lit(1).alias("seq"),
+                 render(T.SPIT_SUMMARY, goal=F.col("request_goal"), title=F.col("title")).alias("summary"),
+                 no_files.alias("related_files"), F.lit("").alias("next_action")),
+        F.struct(F.lit(2).alias("seq"),
+                 render(T.PLAN_SUMMARY, title=F.col("title"), goal=F.col("goal")).alias("summary"),
+                 F.transform("relevant_files", lambda r: r["path"]).alias("related_files"),
+                 first_or_empty("execution_plan").alias("next_action")),
     )
-    second = plans.select(
-        "request_id", "project_id", F.lit(2).alias("seq"),
-        F.lit(SESSION_SPIT).alias("type"),
-        render(T.PLAN_SUMMARY, title=F.col("title"), goal=F.col("goal")).alias("summary"),
-        F.transform("relevant_files", lambda r: r["path"]).alias("related_files"),
-        first_or_empty("execution_plan").alias("next_action"),
-    )
-    both = first.unionByName(second)
+    both = plans.select("request_id", "project_id", F.explode(rows).alias("s")).select(
+        "request_id", "project_id", "s.seq", F.lit(SESSION_SPIT).alias("type"),
+        "s.summary", "s.related_files", "s.next_action")
     return both.withColumn("id", F.sha2(F.concat_ws("|", F.lit("spit"), "request_id", F.col("seq").cast("string")), 256))
 
 

@@ -67,15 +67,17 @@ def latest_settings(log: DataFrame) -> DataFrame:
 
 
 def active_project(settings: DataFrame, projects: DataFrame) -> tuple[Column, Column]:
-    """(active_id, active_exists) as scalar-subquery columns; active_id is
-    NULL when the setting is unset or blank.  ``settings`` holds one row per
-    key (see ``latest_settings``)."""
+    """(active_id, active_exists) from one scalar subquery (evaluated once,
+    then used as literals); active_id is NULL when the setting is unset or
+    blank.  ``settings`` holds one row per key (see ``latest_settings``)."""
     a = (settings.where((F.col("key") == ACTIVE_KEY) & (F.col("value") != ""))
          .select(F.col("value").alias("active_id")))
-    active_id = a.agg(F.max("active_id")).scalar()
-    exists = (a.join(projects.select(F.col("id").alias("active_id")), "active_id")
-              .agg(F.count("*") > 0).scalar())
-    return active_id, exists
+    ids = projects.select(F.col("id").alias("active_id"), F.lit(True).alias("_found"))
+    info = (a.join(ids, "active_id", "left")
+            .agg(F.struct(F.max("active_id").alias("id"),
+                          F.coalesce(F.max("_found"), F.lit(False)).alias("found")))
+            .scalar())
+    return info["id"], info["found"]
 
 
 MODES = ("active_first", "detect_first")

@@ -33,7 +33,12 @@ def ingest_hook_payloads(payloads: DataFrame, transcripts: DataFrame, projects:
     """
     ok = parse_payloads(payloads).where(F.col("transcript_path") != "")
     with_text = ok.join(transcripts, "transcript_path")
-    cwds = with_text.select(F.col("cwd").alias("cwd_id"), "cwd").distinct()
+    # the distinct cwds to resolve come from a native JSON read of the raw
+    # payloads (a superset of the valid ones), so the strict decode above is
+    # evaluated once; invalid payloads are already gone from ``with_text``
+    raw_cwd = F.get_json_object(F.col("payload"), "$.cwd")
+    cwds = (payloads.select(raw_cwd.alias("cwd")).where(F.col("cwd").isNotNull()).distinct()
+            .select(F.col("cwd").alias("cwd_id"), "cwd"))
     resolved = resolve_projects(cwds, projects, settings, mode="detect_first").select(
         F.col("cwd_id").alias("cwd"), "project_id")
     return (with_text.join(resolved, "cwd")
