@@ -47,3 +47,38 @@ def test_root_prefix_matching_every_cwd(spark):
     assert got.where(F.col("project_id").isNull()).count() == 0
     # every cwd still goes to its longest root, not to the hot '/' root
     assert got.where("project_id = 'p-root'").count() == 0
+
+
+def test_hot_prefix_join_is_split_by_aqe(spark):
+    """A root every cwd shares makes one join key hot; with thresholds scaled
+    down to the test size, AQE splits that partition (skew=true) and the
+    result is unchanged."""
+    confs = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k, None) for k in confs}
+    projects = fx.resolution_projects(spark, SF_CHECK).unionByName(
+        spark.createDataFrame([("p-root", "root", "/")], "id string, name string, root_path string")
+        .withColumn("created_at", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")))
+    cwds = fx.resolution_cwds(spark, SF_CHECK)
+    want = {r.cwd_id: r.project_id for r in J.detect_projects(cwds, projects).collect()}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        df = J.detect_projects(cwds.repartition(8), projects)  # several map tasks, as on a cluster
+        got = {r.cwd_id: r.project_id for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    assert got == want
+    assert "SortMergeJoin(skew=true)" in plan
