@@ -16,6 +16,10 @@ BALANCE_MIN_BYTES = 4 << 20
 BALANCE_MAX_BYTES = 2 << 30
 
 _SIZE_CACHE: dict[str, int] = {}
+_FILES_CACHE: dict[str, int] = {}
+# The driver's test tables are immutable, so one file listing per session
+# and path is enough (each listing is a driver round trip).
+_SCAN_CACHE: dict[tuple[int, str], DataFrame] = {}
 
 
 def _input_bytes(spark: SparkSession, path: str) -> int:
@@ -31,7 +35,9 @@ def balanced(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """Round-robin a small, few-file input over the cores (size-checked)."""
     try:
         cores = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) >= cores:  # the file index is already listed
+        if path not in _FILES_CACHE:
+            _FILES_CACHE[path] = len(df.inputFiles())  # the file index is already listed
+        if _FILES_CACHE[path] >= cores:
             return df
         size = _input_bytes(spark, path)  # only asked for few-file inputs
     except Exception:  # noqa: BLE001 -- size unknown: leave the scan as it is
@@ -48,7 +54,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = Fals
     tokenizing whole texts); see ``balanced``.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
+    key = (id(spark), path)
+    if key not in _SCAN_CACHE:
+        _SCAN_CACHE[key] = spark.read.parquet(path)
+    df = _SCAN_CACHE[key]
     return balanced(spark, df, path) if balance else df
 
 
