@@ -55,3 +55,12 @@ def test_relative_path_and_dir_filter(spark):
 def test_default_project_name(spark):
     df = spark.createDataFrame([("/home/u/My Project",), ("/a/b/",)], "p string")
     assert [r[0] for r in df.select(P.default_project_name("p")).collect()] == ["my-project", "b"]
+
+
+def test_test_tables_are_listed_once_per_session(spark):
+    from briefloom.sources.tables import read_table
+    a = read_table(spark, "/root/testdata/sf0.001", "benchmark")
+    b = read_table(spark, "/root/testdata/sf0.001/", "benchmark")
+    c = read_table(spark, "/root/testdata/sf0.01", "benchmark")
+    assert a is b and a is not c
+    assert a.count() < c.count()
