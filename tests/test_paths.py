@@ -59,8 +59,8 @@ def test_default_project_name(spark):
 
 def test_test_tables_are_listed_once_per_session(spark):
     from briefloom.sources.tables import read_table
-    a = read_table(spark, "/root/testdata/sf0.001", "benchmark")
-    b = read_table(spark, "/root/testdata/sf0.001/", "benchmark")
-    c = read_table(spark, "/root/testdata/sf0.01", "benchmark")
+    a = read_table(spark, "/root/testdata/sf0.001", "documents")
+    b = read_table(spark, "/root/testdata/sf0.001/", "documents")
+    c = read_table(spark, "/root/testdata/sf0.01", "documents")
     assert a is b and a is not c
     assert a.count() < c.count()
