@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from briefloom.llm import toxicity
 from briefloom.llm.common import table
 from briefloom.llm.exact_dedup import exact_dedup
 from briefloom.llm.mixing import mix
@@ -22,7 +23,13 @@ def op5_source_mix(spark, sf_dir):
             .select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_source_mix)}
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_source_mix, op6_toxicity)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
