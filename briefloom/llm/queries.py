@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from briefloom.llm import toxicity
 from briefloom.llm.common import table
 from briefloom.llm.exact_dedup import exact_dedup
+from briefloom.llm.jaccard_join import jaccard_components
 from briefloom.llm.mixing import mix
 
 
+def op1_jaccard_join(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -29,9 +34,25 @@ def op6_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_source_mix, op6_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity)}
 
 ORACLE_SQL = {
+    "op1_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM p),
+n AS (SELECT w.doc_id, count(g.s) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM x JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+      WHERE 100 * m >= 75 * (na.n + nb.n - m)),
+r AS (SELECT doc_id AS v, doc_id AS u FROM documents UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u)
+SELECT n.doc_id, n.n AS n_shingles, min(r.u) AS component_id
+FROM n JOIN r ON r.v = n.doc_id GROUP BY n.doc_id, n.n
+""",
     "op2_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS len,
