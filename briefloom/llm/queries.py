@@ -14,6 +14,8 @@ from briefloom.llm.exact_dedup import exact_dedup
 from briefloom.llm.jaccard_join import jaccard_components
 from briefloom.llm.mixing import mix
 
+from briefloom.llm.packing import best_fit
+
 
 def op1_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -34,7 +36,12 @@ def op6_toxicity(spark, sf_dir):
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity)}
+def op7_best_fit_packing(spark, sf_dir):
+    return best_fit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity,
+                                op7_best_fit_packing)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
