@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import keyed, stored, text_or_empty
+from briefloom.llm.common import components, keyed, stored, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
@@ -111,22 +111,6 @@ def _ceil_col(n: Column, similarity: int) -> Column:
     return F.ceil(n * similarity / F.lit(100)).cast("long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex that edges (a, b) connect to v."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
-                    .select("v", F.least("v", "label").alias("label")), "labels")
-    while True:
-        near = (both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("l")), "b")
-                .groupBy(F.col("a").alias("v")).agg(F.min("l").alias("l")))
-        met = stored(labels.join(near, "v").select("v", "label", F.least("label", "l").alias("new")), "labels")
-        up = met.select(F.col("v").alias("new"), F.col("new").alias("top"))
-        new = stored(met.join(up, "new").select("v", F.col("label").alias("old"), F.least("new", "top").alias("label")), "labels")
-        labels = new.select("v", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
-
-
 def prefixes(rows: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of rows (_key, text).
 

@@ -12,6 +12,7 @@ from briefloom.llm import toxicity
 from briefloom.llm.common import table
 from briefloom.llm.exact_dedup import exact_dedup
 from briefloom.llm.jaccard_join import jaccard_components
+from briefloom.llm.line_dedup import line_dedup
 from briefloom.llm.mixing import mix
 
 from briefloom.llm.packing import best_fit
@@ -40,8 +41,16 @@ def op7_best_fit_packing(spark, sf_dir):
     return best_fit(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    return (line_dedup(docs.select("doc_id", "text"))
+            .select("doc_id", "lines_dropped", F.length(text).cast("long").alias("n_chars"),
+                    F.sha2(text.cast("binary"), 256).alias("text_sha256")))
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity,
-                                op7_best_fit_packing)}
+                                op7_best_fit_packing, op9_line_dedup)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
