@@ -235,3 +235,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = keyed_docs.select("_key", id_col)
     return (out.join(ids, "_key").join(ids.select(F.col("_key").alias("comp"), F.col(id_col).alias("component_id")), "comp")
             .select(id_col, "n_shingles", "component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
+                     similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each component, the one with the smallest id; blank texts all stay."""
+    rows, _ = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                                F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "id")
+    members, classes = prefixes(rows.select("_key", text_or_empty().alias("text")), size, similarity)
+    comp = link(classes, similarity)
+    first = (members.join(comp, members["rep"] == comp["v"], "left")
+             .where(F.coalesce("label", "rep") == F.col("_key")).select("_key"))
+    return rows.join(stored(first, "near-first"), "_key", "left_semi").select("row.*")

@@ -144,3 +144,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             copies = copies + F.when(inside & (F.col("size") > 0), 1).otherwise(0)
     return (q.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
             .select("_key", "id", "size", "idx", "source_size", "target", "finish", "copies", "taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights=WEIGHTS, ratio: float = RATIO, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it takes it."""
+    rows, _ = keyed(docs.select(*[F.col(c).alias(n) for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))],
+                                F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "id")
+    # Ordered by key, the mix of (_key, text, source) is the mix of the documents.
+    taken = stored(mix(rows.select("_key", "text", "source"), "_key", "text", "source", weights, ratio, epochs)
+                   .where("copies > 0").select("_key", "copies"), "mixed")
+    return (rows.join(taken, "_key")
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*"))

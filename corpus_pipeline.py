@@ -1,20 +1,68 @@
-"""The corpus pipeline: toxicity, line dedup, near copies, source mix, packing."""
+"""The corpus pipeline over ``documents``.
+
+Each stage takes (spark, docs, sf_dir), works on all that the stage before it
+kept, and returns the columns of ``documents``; the last returns the packed
+pieces (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from briefloom.llm import toxicity
 from briefloom.llm.common import stored, table
+from briefloom.llm.jaccard_join import drop_near_copies
+from briefloom.llm.line_dedup import line_dedup
+from briefloom.llm.mixing import mixed
+from briefloom.llm.packing import best_fit
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the grammar rejects; all others stay as they are."""
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar).where("predicted = 0").select(*docs.columns)
+
+
+def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes repeated lines; drops a document of which nothing but blank text is left."""
+    out = line_dedup(docs)
+    bare = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
+    return (out.where((F.col("lines_dropped") == 0) | ~bare)
+            .withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast("long")).select(*docs.columns))
+
+
+def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, the one with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the mix of sources takes; a document taken twice is there twice."""
+    return mixed(docs)
+
+
+def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences."""
+    return best_fit(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", stage_toxicity),
+    ("line_dedup", stage_line_dedup),
+    ("near_copies", stage_near_copies),
+    ("mix", stage_mix),
+    ("pack", stage_pack),
+]
 
-# Tokenisation and the trained score are beyond SQL; tests use brute force.
+# Learned scores, edit distances and token ids are beyond SQL; the tests hold
+# the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each stored before the next reads it."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else stored(docs, f"pipeline-{name}"), sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
