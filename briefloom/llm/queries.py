@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from briefloom.llm import toxicity
+from briefloom.llm import secret_scan, toxicity
 from briefloom.llm.common import table
 from briefloom.llm.exact_dedup import exact_dedup
 from briefloom.llm.jaccard_join import jaccard_components
@@ -49,8 +49,12 @@ def op9_line_dedup(spark, sf_dir):
                     F.sha2(text.cast("binary"), 256).alias("text_sha256")))
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secret_scan.digest(*secret_scan.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity,
-                                op7_best_fit_packing, op9_line_dedup)}
+                                op7_best_fit_packing, op9_line_dedup, op10_secret_scan)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
