@@ -12,10 +12,12 @@ from briefloom.llm import secret_scan, toxicity
 from briefloom.llm.common import table
 from briefloom.llm.exact_dedup import exact_dedup
 from briefloom.llm.jaccard_join import jaccard_components
+from briefloom.llm.license_scan import license_scan
 from briefloom.llm.line_dedup import line_dedup
 from briefloom.llm.mixing import mix
 
 from briefloom.llm.packing import best_fit
+from briefloom.llm.token_trie import token_counts
 
 
 def op1_jaccard_join(spark, sf_dir):
@@ -53,8 +55,17 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.digest(*secret_scan.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity,
-                                op7_best_fit_packing, op9_line_dedup, op10_secret_scan)}
+                                op7_best_fit_packing, op9_line_dedup, op10_secret_scan, op8_license_scan,
+                                op3_token_counts)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
