@@ -16,6 +16,7 @@ from briefloom.llm.license_scan import license_scan
 from briefloom.llm.line_dedup import line_dedup
 from briefloom.llm.mixing import mix
 
+from briefloom.llm.nearest import nearest
 from briefloom.llm.packing import best_fit
 from briefloom.llm.token_trie import token_counts
 
@@ -63,9 +64,13 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op5_source_mix, op6_toxicity,
                                 op7_best_fit_packing, op9_line_dedup, op10_secret_scan, op8_license_scan,
-                                op3_token_counts)}
+                                op3_token_counts, op4_nearest)}
 
 ORACLE_SQL = {
     "op1_jaccard_join": r"""
