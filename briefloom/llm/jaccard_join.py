@@ -13,8 +13,8 @@ several orders before it is verified.
    those is done as well.  Orders 2 to 4 sort the shared tokens by frequency
    and hash, by the power of two of the frequency and another hash, and again
    by another hash.
-3. Pairs come from order 2, are intersected with orders 3 and 4 and the length
-   filter, and verified on whole sets.
+3. Pairs come from order 2 with the length and positional filters, are
+   intersected with orders 3 and 4, and verified on whole sets.
 
 Equal sets are one class from the start.  Classes link up in rounds: first
 each is verified against the hub of the prefix tokens it has most in common
@@ -150,7 +150,8 @@ def prefixes(rows: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY)
         "_key", "n", F.transform("shared", lambda x: x["tok"]).alias("tokens"),
         prefix(lambda x: x["df"]).alias("p1"),
         prefix(power, lambda x: F.xxhash64(x["tok"], F.lit(2))).alias("p2"),
-        prefix(power, lambda x: F.xxhash64(x["tok"], F.lit(3))).alias("p3"))
+        prefix(power, lambda x: F.xxhash64(x["tok"], F.lit(3))).alias("p3"),
+        (F.col("n") - F.size("shared")).alias("alone"))
     return members, stored(classes, "classes")
 
 
@@ -170,14 +171,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFram
 
 def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(v, label): component of each class that has a link."""
-    rows = stored(classes.select("_key", F.explode("p1").alias("tok")), "p1")
+    # at: the token's place in the whole set, unshared tokens included.
+    rows = stored(classes.select("_key", "n", "alone", F.posexplode("p1").alias("i", "tok"))
+                  .select("_key", "n", "tok", (F.col("alone") + F.col("i") + 1).alias("at")), "p1")
     edges, comp = None, None
 
     def labelled() -> DataFrame:
         if comp is None:
             return rows.withColumn("comp", F.col("_key"))
         return (rows.join(comp, rows["_key"] == comp["v"], "left")
-                .select("_key", "tok", F.coalesce("label", "_key").alias("comp")))
+                .select(*rows.columns, F.coalesce("label", "_key").alias("comp")))
 
     def live() -> DataFrame:
         return stored(labelled(), "rows")
@@ -212,9 +215,16 @@ def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = ST
     most = stored(size.groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("comp", "count").alias("major")).where("comps > 1")
                   .select("tok", "major"), "major")
     mixed = stored(now.join(most, "tok"), "mixed")
-    few = mixed.where("comp <> major").select("tok", F.col("_key").alias("a"), F.col("comp").alias("comp_a"))
-    all_ = mixed.select("tok", F.col("_key").alias("b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("major")).alias("big"))
-    pairs = (few.join(all_, "tok").where("comp_a <> comp_b").where("big or a < b")
+    side = lambda x: [F.col("_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "at")]]
+    few = mixed.where("comp <> major").select("tok", *side("a"))
+    every = mixed.select("tok", *side("b"), (F.col("comp") == F.col("major")).alias("big"))
+    # Length filter, and the positional one: if this is the first token that a
+    # pair shares, what stands behind it on either side must reach the overlap.
+    # It is met at a linked pair's first shared token, wherever that is.
+    fits = ((100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+            & ((100 + similarity) * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")))
+               >= similarity * (F.col("n_a") + F.col("n_b"))))
+    pairs = (few.join(every, "tok").where("comp_a <> comp_b and (big or a < b)").where(fits)
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     join_up(_verified(stored(pairs, "pairs"), classes, similarity))
     if comp is None:
