@@ -6,12 +6,13 @@ equals, so a round is a sweep over two sorted lists: pieces in descending
 order each look up their successor, the smallest gap that still holds them;
 where more pieces want a gap size than there are gaps, the rank decides, and
 the next ones move on to the next size.  Equal pieces fill a gap as often as
-they fit.  All gaps are then updated at once and the round repeats.  Pieces
-of the top size band that no gap holds open new sequences.
+they fit.  All gaps are then updated at once and the round repeats.
 
 Rows stay distributed: the driver sees row counts by size (at most
 ``capacity`` of them) and by range partition, and works out from those which
-ranks meet; tasks apply that to their rows of gaps and pieces.
+ranks meet; tasks apply that to their rows of gaps and pieces.  New sequences
+are opened a round's worth at a time, for the largest pieces that no gap
+holds.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows
 and null ids are packed one by one; an empty table gives an empty result;
@@ -176,13 +177,19 @@ def sweep(left: np.ndarray, placed: np.ndarray, gaps: np.ndarray) -> list[Run]:
 
 
 def opened(left: np.ndarray, placed: np.ndarray, capacity: int, largest_gap: int) -> list[Run]:
-    """New sequences for the pieces of the top band that no gap holds."""
+    """New sequences for pieces that no gap holds, the largest first.
+
+    Pieces of more than half a sequence open one each; besides those, no more
+    are opened at once than all that is left would fill.
+    """
     runs, first = [], 0
-    top = int(np.flatnonzero(left).max())
-    for length in range(top, max(top // 2, largest_gap), -1):
+    room = -(-int((left * np.arange(len(left))).sum()) // capacity)
+    for length in range(int(np.flatnonzero(left).max()), largest_gap, -1):
         copies = capacity // length
-        while left[length]:
+        while left[length] and (copies == 1 or first < room):
             n = int(max(1, left[length] // copies))
+            if copies > 1:
+                n = min(n, room - first)
             here = int(min(copies, left[length]))
             runs.append(Run(capacity, first, n, length, here, int(placed[length])))
             first += n
