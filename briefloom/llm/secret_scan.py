@@ -19,7 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,8 +39,8 @@ CANDIDATE = rf"([A-Za-z0-9+/_=-]{{{RUN},}})"
 KINDS = ("assign", "access", "hex", "markov")
 PRIOR_RANDOM = 1.0
 PRIOR_PLAIN = 0.1
-TOTAL = 12.0
-EACH = 0.6
+TOTAL = 10.0
+EACH = 0.3
 
 
 def _hits(pattern: str) -> Column:
@@ -63,34 +63,38 @@ def _spans(hits: DataFrame, kind: str) -> DataFrame:
 
 
 def _steps(values: DataFrame) -> DataFrame:
-    """(a, b, n): how often b follows a in ``value``."""
-    at = F.explode(F.sequence(F.lit(1), F.length("value") - 1))
-    return (values.where(F.length("value") > 1).select("value", at.alias("at"))
-            .groupBy(F.expr("substring(value, at, 1)").alias("a"), F.expr("substring(value, at + 1, 1)").alias("b"))
-            .agg(F.count("*").alias("n")))
+    """(vid, a, b, n, n_a): how often b, and anything at all, follows a in a value."""
+    at = F.explode(F.sequence(F.lit(1), F.length("value") - 1)).alias("at")
+    of_a = Window.partitionBy("vid", "a")
+    return (values.where(F.length("value") > 1).repartition("vid").select("vid", "value", at)
+            .groupBy("vid", F.expr("substring(value, at, 1)").alias("a"), F.expr("substring(value, at + 1, 1)").alias("b"))
+            .agg(F.count("*").alias("n")).withColumn("n_a", F.sum("n").over(of_a)))
 
 
-def model(spark: SparkSession, random: DataFrame, plain: DataFrame) -> DataFrame:
-    """(a, b, ratio) for every pair of key characters, from columns ``value``."""
-    chars = F.array(*[F.lit(c) for c in ALPHABET])
-    pairs = spark.range(1).select(F.explode(chars).alias("a")).withColumn("b", F.explode(chars))
-    out = (pairs.join(_steps(random).withColumnRenamed("n", "r"), ["a", "b"], "left")
-           .join(_steps(plain).withColumnRenamed("n", "p"), ["a", "b"], "left").fillna(0, ["r", "p"]))
-    after = Window.partitionBy("a")
-
-    def log_p(n: str, prior: float) -> Column:
-        return F.log((F.col(n) + prior) / (F.sum(n).over(after) + prior * len(ALPHABET)))
+def _totals(steps: DataFrame, name: str) -> DataFrame:
+    return steps.groupBy("a", "b").agg(F.sum("n").alias(name))
 
-    return out.select("a", "b", (log_p("r", PRIOR_RANDOM) - log_p("p", PRIOR_PLAIN)).alias("ratio"))
 
+def ratios(steps: DataFrame, random: DataFrame, plain: DataFrame) -> DataFrame:
+    """(vid, ratio): log-likelihood ratio of each value's steps.
 
-def ratios(values: DataFrame, steps: DataFrame) -> DataFrame:
-    """Distinct ``value`` with the sum of its log ratios."""
-    at = F.explode(F.sequence(F.lit(1), F.length("value") - 1))
-    each = (values.select("value").distinct().select("value", at.alias("at"))
-            .select("value", F.expr("substring(value, at, 1)").alias("a"), F.expr("substring(value, at + 1, 1)").alias("b")))
+    ``random`` are the steps that train the one model, ``plain`` the vids of
+    ``steps`` that train the other; such a value is scored without its own
+    share in the counts, or each would vouch for itself.
+    """
+    chars = F.array(*[F.lit(c) for c in ALPHABET])
+    after = Window.partitionBy("a")
+    table = (steps.sparkSession.range(1).select(F.explode(chars).alias("a")).withColumn("b", F.explode(chars))
+             .join(_totals(random, "r"), ["a", "b"], "left")
+             .join(_totals(steps.join(plain, "vid", "left_semi"), "p"), ["a", "b"], "left").fillna(0, ["r", "p"])
+             .withColumn("r_a", F.sum("r").over(after)).withColumn("p_a", F.sum("p").over(after)))
+    table = stored(table, "secret-model")
+    own = F.when(F.col("trains"), 1).otherwise(0)
+    each = (F.log((F.col("r") + PRIOR_RANDOM) / (F.col("r_a") + PRIOR_RANDOM * len(ALPHABET)))
+            - F.log((F.col("p") - own * F.col("n") + PRIOR_PLAIN) / (F.col("p_a") - own * F.col("n_a") + PRIOR_PLAIN * len(ALPHABET))))
     # The model has one row for each pair of ALPHABET, whatever the corpus.
-    return each.join(F.broadcast(steps), ["a", "b"]).groupBy("value").agg(F.sum("ratio").alias("ratio"))
+    return (steps.join(plain.withColumn("trains", F.lit(True)), "vid", "left").fillna(False, ["trains"])
+            .join(F.broadcast(table), ["a", "b"]).groupBy("vid").agg(F.sum(F.col("n") * each).alias("ratio")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -103,12 +107,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
         base = base.unionByName(_spans(hits, kind))
     base = stored(base, "secret-base")
     runs = stored(_spans(hits, "markov"), "secret-runs")
-    found = base.select("value").distinct()
-    # A run that holds a base value, or is one, is no ordinary identifier.
-    plain = (runs.where(~(F.col("value").rlike(ASSIGN) | F.col("value").rlike(ACCESS) | F.col("value").rlike(HEX)))
-             .join(found, "value", "left_anti"))
-    steps = stored(model(docs.sparkSession, found, plain), "secret-model")
-    flagged = ratios(runs, steps).where((F.col("ratio") >= TOTAL) & (F.col("ratio") >= EACH * (F.length("value") - 1)))
+    numbered = lambda df, name: stored(df.select("value").distinct().withColumn("vid", F.monotonically_increasing_id()), name)
+    found = numbered(base, "secret-found")
+    values = numbered(runs, "secret-values")
+    steps = stored(_steps(values), "secret-steps")
+    random = stored(_steps(found), "secret-random")
+    # A run that holds a base value, or is one, is no ordinary identifier; nor,
+    # for the second model, is one that the first takes for random.
+    plain = stored(values.where(~(F.col("value").rlike(ASSIGN) | F.col("value").rlike(ACCESS) | F.col("value").rlike(HEX)))
+                   .join(found.select("value"), "value", "left_anti").select("vid"), "secret-plain")
+    first = ratios(steps, random, plain)
+    plain = stored(plain.join(first.where("ratio > 0"), "vid", "left_anti"), "secret-plain")
+    flagged = (ratios(steps, random, plain).join(values, "vid")
+               .where((F.col("ratio") >= TOTAL) & (F.col("ratio") >= EACH * (F.length("value") - 1))))
     added = runs.join(flagged.select("value"), "value", "left_semi").select(*base.columns)
     # Only documents with an added span compare their spans, within the document.
     mine = stored(added, "secret-added")
