@@ -36,7 +36,7 @@ from briefloom.llm.common import stored, text_or_empty
 
 CAPACITY = 2048
 END = 0
-_WORDS_KEPT = 1_000_000  # before a worker's table starts anew
+_WORDS_KEPT = 2_000_000  # before a worker's table starts anew
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -58,6 +58,9 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, ...]:
@@ -67,37 +70,58 @@ class WordIds(dict):
         stem = low.rstrip(b".,!?")
         return (stem, low[len(stem):]) if stem and stem != low and stem[-1:].isalnum() else (low,)
 
+    def _plain(self, parts: list[bytes]) -> bool:
+        """Ids of parts of ASCII letters, each of which ends with an id that closes a word."""
+        texts = [b" ".join(parts[i:i + 200]).decode() for i in range(0, len(parts), 200)]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(parts):
+            return False
+        data, begin = ids.tobytes(), 0
+        for p, end in zip(parts, (4 * ends).tolist(), strict=True):
+            self[p] = data[begin:end]
+            begin = end
+        return True
+
+    def _any(self, parts: list[bytes]) -> None:
+        """Ids of any parts, told apart by their places in the joined text."""
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        data = np.array(got.ids, "<u4").tobytes()
+        part = np.searchsorted(starts, [o[0] for o in got.offsets], "right") - 1
+        begin = 0
+        for p, end in zip(parts, (4 * np.searchsorted(part, np.arange(len(parts)), "right")).tolist(), strict=True):
+            self[p] = data[begin:end]
+            begin = end
+
     def learn(self, words: set[bytes]) -> None:
-        """Add ``words``, of which none is known."""
-        if len(self) + 2 * len(words) > _WORDS_KEPT:
-            self.clear()
         split = {w: self.parts(w) for w in words}
-        new = list({p for parts in split.values() for p in parts if p not in self})
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            word = np.searchsorted(starts, [o[0] for o in got.offsets], "right") - 1
-            begin = 0
-            for w, end in zip(part, np.searchsorted(word, np.arange(len(part)), "right").tolist(), strict=True):
-                self[w] = ids[begin:end].tobytes()
-                begin = end
+        new = {p for parts in split.values() for p in parts if p not in self}
+        plain = [p for p in new if p.isalpha()]
+        if plain and not self._plain(plain):
+            self._any(plain)
+        if other := [p for p in new if not p.isalpha()]:
+            self._any(other)
         for w, parts in split.items():
-            self[w] = b"".join([self[p] for p in parts])
+            if w not in self:
+                self[w] = self[parts[0]] + self[parts[1]] if len(parts) > 1 else self[parts[0]]
+
+    def encode_all(self, texts: list[bytes], at_once: int = 32) -> Iterator[bytes]:
+        for i in range(0, len(texts), at_once):
+            split = [t.split() for t in texts[i:i + at_once]]
+            new = {w for words in split for w in words if w not in self}
+            if new and len(self) + 2 * len(new) > _WORDS_KEPT:
+                self.clear()
+                new = {w for words in split for w in words}
+            if new:
+                self.learn(new)
+            for words in split:
+                yield b"".join(map(self.__getitem__, words))
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            pass
-        self.learn({w for w in words if w not in self})
-        if any(w not in self for w in words):  # the table was emptied for the new ones
-            self.clear()
-            self.learn(set(words))
-        return b"".join(map(self.__getitem__, words))
+        return next(self.encode_all([text]))
 
 
 def _word_ids(path: str) -> WordIds:
@@ -114,8 +138,8 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         words = _word_ids(path)
         for b in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, text in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                data = words.encode(text) + last
+            for row, data in enumerate(words.encode_all(b.column("text").cast(pa.binary()).to_pylist())):
+                data += last
                 for k, i in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[i:i + 4 * capacity]
                     at.append(row)
