@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # order the reference writes them.
 # ---------------------------------------------------------------------------
 # Brief request (user message).
+UNKNOWN_LEVEL = 'unknown detail level "%s": use compact, standard, or detailed'
+UNKNOWN_PROJECT = "project not found"
 BRIEF_PROJECT = "PROJECT: {name}\n"
 BRIEF_ROOT = "ROOT: {root}\n"
 BRIEF_DESCRIPTION = "DESCRIPTION: {summary}\n"

@@ -116,7 +116,8 @@ def canonical_json(text: str | None, shape: dict) -> str | None:
             return None
     except _Reject:
         return None
-    return json.dumps(obj, ensure_ascii=False)
+    # An unpaired surrogate escape has no UTF-8 form; it decodes to U+FFFD.
+    return json.dumps(obj, ensure_ascii=False).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def _make_udf(shape: dict):

@@ -10,18 +10,20 @@ from briefloom.functions import levels as L
 from briefloom.functions.text import relevance_haystack, relevance_score, tokenize
 
 
-def newest_per_project(df: DataFrame, n, time_col: str, id_col: str = "id",
+def newest_per_project(df: DataFrame, n: int, time_col: str, id_col: str = "id",
                        rank_col: str = "recency_rank") -> DataFrame:
     """Rows ranked newest-first per project, keeping rank <= n.
 
-    ``n`` is an int (Spark plans a partial ``WindowGroupLimit`` before the
-    shuffle, so a hot project ships at most n rows per input partition) or a
-    Column holding a per-row limit.  Ties on time go to the larger id.
+    Only (project, time, id) is sorted: a partial ``WindowGroupLimit`` keeps n
+    of them per project and input partition, and texts and lists are fetched
+    for the winners alone by a join on the key (project, id).  Ties on time go
+    to the larger id.
     """
     w = Window.partitionBy("project_id").orderBy(F.col(time_col).desc(), F.col(id_col).desc())
-    ranked = df.withColumn(rank_col, F.row_number().over(w))
-    limit = F.lit(n) if isinstance(n, int) else n
-    return ranked.where(F.col(rank_col) <= limit).withColumn(rank_col, F.col(rank_col).cast("bigint"))
+    best = (df.select("project_id", id_col, time_col).withColumn(rank_col, F.row_number().over(w))
+            .where(F.col(rank_col) <= n)
+            .select("project_id", id_col, F.col(rank_col).cast("bigint").alias(rank_col)))
+    return df.join(best, ["project_id", id_col]).select(*df.columns, rank_col)
 
 
 def recent_outputs(outputs: DataFrame, n: int) -> DataFrame:
@@ -35,7 +37,7 @@ def recent_sessions(sessions: DataFrame, n: int) -> DataFrame:
     return newest_per_project(sessions, n, "created_at")
 
 
-def recent_doc_summaries(documents: DataFrame, n) -> DataFrame:
+def recent_doc_summaries(documents: DataFrame, n: int) -> DataFrame:
     """O3 (+F10): newest documents with a non-empty summary."""
     d = documents.where(F.col("summary") != "").select(
         "id", "project_id", "relative_path", "summary", "kind", "modified_at")
@@ -67,7 +69,10 @@ def rank_documents(requests: DataFrame, documents: DataFrame) -> DataFrame:
     j = req.join(docs, "project_id").where(F.col("recency_rank") <= F.col("doc_limit"))
     scored = j.withColumn("score", relevance_score("tokens", "_hay"))
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("recency_rank").asc())
-    ranked = scored.withColumn("relevance_rank", F.row_number().over(w).cast("bigint"))
+    # the texts stay behind while requests are sorted
+    ranked = (scored.select("request_id", "project_id", "doc_id", "score", "recency_rank")
+              .withColumn("relevance_rank", F.row_number().over(w).cast("bigint"))
+              .join(docs.select("project_id", "doc_id", "relative_path", "summary"), ["project_id", "doc_id"]))
     return ranked.select("request_id", "project_id", "doc_id", "relative_path", "summary",
                          "score", "recency_rank", "relevance_rank")
 

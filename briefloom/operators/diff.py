@@ -31,15 +31,15 @@ def diff_documents(scanned: DataFrame, previous: DataFrame, include_missing: boo
     ``scanned``: output of ``scan_manifest`` (project_id, path, relative_path,
     kind, hash, size, mtime).  ``previous``: ``DOCUMENTS`` rows.
     status: ``new`` (no previous row), ``updated`` (hash differs), ``skipped``
-    (same hash) and, with ``include_missing``, ``missing`` (previous row whose
-    file was not scanned).  A sort-merge (or AQE broadcast) equi-join on
+    (same hash), ``error`` (no hash: the file could not be read) and, with
+    ``include_missing``, ``missing`` (previous row whose file was not scanned).  A sort-merge (or AQE broadcast) equi-join on
     (project_id, relative_path); AQE splits a skewed project.
     Snapshots written by ``next_document_snapshot`` hold one row per key; for
     a previous table that may not (the key is not enforced unique), pass
     ``dedupe_previous`` to keep its oldest row per key (same partitioning as
     the join, so no extra shuffle).
     """
-    cur = _one_per_key(scanned.select(*KEY, "path", "kind", "hash", "size", "mtime"))
+    cur = _one_per_key(scanned.select(*KEY, *[c for c in ("root",) if c in scanned.columns], "path", "kind", "hash", "size", "mtime"))
     if dedupe_previous:
         rest = [c for c in previous.columns if c not in KEY]
         previous = (previous.groupBy(*KEY)
@@ -48,7 +48,8 @@ def diff_documents(scanned: DataFrame, previous: DataFrame, include_missing: boo
     prev = previous.select(*KEY, *[F.col(c).alias(f"prev_{c}") for c in previous.columns if c not in KEY])
     how = "full" if include_missing else "left"
     j = cur.join(prev, KEY, how)
-    status = (F.when(F.col("hash").isNull(), "missing")
+    status = (F.when(F.col("path").isNull(), "missing")
+              .when(F.col("hash").isNull(), "error")
               .when(F.col("prev_id").isNull(), "new")
               .when(F.col("prev_hash") == F.col("hash"), "skipped")
               .otherwise("updated"))
@@ -56,14 +57,14 @@ def diff_documents(scanned: DataFrame, previous: DataFrame, include_missing: boo
         "id", F.coalesce(F.col("prev_id"), document_key("project_id", "relative_path")))
 
 
-def ingest_counters(diff: DataFrame) -> DataFrame:
-    """Per project: new / updated / skipped / errors (no save can fail here)."""
+def ingest_counters(diff: DataFrame, *by: str) -> DataFrame:
+    """Per project (and ``by``, such as ``root``): new / updated / skipped / errors."""
     s = F.col("status")
-    return diff.groupBy("project_id").agg(
+    return diff.groupBy("project_id", *by).agg(
         F.count_if(s == "new").alias("new"),
         F.count_if(s == "updated").alias("updated"),
         F.count_if(s == "skipped").alias("skipped"),
-        F.lit(0).cast("bigint").alias("errors"),
+        F.count_if(s == "error").alias("errors"),
     )
 
 
@@ -74,9 +75,10 @@ def next_document_snapshot(diff: DataFrame, ingested_at) -> DataFrame:
     it already carries every previous row: one full outer join builds the
     whole next snapshot.  Changed rows keep their id and created_at and --
     unlike the reference, which blanks them -- their summary and raw_stored;
-    new rows get a deterministic id; skipped and missing rows are kept as they
-    were.  Callers write the result as a new snapshot.
+    new rows get a deterministic id; skipped, missing and unreadable rows are
+    kept as they were.  Callers write the result as a new snapshot.
     """
+    diff = diff.where((F.col("status") != "error") | F.col("prev_id").isNotNull())
     changed = F.col("status").isin("new", "updated")
 
     def pick(cur, prev):
@@ -97,11 +99,12 @@ def next_document_snapshot(diff: DataFrame, ingested_at) -> DataFrame:
 
 
 def ingest_sessions(counters: DataFrame, roots: DataFrame) -> DataFrame:
-    """P19 + P20: one session row per project and ingest run.
+    """P19 + P20: one session row per ingested path and run.
 
-    ``roots``: (project_id, root) -- the path the user ingested.
+    ``counters``: ``ingest_counters(diff, "root")``.  ``roots``: (project_id,
+    root) -- the paths the user ingested; one without files counts zeros.
     """
-    j = counters.join(roots, "project_id", "left")
+    j = roots.join(counters, ["project_id", "root"], "left").fillna(0, ["new", "updated", "skipped"])
     n = F.col("new") + F.col("updated")
     return j.select(
         "project_id",

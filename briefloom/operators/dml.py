@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.operators.resolve import ACTIVE_KEY, lookup_projects
+
 
 def register_projects(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidate projects (name, root_path, summary, created_at) with a
@@ -19,9 +21,9 @@ def register_projects(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     is created; every other candidate comes back as a duplicate.  Created
     rows get a deterministic id and empty tag/goal lists.
 
-    No window over a name: identical candidates are first counted (partial
-    aggregation), the winner per name is a hash aggregate, and the counts
-    are expanded back so every candidate row is reported once.
+    Identical candidates are counted first (partial aggregation) and come
+    back as one row, or as the created one and one duplicate; ``n_candidates``
+    says how many each row stands for.
     """
     cols = ["name", "root_path", "summary", "created_at"]
     groups = candidates.groupBy(*cols).agg(F.count("*").alias("_n"))
@@ -29,39 +31,60 @@ def register_projects(existing: DataFrame, candidates: DataFrame) -> DataFrame:
                .agg(F.min(F.struct("created_at", "root_path", "summary")).alias("_w")))
     taken = existing.select(F.col("name").alias("_taken")).distinct()
     j = (groups.join(winners, "name", "left")
-         .join(taken, F.col("name") == F.col("_taken"), "left")
-         .withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))))
-    is_winner = ((F.col("_w.created_at") == F.col("created_at")) & (F.col("_w.root_path") == F.col("root_path"))
-                 & (F.col("_w.summary") == F.col("summary")) & (F.col("_k") == 1))
-    status = (F.when(F.col("name") == "", "name_required")
-              .when(F.col("_taken").isNull() & is_winner, "created")
-              .otherwise("duplicate_name"))
-    return j.select(
-        F.when(status == "created", F.sha2(F.concat(F.lit("project|"), F.col("name")), 256)).alias("id"),
+         .join(taken, F.col("name") == F.col("_taken"), "left"))
+    wins = F.coalesce((F.col("name") != "") & F.col("_taken").isNull()
+                      & (F.col("_w") == F.struct("created_at", "root_path", "summary")), F.lit(False))
+    one = lambda status, n: F.struct(F.lit(status).alias("status"), n.cast("bigint").alias("n"))
+    reported = F.filter(
+        F.when(F.col("name") == "", F.array(one("name_required", F.col("_n"))))
+        .when(wins, F.array(one("created", F.lit(1)), one("duplicate_name", F.col("_n") - 1)))
+        .otherwise(F.array(one("duplicate_name", F.col("_n")))), lambda r: r["n"] > 0)
+    out = j.withColumn("_r", F.explode(reported))
+    return out.select(
+        F.when(F.col("_r.status") == "created", F.sha2(F.concat(F.lit("project|"), F.col("name")), 256)).alias("id"),
         "name", "root_path", "summary",
         F.array().cast("array<string>").alias("tags"),
         F.array().cast("array<string>").alias("active_goals"),
         "created_at", F.col("created_at").alias("updated_at"),
-        status.alias("status"),
+        F.col("_r.status").alias("status"), F.col("_r.n").alias("n_candidates"),
     )
 
 
+#: Columns of a project that a change may set.
+CHANGEABLE = ("name", "root_path", "summary", "tags", "active_goals")
+
+
 def update_projects(projects: DataFrame, changes: DataFrame) -> DataFrame:
-    """Apply changes (id, summary, updated_at) -- the last change per id
-    wins -- and bump updated_at.  Unknown ids come back with status
-    ``not_found``; applied rows with ``updated``; untouched rows ``unchanged``.
+    """The next project snapshot and a status, ``updated`` or ``unchanged``.
+
+    ``changes``: id, updated_at and any of ``CHANGEABLE``; a null leaves the
+    value as it is.  The last change per id wins and bumps updated_at.  Every
+    project comes back once, with all its columns; changes to unknown ids are
+    in ``unknown_changes``.
     """
-    last = changes.groupBy("id").agg(
-        F.max_by(F.struct("summary", "updated_at"), "updated_at").alias("c"))
-    j = projects.join(last, "id", "full")
-    status = (F.when(F.col("name").isNull(), "not_found")
-              .when(F.col("c").isNotNull(), "updated").otherwise("unchanged"))
-    return j.select(
-        "id", "name", "root_path",
-        F.coalesce(F.col("c.summary"), F.col("summary")).alias("summary"),
-        F.coalesce(F.col("c.updated_at"), F.col("updated_at")).alias("updated_at"),
-        status.alias("status"),
-    )
+    new = [c for c in CHANGEABLE if c in changes.columns]
+    last = changes.groupBy("id").agg(F.max_by(F.struct("updated_at", *new), F.struct("updated_at", *new)).alias("_c"))
+    j = projects.join(last, "id", "left")
+    cols = [F.coalesce(F.col(f"_c.{c}"), F.col(c)).alias(c) if c in new or c == "updated_at" else F.col(c)
+            for c in projects.columns]
+    return j.select(*cols, F.when(F.col("_c").isNotNull(), "updated").otherwise("unchanged").alias("status"))
+
+
+def unknown_changes(projects: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ids that changes name and no project has: (id, error)."""
+    return (changes.select("id").distinct().join(projects.select("id"), "id", "left_anti")
+            .withColumn("error", F.lit("project not found")))
+
+
+def use_project(keys: DataFrame, projects: DataFrame) -> DataFrame:
+    """D7 + J5: settings rows that make each looked-up project the active one.
+
+    ``keys``: (key, updated_at), a name or an id.  Returns (key, value,
+    updated_at) to append to the settings log; unknown names write nothing.
+    """
+    found = lookup_projects(keys.select("key").distinct(), projects).where(F.col("project_id").isNotNull())
+    return (keys.join(found.select("key", "project_id"), "key")
+            .select(F.lit(ACTIVE_KEY).alias("key"), F.col("project_id").alias("value"), "updated_at"))
 
 
 def delete_projects(ids: DataFrame, *tables: tuple[str, DataFrame, str]) -> list[DataFrame]:

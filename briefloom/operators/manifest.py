@@ -45,21 +45,24 @@ def incremental_scan(files: DataFrame, marks: DataFrame, first_exts=(".md", ".js
                      next_exts=(".md", ".json", ".log"), batch: int = 5) -> tuple[DataFrame, DataFrame]:
     """Per folder, the files to export since its high-water mark, and the new marks.
 
-    ``files``: (folder, path, mtime).  ``marks``: (folder, hwm).
-    With a mark: files strictly newer than it with a ``next_exts`` extension,
-    oldest first (path breaks ties), at most ``batch``; the mark advances to
-    the newest file taken, so files beyond the batch are picked up next run.
+    ``files``: (folder, path, mtime).  ``marks``: (folder, hwm, hwm_path), the
+    last file taken; files with one mtime follow each other by path, so a
+    batch border between them loses none.  A mark without a path (null) stands
+    behind all files of its mtime.
+    With a mark: files behind it with a ``next_exts`` extension, oldest first
+    (path breaks ties), at most ``batch``; the mark advances to the last one
+    taken, so files beyond the batch are picked up next run.
     Without a mark: the single last path (descending) with a ``first_exts``
-    extension; the mark becomes its mtime.
+    extension, which becomes the mark.
     Returns (taken files with ``ord``, new marks).
     """
     ext = P.extension("path")
+    if "hwm_path" not in marks.columns:
+        marks = marks.withColumn("hwm_path", F.lit(None).cast("string"))
     j = files.join(marks, "folder", "left")
     has_mark = F.col("hwm").isNotNull()
-    cand = j.where(
-        (has_mark & (F.col("mtime") > F.col("hwm")) & ext.isin(list(next_exts)))
-        | (~has_mark & ext.isin(list(first_exts)))
-    )
+    behind = (F.col("mtime") > F.col("hwm")) | ((F.col("mtime") == F.col("hwm")) & (F.col("path") > F.col("hwm_path")))
+    cand = j.where((has_mark & behind & ext.isin(list(next_exts))) | (~has_mark & ext.isin(list(first_exts))))
     w = Window.partitionBy("folder").orderBy(
         F.when(has_mark, F.col("mtime")).asc_nulls_last(),
         F.when(has_mark, F.col("path")).asc_nulls_last(),
@@ -69,7 +72,9 @@ def incremental_scan(files: DataFrame, marks: DataFrame, first_exts=(".md", ".js
     ranked = cand.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= max(batch, 1))
     taken = ranked.where(has_mark | (F.col("ord") == 1))
     taken = taken.select("folder", "path", "mtime", F.col("ord").cast("bigint").alias("ord"))
-    new_marks = (taken.groupBy("folder").agg(F.max("mtime").alias("hwm"))
-                 .unionByName(marks.join(taken.select("folder").distinct(), "folder", "left_anti"))
-                 .select("folder", "hwm"))
+    last = F.max(F.struct("mtime", "path")).alias("m")
+    new_marks = (taken.groupBy("folder").agg(last)
+                 .select("folder", F.col("m.mtime").alias("hwm"), F.col("m.path").alias("hwm_path"))
+                 .unionByName(marks.join(taken.select("folder").distinct(), "folder", "left_anti")
+                              .select("folder", "hwm", "hwm_path")))
     return taken, new_marks

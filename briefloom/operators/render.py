@@ -153,7 +153,8 @@ def _system_prompt(system_prompt, level: Column) -> Column:
 
 def brief_requests(requests: DataFrame, bundles: DataFrame, ranked: DataFrame, system_prompt="",
                    default_model: str = "default", max_tokens: int = 4096, temperature: float = 0.3) -> DataFrame:
-    """C5 + P21: one model request per valid brief request.
+    """C5 + P21: one model request per valid brief request of a known project
+    (the job reports the others as rejects).
 
     ``requests``: (request_id, project_id, goal, level [normalised], model_override).
     ``bundles``: ``context_bundles`` built with the largest level limits; each
@@ -165,7 +166,7 @@ def brief_requests(requests: DataFrame, bundles: DataFrame, ranked: DataFrame, s
             .agg(F.transform(F.sort_array(F.collect_list(F.struct(
                 F.col("relevance_rank").alias("_r"), "relative_path", "summary"))),
                 lambda s: s.dropFields("_r")).alias("ranked_docs")))
-    j = (requests.join(bundles, "project_id", "left").join(docs, "request_id", "left"))
+    j = (requests.join(bundles, "project_id").join(docs, "request_id", "left"))
     lvl = F.col("level")
     cols = {
         "name": F.col("name"), "root_path": F.col("root_path"), "summary": F.col("summary"),

@@ -42,12 +42,18 @@ def detect_projects(cwds: DataFrame, projects: DataFrame) -> DataFrame:
     roots = (projects.where(F.col("root_path") != "")
              .select(F.col("id").alias("project_id"), _root_key(F.col("root_path")).alias("prefix"),
                      "created_at"))
-    exploded = cwds.select("cwd_id", "cwd", F.explode(cwd_prefixes(F.col("cwd"))).alias("prefix"))
-    # left join keeps cwds without any match; the per-cwd pick is a hash
-    # aggregate (partial before the shuffle), so no join back to ``cwds``
-    matches = exploded.join(roots, "prefix", "left")
-    rank = F.struct(F.col("project_id").isNull(), -F.length("prefix"), F.col("created_at"), F.col("project_id"))
-    best = matches.groupBy("cwd_id", "cwd").agg(F.min_by("project_id", rank).alias("detected"))
+    # Every absolute path has the prefix "/": it would be one hot key.  A root
+    # "/" holds them all, so it is a scalar that stands behind other matches.
+    top = (roots.where(F.col("prefix") == "/")
+           .agg(F.min_by("project_id", F.struct("created_at", "project_id")).alias("id")).scalar())
+    paths = cwds.select("cwd").distinct()
+    exploded = (paths.select("cwd", F.explode(cwd_prefixes(F.col("cwd"))).alias("prefix"))
+                .where(F.col("prefix") != "/"))
+    rank = F.struct(-F.length("prefix"), F.col("created_at"), F.col("project_id"))
+    found = (exploded.join(roots.where(F.col("prefix") != "/"), "prefix")
+             .groupBy("cwd").agg(F.min_by("project_id", rank).alias("detected")))
+    best = (cwds.select("cwd_id", "cwd").join(found, "cwd", "left")
+            .withColumn("detected", F.coalesce("detected", F.when(F.col("cwd").startswith("/") | (F.col("cwd") == ""), top))))
     # Exactly one project -> that project for every cwd.  One scalar
     # subquery (evaluated once, then used as a literal): no join needed.
     store = projects.agg(F.struct(F.count("*").alias("n"), F.min("id").alias("only_id"))).scalar()

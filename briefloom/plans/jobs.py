@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from briefloom.functions import formats as T
 from briefloom.functions import levels as L
 from briefloom.operators import context as C
 from briefloom.operators import diff as D
@@ -30,8 +31,8 @@ def _write(df: DataFrame, out_dir: str, table: str, run_id: str) -> str:
 
 def _materialize(spark: SparkSession, df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
-    path = shared_dir(spark, purpose, unique=False)
-    df.write.mode("overwrite").parquet(path)
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -60,12 +61,13 @@ def corpus_ingest(spark: SparkSession, files: DataFrame, previous: DataFrame, ro
     kw = {} if max_size_bytes is None else {"max_size_bytes": max_size_bytes}
     diff = _materialize(spark, D.diff_documents(scan_manifest(files, **kw), previous, include_missing=True),
                         f"ingest-diff-{run_id}")
-    counters = D.ingest_counters(diff.where("status != 'missing'"))
+    present = diff.where("status != 'missing'")
+    counters = D.ingest_counters(present)
     snapshot = D.next_document_snapshot(diff, ingested_at)
     out = {
         "documents": _write(snapshot, out_dir, "documents", run_id),
         "ingest_counters": _write(counters, out_dir, "ingest_counters", run_id),
-        "session_entries": _write(D.ingest_sessions(counters, roots), out_dir, "session_entries", run_id),
+        "session_entries": _write(D.ingest_sessions(D.ingest_counters(present, "root"), roots), out_dir, "session_entries", run_id),
     }
     if documents_table and buckets > 0:
         snap = spark.read.parquet(out["documents"])
@@ -90,8 +92,8 @@ def brief_requests(spark: SparkSession, requests: DataFrame, projects: DataFrame
     """C4 + C5: model requests for brief requests.
 
     ``requests``: (request_id, project_id, goal, level, compact_only, full,
-    model_override).  Requests with an unknown level are written to
-    ``brief_rejects`` (the reference refuses them).
+    model_override).  Requests with an unknown level or project are written
+    to ``brief_rejects`` (the reference refuses them).
     """
     from pyspark.sql import functions as F
 
@@ -102,8 +104,9 @@ def brief_requests(spark: SparkSession, requests: DataFrame, projects: DataFrame
              .withColumn("doc_limit", L.max_docs("level")).drop("_req"))
     rejects = tagged.where(~L.level_is_valid("_req")).select(
         "request_id", "project_id", F.col("_req").alias("level"),
-        F.format_string('unknown detail level "%s": use compact, standard, or detailed',
-                        F.col("_req")).alias("error"))
+        F.format_string(T.UNKNOWN_LEVEL, F.col("_req")).alias("error"))
+    homeless = valid.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_anti")
+    rejects = rejects.unionByName(homeless.select("request_id", "project_id", "level", F.lit(T.UNKNOWN_PROJECT).alias("error")))
     bundles = C.context_bundles(projects, outputs, sessions, documents,
                                 L.MAX_CONTEXT_OUTPUTS, L.MAX_CONTEXT_SESSIONS, 0)
     ranked = C.rank_documents(valid, documents)

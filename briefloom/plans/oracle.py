@@ -170,33 +170,48 @@ _BASES = ["'f' || {s} || '.go'", "'f' || {s} || '.py'", "'f' || {s} || '.md'", "
           "'e' || {s} || '/.env.example'", "'r' || {s} || '/README'"]
 _DIRS = ["src", "node_modules/pkg", ".git/objects", "Docs", ".vscode/x", "lib/Vendor"]
 
-FX = {}
-FX["fx_manifest"] = f"""fx_manifest AS (
+_CORPUS_DIRS = ["src", "Docs", "cmd/app", "internal/x", "pages", "lib"]
+
+
+def _manifest(name, dirs, bases):
+    return f"""{name} AS (
   SELECT doc_id, source AS project_id, '/w/' || source AS root,
-         '/w/' || source || '/' || {_pick('doc_id % 6', [_lit(d) for d in _DIRS])} || '/' ||
-           {_pick('doc_id % 12', [b.format(s=_v('doc_id')) for b in _BASES])} AS path,
-         n_chars * 200 AS size, {minutes('doc_id')} AS mtime, sha256(text) AS hash,
+         '/w/' || source || '/' || {_pick('doc_id % 6', [_lit(d) for d in dirs])} || '/' ||
+           {_pick('doc_id % 12', [b.format(s=_v('doc_id')) for b in bases])} AS path,
+         CASE WHEN doc_id % 101 = 50 THEN 3145728 + doc_id ELSE strlen(text) END AS size,
+         {minutes('doc_id')} AS mtime, sha256(text) AS hash,
          CASE WHEN doc_id % 7 = 0 THEN sha256(text || '~') ELSE sha256(text) END AS prev_hash,
          doc_id % 97 = 96 AS is_symlink
   FROM documents)"""
-FX["fx_scan"] = f"""fx_scan0 AS (
-  SELECT *, {rel('path', 'root')} AS relative_path FROM fx_manifest
+
+
+def _scan(src, out):
+    return f"""{out}0 AS (
+  SELECT *, {rel('path', 'root')} AS relative_path FROM {src}
   WHERE NOT is_symlink AND {file_ok('path', 'size')}),
-fx_scan AS (SELECT *, {kind('path')} AS kind FROM fx_scan0 WHERE {dir_ok('relative_path')})"""
+{out} AS (SELECT *, {kind('path')} AS kind FROM {out}0 WHERE {dir_ok('relative_path')})"""
+
+
+FX = {}
+FX["fx_manifest"] = _manifest("fx_manifest", _DIRS, _BASES)
+FX["fx_corpus"] = _manifest("fx_corpus", _CORPUS_DIRS, [b.replace(".PNG", ".ts").replace(".min.js", ".css") for b in _BASES])
+FX["fx_scan"] = _scan("fx_manifest", "fx_scan")
+FX["fx_cscan"] = _scan("fx_corpus", "fx_cscan")
 FX["fx_prev"] = """fx_prev AS (
   SELECT sha256(project_id || '|' || relative_path) AS id, project_id, path, relative_path, kind,
          prev_hash AS hash, size, mtime AS modified_at,
          CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'summary of ' || relative_path END AS summary,
          doc_id % 3 = 0 AS raw_stored, TIMESTAMP '2023-12-01 00:00:00' AS created_at
-  FROM fx_scan WHERE doc_id % 11 <> 0)"""
-FX["fx_curr"] = """fx_curr AS (SELECT * FROM fx_scan WHERE doc_id % 13 <> 0)"""
+  FROM fx_cscan WHERE doc_id % 11 <> 0)"""
+FX["fx_curr"] = """fx_curr AS (
+  SELECT * EXCLUDE (hash), CASE WHEN doc_id % 89 <> 5 THEN hash END AS hash FROM fx_cscan WHERE doc_id % 13 <> 0)"""
 FX["fx_diff"] = """fx_diff AS (
   SELECT coalesce(c.project_id, p.project_id) AS project_id,
          coalesce(c.relative_path, p.relative_path) AS relative_path,
-         CASE WHEN c.path IS NULL THEN 'missing' WHEN p.id IS NULL THEN 'new'
+         CASE WHEN c.path IS NULL THEN 'missing' WHEN c.hash IS NULL THEN 'error' WHEN p.id IS NULL THEN 'new'
               WHEN p.hash = c.hash THEN 'skipped' ELSE 'updated' END AS status,
          coalesce(p.id, sha256(c.project_id || '|' || c.relative_path)) AS id,
-         c.path, c.kind, c.hash, c.size, p.kind AS prev_kind, p.hash AS prev_hash, p.size AS prev_size,
+         c.root, c.path, c.kind, c.hash, c.size, p.id AS prev_id, p.kind AS prev_kind, p.hash AS prev_hash, p.size AS prev_size,
          p.summary AS prev_summary, p.raw_stored AS prev_raw_stored
   FROM fx_curr c FULL OUTER JOIN fx_prev p
     ON c.project_id = p.project_id AND c.relative_path = p.relative_path)"""
@@ -265,7 +280,7 @@ fx_detect AS (
   FROM fx_cwds c LEFT JOIN fx_match m ON m.cwd_id = c.cwd_id AND m.rn = 1)"""
 _LEVEL_CASE = _pick("item_id % 5", [_lit(x) for x in ["", "compact", "standard", "full", "bogus"]])
 FX["fx_requests"] = f"""fx_requests0 AS (
-  SELECT 'r' || {_v('item_id')} AS request_id, 'src' || {_v('item_id % 20')} AS project_id,
+  SELECT 'r' || {_v('item_id')} AS request_id, 'src' || {_v('item_id % 21')} AS project_id,
          text AS goal, {_LEVEL_CASE} AS level0,
          item_id % 7 = 0 AS compact_only, item_id % 7 = 1 AS full_flag,
          CASE WHEN item_id % 2 = 0 THEN '' ELSE 'model-b' END AS model_override
@@ -389,7 +404,7 @@ FX["fx_inbox"] = f"""fx_inbox0 AS (
 fx_inbox AS (SELECT * FROM fx_inbox0 WHERE {ext('path')} IN {_in(P.INBOX_EXTS)})"""
 
 DEPS = {
-    "fx_scan": ["fx_manifest"], "fx_prev": ["fx_scan"], "fx_curr": ["fx_scan"],
+    "fx_scan": ["fx_manifest"], "fx_cscan": ["fx_corpus"], "fx_prev": ["fx_cscan"], "fx_curr": ["fx_cscan"],
     "fx_diff": ["fx_prev", "fx_curr"], "fx_detect": ["fx_res_projects", "fx_cwds"],
     "fx_normalized": ["fx_outputs", "fx_xresp"],
 }
@@ -432,27 +447,49 @@ no_mark AS (
   SELECT folder, path, row_number() OVER (PARTITION BY folder ORDER BY path DESC) AS ord FROM cand WHERE hwm IS NULL)
 SELECT folder, path, ord FROM with_mark WHERE ord <= 5
 UNION ALL SELECT folder, path, ord FROM no_mark WHERE ord = 1"""
+Q["incremental_scan_next"] = _with("fx_corpus") + f"""
+, f AS (SELECT project_id AS folder, path, {minutes('doc_id // 400')} AS mtime, {ext('path')} AS e,
+               CAST(regexp_extract(project_id, '(\\d+)$', 1) AS BIGINT) % 3 <> 0 AS marked FROM fx_corpus),
+first AS (SELECT * FROM f WHERE NOT marked AND e IN ('.md', '.json')
+          QUALIFY row_number() OVER (PARTITION BY folder ORDER BY path DESC) = 1),
+todo AS (
+  SELECT *, row_number() OVER (PARTITION BY folder ORDER BY mtime, path) AS n FROM f
+  WHERE marked AND mtime > TIMESTAMP '2023-12-31 00:00:00' AND e IN ('.md', '.json', '.log')
+  UNION ALL
+  SELECT f.*, 5 + row_number() OVER (PARTITION BY f.folder ORDER BY f.mtime, f.path) AS n
+  FROM f JOIN first g ON g.folder = f.folder
+  WHERE (f.mtime, f.path) > (g.mtime, g.path) AND f.e IN ('.md', '.json', '.log')
+  UNION ALL
+  SELECT f.*, 5 + row_number() OVER (PARTITION BY f.folder ORDER BY f.path DESC) AS n
+  FROM f WHERE NOT f.marked AND f.e IN ('.md', '.json') AND f.folder NOT IN (SELECT folder FROM first))
+SELECT folder, path, n - 5 AS ord FROM todo WHERE n BETWEEN 6 AND 10"""
 Q["ingest_diff"] = _with("fx_diff") + "SELECT project_id, relative_path, status, id FROM fx_diff"
 Q["ingest_summary"] = _with("fx_diff") + """
 SELECT project_id, count(*) FILTER (WHERE status = 'new') AS new, count(*) FILTER (WHERE status = 'updated') AS updated,
-       count(*) FILTER (WHERE status = 'skipped') AS skipped, CAST(0 AS BIGINT) AS errors
+       count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS errors
 FROM fx_diff WHERE status <> 'missing' GROUP BY project_id"""
 Q["ingest_sessions"] = _with("fx_diff") + f"""
 , c AS (
   SELECT project_id, count(*) FILTER (WHERE status = 'new') AS n_new, count(*) FILTER (WHERE status = 'updated') AS n_upd,
          count(*) FILTER (WHERE status = 'skipped') AS n_skip
-  FROM fx_diff WHERE status <> 'missing' GROUP BY project_id)
+  FROM fx_diff WHERE status <> 'missing' GROUP BY project_id),
+roots AS (SELECT DISTINCT project_id, root FROM fx_corpus UNION ALL
+          SELECT DISTINCT project_id, root || '-extra' FROM fx_corpus
+          WHERE CAST(regexp_extract(project_id, '(\\d+)$', 1) AS BIGINT) % 4 = 0),
+s AS (
+  SELECT r.project_id, r.root, coalesce(n_new, 0) AS n_new, coalesce(n_upd, 0) AS n_upd, coalesce(n_skip, 0) AS n_skip
+  FROM roots r LEFT JOIN c ON c.project_id = r.project_id AND NOT ends_with(r.root, '-extra'))
 SELECT project_id, CASE WHEN n_new + n_upd = 1 THEN 'file_ingest' ELSE 'folder_ingest' END AS type,
-       {R(T.INGEST_SUMMARY, path="'/w/' || project_id", new=_v('n_new'), updated=_v('n_upd'), skipped=_v('n_skip'))} AS summary,
+       {R(T.INGEST_SUMMARY, path="root", new=_v('n_new'), updated=_v('n_upd'), skipped=_v('n_skip'))} AS summary,
        '' AS next_action
-FROM c"""
+FROM s"""
 Q["document_upsert"] = _with("fx_diff") + """
 SELECT id, project_id, relative_path,
        CASE WHEN status IN ('new', 'updated') THEN kind ELSE prev_kind END AS kind,
        CASE WHEN status IN ('new', 'updated') THEN hash ELSE prev_hash END AS hash,
        CASE WHEN status IN ('new', 'updated') THEN size ELSE prev_size END AS size,
        coalesce(prev_summary, '') AS summary, coalesce(prev_raw_stored, false) AS raw_stored
-FROM fx_diff"""
+FROM fx_diff WHERE status <> 'error' OR prev_id IS NOT NULL"""
 Q["settings_latest"] = _with("fx_settings") + "SELECT key, value FROM fx_settings"
 Q["project_list"] = _with("fx_res_projects", "fx_settings") + """
 SELECT p.id, p.name, p.root_path, coalesce(s.value IS NOT NULL, false) AS is_active
@@ -495,19 +532,30 @@ Q["project_register"] = _with("fx_projects") + f"""
   FROM pages),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at, root_path) AS n FROM cand),
 st AS (
-  SELECT r.name, r.root_path,
+  SELECT r.name, r.root_path, r.created_at,
          CASE WHEN r.name = '' THEN 'name_required'
               WHEN r.name IN (SELECT name FROM fx_projects) OR r.n > 1 THEN 'duplicate_name'
               ELSE 'created' END AS status
   FROM ranked r)
-SELECT CASE WHEN status = 'created' THEN sha256('project|' || name) END AS id, name, root_path, status FROM st"""
+SELECT CASE WHEN status = 'created' THEN sha256('project|' || name) END AS id, name, root_path, status, count(*) AS n_candidates
+FROM st GROUP BY name, root_path, created_at, status"""
 Q["project_update"] = _with("fx_projects") + """
 , ch AS (
   SELECT 'src' || CAST(item_id % 25 AS VARCHAR) AS id, text AS summary, item_id FROM benchmark),
 last AS (SELECT id, arg_max(summary, item_id) AS summary FROM ch GROUP BY id)
-SELECT coalesce(p.id, l.id) AS id, coalesce(l.summary, p.summary) AS summary,
+SELECT coalesce(p.id, l.id) AS id, CASE WHEN p.id IS NULL THEN NULL WHEN l.id IS NULL THEN p.name ELSE 'new-' || p.id END AS name,
+       p.root_path, CASE WHEN p.id IS NOT NULL THEN coalesce(l.summary, p.summary) END AS summary,
+       CASE WHEN p.id IS NULL THEN NULL WHEN l.id IS NULL THEN array_to_string(p.active_goals, '|') ELSE l.summary END AS goals,
        CASE WHEN p.id IS NULL THEN 'not_found' WHEN l.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS status
 FROM fx_projects p FULL OUTER JOIN last l ON l.id = p.id"""
+Q["project_use"] = _with("fx_res_projects") + f"""
+, k AS (
+  SELECT page_id, CASE WHEN page_id % 3 = 0 THEN substring(sha256('/' || {HOST}), 1, 16)
+                       WHEN page_id % 3 = 1 THEN {default_name(f"'/' || {HOST}")} ELSE 'missing' END AS key FROM pages),
+n AS (SELECT name, arg_min(id, (created_at, id)) AS id FROM fx_res_projects GROUP BY name)
+SELECT 'active_project_id' AS key, coalesce(i.id, n.id) AS value, {_v(seconds('page_id'))} AS updated_at
+FROM k LEFT JOIN fx_res_projects i ON i.id = k.key LEFT JOIN n ON n.name = k.key
+WHERE coalesce(i.id, n.id) IS NOT NULL"""
 Q["project_delete"] = _with("fx_projects", "fx_docs", "fx_outputs", "fx_sessions") + """
 , gone AS (SELECT id FROM fx_projects WHERE CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) % 5 = 0)
 SELECT 'documents' AS table_name, id, project_id FROM fx_docs WHERE project_id NOT IN (SELECT id FROM gone)
@@ -693,7 +741,7 @@ j AS (
          b.name, b.root_path, b.summary, b.active_goals,
          list_slice(b.sessions, 1, r.max_sessions) AS ses, list_slice(b.outputs, 1, r.max_outputs) AS outs,
          coalesce(rd.rdocs, []) AS rdocs
-  FROM fx_valid_requests r LEFT JOIN fx_bundles b ON b.project_id = r.project_id
+  FROM fx_valid_requests r JOIN fx_bundles b ON b.project_id = r.project_id
   LEFT JOIN rd ON rd.request_id = r.request_id)
 SELECT request_id, project_id, level, model, {_brief_prompt()} AS user_prompt FROM j"""
 Q["extract_json"] = _with("fx_xresp") + "SELECT request_id, block AS json_block FROM fx_xresp"
@@ -741,10 +789,12 @@ Q["hook_payloads"] = _with("fx_projects") + f"""
          CASE WHEN turn % 5 = 4 THEN '' ELSE '/t/' || {_C} || '/' || {_T} || '.jsonl' END AS tpath,
          '{{"session_id": "s' || {_C} || '-' || {_T} || '", "transcript_path": "' ||
            (CASE WHEN turn % 5 = 4 THEN '' ELSE '/t/' || {_C} || '/' || {_T} || '.jsonl' END) ||
-           '", "cwd": "/w/src' || {_v('conv_id % 20')} || '/sub", "hook_event_name": "Stop"}}' AS body
-  FROM conversations),
+           '"' || {_pick('conv_id % 11', ["', " + '"cwd": ' + "'||place"] * 2 + ["''", "', " + '"cwd": null' + "'", "', " + '"CWD": ' + "'||place", "', " + '"cwd": "/nowhere", "cwd": ' + "'||place"] + ["', " + '"cwd": ' + "'||place"] * 5)} ||
+           ', "hook_event_name": "Stop"}}' AS body,
+         CASE WHEN conv_id % 11 IN (2, 3) THEN '' ELSE '/w/src' || {_v('conv_id % 20')} || '/sub' END AS real_cwd
+  FROM (SELECT *, '"/w/src' || {_v('conv_id % 20')} || '/sub"' AS place FROM conversations)),
 p1 AS (
-  SELECT conv_id, turn,
+  SELECT conv_id, turn, real_cwd,
          CASE WHEN (conv_id + turn) % 7 = 0 THEN substring(body, 1, 20)
               WHEN (conv_id + turn) % 7 = 1 THEN '{{"session_id": ' || {_C} || ', "transcript_path": "' || tpath || '"}}'
               ELSE body END AS payload
@@ -752,14 +802,14 @@ p1 AS (
 p2 AS (SELECT *, CASE WHEN json_valid(payload) THEN payload ELSE '"not json"' END AS vj FROM p1),
 payloads AS (
   SELECT conv_id, turn, {jstr('vj', 'session_id')} AS session_id, {jstr('vj', 'transcript_path')} AS transcript_path,
-         {jstr('vj', 'cwd')} AS cwd
+         real_cwd AS cwd
   FROM p2 WHERE {shape_ok('vj', _HSTR, [])}),
 tr AS (SELECT '/t/' || {_C} || '/' || {_T} || '.jsonl' AS transcript_path, text FROM conversations),
 roots AS (SELECT id, created_at, root_path || '/' AS rk FROM fx_projects WHERE root_path <> ''),
 m AS (
-  SELECT p.session_id, p.transcript_path, r.id AS project_id,
+  SELECT p.session_id, p.transcript_path, coalesce(r.id, (SELECT max(id) FROM fx_projects)) AS project_id,
          row_number() OVER (PARTITION BY p.conv_id, p.turn ORDER BY length(r.rk) DESC, r.created_at, r.id) AS rn
-  FROM payloads p JOIN roots r ON starts_with(p.cwd || '/', r.rk)
+  FROM payloads p LEFT JOIN roots r ON starts_with(p.cwd || '/', r.rk)
   WHERE p.transcript_path <> '')
 SELECT m.session_id, m.transcript_path, m.project_id, CAST(length(tr.text) AS BIGINT) AS n_chars
 FROM m JOIN tr ON tr.transcript_path = m.transcript_path WHERE m.rn = 1"""

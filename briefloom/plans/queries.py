@@ -50,7 +50,7 @@ def q_manifest_scan(spark, sf):
 
 
 def q_content_hash(spark, sf):
-    d = read_table(spark, sf, "documents", balance=True).select("doc_id", "text")
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
     return content_hash(d).select("doc_id", "hash")
 
 
@@ -80,6 +80,16 @@ def q_incremental_scan(spark, sf):
     return taken.select("folder", "path", "ord")
 
 
+def q_incremental_scan_next(spark, sf):
+    """The run after ``incremental_scan``, over files of which many share a modification time."""
+    m = fx.manifest(spark, sf, fx.CORPUS_DIRS)
+    files = m.select(F.col("project_id").alias("folder"), "path",
+                     F.expr(f"timestampadd(MINUTE, doc_id div 400, {fx.EPOCH})").alias("mtime"))
+    _, marks = incremental_scan(files, _hwm_marks(m).withColumn("hwm", F.expr("TIMESTAMP_NTZ'2023-12-31 00:00:00'")))
+    taken, _ = incremental_scan(files, marks)
+    return taken.select("folder", "path", "ord")
+
+
 # ------------------------------------------------------------------- diff
 def _diff(spark, sf, include_missing=False):
     scanned = scan_manifest(fx.current_scan(spark, sf))
@@ -95,8 +105,7 @@ def q_ingest_summary(spark, sf):
 
 
 def q_ingest_sessions(spark, sf):
-    roots = fx.manifest(spark, sf).select("project_id", "root").distinct()
-    return D.ingest_sessions(D.ingest_counters(_diff(spark, sf)), roots)
+    return D.ingest_sessions(D.ingest_counters(_diff(spark, sf), "root"), fx.ingest_roots(spark, sf))
 
 
 def q_document_upsert(spark, sf):
@@ -155,7 +164,7 @@ def _register_candidates(spark, sf):
 
 def q_project_register(spark, sf):
     r = dml.register_projects(fx.context_projects(spark, sf), _register_candidates(spark, sf))
-    return r.select("id", "name", "root_path", "status")
+    return r.select("id", "name", "root_path", "status", "n_candidates")
 
 
 def _changes(spark, sf):
@@ -166,8 +175,25 @@ def _changes(spark, sf):
 
 
 def q_project_update(spark, sf):
-    return dml.update_projects(fx.context_projects(spark, sf), _changes(spark, sf)) \
-        .select("id", "summary", "status")
+    projects = fx.context_projects(spark, sf)
+    changes = (_changes(spark, sf).withColumn("name", F.concat(F.lit("new-"), F.col("id")))
+               .withColumn("active_goals", F.array(F.col("summary"))))
+    done = dml.update_projects(projects, changes)
+    unknown = dml.unknown_changes(projects, changes)
+    none = F.lit(None).cast("string")
+    return (done.select("id", "name", "root_path", "summary", _j("active_goals").alias("goals"), "status")
+            .unionByName(unknown.select("id", none.alias("name"), none.alias("root_path"), none.alias("summary"),
+                                        none.alias("goals"), F.lit("not_found").alias("status"))))
+
+
+def q_project_use(spark, sf):
+    p = read_table(spark, sf, "pages").select("page_id", "url")
+    root = F.concat(F.lit("/"), F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
+    key = (F.when(F.col("page_id") % 3 == 0, F.substring(F.sha2(root, 256), 1, 16))
+           .when(F.col("page_id") % 3 == 1, P.default_project_name(root)).otherwise("missing"))
+    asked = p.select(key.alias("key"), F.expr(f"timestampadd(SECOND, page_id, {fx.EPOCH})").alias("updated_at"))
+    out = dml.use_project(asked, fx.resolution_projects(spark, sf))
+    return out.withColumn("updated_at", F.col("updated_at").cast("string"))
 
 
 def q_project_delete(spark, sf):
@@ -219,7 +245,7 @@ def q_document_counts(spark, sf):
 
 
 def q_token_counts(spark, sf):
-    d = read_table(spark, sf, "documents", balance=True).select("doc_id", "text")
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", _n(tokenize("text")).alias("n_tokens"))
 
 
@@ -380,9 +406,14 @@ def _payload_texts(spark, sf):
     cid, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     tpath = F.when(F.col("turn") % 5 == 4, F.lit("")).otherwise(
         F.concat(F.lit("/t/"), cid, F.lit("/"), turn, F.lit(".jsonl")))
+    place = F.concat(F.lit('"/w/src'), (F.col("conv_id") % 20).cast("string"), F.lit('/sub"'))
+    k = F.col("conv_id") % 11
+    cwd = (F.when(k == 2, F.lit("")).when(k == 3, F.lit(', "cwd": null'))
+           .when(k == 4, F.concat(F.lit(', "CWD": '), place))
+           .when(k == 5, F.concat(F.lit(', "cwd": "/nowhere", "cwd": '), place))
+           .otherwise(F.concat(F.lit(', "cwd": '), place)))
     body = F.concat(F.lit('{"session_id": "s'), cid, F.lit("-"), turn, F.lit('", "transcript_path": "'), tpath,
-                    F.lit('", "cwd": "/w/src'), (F.col("conv_id") % 20).cast("string"),
-                    F.lit('/sub", "hook_event_name": "Stop"}'))
+                    F.lit('"'), cwd, F.lit(', "hook_event_name": "Stop"}'))
     wrong = F.concat(F.lit('{"session_id": '), cid, F.lit(', "transcript_path": "'), tpath, F.lit('"}'))
     k = (F.col("conv_id") + F.col("turn")) % 7
     text = F.when(k == 0, F.substring(body, 1, 20)).when(k == 1, wrong).otherwise(body)
@@ -391,8 +422,9 @@ def _payload_texts(spark, sf):
 
 def q_hook_payloads(spark, sf):
     from briefloom.sources.hooks import ingest_hook_payloads
-    return ingest_hook_payloads(_payload_texts(spark, sf), _transcripts(spark, sf),
-                                fx.context_projects(spark, sf), _settings(spark, sf))
+    projects = fx.context_projects(spark, sf)
+    active = projects.agg(F.lit(J.ACTIVE_KEY).alias("key"), F.max("id").alias("value"))
+    return ingest_hook_payloads(_payload_texts(spark, sf), _transcripts(spark, sf), projects, active)
 
 
 # ----------------------------------------------------------------- inbox
@@ -446,6 +478,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kind_distribution": q_kind_distribution,
     "relative_paths": q_relative_paths,
     "incremental_scan": q_incremental_scan,
+    "incremental_scan_next": q_incremental_scan_next,
     "ingest_diff": q_ingest_diff,
     "ingest_summary": q_ingest_summary,
     "ingest_sessions": q_ingest_sessions,
@@ -457,6 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "project_lookup": q_project_lookup,
     "project_register": q_project_register,
     "project_update": q_project_update,
+    "project_use": q_project_use,
     "project_delete": q_project_delete,
     "documents_by_project": q_documents_by_project,
     "listing_cap100": q_listing_cap100,

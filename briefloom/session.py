@@ -40,8 +40,9 @@ def shared_dir(spark: SparkSession, purpose: str, unique: bool = True) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     The directory comes from ``spark.checkpoint.dir`` (or the context's
-    checkpoint dir).  Only when neither is set -- a local test run -- do we
-    create one, and we register it on the context so ``checkpoint()`` works.
+    checkpoint dir).  Only when neither is set in a local run do we create
+    one, and we register it on the context so ``checkpoint()`` works; on a
+    cluster executors could not share it, so a missing setting is an error.
     With ``unique=False`` the folder name is ``purpose`` itself, so a re-run
     of the same step overwrites its own intermediate.
     """
@@ -52,6 +53,9 @@ def shared_dir(spark: SparkSession, purpose: str, unique: bool = True) -> str:
         except Exception:  # noqa: BLE001 -- no SparkContext (Spark Connect)
             base = None
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="briefloom-ckpt-")
         try:
             spark.sparkContext.setCheckpointDir(base)

@@ -42,10 +42,22 @@ def _empty_list() -> Column:
 # Corpus manifest (S1 input) and its two snapshots for the diff.
 # --------------------------------------------------------------------------
 MANIFEST_DIRS = ["src", "node_modules/pkg", ".git/objects", "Docs", ".vscode/x", "lib/Vendor"]
-
-
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file: project_id, root, path, size, mtime, hash, prev_hash, doc_id, is_symlink."""
+CORPUS_DIRS = ["src", "Docs", "cmd/app", "internal/x", "pages", "lib"]
+# Every LARGE-th file gets this size: over the default ceiling.
+LARGE = 101
+LARGE_BYTES = 3 << 20
+# Every UNREADABLE-th file of the current scan has no digest.
+UNREADABLE = 89
+
+
+def manifest(spark: SparkSession, sf_dir: str, dirs: list[str] | None = None) -> DataFrame:
+    """One row per file: project_id, root, path, size, mtime, hash, prev_hash, doc_id, is_symlink.
+
+    The default folders exercise the filters; with ``CORPUS_DIRS`` all but a
+    few files (ignored names, symlinks, large ones) pass.
+    """
+    corpus = dirs is not None
+    dirs = dirs or MANIFEST_DIRS
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
     i = F.col("doc_id")
     s = i.cast("string")
@@ -55,8 +67,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("f"), s, F.lit(".md")),
         F.concat(F.lit("f"), s, F.lit(".txt")),
         F.concat(F.lit("f"), s, F.lit(".json")),
-        F.concat(F.lit("f"), s, F.lit(".PNG")),
-        F.concat(F.lit("f"), s, F.lit(".min.js")),
+        F.concat(F.lit("f"), s, F.lit(".ts" if corpus else ".PNG")),
+        F.concat(F.lit("f"), s, F.lit(".css" if corpus else ".min.js")),
         F.concat(F.lit("m"), s, F.lit("/Makefile")),
         F.concat(F.lit("f"), s, F.lit(".GO")),
         F.concat(F.lit("p"), s, F.lit("/package-lock.json")),
@@ -64,13 +76,13 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("r"), s, F.lit("/README")),
     ])
     root = F.concat(F.lit("/w/"), F.col("source"))
-    path = F.concat(root, F.lit("/"), _pick(i % 6, MANIFEST_DIRS), F.lit("/"), base)
+    path = F.concat(root, F.lit("/"), _pick(i % 6, dirs), F.lit("/"), base)
     return d.select(
         "doc_id",
         F.col("source").alias("project_id"),
         root.alias("root"),
         path.alias("path"),
-        (F.col("n_chars") * 200).alias("size"),
+        F.when(i % LARGE == 50, F.lit(LARGE_BYTES) + i).otherwise(F.octet_length("text")).cast("bigint").alias("size"),
         _minutes("doc_id").alias("mtime"),
         F.sha2("text", 256).alias("hash"),
         F.when(i % 7 == 0, F.sha2(F.concat("text", F.lit("~")), 256))
@@ -80,15 +92,23 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files on disk now: the manifest minus every 13th file."""
-    return manifest(spark, sf_dir).where(F.col("doc_id") % 13 != 0).drop("prev_hash")
+    """Files on disk now: the corpus minus every 13th file; a few can't be read."""
+    m = manifest(spark, sf_dir, CORPUS_DIRS).where(F.col("doc_id") % 13 != 0).drop("prev_hash")
+    return m.withColumn("hash", F.when(F.col("doc_id") % UNREADABLE != 5, F.col("hash")))
+
+
+def ingest_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, root): each project's own root, and for every fourth an empty second one."""
+    r = manifest(spark, sf_dir, CORPUS_DIRS).select("project_id", "root").distinct()
+    num = F.regexp_extract("project_id", r"(\d+)$", 1).cast("bigint")
+    return r.unionByName(r.where(num % 4 == 0).withColumn("root", F.concat("root", F.lit("-extra"))))
 
 
 def previous_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table as left by the previous run (schema ``DOCUMENTS``)."""
     from briefloom.operators.manifest import scan_manifest, document_key
 
-    m = manifest(spark, sf_dir).where(F.col("doc_id") % 11 != 0)
+    m = manifest(spark, sf_dir, CORPUS_DIRS).where(F.col("doc_id") % 11 != 0)
     kept = scan_manifest(m.withColumn("hash", F.col("prev_hash")))
     return kept.select(
         document_key("project_id", "relative_path").alias("id"),
@@ -262,7 +282,7 @@ def plan_requests_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("item_id")
     return b.select(
         F.concat(F.lit("r"), i.cast("string")).alias("request_id"),
-        F.concat(F.lit("src"), (i % 20).cast("string")).alias("project_id"),
+        F.concat(F.lit("src"), (i % 21).cast("string")).alias("project_id"),  # no project has src20
         F.col("text").alias("goal"),
         _pick(i % 5, REQUEST_LEVELS).alias("level"),
         (i % 7 == 0).alias("compact_only"),

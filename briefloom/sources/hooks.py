@@ -32,16 +32,11 @@ def ingest_hook_payloads(payloads: DataFrame, transcripts: DataFrame, projects:
     resolved are dropped, like the reference's silent skip.
     """
     ok = parse_payloads(payloads).where(F.col("transcript_path") != "")
-    with_text = ok.join(transcripts, "transcript_path")
-    # the distinct cwds to resolve come from a native JSON read of the raw
-    # payloads (a superset of the valid ones), so the strict decode above is
-    # evaluated once; invalid payloads are already gone from ``with_text``
-    raw_cwd = F.get_json_object(F.col("payload"), "$.cwd")
-    cwds = (payloads.select(raw_cwd.alias("cwd")).where(F.col("cwd").isNotNull()).distinct()
-            .select(F.col("cwd").alias("cwd_id"), "cwd"))
-    resolved = resolve_projects(cwds, projects, settings, mode="detect_first").select(
-        F.col("cwd_id").alias("cwd"), "project_id")
-    return (with_text.join(resolved, "cwd")
+    # A payload without a cwd decodes to "", which no root holds: the active
+    # project decides, as for any cwd that is not found.
+    cwds = ok.select(F.col("cwd").alias("cwd_id"), "cwd").distinct()
+    resolved = resolve_projects(cwds, projects, settings, mode="detect_first").select("cwd", "project_id")
+    return (ok.join(transcripts, "transcript_path").join(resolved, "cwd", "left")
             .where(F.col("project_id").isNotNull())
             .select("session_id", "transcript_path", "project_id",
                     F.length("transcript").cast("bigint").alias("n_chars")))

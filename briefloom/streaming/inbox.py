@@ -31,19 +31,20 @@ BINARY_FILE_SCHEMA = T.StructType([
 
 
 def read_inbox(spark: SparkSession, inbox_dir: str, project_id: str,
-               archive_dir: str | None = None) -> DataFrame:
+               archive_dir: str | None = None, max_files: int = 1000) -> DataFrame:
     """S5 + F6 + F7 + D8: a stream of whole files dropped into ``inbox_dir``.
 
     Top level only (subfolders such as ``processed/`` are never read);
     accepted extensions via ``pathGlobFilter`` (case-sensitive).  With
     ``archive_dir`` (outside the inbox) consumed files are moved there.
     One inbox feeds one project (resolved by the caller, detection first).
+    Bytes that are no UTF-8 become U+FFFD, so one odd file can't stop the
+    stream; at most ``max_files`` files make one micro-batch.
     Columns: arrival_id, path, content, arrived_at, project_id.
     """
     exts = ",".join(e.lstrip(".") for e in P.INBOX_EXTS)
-    # binaryFile (not text/wholetext): an empty file is still one arrival
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("pathGlobFilter", f"*.{{{exts}}}"))
+              .option("pathGlobFilter", f"*.{{{exts}}}").option("maxFilesPerTrigger", max_files))
     if archive_dir:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
     df = reader.load(inbox_dir)
@@ -51,7 +52,7 @@ def read_inbox(spark: SparkSession, inbox_dir: str, project_id: str,
     return df.select(
         F.sha2(path, 256).alias("arrival_id"),
         path.alias("path"),
-        F.decode(F.col("content"), "UTF-8").alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("modificationTime").cast("timestamp_ntz").alias("arrived_at"),
         F.lit(project_id).alias("project_id"),
     )

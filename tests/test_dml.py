@@ -29,8 +29,19 @@ def test_update_last_change_wins_and_unknown_ids(spark):
     ch = spark.createDataFrame([("b", "s1", "2024-03-01 00:00:00"), ("b", "s2", "2024-03-02 00:00:00"),
                                 ("zz", "x", "2024-03-01 00:00:00")], "id string, summary string, updated_at string") \
         .withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
-    got = {r.id: (r.summary, r.status) for r in dml.update_projects(_projects(spark), ch).collect()}
-    assert got == {"a": ("", "unchanged"), "b": ("s2", "updated"), "zz": ("x", "not_found")}
+    projects = _projects(spark).withColumn("tags", F.array(F.lit("t"))).withColumn("active_goals", F.array(F.lit("g")))
+    ch = ch.withColumn("name", F.when(F.col("summary") == "s2", "renamed")).withColumn("active_goals", F.array(F.col("summary")))
+    done = dml.update_projects(projects, ch)
+    assert done.columns == [*projects.columns, "status"]
+    got = {r.id: (r.name, r.root_path, r.summary, r.tags, r.active_goals, r.status) for r in done.collect()}
+    assert got == {"a": ("alpha", "/w/a", "", ["t"], ["g"], "unchanged"), "b": ("renamed", "/w/b", "s2", ["t"], ["s2"], "updated")}
+    assert [tuple(r) for r in dml.unknown_changes(projects, ch).collect()] == [("zz", "project not found")]
+
+
+def test_use_project_writes_the_active_setting(spark):
+    keys = spark.createDataFrame([("beta", 1), ("a", 2), ("nobody", 3)], "key string, updated_at int")
+    got = sorted((r.key, r.value, r.updated_at) for r in dml.use_project(keys, _projects(spark)).collect())
+    assert got == [("active_project_id", "a", 2), ("active_project_id", "b", 1)]
 
 
 def test_delete_cascades(spark):

@@ -12,9 +12,9 @@ from conftest import SF_SMALL
 def test_counters_add_up(spark):
     scanned = scan_manifest(fx.current_scan(spark, SF_SMALL))
     diff = D.diff_documents(scanned, fx.previous_documents(spark, SF_SMALL))
-    c = D.ingest_counters(diff).agg(F.sum("new"), F.sum("updated"), F.sum("skipped")).first()
+    c = D.ingest_counters(diff).agg(F.sum("new"), F.sum("updated"), F.sum("skipped"), F.sum("errors")).first()
     assert sum(c) == scanned.count()
-    assert c[0] > 0 and c[1] > 0 and c[2] > 0
+    assert all(n > 0 for n in c)
 
 
 def test_second_run_skips_everything(spark):
@@ -23,7 +23,7 @@ def test_second_run_skips_everything(spark):
     snapshot = D.next_document_snapshot(first, "2024-06-01 00:00:00")
     again = D.diff_documents(scanned, snapshot, include_missing=True)
     statuses = {r.status for r in again.select("status").distinct().collect()}
-    assert statuses <= {"skipped", "missing"}
+    assert statuses <= {"skipped", "missing", "error"}
     # ids are stable across runs
     ids1 = {tuple(r) for r in first.where("status != 'missing'").select("relative_path", "id").collect()}
     ids2 = {tuple(r) for r in again.where("status != 'missing'").select("relative_path", "id").collect()}
@@ -76,6 +76,31 @@ def test_incremental_scan_advances_to_last_taken(spark):
     assert m["f"] == "2024-01-01 00:06:00"
 
 
+def test_incremental_scan_takes_every_file_of_one_mtime(spark):
+    files = spark.createDataFrame([("f", f"/d/{i}.md") for i in range(8)], "folder string, path string").withColumn(
+        "mtime", F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'"))
+    marks = spark.createDataFrame([("f", "2024-01-01")], "folder string, hwm string").withColumn("hwm", F.col("hwm").cast("timestamp_ntz"))
+    seen = []
+    for _ in range(3):
+        taken, marks = incremental_scan(files, marks)
+        seen.append(sorted(r.path for r in taken.collect()))
+    assert seen == [[f"/d/{i}.md" for i in range(5)], [f"/d/{i}.md" for i in range(5, 8)], []]
+
+
+def test_unreadable_files_and_empty_roots(spark):
+    rows = [("p", "/r1", "/r1/a.go", "h1"), ("p", "/r1", "/r1/b.go", None), ("p", "/r1", "/r1/c.go", None)]
+    scanned = scan_manifest(spark.createDataFrame([(*r, 5) for r in rows], "project_id string, root string, path string, hash string, size bigint")
+                            .withColumn("mtime", F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")))
+    prev = fx.previous_documents(spark, SF_SMALL).limit(1).withColumn("project_id", F.lit("p")).withColumn("relative_path", F.lit("b.go"))
+    diff = D.diff_documents(scanned, prev, include_missing=True)
+    assert {r.relative_path: r.status for r in diff.collect()} == {"a.go": "new", "b.go": "error", "c.go": "error"}
+    assert sorted(r.relative_path for r in D.next_document_snapshot(diff, "2024-06-01 00:00:00").collect()) == ["a.go", "b.go"]
+    assert D.ingest_counters(diff).first()["errors"] == 2
+    roots = spark.createDataFrame([("p", "/r1"), ("p", "/r2")], "project_id string, root string")
+    got = {r.summary for r in D.ingest_sessions(D.ingest_counters(diff, "root"), roots).collect()}
+    assert len(got) == 2 and any("1 new" in s for s in got) and any("0 new" in s for s in got)
+
+
 def test_single_file_ingest_bypasses_filters(spark):
     rows = [("p", "/w/p/img.png", "/w/p/img.png", 10), ("p", "/w/p", "/w/p/img.png", 10),
             ("p", "/w/p/.git/x.go", "/w/p/.git/x.go", 10), ("p", "/w/p/big.go", "/w/p/big.go", 5 << 20)]

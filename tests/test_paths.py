@@ -57,10 +57,10 @@ def test_default_project_name(spark):
     assert [r[0] for r in df.select(P.default_project_name("p")).collect()] == ["my-project", "b"]
 
 
-def test_test_tables_are_listed_once_per_session(spark):
+def test_a_rewritten_table_is_read_anew(spark, tmp_path):
     from briefloom.sources.tables import read_table
-    a = read_table(spark, "/root/testdata/sf0.001", "documents")
-    b = read_table(spark, "/root/testdata/sf0.001/", "documents")
-    c = read_table(spark, "/root/testdata/sf0.01", "documents")
-    assert a is b and a is not c
-    assert a.count() < c.count()
+    path = str(tmp_path / "documents.parquet")
+    spark.range(3).write.parquet(path)
+    assert read_table(spark, str(tmp_path), "documents").count() == 3
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert read_table(spark, f"{tmp_path}/", "documents").count() == 5

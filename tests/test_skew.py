@@ -40,7 +40,7 @@ def test_diff_on_hot_project_is_whole(spark):
 def test_root_prefix_matching_every_cwd(spark):
     cwds = fx.resolution_cwds(spark, SF_CHECK)
     projects = fx.resolution_projects(spark, SF_CHECK).unionByName(
-        spark.createDataFrame([("p-root", "root", "/")], "id string, name string, root_path string")
+        spark.createDataFrame([("p-root", "root", "/"), ("p-hot", "hot", "/hot")], "id string, name string, root_path string")
         .withColumn("created_at", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")))
     got = J.detect_projects(cwds, projects)
     assert got.count() == cwds.count()
@@ -64,10 +64,10 @@ def test_hot_prefix_join_is_split_by_aqe(spark):
     }
     old = {k: spark.conf.get(k, None) for k in confs}
     projects = fx.resolution_projects(spark, SF_CHECK).unionByName(
-        spark.createDataFrame([("p-root", "root", "/")], "id string, name string, root_path string")
+        spark.createDataFrame([("p-root", "root", "/"), ("p-hot", "hot", "/hot")], "id string, name string, root_path string")
         .withColumn("created_at", F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")))
-    cwds = fx.resolution_cwds(spark, SF_CHECK)
-    want = {r.cwd_id: r.project_id for r in J.detect_projects(cwds, projects).collect()}
+    cwds = fx.resolution_cwds(spark, SF_CHECK).withColumn("cwd", F.concat(F.lit("/hot"), "cwd"))
+    want = {r.cwd_id: "p-hot" for r in cwds.collect()}
     try:
         for k, v in confs.items():
             spark.conf.set(k, v)
