@@ -13,48 +13,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_binary_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Live corpus scan (S1/S2): every file below ``root`` with its bytes.
-
-    Spark's file source drops paths with a segment starting with '.' or '_'
-    and cannot see symlinks, so exact scan semantics live on a manifest
-    table; this reader is the convenience adapter for plain trees.
-    Columns: path, size, mtime, content (binary, read lazily per file).
-    """
-    df = (spark.read.format("binaryFile")
-          .option("recursiveFileLookup", "true")
-          .load(root))
-    return df.select(
-        F.regexp_replace("path", "^file:", "").alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
-        "content",
-    )
-
-
-def manifest_from_tree(spark: SparkSession, root: str, project_id: str,
-                       max_size_bytes: int = 1 << 20) -> DataFrame:
-    """S1 + S3 on a live tree: the manifest rows of the files under ``root``.
-
-    The size ceiling is a filter on ``length``, which the binaryFile source
-    applies before it reads a file, so oversized files are never read or
-    hashed.  ``max_size_bytes <= 0`` disables the ceiling.  Feed the result
-    to ``scan_manifest`` for the remaining filters (its size test is then a
-    no-op).  Hidden and ``_`` paths are invisible to Spark's file sources.
-    """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    if max_size_bytes > 0:
-        df = df.where(F.col("length") <= max_size_bytes)
-    return df.select(
-        F.lit(project_id).alias("project_id"),
-        F.lit(root.rstrip("/")).alias("root"),
-        F.regexp_replace("path", "^file:", "").alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
-        F.sha2(F.col("content"), 256).alias("hash"),
-    )
-
-
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """Each file as one string; ``source`` is the file path."""
     df = spark.read.text(path, wholetext=True)

@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from briefloom.operators.manifest import scan_manifest
-from briefloom.sources.tables import manifest_from_tree
+from briefloom.sources.tree import manifest_from_tree
 
 
 def _write(root, rel, data: bytes):
@@ -29,5 +29,19 @@ def test_manifest_from_tree(spark):
     assert set(got) == {"src/main.go", "README.md", "docs/Makefile"}
     assert got["src/main.go"] == ("source", hashlib.sha256(b"package main\n").hexdigest())
     assert got["docs/Makefile"][0] == "config"
-    plan = manifest_from_tree(spark, root, "p1")._jdf.queryExecution().executedPlan().toString()
-    assert "length" in plan and "PushedFilters" in plan
+    big = os.path.join(root, "big/huge.txt")
+    one = scan_manifest(manifest_from_tree(spark, big, "p1")).collect()
+    assert [(r.relative_path, r.size, r.hash) for r in one] == [("huge.txt", 2 << 20, hashlib.sha256(b"a" * (2 << 20)).hexdigest())]
+
+
+def test_hidden_underscore_and_empty_files_stay_and_links_do_not(spark):
+    root = tempfile.mkdtemp(prefix="briefloom-tree-")
+    kept = ["pkg/__init__.py", "pkg/__main__.py", ".env", ".gitignore", "_build.md", "empty.go", "a.go"]
+    for rel in [*kept, ".git/config", "node_modules/deep/er/x.js"]:
+        _write(root, rel, b"" if rel == "empty.go" else rel.encode())
+    os.symlink(os.path.join(root, "a.go"), os.path.join(root, "link.go"))
+    os.symlink(os.path.join(root, "pkg"), os.path.join(root, "linked"))
+    listed = manifest_from_tree(spark, root, "p1")
+    assert {os.path.relpath(r.path, root) for r in listed.collect()} == set(kept)
+    got = {r.relative_path: r.hash for r in scan_manifest(listed).collect()}
+    assert got == {rel: hashlib.sha256(b"" if rel == "empty.go" else rel.encode()).hexdigest() for rel in kept}
