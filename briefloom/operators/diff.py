@@ -68,7 +68,7 @@ def ingest_counters(diff: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def next_document_snapshot(diff: DataFrame, ingested_at) -> DataFrame:
+def next_document_snapshot(diff: DataFrame, ingested_at, summaries: DataFrame | None = None) -> DataFrame:
     """The document table after the ingest (schema ``DOCUMENTS``).
 
     ``diff`` must come from ``diff_documents(..., include_missing=True)`` so
@@ -76,8 +76,14 @@ def next_document_snapshot(diff: DataFrame, ingested_at) -> DataFrame:
     whole next snapshot.  Changed rows keep their id and created_at and --
     unlike the reference, which blanks them -- their summary and raw_stored;
     new rows get a deterministic id; skipped, missing and unreadable rows are
-    kept as they were.  Callers write the result as a new snapshot.
+    kept as they were.  ``summaries`` (project_id, relative_path, summary; one
+    row per document) are what an extraction made of the documents: a non-empty
+    one replaces the summary.  Callers write the result as a new snapshot.
     """
+    if summaries is None:
+        diff = diff.withColumn("_new_summary", F.lit(None).cast("string"))
+    else:
+        diff = diff.join(summaries.select(*KEY, F.col("summary").alias("_new_summary")), KEY, "left")
     diff = diff.where((F.col("status") != "error") | F.col("prev_id").isNotNull())
     changed = F.col("status").isin("new", "updated")
 
@@ -92,7 +98,7 @@ def next_document_snapshot(diff: DataFrame, ingested_at) -> DataFrame:
         pick(F.col("hash"), "prev_hash").alias("hash"),
         pick(F.col("size"), "prev_size").alias("size"),
         pick(F.col("mtime"), "prev_modified_at").alias("modified_at"),
-        F.coalesce("prev_summary", F.lit("")).alias("summary"),
+        F.coalesce(F.nullif("_new_summary", F.lit("")), "prev_summary", F.lit("")).alias("summary"),
         F.coalesce("prev_raw_stored", F.lit(False)).alias("raw_stored"),
         F.coalesce("prev_created_at", F.lit(ingested_at).cast("timestamp_ntz")).alias("created_at"),
     )

@@ -20,6 +20,7 @@ from briefloom.operators import diff as D
 from briefloom.operators import extraction as X
 from briefloom.operators import render as R
 from briefloom.operators.manifest import scan_manifest
+from briefloom.operators.sessions import session_rows
 from briefloom.session import shared_dir
 
 
@@ -48,13 +49,14 @@ def write_documents_table(df: DataFrame, name: str, buckets: int) -> str:
 def corpus_ingest(spark: SparkSession, files: DataFrame, previous: DataFrame, roots: DataFrame,
                   out_dir: str, run_id: str, ingested_at: str,
                   max_size_bytes: int | None = None, documents_table: str | None = None,
-                  buckets: int = 0) -> dict[str, str]:
+                  buckets: int = 0, summaries: DataFrame | None = None) -> dict[str, str]:
     """Scan -> diff -> next document snapshot, counters, ingest sessions.
 
     ``files``: manifest (project_id, root, path, size, mtime, hash[, is_symlink]).
     ``previous``: the current document snapshot (``spark.table(...)`` of a
     bucketed snapshot keeps its side of the join in place).
-    ``roots``: (project_id, root).  With ``documents_table`` and ``buckets``
+    ``roots``: (project_id, root).  ``summaries``: (project_id, relative_path,
+    summary) of extracted documents.  With ``documents_table`` and ``buckets``
     the next snapshot is written as the bucketed catalog table
     ``<documents_table>_<run_id>`` (returned under "documents_table").
     """
@@ -63,11 +65,13 @@ def corpus_ingest(spark: SparkSession, files: DataFrame, previous: DataFrame, ro
                         f"ingest-diff-{run_id}")
     present = diff.where("status != 'missing'")
     counters = D.ingest_counters(present)
-    snapshot = D.next_document_snapshot(diff, ingested_at)
+    snapshot = D.next_document_snapshot(diff, ingested_at, summaries)
     out = {
         "documents": _write(snapshot, out_dir, "documents", run_id),
         "ingest_counters": _write(counters, out_dir, "ingest_counters", run_id),
-        "session_entries": _write(D.ingest_sessions(D.ingest_counters(present, "root"), roots), out_dir, "session_entries", run_id),
+        "session_entries": _write(
+            session_rows(D.ingest_sessions(D.ingest_counters(present, "root"), roots), run_id, ingested_at),
+            out_dir, "session_entries", run_id),
     }
     if documents_table and buckets > 0:
         snap = spark.read.parquet(out["documents"])
@@ -117,7 +121,8 @@ def brief_requests(spark: SparkSession, requests: DataFrame, projects: DataFrame
     }
 
 
-def plan_ingest(spark: SparkSession, responses: DataFrame, out_dir: str, run_id: str) -> dict[str, str]:
+def plan_ingest(spark: SparkSession, responses: DataFrame, out_dir: str, run_id: str,
+                planned_at: str) -> dict[str, str]:
     """Parse brief answers (with fallbacks) and record two sessions each.
 
     ``responses``: (request_id, project_id, request_goal, content, error).
@@ -125,7 +130,7 @@ def plan_ingest(spark: SparkSession, responses: DataFrame, out_dir: str, run_id:
     plans = _materialize(spark, X.parse_plans(responses), f"plans-{run_id}")
     return {
         "plan_results": _write(plans, out_dir, "plan_results", run_id),
-        "session_entries": _write(X.plan_sessions(plans), out_dir, "session_entries", run_id),
+        "session_entries": _write(session_rows(X.plan_sessions(plans), run_id, planned_at), out_dir, "session_entries", run_id),
     }
 
 
@@ -136,7 +141,7 @@ def handoff_export(spark: SparkSession, projects: DataFrame, outputs: DataFrame,
     bundles = C.context_bundles(projects, outputs, sessions, documents, *L.export_limits(full, compact))
     return {
         "handoffs": _write(R.handoff_documents(bundles, generated, compact=compact), out_dir, "handoffs", run_id),
-        "session_entries": _write(R.export_sessions(projects), out_dir, "session_entries", run_id),
+        "session_entries": _write(session_rows(R.export_sessions(projects), run_id, generated), out_dir, "session_entries", run_id),
     }
 
 

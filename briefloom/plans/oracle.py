@@ -211,7 +211,7 @@ FX["fx_diff"] = """fx_diff AS (
          CASE WHEN c.path IS NULL THEN 'missing' WHEN c.hash IS NULL THEN 'error' WHEN p.id IS NULL THEN 'new'
               WHEN p.hash = c.hash THEN 'skipped' ELSE 'updated' END AS status,
          coalesce(p.id, sha256(c.project_id || '|' || c.relative_path)) AS id,
-         c.root, c.path, c.kind, c.hash, c.size, p.id AS prev_id, p.kind AS prev_kind, p.hash AS prev_hash, p.size AS prev_size,
+         c.doc_id, c.root, c.path, c.kind, c.hash, c.size, p.id AS prev_id, p.kind AS prev_kind, p.hash AS prev_hash, p.size AS prev_size,
          p.summary AS prev_summary, p.raw_stored AS prev_raw_stored
   FROM fx_curr c FULL OUTER JOIN fx_prev p
     ON c.project_id = p.project_id AND c.relative_path = p.relative_path)"""
@@ -488,7 +488,9 @@ SELECT id, project_id, relative_path,
        CASE WHEN status IN ('new', 'updated') THEN kind ELSE prev_kind END AS kind,
        CASE WHEN status IN ('new', 'updated') THEN hash ELSE prev_hash END AS hash,
        CASE WHEN status IN ('new', 'updated') THEN size ELSE prev_size END AS size,
-       coalesce(prev_summary, '') AS summary, coalesce(prev_raw_stored, false) AS raw_stored
+       coalesce(nullif(CASE WHEN doc_id % 3 = 1 THEN (SELECT split_part(text, chr(10), 1) FROM documents d
+                                                      WHERE d.doc_id = fx_diff.doc_id) END, ''), prev_summary, '') AS summary,
+       coalesce(prev_raw_stored, false) AS raw_stored
 FROM fx_diff WHERE status <> 'error' OR prev_id IS NOT NULL"""
 Q["settings_latest"] = _with("fx_settings") + "SELECT key, value FROM fx_settings"
 Q["project_list"] = _with("fx_res_projects", "fx_settings") + """
@@ -774,6 +776,17 @@ UNION ALL
 SELECT sha256('spit|' || request_id || '|2'), request_id, {R(T.PLAN_SUMMARY, title='title', goal='goal')},
        coalesce(execution_plan[1], ''), array_to_string(list_transform(relevant_files, lambda r: r.path), '|')
 FROM fx_plan_fields"""
+_SID = "sha256('session|batch-1|' || project_id || '|' || type || '|' || summary)"
+Q["session_append"] = f"""
+SELECT {_SID} AS id, project_id, type, summary, '' AS related_files, '' AS open_questions, next_action,
+       '2024-06-01 12:00:00' AS created_at
+FROM ({Q["ingest_sessions"]})
+UNION ALL
+SELECT {_SID}, project_id, type, summary, '', '', '', '2024-06-01 12:00:00'
+FROM (SELECT DISTINCT source AS project_id, 'export' AS type, {R(T.EXPORT_SUMMARY, name="'proj-' || source")} AS summary FROM documents)
+UNION ALL
+SELECT p.id, 'src' || {_v('e.user_id % 20')}, 'spit', p.summary, p.related_files, '', p.next_action, '2024-06-01 12:00:00'
+FROM ({Q["plan_sessions"]}) p JOIN events e ON p.request_id = 'e' || {_v('e.event_id')}"""
 Q["noop_plans"] = _with("fx_requests") + f"""
 SELECT request_id, {_lit(T.FALLBACK_PLAN_TITLE)} AS title, goal, goal AS copy_ready_prompt, CAST(0 AS BIGINT) AS n_steps
 FROM fx_valid_requests"""

@@ -22,6 +22,7 @@ from briefloom.operators import extraction as X
 from briefloom.operators import render as R
 from briefloom.operators import resolve as J
 from briefloom.operators.manifest import content_hash, incremental_scan, scan_manifest
+from briefloom.operators.sessions import session_rows
 from briefloom.session import shared_dir
 from briefloom.sources import fixtures as fx
 from briefloom.sources.tables import read_table
@@ -108,8 +109,17 @@ def q_ingest_sessions(spark, sf):
     return D.ingest_sessions(D.ingest_counters(_diff(spark, sf), "root"), fx.ingest_roots(spark, sf))
 
 
+def q_session_append(spark, sf):
+    ingest = D.ingest_sessions(D.ingest_counters(_diff(spark, sf), "root"), fx.ingest_roots(spark, sf))
+    parts = [ingest, R.export_sessions(fx.context_projects(spark, sf)), X.plan_sessions(_plans(spark, sf))]
+    rows = [session_rows(p, "batch-1", INGESTED_AT) for p in parts]
+    return (rows[0].unionByName(rows[1]).unionByName(rows[2])
+            .select("id", "project_id", "type", "summary", _j("related_files").alias("related_files"),
+                    _j("open_questions").alias("open_questions"), "next_action", F.col("created_at").cast("string").alias("created_at")))
+
+
 def q_document_upsert(spark, sf):
-    snap = D.next_document_snapshot(_diff(spark, sf, include_missing=True), INGESTED_AT)
+    snap = D.next_document_snapshot(_diff(spark, sf, include_missing=True), INGESTED_AT, fx.document_summaries(spark, sf))
     return snap.select("id", "project_id", "relative_path", "kind", "hash", "size", "summary", "raw_stored")
 
 
@@ -482,6 +492,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_diff": q_ingest_diff,
     "ingest_summary": q_ingest_summary,
     "ingest_sessions": q_ingest_sessions,
+    "session_append": q_session_append,
     "document_upsert": q_document_upsert,
     "settings_latest": q_settings_latest,
     "project_list": q_project_list,

@@ -121,6 +121,15 @@ def previous_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, relative_path, summary): what an extraction made of every third document."""
+    from briefloom.operators.manifest import scan_manifest
+
+    text = read_table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("summary"))
+    kept = scan_manifest(current_scan(spark, sf_dir).where(F.col("doc_id") % 3 == 1))
+    return kept.join(text, "doc_id").select("project_id", "relative_path", "summary")
+
+
 # --------------------------------------------------------------------------
 # Context tables: documents with summaries, agent outputs, sessions, projects.
 # --------------------------------------------------------------------------

@@ -43,6 +43,34 @@ def test_brief_requests_job_rejects_unknown_levels(spark):
     assert req.where(F.col("messages")[0]["content"] != "sys").count() == 0
 
 
+def test_a_handoff_reads_what_the_jobs_wrote(spark):
+    """Ingest, outputs, plans and handoff over the engine's own tables."""
+    from briefloom.schemas import DOCUMENTS, SESSION_ENTRIES
+    out = tempfile.mkdtemp(prefix="briefloom-test-")
+    files = fx.current_scan(spark, SF_SMALL)
+    none = fx.previous_documents(spark, SF_SMALL).limit(0)
+    projects = fx.context_projects(spark, SF_SMALL)
+    a = jobs.corpus_ingest(spark, files, none, fx.ingest_roots(spark, SF_SMALL), out, "r1", "2024-06-01 00:00:00",
+                           summaries=fx.document_summaries(spark, SF_SMALL))
+    b = jobs.output_ingest(spark, fx.coding_outputs(spark, SF_SMALL), fx.extraction_responses(spark, SF_SMALL), out, "r2")
+    c = jobs.plan_ingest(spark, fx.plan_responses(spark, SF_SMALL), out, "r3", "2024-06-01 11:00:00")
+    d = jobs.handoff_export(spark, projects, spark.read.parquet(b["coding_outputs"]), spark.read.parquet(c["session_entries"]),
+                            spark.read.parquet(a["documents"]), out, "r4", "2024-06-01 12:00")
+    names = lambda path, schema: [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).select(
+        *schema.fieldNames()).schema] == [(f.name, f.dataType.simpleString()) for f in schema]
+    assert names(a["documents"], DOCUMENTS)
+    for run in (a, b, c, d):
+        assert names(run["session_entries"], SESSION_ENTRIES)
+        s = spark.read.parquet(run["session_entries"])
+        assert s.where(F.col("id").isNull() | F.col("created_at").isNull()).count() == 0 and s.count() == s.select("id").distinct().count()
+    h = spark.read.parquet(d["handoffs"])
+    assert h.count() == projects.count() and h.where(F.size("relevant_files") > 0).count() > 0
+    e = jobs.brief_requests(spark, fx.plan_requests_input(spark, SF_SMALL), projects, spark.read.parquet(b["coding_outputs"]),
+                            spark.read.parquet(c["session_entries"]), spark.read.parquet(a["documents"]), out, "r5")
+    assert spark.read.parquet(e["llm_requests"]).where(F.col("messages")[1]["content"].isNull()).count() == 0
+    assert spark.read.parquet(e["brief_rejects"]).where(F.col("error") == "project not found").count() > 0
+
+
 def test_other_jobs_write_their_tables(spark):
     out = tempfile.mkdtemp(prefix="briefloom-test-")
     projects, outputs = fx.context_projects(spark, SF_SMALL), fx.coding_outputs(spark, SF_SMALL)
@@ -50,7 +78,7 @@ def test_other_jobs_write_their_tables(spark):
     a = jobs.output_ingest(spark, outputs, fx.extraction_responses(spark, SF_SMALL), out, "r1")
     assert spark.read.parquet(a["coding_outputs"]).count() == outputs.count()
     assert spark.read.parquet(a["session_entries"]).count() == outputs.count()
-    b = jobs.plan_ingest(spark, fx.plan_responses(spark, SF_SMALL), out, "r1")
+    b = jobs.plan_ingest(spark, fx.plan_responses(spark, SF_SMALL), out, "r1", "2024-06-01 12:00:00")
     n_plans = spark.read.parquet(b["plan_results"]).count()
     assert spark.read.parquet(b["session_entries"]).count() == 2 * n_plans
     c = jobs.handoff_export(spark, projects, outputs, sessions, docs, out, "r1", "2024-06-01 12:00")
