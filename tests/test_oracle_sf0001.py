@@ -5,10 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from briefloom.plans.oracle import ORACLE_SQL
+from briefloom.plans.queries import QUERIES
 from conftest import SF_SMALL
 
 TABLES = ["events", "documents", "pages", "benchmark", "conversations"]
-NAMES = sorted(E.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -33,13 +35,14 @@ def _rows(cols, recs):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(ORACLE_SQL) == set(QUERIES) and set(QUERIES) <= set(E.queries())
+    assert set(ORACLE_SQL) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF_SMALL)
-    rel = con.sql(E.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_SMALL)
+    rel = con.sql(ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(rel.columns, rel.fetchall())
 
