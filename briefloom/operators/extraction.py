@@ -29,12 +29,14 @@ def first_or_empty(arr) -> Column:
 
 def one_answer(responses: DataFrame, key: str = "request_id") -> DataFrame:
     """At most one answer per request: a runner may write an answer more than
-    once (retries).  A successful answer wins over a failed one; among equals
-    the larger content is kept, so the choice is deterministic.  A hash
-    aggregate (partial before the shuffle), so a hot key is pre-reduced."""
+    once (retries).  A successful answer wins over a failed one, then the
+    later ``attempt_at``, if the runner supplies that column; without it the
+    larger content is kept, so that a re-run makes the same choice.  Partial
+    aggregation before the shuffle pre-reduces a hot key."""
     cols = [c for c in responses.columns if c != key]
     ok = (F.coalesce(F.col("error"), F.lit("")) == "") & F.col("content").isNotNull()
-    rank = F.struct(ok, F.coalesce(F.col("content"), F.lit("")), F.coalesce(F.col("error"), F.lit("")))
+    attempt = [F.col("attempt_at")] if "attempt_at" in responses.columns else []
+    rank = F.struct(ok, *attempt, F.coalesce(F.col("content"), F.lit("")), F.coalesce(F.col("error"), F.lit("")))
     return (responses.groupBy(key).agg(F.max_by(F.struct(*cols), rank).alias("_a"))
             .select(key, *[F.col(f"_a.{c}").alias(c) for c in cols]))
 

@@ -22,6 +22,7 @@ from briefloom.operators import render as R
 from briefloom.operators.manifest import scan_manifest
 from briefloom.operators.sessions import session_rows
 from briefloom.session import shared_dir
+from briefloom.sources.hooks import hook_texts
 
 
 def _write(df: DataFrame, out_dir: str, table: str, run_id: str) -> str:
@@ -90,6 +91,26 @@ def output_ingest(spark: SparkSession, outputs: DataFrame, responses: DataFrame,
     }
 
 
+def text_ingest(spark: SparkSession, texts: DataFrame, out_dir: str, run_id: str, ingested_at: str,
+                system_prompt: str = "", model: str = "default") -> dict[str, str]:
+    """C2 passes 0 and 1, for explicit paths, hooks and inbox alike: texts
+    (project_id, source, raw_text) become outputs, their extraction requests
+    and their sessions.  ``output_ingest`` takes the answers."""
+    outputs = _materialize(spark, X.outputs_from_texts(texts, run_id, ingested_at), f"texts-{run_id}")
+    return {
+        "coding_outputs": _write(outputs, out_dir, "coding_outputs", run_id),
+        "llm_requests": _write(X.extraction_requests(outputs, system_prompt, model), out_dir, "llm_requests", run_id),
+        "session_entries": _write(session_rows(X.sessions_from_outputs(outputs), run_id, ingested_at), out_dir,
+                                  "session_entries", run_id),
+    }
+
+
+def hook_ingest(spark: SparkSession, payloads: DataFrame, transcripts: DataFrame, projects: DataFrame,
+                settings: DataFrame, out_dir: str, run_id: str, ingested_at: str) -> dict[str, str]:
+    """S6 into C2: the transcripts of hook payloads, stored as outputs."""
+    return text_ingest(spark, hook_texts(payloads, transcripts, projects, settings), out_dir, run_id, ingested_at)
+
+
 def brief_requests(spark: SparkSession, requests: DataFrame, projects: DataFrame, outputs: DataFrame,
                    sessions: DataFrame, documents: DataFrame, out_dir: str, run_id: str,
                    system_prompt: str = "", default_model: str = "default") -> dict[str, str]:

@@ -826,6 +826,12 @@ m AS (
   WHERE p.transcript_path <> '')
 SELECT m.session_id, m.transcript_path, m.project_id, CAST(length(tr.text) AS BIGINT) AS n_chars
 FROM m JOIN tr ON tr.transcript_path = m.transcript_path WHERE m.rn = 1"""
+_HID = "sha256(h.project_id || '|' || h.transcript_path || '|' || sha256(c.text) || '|batch-1')"
+Q["hook_outputs"] = f"""
+SELECT {_HID} AS id, h.project_id, h.transcript_path AS source, 'x' || {_HID} AS request_id, h.n_chars,
+       {R(T.OUTPUT_SUMMARY_FALLBACK, source='h.transcript_path')} AS summary
+FROM ({Q["hook_payloads"]}) h
+JOIN conversations c ON h.transcript_path = '/t/' || {_v('c.conv_id')} || '/' || {_v('c.turn')} || '.jsonl'"""
 Q["inbox_stream"] = _with("fx_inbox") + "SELECT arrival_id, path, project_id FROM fx_inbox"
 Q["inbox_dedup"] = _with("fx_inbox") + \
     "SELECT DISTINCT path, project_id, CAST(strlen(content) AS BIGINT) AS n_bytes FROM fx_inbox"

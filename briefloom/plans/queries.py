@@ -437,6 +437,20 @@ def q_hook_payloads(spark, sf):
     return ingest_hook_payloads(_payload_texts(spark, sf), _transcripts(spark, sf), projects, active)
 
 
+def q_hook_outputs(spark, sf):
+    from briefloom.sources.hooks import hook_texts
+    projects = fx.context_projects(spark, sf)
+    active = projects.agg(F.lit(J.ACTIVE_KEY).alias("key"), F.max("id").alias("value"))
+    outputs = X.outputs_from_texts(hook_texts(_payload_texts(spark, sf), _transcripts(spark, sf), projects, active),
+                                   "batch-1", INGESTED_AT)
+    asked = X.extraction_requests(outputs).select("request_id", F.col("output_id").alias("id"),
+                                                  F.length(F.col("messages")[1]["content"]).cast("bigint").alias("n_chars"))
+    told = X.sessions_from_outputs(outputs).select(F.col("id").alias("session_id"), "summary")
+    return (outputs.select("id", "project_id", "source").join(asked, "id")
+            .join(told, F.sha2(F.concat(F.lit("session|"), "id"), 256) == F.col("session_id"))
+            .select("id", "project_id", "source", "request_id", "n_chars", "summary"))
+
+
 # ----------------------------------------------------------------- inbox
 def _inbox_stream(spark, sf):
     events = read_table(spark, sf, "events")
@@ -527,6 +541,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "noop_plans": q_noop_plans,
     "json_lists": q_json_lists,
     "hook_payloads": q_hook_payloads,
+    "hook_outputs": q_hook_outputs,
     "inbox_stream": q_inbox_stream,
     "inbox_dedup": q_inbox_dedup,
     "inbox_sessions": q_inbox_sessions,

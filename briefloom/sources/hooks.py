@@ -23,13 +23,12 @@ def parse_payloads(payloads: DataFrame, text_col: str = "payload") -> DataFrame:
     return payloads.select(p.alias("p")).where(F.col("p").isNotNull()).select("p.*")
 
 
-def ingest_hook_payloads(payloads: DataFrame, transcripts: DataFrame, projects: DataFrame,
-                         settings: DataFrame) -> DataFrame:
-    """Payloads with their transcript and resolved project.
+def hook_texts(payloads: DataFrame, transcripts: DataFrame, projects: DataFrame, settings: DataFrame) -> DataFrame:
+    """(session_id, project_id, source, raw_text): each payload's transcript
+    and resolved project.
 
-    ``transcripts``: (transcript_path, transcript).  Returns (session_id,
-    transcript_path, project_id, n_chars); payloads whose project cannot be
-    resolved are dropped, like the reference's silent skip.
+    ``transcripts``: (transcript_path, transcript).  Payloads whose project
+    cannot be resolved are dropped, like the reference's silent skip.
     """
     ok = parse_payloads(payloads).where(F.col("transcript_path") != "")
     # A payload without a cwd decodes to "", which no root holds: the active
@@ -38,5 +37,12 @@ def ingest_hook_payloads(payloads: DataFrame, transcripts: DataFrame, projects:
     resolved = resolve_projects(cwds, projects, settings, mode="detect_first").select("cwd", "project_id")
     return (ok.join(transcripts, "transcript_path").join(resolved, "cwd", "left")
             .where(F.col("project_id").isNotNull())
-            .select("session_id", "transcript_path", "project_id",
-                    F.length("transcript").cast("bigint").alias("n_chars")))
+            .select("session_id", "project_id", F.col("transcript_path").alias("source"), F.col("transcript").alias("raw_text")))
+
+
+def ingest_hook_payloads(payloads: DataFrame, transcripts: DataFrame, projects: DataFrame,
+                         settings: DataFrame) -> DataFrame:
+    """(session_id, transcript_path, project_id, n_chars) of ``hook_texts``."""
+    return hook_texts(payloads, transcripts, projects, settings).select(
+        "session_id", F.col("source").alias("transcript_path"), "project_id",
+        F.length("raw_text").cast("bigint").alias("n_chars"))

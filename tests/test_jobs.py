@@ -71,6 +71,23 @@ def test_a_handoff_reads_what_the_jobs_wrote(spark):
     assert spark.read.parquet(e["brief_rejects"]).where(F.col("error") == "project not found").count() > 0
 
 
+def test_hooks_become_outputs_requests_and_sessions(spark):
+    out = tempfile.mkdtemp(prefix="briefloom-test-")
+    projects = fx.context_projects(spark, SF_SMALL).limit(1)
+    root = projects.first().root_path
+    payloads = spark.createDataFrame([
+        (f'{{"session_id": "a", "transcript_path": "/t/1", "cwd": "{root}/x"}}',), ('{"transcript_path": "/t/2"}',),
+        ('{"transcript_path": "/t/3", "cwd": null}',), ('{"transcript_path": "", "cwd": "/"}',), ("broken",),
+        ('{"transcript_path": "/t/4", "cwd": "\\ud83d"}',)], "payload string")
+    transcripts = spark.createDataFrame([(f"/t/{i}", f"text {i}") for i in range(1, 5)], "transcript_path string, transcript string")
+    active = spark.createDataFrame([("active_project_id", projects.first().id)], "key string, value string")
+    done = jobs.hook_ingest(spark, payloads, transcripts, projects, active, out, "r1", "2024-06-01 00:00:00")
+    assert _rows(spark, done["coding_outputs"], ["raw_text"]) == [(f"text {i}",) for i in range(1, 5)]
+    assert spark.read.parquet(done["llm_requests"]).count() == spark.read.parquet(done["session_entries"]).count() == 4
+    again = jobs.hook_ingest(spark, payloads, transcripts, projects, active, out, "r1", "2024-06-01 00:00:00")
+    assert spark.read.parquet(again["coding_outputs"]).count() == 4
+
+
 def test_other_jobs_write_their_tables(spark):
     out = tempfile.mkdtemp(prefix="briefloom-test-")
     projects, outputs = fx.context_projects(spark, SF_SMALL), fx.coding_outputs(spark, SF_SMALL)
