@@ -66,6 +66,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, bool]:
     return stored(ordered.withColumn("_key", F.monotonically_increasing_id()), "keyed"), False
 
 
+def with_texts(df: DataFrame) -> DataFrame:
+    """Join ``df``, which carries whole texts, by sort-merge at every size.
+
+    The other side grows with the corpus; were it broadcast while it is small,
+    a small run would show nothing of the shuffle that a large one needs.
+    """
+    return df.hint("merge")
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import components, keyed, stored, text_or_empty
+from briefloom.llm.common import components, keyed, stored, text_or_empty, with_texts
 
 EDITS = 2
 MIN_CHARS = 20
@@ -240,6 +240,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return (rows.join(drops, "_key", "left").withColumn("text", without("text", "drops"))
+    return (with_texts(rows).join(drops, "_key", "left").withColumn("text", without("text", "drops"))
             .select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns],
                     F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("lines_dropped")))

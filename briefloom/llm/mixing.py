@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from briefloom.llm.common import WORD, keyed, stored, text_or_empty
+from briefloom.llm.common import WORD, keyed, stored, text_or_empty, with_texts
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -154,5 +154,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     # Ordered by key, the mix of (_key, text, source) is the mix of the documents.
     taken = stored(mix(rows.select("_key", "text", "source"), "_key", "text", "source", weights, ratio, epochs)
                    .where("copies > 0").select("_key", "copies"), "mixed")
-    return (rows.join(taken, "_key")
+    return (with_texts(rows).join(taken, "_key")
             .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*"))
