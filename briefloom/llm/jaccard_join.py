@@ -13,7 +13,7 @@ several orders before it is verified.
    those is done as well.  Orders 2 to 4 sort the shared tokens by frequency
    and hash, by the power of two of the frequency and another hash, and again
    by another hash.
-3. Pairs come from order 2 with the length and positional filters, are
+3. Pairs come from order 2 with length, positional and bitmap filters, are
    intersected with orders 3 and 4, and verified on whole sets.
 
 Equal sets are one class from the start.  Classes link up in rounds: first
@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import components, keyed, stored, text_or_empty
+from briefloom.llm.common import components, keyed, stored, text_or_empty, with_texts
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
@@ -111,6 +111,18 @@ def _ceil_col(n: Column, similarity: int) -> Column:
     return F.ceil(n * similarity / F.lit(100)).cast("long")
 
 
+def _bitmap() -> list[Column]:
+    """256 bits in four longs, one of them set by each shared token."""
+    def word(i: int) -> Column:
+        mine = F.filter("shared", lambda x: F.pmod(x["tok"], F.lit(4)) == i)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x["tok"], 2), F.lit(64)).cast("int"))))
+    return [word(i).alias(f"bits{i}") for i in range(4)]
+
+
+BITS = [f"bits{i}" for i in range(4)]
+
+
 def prefixes(rows: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of rows (_key, text).
 
@@ -133,7 +145,7 @@ def prefixes(rows: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY)
     need = 1 + F.floor(_ceil_col(F.col("n"), similarity) / 8)
     left = stored(found.join(members.select("_key", "n"), "_key").where(F.col("count") >= need).select("_key", "n"), "left")
 
-    sets = stored(rows.join(left.select("_key"), "_key", "left_semi").mapInArrow(_sets(size), "_key long, tokens array<long>"),
+    sets = stored(with_texts(rows).join(left.select("_key"), "_key", "left_semi").mapInArrow(_sets(size), "_key long, tokens array<long>"),
                   "sets")
     tokens = sets.select("_key", F.explode("tokens").alias("tok"))
     counts = stored(tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "counts")
@@ -151,7 +163,7 @@ def prefixes(rows: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY)
         prefix(lambda x: x["df"]).alias("p1"),
         prefix(power, lambda x: F.xxhash64(x["tok"], F.lit(2))).alias("p2"),
         prefix(power, lambda x: F.xxhash64(x["tok"], F.lit(3))).alias("p3"),
-        (F.col("n") - F.size("shared")).alias("alone"))
+        (F.col("n") - F.size("shared")).alias("alone"), *_bitmap())
     return members, stored(classes, "classes")
 
 
@@ -172,8 +184,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFram
 def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """(v, label): component of each class that has a link."""
     # at: the token's place in the whole set, unshared tokens included.
-    rows = stored(classes.select("_key", "n", "alone", F.posexplode("p1").alias("i", "tok"))
-                  .select("_key", "n", "tok", (F.col("alone") + F.col("i") + 1).alias("at")), "p1")
+    rows = stored(classes.select("_key", "n", "alone", *BITS, F.posexplode("p1").alias("i", "tok"))
+                  .select("_key", "n", "alone", *BITS, "tok", (F.col("alone") + F.col("i") + 1).alias("at")), "p1")
     edges, comp = None, None
 
     def labelled() -> DataFrame:
@@ -215,7 +227,7 @@ def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = ST
     most = stored(size.groupBy("tok").agg(F.count("*").alias("comps"), F.max_by("comp", "count").alias("major")).where("comps > 1")
                   .select("tok", "major"), "major")
     mixed = stored(now.join(most, "tok"), "mixed")
-    side = lambda x: [F.col("_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "at")]]
+    side = lambda x: [F.col("_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "alone", "at", *BITS)]]
     few = mixed.where("comp <> major").select("tok", *side("a"))
     every = mixed.select("tok", *side("b"), (F.col("comp") == F.col("major")).alias("big"))
     # Length filter, and the positional one: if this is the first token that a
@@ -224,6 +236,12 @@ def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = ST
     fits = ((100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
             & ((100 + similarity) * (1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")))
                >= similarity * (F.col("n_a") + F.col("n_b"))))
+    # Bitmap filter: a bit that only one side has stands for a token that only
+    # it has, and so does every unshared token; a linked pair differs in few.
+    apart = F.col("alone_a") + F.col("alone_b")
+    for c in BITS:
+        apart = apart + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    fits = fits & ((100 + similarity) * apart <= (100 - similarity) * (F.col("n_a") + F.col("n_b")))
     pairs = (few.join(every, "tok").where("comp_a <> comp_b and (big or a < b)").where(fits)
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     join_up(_verified(stored(pairs, "pairs"), classes, similarity))
@@ -256,4 +274,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comp = link(classes, similarity)
     first = (members.join(comp, members["rep"] == comp["v"], "left")
              .where(F.coalesce("label", "rep") == F.col("_key")).select("_key"))
-    return rows.join(stored(first, "near-first"), "_key", "left_semi").select("row.*")
+    return with_texts(rows).join(stored(first, "near-first"), "_key", "left_semi").select("row.*")
