@@ -173,18 +173,19 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
     met = stored(keys.groupBy("k").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n"),
                                        F.max("indexed").alias("any")).where("lo < hi and any").select("k", "n"), "line-keys")
     rows = stored(keys.join(met, "k"), "line-rows")
-    text = lines.select("lid", "line")
-
     small = rows.where(F.col("n") <= group)
     x, y = (small.select("k", F.col("lid").alias(c), F.col("indexed").alias(f"i_{c}")) for c in "ab")
     pairs = stored(x.join(y, "k").where("a < b and (i_a or i_b)").select("a", "b").distinct(), "line-pairs")
+    # Larger groups: every block of at most about ``block`` lines meets every other once.
+    large = rows.where(F.col("n") > group).select("k", "lid", "n").distinct()
+    # Only lines of some group are compared: their texts move once, not in every join.
+    grouped = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(large.select("lid")).distinct()
+    text = stored(with_texts(lines.select("lid", "line")).join(grouped, "lid", "left_semi"), "line-texts")
     links = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
              .join(text.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
              .where(F.abs(F.length("line_a") - F.length("line_b")) <= edits)
              .mapInArrow(_verified(edits), "a long, b long"))
 
-    # Larger groups: every block of at most about ``block`` lines meets every other once.
-    large = rows.where(F.col("n") > group).select("k", "lid", "n").distinct()
     if not large.isEmpty():
         blocks = F.ceil(F.col("n") / block)
         one = (large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("lid"), F.col("blocks")))
