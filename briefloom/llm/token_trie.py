@@ -30,7 +30,7 @@ from briefloom.llm.common import text_or_empty
 
 MARK = "▁"
 SHIFT = 2.7
-NODES = 3_000_000
+NODES = 2_000_000
 _TRIES: dict = {}
 
 
