@@ -1,18 +1,34 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``min_chars`` code points that are equal or within
-``edits`` character edits of each other, directly or over further lines, are
-one class; of a class the first line by (document key, place) stays and all
-others go.  Shorter lines are never touched.
-
-Each distinct line is cut into ``edits + 1`` even segments.  A line within
-that many edits of it must hold one of the segments unchanged, at a place
-that the two lengths and the edits allow; so each line probes the segment
-index of its own and the next smaller lengths with just those substrings.
-Only the keys of each line are shuffled.  Keys that two lines share give the
-candidate pairs: groups of up to ``GROUP`` lines as rows, larger ones block
-against block inside tasks, which sift by character counts and return verified
-links alone.  Links are verified by banded bit-parallel edit distance.
+Lines of at least ``min_chars`` code points that are equal or near each
+other, directly or over further lines, are one class; of a class the first
+line by (document key, place) stays and all others go.  Shorter lines are
+never touched.  Two lines are near within ``edits`` character edits, or
+within one word edit for every ``SHARE`` words of the longer one.  A word
+(token) is a run of characters without white space; of scripts that put no
+blanks between words each character is one.
+
+Candidates, from keys of each line alone, lose no near pair:
+
+* Character edits, lines of few tokens: each line is cut into ``edits + 1``
+  even segments.  A line within that many edits of it must hold one of the
+  segments unchanged, at a place that the two lengths and the edits allow; so
+  each line probes the segment index of its own and the next smaller lengths
+  with just those substrings.
+* Token edits, up to ``BANDS``: the same over tokens, with as many segments for
+  each band of lengths as its edits plus one; a line just below a band is
+  indexed for that band as well.
+* Longer lines: ``k`` edits leave a run of at least (n - k) / (k + 1) of the n
+  tokens as it is, never fewer than ``RUN``.  Of every ``RUN`` tokens in a
+  row the run of ``GRAM`` tokens with the smallest hash is a key, so a run
+  that two lines share gives both of them the same key.  So do a few character
+  edits, which touch at most three tokens each.
+
+Keys that two lines share give the candidate pairs, if their counts of tokens
+allow it: groups of up to ``GROUP`` lines as rows, larger ones cut by that
+count and then block against block inside tasks, which sift by token counts
+and return verified links alone.  Links are verified by banded bit-parallel
+edit distance.
 
 Defined cases: null and empty texts have no lines and stay as they are;
 repeated rows and null ids are rows of their own, in the order of
@@ -22,13 +38,15 @@ table gives an empty result; other columns are passed on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import components, keyed, stored, text_or_empty, with_texts
@@ -37,10 +55,17 @@ EDITS = 2
 MIN_CHARS = 20
 GROUP = 32
 BLOCK = 256
+SHARE = 10  # tokens for each token edit
+BANDS = 3
+LONG = (BANDS + 1) * (SHARE - 1)  # tokens from which on a line may be within more edits of another
+RUN = 8  # tokens in a row that near lines of LONG tokens or more share
+GRAM = 5
 _BINS = 64
+_APART = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"[^\s{_APART}]+|\S")
 
 
-def within(a: str, b: str, edits: int) -> bool:
+def within(a: Sequence, b: Sequence, edits: int) -> bool:
     """Whether the edit distance of a and b is at most ``edits``.
 
     Bit-parallel over the diagonals: bit d of row e is set when e edits can
@@ -84,6 +109,44 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(state[-1] >> end & 1)
 
 
+def within_tokens(a: list[str], b: list[str], edits: int) -> bool:
+    """The same for many edits: bit-parallel over the whole of b, whose bits are one number."""
+    n, lo = min(len(a), len(b)), 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    if not a or not b:
+        return max(len(a), len(b)) <= edits
+    where: dict[str, int] = {}
+    for j, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << j
+    full, last, score = (1 << len(b)) - 1, 1 << len(b) - 1, len(b)
+    up, down = full, 0
+    for i, c in enumerate(a, 1):
+        hit = where.get(c, 0)
+        across = ((hit & up) + up ^ up | hit) & full
+        more, less = down | full & ~(across | up), up & across
+        score += bool(more & last) - bool(less & last)
+        if score - (len(a) - i) > edits:
+            return False
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | full & ~(hit | down | more), more & (hit | down)
+    return score <= edits
+
+
+def near(a: str, b: str, edits: int) -> bool:
+    """Whether a and b are within ``edits`` character edits or their share of token edits."""
+    if within(a, b, edits):
+        return True
+    x, y = _TOKEN.findall(a), _TOKEN.findall(b)
+    n = max(len(x), len(y))
+    k = n // SHARE
+    return bool(k) and (Counter(x) & Counter(y)).total() >= n - k and within_tokens(x, y, k)
+
+
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
     """(start, length) of the even segments of a line of n characters."""
     parts, out, at = edits + 1, [], 0
@@ -106,84 +169,175 @@ def probes(n: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+class _Digests(dict):
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = out = xxhash.xxh3_64_intdigest(token)
+        return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ x >> np.uint64(29)
+
+
+def anchors(tokens: list[list[str]], digests: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): of each RUN tokens in a row the smallest hash of GRAM tokens."""
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    each = np.fromiter((digests[t] for x in tokens for t in x), np.uint64, int(sizes.sum()))
+    grams = np.zeros(max(0, len(each) - GRAM + 1), np.uint64)
+    for i in range(GRAM):
+        grams = grams * np.uint64(0x100000001B3) + each[i:len(each) - GRAM + 1 + i]
+    grams = _mixed(grams)
+    width = RUN - GRAM + 1
+    least = grams[:max(0, len(grams) - width + 1)].copy()
+    for i in range(1, width):
+        np.minimum(least, grams[i:len(least) + i], out=least)
+    row = np.repeat(np.arange(len(tokens)), sizes)
+    inside = np.flatnonzero(row[:len(least)] == row[RUN - 1:RUN - 1 + len(least)])
+    row, least = row[inside], least[inside]
+    order = np.lexsort((least, row))
+    row, least = row[order], least[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+    return row[new], least[new]
+
+
 def _keys(edits: int):
     digest = xxhash.xxh3_64_intdigest
+    # Below: pairs within ``edits`` character edits share no run of RUN tokens for sure.
+    few = max(LONG, RUN * (edits + 1) + 3 * edits) + 2 * edits
+
+    def plan(n: int, allowed: int, base: int) -> tuple[list, list]:
+        seed = lambda length, i: base + (length * (allowed + 1) + i) * 8
+        return ([(p, p + size, seed(n, i)) for i, (p, size) in enumerate(segments(n, allowed))],
+                [(p, p + size, seed(length, i)) for length, i, p, size in probes(n, allowed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, list] = {}
-        look: dict[int, list] = {}
+        plans: dict[tuple[int, int], tuple[list, list]] = {}
+        digests = _Digests()
+
+        def planned(n: int, allowed: int, base: int) -> tuple[list, list]:
+            if (n, base) not in plans:
+                if len(plans) > 100_000:
+                    plans.clear()
+                plans[n, base] = plan(n, allowed, base)
+            return plans[n, base]
+
         for b in batches:
-            keys, owner, index = [], [], []
-            for lid, line in zip(b.column("lid").to_pylist(), b.column("line").to_pylist(), strict=True):
-                n = len(line)
-                if n not in own:
-                    if len(own) > 100_000:
-                        own.clear()
-                        look.clear()
-                    own[n] = [(p, p + size, n * 8 + i) for i, (p, size) in enumerate(segments(n, edits))]
-                    look[n] = [(p, p + size, length * 8 + i) for length, i, p, size in probes(n, edits)]
-                for p, q, seed in own[n]:
-                    keys.append(digest(line[p:q], seed))
-                found = {digest(line[p:q], seed) for p, q, seed in look[n]}
+            lids = b.column("lid").to_pylist()
+            keys, owner, indexed, width, long, at = [], [], [], [], [], []
+            for row, line in enumerate(b.column("line").to_pylist()):
+                tokens = _TOKEN.findall(line)
+                n = len(tokens)
+                width.append(n)
+                own, found = set(), set()
+                if n < few:
+                    cut, look = planned(len(line), edits, 0)
+                    own.update(digest(line[p:q], seed) for p, q, seed in cut)
+                    found.update(digest(line[p:q], seed) for p, q, seed in look)
+                for k in range(1, BANDS + 1):
+                    if (SHARE - 1) * k <= n < SHARE * (k + 1):
+                        cut, look = planned(n, k, k)
+                        own.update(digest("".join(tokens[p:q]), seed) for p, q, seed in cut)
+                        if n >= SHARE * k:
+                            found.update(digest("".join(tokens[p:q]), seed) for p, q, seed in look)
+                if n >= LONG:
+                    long.append(tokens)
+                    at.append(row)
+                found -= own
+                keys += own
                 keys += found
-                owner.append(lid)
-                index.append(len(found))
-            each = np.array(index, np.int64) + edits + 1
-            first = np.repeat(np.cumsum(each) - each, each)
+                owner += [row] * (len(own) + len(found))
+                indexed += [True] * len(own) + [False] * len(found)
+            row, least = anchors(long, digests)
+            keys = np.concatenate([np.array(keys, np.uint64), least])
+            owner = np.concatenate([np.array(owner, np.int64), np.array(at, np.int64)[row]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(owner, np.int64), each)),
-                 pa.array(np.arange(each.sum()) - first <= edits)], ["k", "lid", "indexed"])
+                [pa.array(keys.view(np.int64)), pa.array(np.array(lids, np.int64)[owner]), pa.array(np.array(width, np.int32)[owner]),
+                 pa.array(np.concatenate([np.array(indexed, bool), np.ones(len(least), bool)]))], ["k", "lid", "tokens", "indexed"])
     return run
 
 
 def _verified(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [within(x, y, edits) for x, y in zip(b.column("line_a").to_pylist(), b.column("line_b").to_pylist(), strict=True)]
+            ok = [near(x, y, edits) for x, y in zip(b.column("line_a").to_pylist(), b.column("line_b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
-def _bins(lines: list[str]) -> np.ndarray:
-    out = np.zeros((len(lines), _BINS), np.int16)
+def _bins(lines: list[str], digests: dict[str, int]) -> np.ndarray:
+    out = np.zeros((len(lines), _BINS), np.int32)
     for i, x in enumerate(lines):
-        out[i] = np.minimum(np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % _BINS, minlength=_BINS), 32767)
+        out[i] = np.bincount(np.array([digests[t] % _BINS for t in _TOKEN.findall(x)], np.int64), minlength=_BINS)
     return out
 
 
 def _blocks(edits: int):
-    """One pair of blocks of a group: an edit changes at most two character counts by one."""
+    """One pair of blocks of a group: a token edit changes at most two token counts by one, a character edit four."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
         left, right = group[group["side"] == 0], group[group["side"] == 1]
         same = len(right) == 0
         right = left if same else right
-        x, y = _bins(left["line"].tolist()).astype(np.int32), _bins(right["line"].tolist()).astype(np.int32)
+        digests, group_of = _Digests(), {lid: lid for lid in group["lid"]}
+
+        def top(v: int) -> int:
+            while group_of[v] != v:
+                group_of[v] = v = group_of[group_of[v]]
+            return v
+
+        x, y = _bins(left["line"].tolist(), digests), _bins(right["line"].tolist(), digests)
+        sizes, lids, lines = y.sum(axis=1), right["lid"].tolist(), right["line"].tolist()
         out = []
         for i, (lid, line) in enumerate(zip(left["lid"], left["line"], strict=True)):
-            for j in np.flatnonzero(np.abs(y - x[i]).sum(axis=1) <= 2 * edits).tolist():
-                if (not same or j > i) and within(line, right["line"].iloc[j], edits):
-                    out.append((min(lid, right["lid"].iloc[j]), max(lid, right["lid"].iloc[j])))
+            allowed = np.maximum(4 * edits, 2 * (np.maximum(sizes, x[i].sum()) // SHARE))
+            for j in np.flatnonzero(np.abs(y - x[i]).sum(axis=1) <= allowed).tolist():
+                # What further lines connect already needs no link of its own.
+                if (not same or j > i) and (one := top(lid)) != (other := top(lids[j])) and near(line, lines[j], edits):
+                    group_of[one] = other
+                    out.append((min(lid, lids[j]), max(lid, lids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
 
 
+def _lengths(edits: int) -> Column:
+    """Ranges of token counts: two lines that may be near are in the same or in neighbouring ones."""
+    n, step = F.col("tokens").cast("double"), 2 * edits
+    even = float(step * SHARE)
+    ratio = SHARE / (SHARE - 1) * 1.001  # rounding
+    return F.floor(F.when(n < even, n / step).otherwise(even / step + F.log(n / even) / F.log(F.lit(ratio)))) if step else F.floor(
+        F.log(F.greatest(n, F.lit(1.0))) / F.log(F.lit(ratio)))
+
+
 def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) of stored distinct lines (lid, line)."""
-    keys = lines.select("lid", "line").mapInArrow(_keys(edits), "k long, lid long, indexed boolean")
+    keys = lines.select("lid", "line").mapInArrow(_keys(edits), "k long, lid long, tokens int, indexed boolean")
     met = stored(keys.groupBy("k").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n"),
                                        F.max("indexed").alias("any")).where("lo < hi and any").select("k", "n"), "line-keys")
     rows = stored(keys.join(met, "k"), "line-rows")
-    small = rows.where(F.col("n") <= group)
-    x, y = (small.select("k", F.col("lid").alias(c), F.col("indexed").alias(f"i_{c}")) for c in "ab")
-    pairs = stored(x.join(y, "k").where("a < b and (i_a or i_b)").select("a", "b").distinct(), "line-pairs")
-    # Larger groups: every block of at most about ``block`` lines meets every other once.
-    large = rows.where(F.col("n") > group).select("k", "lid", "n").distinct()
+    # Larger groups are cut by counts of tokens: each line is in its own range and meets the range below.
+    cut = stored(rows.where(F.col("n") > group).withColumn("range", _lengths(edits))
+                 .withColumn("range", F.explode(F.array("range", F.col("range") + 1)))
+                 .select(F.xxhash64("k", "range").alias("k"), "lid", "tokens", "indexed").distinct(), "line-cut")
+    # Of groups of the same lines one is enough.
+    of = (cut.groupBy("k").agg(F.count("*").alias("n"), F.max("indexed").alias("any"), F.min("indexed").alias("all"),
+                               F.sum(F.xxhash64("lid").cast("decimal(20,0)")).alias("s1"),
+                               F.sum(F.xxhash64("lid", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
+          .where("n > 1 and any").groupBy("n", "all", "s1", "s2", F.when(~F.col("all"), F.col("k")).alias("own")).agg(F.min("k").alias("k")))
+    counted = cut.join(of.select("k", "n"), "k")
+    small = rows.where(F.col("n") <= group).unionByName(counted.where(F.col("n") <= group))
+    x, y = (small.select("k", F.col("lid").alias(c), F.col("indexed").alias(f"i_{c}"), F.col("tokens").alias(f"t_{c}")) for c in "ab")
+    far = F.abs(F.col("t_a") - F.col("t_b")) > F.greatest(F.lit(2 * edits), F.floor(F.greatest("t_a", "t_b") / SHARE))
+    pairs = stored(x.join(y, "k").where("a < b and (i_a or i_b)").where(~far).select("a", "b").distinct(), "line-pairs")
+    # What is still larger: every block of at most about ``block`` lines meets every other once.
+    large = stored(counted.where(F.col("n") > group).select("k", "lid", "n").distinct(), "line-large")
     # Only lines of some group are compared: their texts move once, not in every join.
     grouped = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(large.select("lid")).distinct()
     text = stored(with_texts(lines.select("lid", "line")).join(grouped, "lid", "left_semi"), "line-texts")
     links = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
              .join(text.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
-             .where(F.abs(F.length("line_a") - F.length("line_b")) <= edits)
              .mapInArrow(_verified(edits), "a long, b long"))
 
     if not large.isEmpty():

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
-from briefloom.llm.line_dedup import line_dedup, probes, segments, within
+from briefloom.llm.line_dedup import _keys, line_dedup, near, probes, segments, within, within_tokens
 
 
 def distance(a, b):
@@ -96,3 +97,80 @@ def test_repeated_rows_nulls_and_empty(spark):
     kept = [r for r in line_dedup(df).collect() if r.lines_dropped == 0]
     assert kept[0].doc_id == 1
     assert line_dedup(df.limit(0)).count() == 0
+
+
+def tokens(line):
+    return line.split()
+
+
+@pytest.mark.parametrize("group,block", [(32, 256), (2, 3)])
+def test_long_lines_with_changed_words(spark, monkeypatch, group, block):
+    from briefloom.llm import line_dedup as m
+    monkeypatch.setattr(m.line_links, "__defaults__", (2, group, block))
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdefgé") for _ in range(rng.randrange(2, 10))) for _ in range(400)]
+    opening = " ".join(rng.choice(vocabulary) for _ in range(12))
+    lines = []
+    for n in (10, 14, 20, 25, 30, 35, 50, 80, 110):  # words; from 35 on 200 characters and more
+        words = [*opening.split(), *(rng.choice(vocabulary) for _ in range(n))][-n - n // 4:]
+        for changed in (0, 1, 2, 3):
+            new = list(words)
+            for i in rng.sample(range(len(new)), changed):
+                new[i] = rng.choice(["zzzzzzzz", "", f"{new[i]}, yes", "qqqqqqq"])
+            lines.append(" ".join(new))
+    rng.shuffle(lines)
+    cut = [tokens(x) for x in lines]
+    first = list(range(len(lines)))
+    pairs = 0
+    for i, a in enumerate(cut):
+        for j in range(i):
+            k = max(len(a), len(cut[j])) // 10
+            if abs(len(a) - len(cut[j])) <= max(k, 6) and (distance(lines[i], lines[j]) <= 2 or distance(a, cut[j]) <= k):
+                pairs += lines[i] != lines[j]
+                first = [min(first[i], first[j]) if f in (first[i], first[j]) else f for f in first]
+    assert pairs > 15
+    got = {r.doc_id: r.lines_dropped for r in line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {i: int(f != i) for i, f in enumerate(first)}
+
+
+def test_one_to_three_changed_words_in_200_to_700_characters(spark):
+    rng = random.Random(8)
+    rows = []
+    for n, changed in ((40, 1), (40, 2), (40, 3), (75, 3), (110, 3)):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 7))) for _ in range(n)]
+        new = list(words)
+        for i in rng.sample(range(n), changed):
+            new[i] = "different"
+        assert 200 <= len(" ".join(words)) <= 700
+        rows += [" ".join(words), " ".join(new)]
+    got = line_dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.doc_id: r.lines_dropped for r in got.collect()} == {i: i % 2 for i in range(len(rows))}
+
+
+def test_near_lines_share_a_key():
+    rng = random.Random(9)
+    met = 0
+    for _ in range(1500):
+        a = " ".join(rng.choice(["a", "bc", "def", "", "12"]) + str(rng.randrange(900)) for _ in range(rng.randrange(9, 130)))
+        b = tokens(a)
+        for _ in range(max(1, len(b) // 10)):
+            i = rng.randrange(len(b))
+            b[i:i + rng.randrange(2)] = rng.choice([[], ["new"], ["a"]])
+        b = " ".join(b) if rng.random() < .7 else edited(rng, a, 2)
+        if a == b or not near(a, b, 2):
+            continue
+        x, y = (dict(zip(out["k"].to_pylist(), out["indexed"].to_pylist(), strict=True))
+                for line in (a, b)
+                for out in _keys(2)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([line])], ["lid", "line"])])))
+        met += 1
+        assert any(x[k] or y[k] for k in x.keys() & y.keys()), (a, b)
+    assert met > 500
+
+
+def test_distance_of_tokens_equals_full_distance():
+    rng = random.Random(10)
+    for _ in range(4000):
+        a = "".join(rng.choice("abcé") for _ in range(rng.randrange(0, 14)))
+        b = edited(rng, a, rng.randrange(0, 7))
+        for k in (0, 1, 3, 6):
+            assert within_tokens(list(a), list(b), k) == (distance(a, b) <= k), (a, b, k)
