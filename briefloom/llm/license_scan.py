@@ -7,7 +7,8 @@ the template's distinct words.  Template words are ordered by how many
 documents of the corpus hold them, rarest first; a matching block must hold
 one of the first |T| - need + 1 (prefix filter), enough words behind the first
 that it holds (positional filter) and enough words at all (length filter).
-What passes is counted exactly.  The templates are a fixed list, so every
+What passes is counted exactly, and every block that matches is returned; a
+passage in the overlap of two blocks is in both.  The templates are a fixed list, so every
 task holds them all and no text is shuffled.
 
 Besides, three base phrases are found wherever their words stand in a row.
@@ -79,8 +80,16 @@ class Templates:
 
     def matches(self, words: list[bytes]) -> dict[int, tuple[float, int]]:
         """{template: (containment, first word of the best block)} of those that meet the threshold."""
+        out: dict[int, tuple[float, int]] = {}
+        for t, containment, at in self.blocks(words):
+            if containment > out.get(t, (0.0, 0))[0]:
+                out[t] = (containment, at)
+        return out
+
+    def blocks(self, words: list[bytes]) -> list[tuple[int, float, int]]:
+        """(template, containment, first word) of every block that meets the threshold, by template and place."""
         if self.rare.isdisjoint(words):
-            return {}
+            return []
         blocks: dict[tuple[int, int], int] = {}
         for pos, w in enumerate(words):
             if w in self.rare:
@@ -88,7 +97,7 @@ class Templates:
                     b = pos // len(self.words[t])
                     for k in (b - 1, b) if b else (b,):
                         blocks[t, k] = min(i, blocks.get((t, k), i))
-        out: dict[int, tuple[float, int]] = {}
+        out = []
         for (t, k), i in sorted(blocks.items()):
             s, width = self.sets[t], len(self.words[t])
             if len(s) - i < _need(len(s)):
@@ -97,8 +106,8 @@ class Templates:
             if len(block) < _need(len(s)):
                 continue
             both = len(s & block)
-            if both >= _need(len(s)) and both / len(s) > out.get(t, (0.0, 0))[0]:
-                out[t] = (both / len(s), k * width)
+            if both >= _need(len(s)):
+                out.append((t, both / len(s), k * width))
         return out
 
 
@@ -146,12 +155,12 @@ def _scan(templates: Templates):
         found = {k: places(words, p) for k, p in phrases.items()}
         starts = [x for v in found.values() for x in v]
         base = {k for k, v in found.items() if v}
-        hits = {templates.names[t]: x for t, x in templates.matches(words).items()}
-        labels = base | {("mit" if k == "mit-short" else k) for k in hits}
-        best = max([x[0] for x in hits.values()], default=0.0)
+        hits = sorted((templates.names[t], at, c) for t, c, at in templates.blocks(words))
+        labels = base | {("mit" if k == "mit-short" else k) for k, _, _ in hits}
+        best = max([c for _, _, c in hits], default=0.0)
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                 ",".join(sorted(labels)), 1.0 if base else best,
-                [{"template": k, "containment": c, "block": at} for k, (c, at) in sorted(hits.items())])
+                [{"template": k, "containment": c, "block": at} for k, at, c in hits])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = pa.list_(pa.struct([("template", pa.string()), ("containment", pa.float64()), ("block", pa.int64())]))
@@ -165,7 +174,7 @@ def _scan(templates: Templates):
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
-    """One row per document: id, word and phrase counts, labels, score and the matched blocks."""
+    """One row per document: id, word and phrase counts, labels, score and all matched blocks."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     found = rows.mapInArrow(_scan(global_order(docs, text_col, texts)), f"id {dict(rows.dtypes)['id']}, {_SCAN}")
     return found.withColumnRenamed("id", id_col)

@@ -67,3 +67,22 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, "cc by nc"), (1, "cc by nc"), (None, None)], "doc_id long, text string")
     assert sorted(r.n_base for r in license_scan(df).collect()) == [0, 1, 1]
     assert license_scan(df.limit(0)).count() == 0
+
+
+def test_every_block_of_a_repeated_notice(spark):
+    pad = " ".join(["other"] * 150)
+    text = pad.join([TEMPLATES["isc"], TEMPLATES["bsd"], TEMPLATES["isc"], TEMPLATES["mit-short"], TEMPLATES["isc"]]).replace("other", " other ")
+    w = brute_words(text)
+    want = []
+    for k, t in TEMPLATES.items():
+        t = brute_words(t)
+        for i in range(0, len(w), len(t)):
+            both = len(set(t) & set(w[i:i + 2 * len(t)]))
+            if 100 * both >= 80 * len(set(t)):
+                want.append((k, i, both / len(set(t))))
+    assert sum(k == "isc" for k, _, _ in want) >= 3
+    df = spark.createDataFrame([(1, text), (2, "none"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(df).collect()}
+    assert [(m.template, m.block, m.containment) for m in got[1].matches] == sorted(want)
+    assert got[1].labels == "bsd,isc,mit" and got[1].score == 1.0
+    assert got[2].matches == [] == got[3].matches
