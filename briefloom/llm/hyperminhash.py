@@ -9,16 +9,19 @@
    registers with odds of 5e-8; bands without a hash are no band.
 3. *Estimate.*  Pairs that meet pass only if their registers' Jaccard estimate,
    less the collisions expected of two sets of such sizes, comes within
-   ``SIGMAS`` standard errors of the threshold, and if their sizes allow it.
-   It runs on packed registers in the JVM, as the condition of the joins, so
-   no other pair ever becomes a row.
+   ``SIGMAS`` standard errors of the threshold, and if their sizes allow it and
+   their parities: each shingle flips one of ``PARITY`` bits, so two sets differ
+   by at least as many shingles as bits.  All of it runs on packed longs in the
+   JVM, as the condition of the joins and in the first band that a pair shares,
+   so no other pair ever becomes a row.
 4. *Verification* on whole sets.  What is linked is decided here alone.
 
-Equal sets are one class from the start.  Classes link up in rounds: each is
-first tried against one hub of the bands it has, and joins the hub's
-component, so groups of near copies of any size collapse in linear work; then
-all remaining pairs that meet across components are tried.  Of a band's
-component with the most classes no two are paired again.
+Equal sets are one class from the start.  Classes link up in rounds: each
+band has one hub, a class is tried against the ``HUBS`` hubs that it shares
+most bands with and verified against the ``TRIED`` best estimates, and joins
+their components, so groups of near copies of any size collapse in linear
+work; then all remaining pairs that meet across components are tried.  Of a
+band's component with the most classes no two are paired again.
 
 Defined cases: null, empty or blank texts have an empty set and link with
 nothing; fewer words than a shingle make one shingle; null and repeated ids
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import components, keyed, stored, text_or_empty, with_texts
@@ -49,10 +52,14 @@ ZEROS = 14  # larger counts are kept as this one: they begin with sets of some m
 LANE = MANTISSA + 4
 SIGMAS = 6.0
 HUB_ROUNDS = 3
+HUBS = 8
+TRIED = 2
+PARITY = 1024
 _REST = 64 - BUCKET_BITS
 _LANES = [f"r{i}" for i in range(BUCKETS // 4)]  # four registers in a long
-_PACKED = [*_LANES, "o0", "o1"]  # and a bit for each bucket that has a hash
-_FLUSH = 500_000  # shingles compressed at a time
+_PARITIES = [f"x{i}" for i in range(PARITY // 64)]
+_PACKED = [*_LANES, "o0", "o1", *_PARITIES]  # o: a bit for each bucket that has a hash
+_FLUSH, _SETS = 500_000, 2048  # shingles and sets compressed at a time
 
 # The constant of the published estimate of expected collisions.
 _COLLISION = 0.169919487159739093975315012348
@@ -85,6 +92,23 @@ def bands(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), joined != 0
 
 
+def packed(regs: np.ndarray) -> np.ndarray:
+    """Four registers in a long, each with a free bit above it."""
+    lanes = regs.reshape(len(regs), -1, 4).astype(np.int64)
+    return sum(lanes[:, :, i] << (LANE + 1) * i for i in range(4))
+
+
+def bits(rows: np.ndarray) -> np.ndarray:
+    """Rows of booleans as longs."""
+    return np.packbits(rows, axis=1, bitorder="little").view(np.int64)
+
+
+def parities(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each set, the bits that an odd number of its hashes fall on."""
+    place = np.repeat(np.arange(len(lengths)) * PARITY, lengths) + (hashes & np.uint64(PARITY - 1)).astype(np.int64)
+    return (np.bincount(place, minlength=len(lengths) * PARITY).reshape(-1, PARITY) & 1).astype(bool)
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WordHashes()
@@ -94,17 +118,16 @@ def _signatures(size: int):
             both = np.concatenate([s.view(np.uint64) ^ np.uint64(1 << 63) for s in sets]) if sets else np.empty(0, np.uint64)
             regs = registers(both, np.repeat(np.arange(len(sets)), lengths), len(sets))
             key, used = bands(regs)
-            occupied = np.packbits(regs != 0, axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
-            lanes = packed(regs)
+            columns = np.concatenate([packed(regs), bits(regs != 0), bits(parities(both, lengths))], axis=1)
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             offsets = np.concatenate([[0], np.cumsum(used.sum(axis=1))]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(lengths),
                  *[pa.array([int.from_bytes(p[i:i + 8], "little", signed=True) for p in prints], pa.int64()) for i in (0, 8)],
-                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key[used], pa.int64())),
-                 *[pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(lanes.shape[1])],
-                 *[pa.array(np.ascontiguousarray(occupied[:, i])) for i in range(2)]],
-                ["_key", "n", "fa", "fb", "bands", *_PACKED])
+                 *[pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, t)) for x, t in
+                   ((key[used], pa.int64()), (np.nonzero(used)[1].astype(np.int32), pa.int32()))],
+                 *[pa.array(np.ascontiguousarray(columns[:, i])) for i in range(len(_PACKED))]],
+                ["_key", "n", "fa", "fb", "bands", "numbers", *_PACKED])
 
         for b in batches:
             keys, sets, held = [], [], 0
@@ -114,7 +137,7 @@ def _signatures(size: int):
                 keys.append(key)
                 sets.append(s)
                 held += len(s)
-                if held >= _FLUSH:
+                if held >= _FLUSH or len(sets) >= _SETS:
                     yield flushed(keys, sets)
                     keys, sets, held = [], [], 0
             if keys:
@@ -147,12 +170,6 @@ def _differing(x: Column) -> Column:
     return F.bit_count((x + F.lit(ones)).bitwiseAND(F.lit(free)))
 
 
-def packed(regs: np.ndarray) -> np.ndarray:
-    """Four registers in a long, each with a free bit above it."""
-    lanes = regs.reshape(len(regs), -1, 4).astype(np.int64)
-    return sum(lanes[:, :, i] << (LANE + 1) * i for i in range(4))
-
-
 def estimate(a: str, b: str) -> tuple[Column, Column]:
     """(Jaccard estimate corrected for collisions, buckets that either side has) of columns with suffixes a and b."""
     def sides(c):
@@ -178,29 +195,44 @@ def _may_link(a: str, b: str, similarity: int, sigmas: float = SIGMAS) -> Column
     t = similarity / 100
     jaccard, buckets = estimate(a, b)
     n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
-    return ((F.lit(100) * F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b))
+    apart = None
+    for c in _PARITIES:
+        odd = F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}")))
+        apart = odd if apart is None else apart + odd
+    return ((F.lit(100 + similarity) * apart <= F.lit(100 - similarity) * (n_a + n_b)) & (F.lit(100) * F.least(n_a, n_b) >= F.lit(similarity) * F.greatest(n_a, n_b))
             & (jaccard >= F.lit(t) - F.lit(sigmas * (t * (1 - t)) ** 0.5) / F.sqrt(buckets.cast("double"))))
 
 
+def _first_band(a: str, b: str) -> Column:
+    """The number of the first band that two classes share; a long holds a band."""
+    out = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(_LANES))):
+        x, y = F.col(f"{c}_{a}"), F.col(f"{c}_{b}")
+        out = F.when((x == y) & (x != 0), F.lit(i)).otherwise(out)
+    return out
+
+
 def signatures(rows: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, met) of rows (_key, text).
 
     members: _key, n, rep (the smallest key with an equal set).  classes: the
     reps that share a band with another, with n and packed registers.  met:
-    (band, _key) of the bands that several classes have.
+    (band, number, _key) of the bands that several classes have.
     """
-    kept = "_key long, n long, fa long, fb long, bands array<long>, " + ", ".join(f"{c} long" for c in _PACKED)
+    kept = "_key long, n long, fa long, fb long, bands array<long>, numbers array<int>, " + ", ".join(f"{c} long" for c in _PACKED)
     signed = stored(rows.mapInArrow(_signatures(size), kept), "hmh-signatures")
     named = signed.select("_key", "n", "fa", "fb")
     equal = stored(named.where("n > 0").groupBy("fa", "fb").agg(F.min("_key").alias("rep")), "hmh-equal")
     members = (named.where("n > 0").join(equal, ["fa", "fb"]).select("_key", "n", "rep")
                .unionByName(named.where("n = 0").select("_key", "n", F.col("_key").alias("rep"))))
     reps = equal.select(F.col("rep").alias("_key"))
-    spread = signed.select("_key", "bands").join(reps, "_key", "left_semi").select(F.explode("bands").alias("band"), "_key")
+    spread = (signed.select("_key", "bands", "numbers").join(reps, "_key", "left_semi")
+              .select("_key", F.explode(F.arrays_zip("bands", "numbers")).alias("x"))
+              .select(F.col("x.bands").alias("band"), F.col("x.numbers").alias("number"), "_key"))
     spread = stored(spread, "hmh-bands")
     often = spread.groupBy("band").count().where("count > 1").select("band")
     met = stored(spread.join(often, "band"), "hmh-met")
-    classes = stored(signed.drop("bands", "fa", "fb").join(met.select("_key").distinct(), "_key", "left_semi"), "hmh-classes")
+    classes = stored(signed.drop("bands", "numbers", "fa", "fb").join(met.select("_key").distinct(), "_key", "left_semi"), "hmh-classes")
     return stored(members, "hmh-members"), classes, met
 
 
@@ -226,7 +258,7 @@ def link(rows: DataFrame, classes: DataFrame, met: DataFrame, size: int = SHINGL
         if comp is None:
             return met.withColumn("comp", F.col("_key"))
         return (met.join(comp, met["_key"] == comp["v"], "left")
-                .select("band", "_key", F.coalesce("label", "_key").alias("comp")))
+                .select("band", "number", "_key", F.coalesce("label", "_key").alias("comp")))
 
     def join_up(found: DataFrame) -> bool:
         nonlocal edges, comp
@@ -239,15 +271,19 @@ def link(rows: DataFrame, classes: DataFrame, met: DataFrame, size: int = SHINGL
 
     for seed in range(hub_rounds):
         now = stored(labelled(), "hmh-rows")
-        # The hub of a band: the class with the smallest seeded hash, so that rounds try different ones.
+        # The hub of a band: the class with the smallest seeded hash; first the same one in many bands, then any.
+        order = F.xxhash64("_key", "band", F.lit(seed)) if seed else F.xxhash64("_key")
         hubs = stored(now.groupBy("band").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min(F.struct(F.xxhash64("_key", F.lit(seed)).alias("h"), F.col("_key").alias("b"), F.col("comp").alias("comp_b"))).alias("hub"))
+            F.min(F.struct(order.alias("h"), F.col("_key").alias("b"), F.col("comp").alias("comp_b"))).alias("hub"))
             .where("lo < hi").select("band", "hub.b", "hub.comp_b"), "hmh-hubs")
+        most = Window.partitionBy("a").orderBy(F.col("common").desc(), "b")
         tried = (now.join(hubs, "band").where("comp <> comp_b").groupBy(F.col("_key").alias("a"), "b").agg(F.count("*").alias("common"))
-                 .groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b")))
-        near = stored(stored(tried, "hmh-tried").join(side("a"), "a").join(side("b"), "b")
-                      .where(_may_link("a", "b", similarity)).select("a", "b"), "hmh-near")
+                 .withColumn("r", F.row_number().over(most)).where(F.col("r") <= HUBS).select("a", "b"))
+        best = Window.partitionBy("a").orderBy(F.col("like").desc(), "b")
+        near = stored(stored(tried, "hmh-tried").join(side("a"), "a").join(side("b"), "b").where(_may_link("a", "b", similarity))
+                      .select("a", "b", estimate("a", "b")[0].alias("like")).withColumn("r", F.row_number().over(best))
+                      .where(F.col("r") <= TRIED).select("a", "b"), "hmh-near")
         if not join_up(verified(near)):
             break
 
@@ -260,10 +296,10 @@ def link(rows: DataFrame, classes: DataFrame, met: DataFrame, size: int = SHINGL
     def named(x: str) -> list[Column]:
         return [F.col("_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", *_PACKED)]]
 
-    few = mixed.where("comp <> major").select("band", *named("a"))
+    few = mixed.where("comp <> major").select("band", "number", *named("a"))
     every = mixed.select("band", *named("b"), (F.col("comp") == F.col("major")).alias("big"))
-    pairs = (few.join(every, "band").where("comp_a <> comp_b and (big or a < b)").where(_may_link("a", "b", similarity))
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = (few.join(every, "band").where("comp_a <> comp_b and (big or a < b)")
+             .where(_may_link("a", "b", similarity) & (_first_band("a", "b") == F.col("number"))).select("a", "b"))
     join_up(verified(stored(pairs, "hmh-pairs")))
     return comp
 

@@ -90,13 +90,11 @@ def test_estimate_is_near_the_similarity(spark):
         pool = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64))
         common = int(j * len(pool))
         cut = common + int(rng.integers(0, len(pool) - common + 1))
-        a, b = np.sort(pool[rng.permutation(len(pool))]), None
         order = rng.permutation(len(pool))
         a, b = np.sort(pool[order[:cut]]), np.sort(pool[np.concatenate([order[:common], order[cut:]])])
         regs = H.registers(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
-        lanes = H.packed(regs)
-        occupied = np.packbits(regs != 0, axis=1, bitorder="little").view(np.int64).reshape(-1, 2)
-        pairs.append((i, len(a), len(b), *map(int, lanes[0]), *map(int, occupied[0]), *map(int, lanes[1]), *map(int, occupied[1])))
+        lanes = np.concatenate([H.packed(regs), H.bits(regs != 0), np.zeros((2, len(H._PARITIES)), np.int64)], axis=1)
+        pairs.append((i, len(a), len(b), *map(int, lanes[0]), *map(int, lanes[1])))
         want.append(common / len(pool))
     names = ["i", "n_a", "n_b", *[f"{c}_a" for c in H._PACKED], *[f"{c}_b" for c in H._PACKED]]
     df = spark.createDataFrame(pairs, ", ".join(f"{c} long" for c in names))
@@ -105,6 +103,15 @@ def test_estimate_is_near_the_similarity(spark):
         assert abs(got[i] - j) <= 4 * (j * (1 - j) / H.BUCKETS) ** 0.5 + 0.02
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(9)
+    for n in (3, 50, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 5:], rng.integers(0, 1 << 63, n // 7 + 1, dtype=np.uint64)]))
+        x = H.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert 0 < (x[0] ^ x[1]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_repeated_and_null_ids_and_empty_table(spark):
     t = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(4, t, "k"), (4, t + " more", "l"), (None, t, "m"), (9, "", "n"), (9, None, "o")],
