@@ -64,3 +64,13 @@ def shared_dir(spark: SparkSession, purpose: str, unique: bool = True) -> str:
     base = base.rstrip("/")
     suffix = f"-{uuid.uuid4().hex[:12]}" if unique else ""
     return f"{base}/briefloom/{purpose}{suffix}"
+
+
+def local_path(path: str) -> str:
+    """A mounted path as Python's file functions take it (``file:`` taken off)."""
+    if path.startswith("file:"):
+        path = path[5:]
+        return "/" + path.lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path} is not in a mounted folder")
+    return path
