@@ -842,4 +842,22 @@ Q["inbox_rejects"] = _with("fx_inbox") + f"""
 SELECT arrival_id, path, 'unsupported_extension' AS reason FROM fx_inbox0
 WHERE {ext('path')} NOT IN {_in(P.INBOX_EXTS)}"""
 
+_NAME = "'t' || " + _v("conv_id") + " || '-' || " + _v("turn")
+_EXT = _pick("(conv_id + turn) % 6", [_lit(e) for e in [".md", ".txt", ".json", ".log", ".MD", ".pdf"]])
+_DROPPED = f"""
+WITH f AS (SELECT {_NAME} AS stem, {_EXT} AS ext, CASE WHEN conv_id % 9 = 0 THEN '' ELSE coalesce(text, '') END AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"""
+Q["inbox_watch"] = _DROPPED + f"""
+SELECT 'src1' AS project_id, stem || ext AS name, strlen(text)::BIGINT AS n_bytes, sha256(text) AS hash, length(text)::BIGINT AS asked,
+       stem || '-0' || ext AS archived, true AS moved
+FROM f WHERE ext IN {_in(P.INBOX_EXTS)}"""
+Q["inbox_dead_letters"] = _DROPPED + f"""
+SELECT stem || ext AS name, 'unsupported_extension' AS reason FROM f WHERE ext NOT IN {_in(P.INBOX_EXTS)}"""
+FX["fx_files"] = """fx_files AS (
+  SELECT m.* EXCLUDE (root, size, hash), '/w' AS root, strlen(coalesce(d.text, '')) AS size, sha256(coalesce(d.text, '')) AS hash
+  FROM fx_manifest m JOIN documents d USING (doc_id) WHERE m.path IS NOT NULL)"""
+FX["fx_fscan"] = _scan("fx_files", "fx_fscan")
+DEPS |= {"fx_files": ["fx_manifest"], "fx_fscan": ["fx_files"]}
+Q["live_tree_scan"] = _with("fx_fscan") + "SELECT relative_path, kind, size, hash FROM fx_fscan"
+
 ORACLE_SQL = Q

@@ -7,6 +7,7 @@ with the DuckDB twins in ``briefloom.plans.oracle``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,12 @@ from briefloom.operators import render as R
 from briefloom.operators import resolve as J
 from briefloom.operators.manifest import content_hash, incremental_scan, scan_manifest
 from briefloom.operators.sessions import session_rows
-from briefloom.session import shared_dir
+from briefloom.session import local_path, shared_dir
 from briefloom.sources import fixtures as fx
 from briefloom.sources.tables import read_table
+from briefloom.sources.tree import manifest_from_tree
 from briefloom.streaming import inbox as I
+from briefloom.streaming import watch as W
 
 SEP = "|"
 GENERATED = "2024-06-01 12:00"
@@ -496,6 +499,36 @@ def q_inbox_rejects(spark, sf):
     return _drain(spark, I.rejected(_inbox_stream(spark, sf)), "inbox-rejects")
 
 
+def _watched(spark, sf):
+    """The inbox job over a folder of files made from the turns; returns its output folder."""
+    base = local_path(shared_dir(spark, "inbox-watch"))
+    fx.write_files(fx.inbox_files(spark, sf, f"{base}/inbox"))
+    W.watch_inbox(spark, f"{base}/inbox", f"file:{base}/out", f"file:{base}/ckpt", "src1", INGESTED_AT).awaitTermination()
+    return f"file:{base}/out"
+
+
+def q_inbox_watch(spark, sf):
+    out = _watched(spark, sf)
+    outputs = spark.read.parquet(f"{out}/coding_outputs").select("id", "project_id", "source", "raw_text")
+    asked = spark.read.parquet(f"{out}/llm_requests").select(F.col("output_id").alias("id"), F.length(F.element_at("messages", -1)["content"]).alias("asked"))
+    moved = spark.read.parquet(f"{out}/archived").select(F.col("src").alias("source"), P.base_name("dst").alias("archived"), "moved")
+    return (outputs.join(asked, "id").join(moved, "source")
+            .select("project_id", P.base_name("source").alias("name"), F.octet_length("raw_text").cast("bigint").alias("n_bytes"),
+                    F.sha2("raw_text", 256).alias("hash"), F.col("asked").cast("bigint").alias("asked"), "archived", "moved"))
+
+
+def q_inbox_dead_letters(spark, sf):
+    return (spark.read.parquet(f"{_watched(spark, sf)}/inbox_rejects")
+            .select(P.base_name("path").alias("name"), "reason"))
+
+
+def q_live_tree_scan(spark, sf):
+    base = local_path(shared_dir(spark, "live-tree"))
+    fx.write_files(fx.tree_files(spark, sf, base))
+    files = manifest_from_tree(spark, f"{base}/w", "all") if os.path.isdir(f"{base}/w") else fx.manifest(spark, sf).limit(0)
+    return scan_manifest(files).select("relative_path", "kind", "size", "hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest_scan": q_manifest_scan,
     "content_hash": q_content_hash,
@@ -546,4 +579,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "inbox_dedup": q_inbox_dedup,
     "inbox_sessions": q_inbox_sessions,
     "inbox_rejects": q_inbox_rejects,
+    "inbox_watch": q_inbox_watch,
+    "inbox_dead_letters": q_inbox_dead_letters,
+    "live_tree_scan": q_live_tree_scan,
 }

@@ -389,3 +389,45 @@ def inbox_content(user_id: Column, event_type: Column) -> Column:
     return F.when(user_id % 9 == 0, F.lit("")).otherwise(
         F.concat(F.lit("Agent run "), event_type, F.lit(" for user "), user_id.cast("string"),
                  F.lit("\nnext: review "), event_type))
+
+
+# --------------------------------------------------------------------------
+# Real files, written by tasks: a folder tree of documents, an inbox of turns.
+# --------------------------------------------------------------------------
+def _write_files(batches):
+    import os
+
+    import pyarrow as pa
+
+    for b in batches:
+        for path, text, link in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), b.column("link").to_pylist(), strict=True):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            new = f"{path}.{os.getpid()}.new"
+            if link:
+                os.symlink("/nowhere", new)
+            else:
+                with open(new, "w", encoding="utf-8", newline="") as f:
+                    f.write(text)
+            os.replace(new, path)
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+
+def write_files(files: DataFrame) -> int:
+    """Write (path, text, link) rows as files (or broken links) of a mounted folder; returns their number."""
+    return files.mapInArrow(_write_files, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def tree_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The manifest's files (default folders) below ``folder``, with whole texts."""
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return (manifest(spark, sf_dir).where(F.col("path").isNotNull()).select("doc_id", "path", F.col("is_symlink").alias("link"))
+            .join(texts, "doc_id").select(F.concat(F.lit(folder), "path").alias("path"), "text", "link"))
+
+
+def inbox_files(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Every turn as a file of an inbox, whole text; every ninth conversation's are empty."""
+    t = read_table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    c, n = F.col("conv_id"), F.col("turn")
+    return t.select(
+        F.concat(F.lit(folder + "/t"), c.cast("string"), F.lit("-"), n.cast("string"), _pick((c + n) % 6, INBOX_FILE_EXTS)).alias("path"),
+        F.when(c % 9 == 0, F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.lit(False).alias("link"))

@@ -1,20 +1,17 @@
-"""Inbox stream (S5, F6, F7, T1-T5, D8): new files -> outputs + sessions.
-
-The reference watches one folder with file-create events, an in-memory
-seen-set and a settle delay.  Here the folder is a Structured Streaming file
-source: its checkpointed file log replaces the create events (writers land
-files by atomic rename, which replaces the delay), ``dropDuplicates`` on the
-path keeps the seen-set in the checkpointed state store (it survives a
-restart, unlike the reference's), and ``foreachBatch`` writes each
-micro-batch's outputs and sessions to a per-batch folder, so a replayed batch
-overwrites itself instead of appending twice.
+"""Arrival streams: filters, dedupe and ingest of (path, content) rows from any source.
+
+The folder itself is read by ``sources.inbox`` and ingested by
+``streaming.watch``.  These functions serve streams that carry contents:
+``dropDuplicates`` on the path keeps the seen-set in the checkpointed state
+store, and ``foreachBatch`` writes each micro-batch's outputs and sessions to
+a per-batch folder, so a replayed batch overwrites itself instead of appending
+twice.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from briefloom.functions import paths as P
 from briefloom.operators.extraction import sessions_from_outputs
@@ -22,42 +19,6 @@ from briefloom.operators.extraction import sessions_from_outputs
 # Fixed values.
 PROCESSED_DIR = "processed"
 
-BINARY_FILE_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType(), False),
-    T.StructField("modificationTime", T.TimestampType(), False),
-    T.StructField("length", T.LongType(), False),
-    T.StructField("content", T.BinaryType(), True),
-])
-
-
-def read_inbox(spark: SparkSession, inbox_dir: str, project_id: str,
-               archive_dir: str | None = None, max_files: int = 1000) -> DataFrame:
-    """S5 + F6 + F7 + D8: a stream of whole files dropped into ``inbox_dir``.
-
-    Top level only (subfolders such as ``processed/`` are never read);
-    accepted extensions via ``pathGlobFilter`` (case-sensitive).  With
-    ``archive_dir`` (outside the inbox) consumed files are moved there.
-    One inbox feeds one project (resolved by the caller, detection first).
-    Bytes that are no UTF-8 become U+FFFD, so one odd file can't stop the
-    stream; at most ``max_files`` files make one micro-batch.
-    Columns: arrival_id, path, content, arrived_at, project_id.
-    """
-    exts = ",".join(e.lstrip(".") for e in P.INBOX_EXTS)
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("pathGlobFilter", f"*.{{{exts}}}").option("maxFilesPerTrigger", max_files))
-    if archive_dir:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    df = reader.load(inbox_dir)
-    path = F.regexp_replace(F.col("path"), "^file:", "")
-    return df.select(
-        F.sha2(path, 256).alias("arrival_id"),
-        path.alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("arrived_at"),
-        F.lit(project_id).alias("project_id"),
-    )
-
-
 def archive_name(path, batch_id) -> F.Column:
     """``<stem>-<batch id><ext>`` -- the batch id replaces the clock, so
     a replayed batch archives under the same name."""
@@ -118,10 +79,11 @@ def ingest_batch_writer(out_dir: str, ingested_at: str):
     out_dir = out_dir.rstrip("/")
 
     def _write(batch: DataFrame, batch_id: int) -> None:
-        outputs = outputs_from_files(batch, ingested_at).persist()
-        outputs.write.mode("overwrite").parquet(f"{out_dir}/outputs/batch={batch_id}")
-        sessions_from_outputs(outputs).write.mode("overwrite").parquet(f"{out_dir}/sessions/batch={batch_id}")
-        outputs.unpersist()
+        path = f"{out_dir}/outputs/batch={batch_id}"
+        outputs = outputs_from_files(batch, ingested_at)
+        outputs.write.mode("overwrite").parquet(path)
+        stored = batch.sparkSession.read.schema(outputs.schema).parquet(path)
+        sessions_from_outputs(stored).write.mode("overwrite").parquet(f"{out_dir}/sessions/batch={batch_id}")
 
     return _write
 
