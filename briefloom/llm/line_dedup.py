@@ -260,6 +260,26 @@ def _keys(edits: int):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``k`` those whose key another row has."""
+    held = None  # the last row so far, its key, and whether a row before it has the key
+    for b in batches:
+        if b.num_rows == 0:
+            continue
+        k = b.column("k").to_numpy()
+        same, keep = k[1:] == k[:-1], np.zeros(len(k), bool)
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None:
+            keep[0] |= held[1] == k[0]
+            if held[2] or held[1] == k[0]:
+                yield held[0]
+        held = b.slice(b.num_rows - 1), k[-1], bool(keep[-1])
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+    if held is not None and held[2]:
+        yield held[0]
+
+
 def _verified(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,9 +333,13 @@ def _lengths(edits: int) -> Column:
 
 def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) of stored distinct lines (lid, line)."""
-    keys = lines.select("lid", "line").mapInArrow(_keys(edits), "k long, lid long, tokens int, indexed boolean")
-    met = stored(keys.groupBy("k").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n"),
-                                       F.max("indexed").alias("any")).where("lo < hi and any").select("k", "n"), "line-keys")
+    schema = "k long, lid long, tokens int, indexed boolean"
+    # Most keys are met once: they move once, and no further than to the sort that shows it.
+    keys = (lines.select("lid", "line").mapInArrow(_keys(edits), schema).repartition("k").sortWithinPartitions("k")
+            .mapInArrow(_shared, schema))
+    keys = stored(keys, "line-keys")
+    met = keys.groupBy("k").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n"),
+                                F.max("indexed").alias("any")).where("lo < hi and any").select("k", "n")
     rows = stored(keys.join(met, "k"), "line-rows")
     # Larger groups are cut by counts of tokens: each line is in its own range and meets the range below.
     cut = stored(rows.where(F.col("n") > group).withColumn("range", _lengths(edits))

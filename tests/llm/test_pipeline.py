@@ -7,7 +7,6 @@ import numpy as np
 
 import corpus_pipeline
 from briefloom.llm import toxicity
-from briefloom.llm.line_dedup import within
 from briefloom.llm.packing import WordIds, default_tokenizer
 
 from .test_jaccard_join import brute as brute_components
@@ -37,6 +36,27 @@ def corpus():
     return rows, [(i, 1, x) for i, x in toxic.items() if i % 3]
 
 
+def distance(a, b, most):
+    """Edit distance by the plain table; anything above ``most`` may come back as more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def near(a, b):
+    """Two character edits, or a word edit for every ten words of the longer line."""
+    x, y = a.split(), b.split()
+    most = max(len(x), len(y)) // 10
+    return distance(a, b, 2) <= 2 or distance(x, y, most) <= most
+
+
 def brute_lines(rows):
     lines = [(k, p, x) for k, t in rows for p, x in enumerate((t or "").split("\n")) if len(x) >= 20]
     words = sorted({x for *_, x in lines})
@@ -49,7 +69,7 @@ def brute_lines(rows):
 
     for i, a in enumerate(words):
         for b in words[i + 1:]:
-            if within(a, b, 2):
+            if near(a, b):
                 up[top(a)] = top(b)
     first, gone = {}, set()
     for k, p, x in sorted(lines):
@@ -113,3 +133,34 @@ def test_stages_and_run(spark, tmp_path):
 
     ran = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in ran) == sorted(want)
+
+
+OWN = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, lines_dropped string, row string, _key string"
+
+
+def test_own_columns_repeated_rows_and_empty_tables(spark, tmp_path):
+    line = "this is a line of more than twenty characters that comes again"
+    rows = [(i, t, "en", s, len(t or ""), f"s{i}", f"p{i}", f"l{i}", f"r{i}", f"k{i}") for i, t, s in [
+        (1, f"{line}\nfirst own line of the first document", "a"), (2, f"{line}\nsecond own line of the second document", "a"),
+        (3, None, None), (4, "", "b"), (5, "you idiot, you moron, you scum", "b"), (6, "a calm text about nothing at all", "b")]]
+    rows += rows[:1]
+    docs = spark.createDataFrame(rows, OWN)
+    spark.createDataFrame([(i, 1, int(i == 5)) for i in range(1, 7)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("toxicity", "line_dedup", "near_copies", "mix"):
+        out = stages[name](spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes, name
+        for r in out.collect():
+            assert (r.score, r.predicted, r.lines_dropped, r.row, r["_key"]) == tuple(f"{c}{r.doc_id}" for c in "splrk"), name
+        kept = sorted(r.doc_id for r in out.collect())
+        if name == "toxicity":
+            assert set(kept) == {1, 2, 3, 4, 6} and len(kept) == 6
+        elif name == "line_dedup":
+            texts = [r.text for r in out.collect()]
+            assert sum(line in (t or "") for t in texts) == 1 and set(kept) == {1, 2, 3, 4, 5, 6}
+        elif name == "near_copies":
+            assert kept == [1, 2, 3, 4, 5, 6]
+        empty = stages[name](spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.dtypes == docs.dtypes
+    assert stages["pack"](spark, docs, str(tmp_path)).count() == 7
+    assert stages["pack"](spark, docs.limit(0), str(tmp_path)).count() == 0
