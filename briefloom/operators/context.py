@@ -3,6 +3,7 @@ context bundles (J7, A4) and status (A1, A3)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +11,41 @@ from briefloom.functions import levels as L
 from briefloom.functions.text import relevance_haystack, relevance_score, tokenize
 
 
+_LOCATOR = ["_at_file", "_at_row"]
+
+
+def _located(df: DataFrame) -> DataFrame | None:
+    """``df`` with the file and place of each row, if it is a selection of one table's rows; else None."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().head()
+    if not node.nodeName().startswith(("LogicalRelation", "Relation")):
+        return None
+    try:
+        return df.select("*", F.col("_metadata.file_path").alias(_LOCATOR[0]), F.col("_metadata.row_index").alias(_LOCATOR[1]))
+    except AnalysisException:  # a table of no files, or of files without places
+        return None
+
+
 def newest_per_project(df: DataFrame, n: int, time_col: str, id_col: str = "id",
                        rank_col: str = "recency_rank") -> DataFrame:
     """Rows ranked newest-first per project, keeping rank <= n.
 
-    Only (project, time, id) is sorted: a partial ``WindowGroupLimit`` keeps n
-    of them per project and input partition, and texts and lists are fetched
-    for the winners alone by a join on the key (project, id).  Ties on time go
-    to the larger id.
+    A partial ``WindowGroupLimit`` keeps n rows of a project in each input
+    partition.  Of a table's rows only (project, time, id) and the row's place
+    in its file are sorted, and texts and lists are fetched for the winners by
+    a join on the place, which no two rows share and none lacks; other frames
+    are ranked whole.  Ties on time go to the larger id.  A null project is one
+    of its own, null times and ids come last, repeated rows rank one by one.
     """
     w = Window.partitionBy("project_id").orderBy(F.col(time_col).desc(), F.col(id_col).desc())
-    best = (df.select("project_id", id_col, time_col).withColumn(rank_col, F.row_number().over(w))
-            .where(F.col(rank_col) <= n)
-            .select("project_id", id_col, F.col(rank_col).cast("bigint").alias(rank_col)))
-    return df.join(best, ["project_id", id_col]).select(*df.columns, rank_col)
+    located = _located(df)
+    if located is None:
+        return (df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
+                .withColumn(rank_col, F.col(rank_col).cast("bigint")))
+    best = (located.select("project_id", id_col, time_col, *_LOCATOR).withColumn(rank_col, F.row_number().over(w))
+            .where(F.col(rank_col) <= n).select(*_LOCATOR, F.col(rank_col).cast("bigint").alias(rank_col)))
+    return located.join(best, _LOCATOR).select(*df.columns, rank_col)
 
 
 def recent_outputs(outputs: DataFrame, n: int) -> DataFrame:
@@ -77,6 +99,33 @@ def rank_documents(requests: DataFrame, documents: DataFrame) -> DataFrame:
                          "score", "recency_rank", "relevance_rank")
 
 
+def rank_documents_by_token(requests: DataFrame, documents: DataFrame) -> DataFrame:
+    """``rank_documents`` for many requests: each token is looked for once per project.
+
+    A project's documents are searched for every *distinct* token that its
+    requests have, at most 15 texts a token; a request's score of a document is
+    then the sum over its tokens that were found; without a token (or with a
+    null goal) it is 0.  Texts meet tokens in one join; the winners' come last.
+    """
+    docs = recent_doc_summaries(documents, L.MAX_CONTEXT_DOCS).select(
+        F.col("id").alias("doc_id"), "project_id", "relative_path", "summary", "recency_rank",
+        relevance_haystack("relative_path", "summary").alias("_hay"))
+    req = requests.select("request_id", "project_id", tokenize("goal").alias("tokens"), "doc_limit")
+    asked = (req.select("request_id", "project_id", F.explode("tokens").alias("token"))
+             .groupBy("request_id", "project_id", "token").agg(F.count("*").alias("times")))
+    found = (asked.select("project_id", "token").distinct()
+             .join(docs.select("project_id", "doc_id", "_hay"), "project_id").where(F.contains("_hay", "token"))
+             .select("project_id", "token", "doc_id"))
+    scores = asked.join(found, ["project_id", "token"]).groupBy("request_id", "doc_id").agg(F.sum("times").alias("score"))
+    pairs = (req.select("request_id", "project_id", "doc_limit").join(docs.select("project_id", "doc_id", "recency_rank"), "project_id")
+             .where(F.col("recency_rank") <= F.col("doc_limit")).select("request_id", "project_id", "doc_id", "recency_rank"))
+    w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), F.col("recency_rank").asc())
+    ranked = (pairs.join(scores, ["request_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("bigint"))
+              .withColumn("relevance_rank", F.row_number().over(w).cast("bigint")))
+    return (ranked.join(docs.select("project_id", "doc_id", "relative_path", "summary"), ["project_id", "doc_id"])
+            .select("request_id", "project_id", "doc_id", "relative_path", "summary", "score", "recency_rank", "relevance_rank"))
+
+
 def _ordered(fields: list[str], name: str) -> Column:
     """A4: rows of one project gathered into a list in recency order.  The
     list is sorted on an explicit rank, never on collection order."""

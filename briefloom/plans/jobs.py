@@ -11,7 +11,9 @@ executor costs a re-read, not a recompute of the whole chain.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from briefloom.functions import formats as T
 from briefloom.functions import levels as L
@@ -19,10 +21,11 @@ from briefloom.operators import context as C
 from briefloom.operators import diff as D
 from briefloom.operators import extraction as X
 from briefloom.operators import render as R
-from briefloom.operators.manifest import scan_manifest
+from briefloom.operators.manifest import incremental_scan, scan_manifest
 from briefloom.operators.sessions import session_rows
 from briefloom.session import shared_dir
 from briefloom.sources.hooks import hook_texts
+from briefloom.sources.tables import BUCKETS, project_bucket
 
 
 def _write(df: DataFrame, out_dir: str, table: str, run_id: str) -> str:
@@ -80,6 +83,51 @@ def corpus_ingest(spark: SparkSession, files: DataFrame, previous: DataFrame, ro
     return out
 
 
+def incremental_export(spark: SparkSession, files: DataFrame, marks_dir: str, out_dir: str, run_id: str,
+                       first_marks: DataFrame | None = None, batch: int = 5) -> dict[str, str]:
+    """The files (folder, path, mtime) behind each folder's mark, and the marks they leave.
+
+    Marks are an append log, ``marks_dir/run=<run_id>``; runs are named in
+    their order (names sort).  A run reads the log of the runs before it and
+    publishes its own marks only when its output is written, so a run that
+    broke off, or is run again, takes the same files and none is lost.  The
+    marks of a folder are the greatest of the log: a mark never goes back.
+    ``first_marks`` (folder, hwm) stand before the first run.
+    """
+    schema = "folder string, hwm timestamp_ntz, hwm_path string"
+    log = spark.createDataFrame([], schema)
+    try:
+        log = (spark.read.schema(f"{schema}, run string").option("basePath", marks_dir).parquet(marks_dir)
+               .where(F.col("run") < run_id).select("folder", "hwm", "hwm_path"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if first_marks is not None:
+        log = log.unionByName(first_marks.select("folder", "hwm", F.lit(None).cast("string").alias("hwm_path")))
+    at = F.struct("hwm", "hwm_path")
+    marks = (log.groupBy("folder").agg(F.max_by(at, F.struct("hwm", F.col("hwm_path").isNull(), "hwm_path")).alias("m"))
+             .select("folder", "m.hwm", "m.hwm_path"))
+    taken, new = incremental_scan(files, marks, batch=batch)
+    out = _write(taken, out_dir, "exported_files", run_id)
+    # From what was written: the marks cannot be of other files.
+    last = (spark.read.schema(taken.schema).parquet(out).groupBy("folder").agg(F.max(F.struct("mtime", "path")).alias("m"))
+            .select("folder", F.col("m.mtime").alias("hwm"), F.col("m.path").alias("hwm_path")))
+    last.write.mode("overwrite").parquet(f"{marks_dir.rstrip('/')}/run={run_id}")
+    return {"exported_files": out, "marks": f"{marks_dir.rstrip('/')}/run={run_id}"}
+
+
+def append_rows(rows: DataFrame, table_dir: str, run_id: str, buckets: int = BUCKETS) -> str:
+    """Add a run's rows to a table in project buckets (``table_dir/bucket=<n>/run=<run_id>``).
+
+    A run that is made again replaces its own parts and no others.  A project
+    with most of the rows is one bucket in several files: the rows are
+    rebalanced, not dealt by bucket alone.
+    """
+    (rows.withColumn("bucket", project_bucket("project_id", buckets)).withColumn("run", F.lit(run_id)).hint("rebalance", "bucket")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "run").parquet(table_dir))
+    return table_dir
+
+
 def output_ingest(spark: SparkSession, outputs: DataFrame, responses: DataFrame, out_dir: str,
                   run_id: str, reject_empty: bool = False) -> dict[str, str]:
     """C2 pass 2: outputs filled from their extraction answers, plus sessions."""
@@ -120,8 +168,6 @@ def brief_requests(spark: SparkSession, requests: DataFrame, projects: DataFrame
     model_override).  Requests with an unknown level or project are written
     to ``brief_rejects`` (the reference refuses them).
     """
-    from pyspark.sql import functions as F
-
     req = L.requested_level("level", "compact_only", "full")
     tagged = requests.withColumn("_req", req)
     valid = (tagged.where(L.level_is_valid("_req"))

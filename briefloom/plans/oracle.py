@@ -860,4 +860,10 @@ FX["fx_fscan"] = _scan("fx_files", "fx_fscan")
 DEPS |= {"fx_files": ["fx_manifest"], "fx_fscan": ["fx_files"]}
 Q["live_tree_scan"] = _with("fx_fscan") + "SELECT relative_path, kind, size, hash FROM fx_fscan"
 
+Q["ingest_diff_folders"] = Q["ingest_diff"]
+Q["incremental_export"] = Q["incremental_scan_next"]
+Q["recent_context_summaries"] = Q["recent_context"]
+Q["relevance_rank_tokens"] = Q["relevance_rank"]
+Q["project_listing"] = f"SELECT * FROM ({Q['listing_cap100']}) WHERE project_id = 'src1'"
+
 ORACLE_SQL = Q

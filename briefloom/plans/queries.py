@@ -22,11 +22,14 @@ from briefloom.operators import dml
 from briefloom.operators import extraction as X
 from briefloom.operators import render as R
 from briefloom.operators import resolve as J
+from briefloom.operators import summary as S
+from briefloom.operators.folder_diff import diff_by_folder
 from briefloom.operators.manifest import content_hash, incremental_scan, scan_manifest
 from briefloom.operators.sessions import session_rows
+from briefloom.plans import jobs
 from briefloom.session import local_path, shared_dir
 from briefloom.sources import fixtures as fx
-from briefloom.sources.tables import read_table
+from briefloom.sources.tables import read_project, read_table
 from briefloom.sources.tree import manifest_from_tree
 from briefloom.streaming import inbox as I
 from briefloom.streaming import watch as W
@@ -104,6 +107,24 @@ def q_ingest_diff(spark, sf):
     return _diff(spark, sf, include_missing=True).select("project_id", "relative_path", "status", "id")
 
 
+def q_ingest_diff_folders(spark, sf):
+    scanned = scan_manifest(fx.current_scan(spark, sf))
+    diff = diff_by_folder(scanned, fx.previous_documents(spark, sf), include_missing=True)
+    return diff.select("project_id", "relative_path", "status", "id")
+
+
+def q_incremental_export(spark, sf):
+    """The second run of the job over files of which many share a modification time."""
+    base = shared_dir(spark, "export-runs")
+    m = fx.manifest(spark, sf, fx.CORPUS_DIRS)
+    files = m.select(F.col("project_id").alias("folder"), "path",
+                     F.expr(f"timestampadd(MINUTE, doc_id div 400, {fx.EPOCH})").alias("mtime"))
+    first = _hwm_marks(m).withColumn("hwm", F.expr("TIMESTAMP_NTZ'2023-12-31 00:00:00'"))
+    for run in ("1", "2"):
+        out = jobs.incremental_export(spark, files, f"{base}/marks", f"{base}/out", run, first)
+    return spark.read.parquet(out["exported_files"]).select("folder", "path", "ord")
+
+
 def q_ingest_summary(spark, sf):
     return D.ingest_counters(_diff(spark, sf))
 
@@ -303,6 +324,42 @@ def q_recent_context(spark, sf):
     )
 
 
+def q_recent_context_summaries(spark, sf):
+    """The bundles of ``recent_context`` from summaries of three runs, two of them compacted."""
+    base = shared_dir(spark, "summaries")
+    tables = {"outputs": fx.coding_outputs(spark, sf), "sessions": fx.session_entries(spark, sf)}
+    for i in range(3):
+        for kind, df in tables.items():
+            S.write_summary(df.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i), kind, base, f"r{i}")
+            if i == 1:
+                S.compact(spark, kind, base, f"r{i}")
+    S.write_summary(fx.context_documents(spark, sf), "documents", base, "r2")
+    b = S.context_from_summaries(spark, fx.context_projects(spark, sf), base, *STANDARD)
+    return b.select(
+        "project_id",
+        _j(F.transform("outputs", lambda o: o["id"])).alias("output_ids"),
+        _j(F.transform("sessions", lambda s: s["id"])).alias("session_ids"),
+        _j(F.transform("docs", lambda d: d["relative_path"])).alias("doc_paths"),
+    )
+
+
+def q_relevance_rank_tokens(spark, sf):
+    ranked = C.rank_documents_by_token(_valid_requests(spark, sf), fx.context_documents(spark, sf))
+    return ranked.select("request_id", "doc_id", "score", "recency_rank", "relevance_rank")
+
+
+def q_project_listing(spark, sf):
+    """One project's listings over tables in project buckets; the first run is made twice."""
+    base, out = shared_dir(spark, "buckets"), []
+    for name, df in (("coding_outputs", fx.coding_outputs(spark, sf)), ("session_entries", fx.session_entries(spark, sf))):
+        for run in (0, 0, 1):
+            jobs.append_rows(df.where(F.pmod(F.xxhash64("id"), F.lit(2)) == run), f"{base}/{name}", f"r{run}")
+        own = read_project(spark, f"{base}/{name}", "src1")
+        out.append(C.newest_per_project(own.select("project_id", "id", "created_at"), L.LISTING_CAP, "created_at")
+                   .select(F.lit(name).alias("table_name"), "project_id", "id", "recency_rank"))
+    return out[0].unionByName(out[1])
+
+
 def q_project_status(spark, sf):
     s = C.project_status(fx.context_projects(spark, sf), fx.context_documents(spark, sf),
                          fx.session_entries(spark, sf))
@@ -537,6 +594,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_scan": q_incremental_scan,
     "incremental_scan_next": q_incremental_scan_next,
     "ingest_diff": q_ingest_diff,
+    "ingest_diff_folders": q_ingest_diff_folders,
+    "incremental_export": q_incremental_export,
+    "recent_context_summaries": q_recent_context_summaries,
+    "relevance_rank_tokens": q_relevance_rank_tokens,
+    "project_listing": q_project_listing,
     "ingest_summary": q_ingest_summary,
     "ingest_sessions": q_ingest_sessions,
     "session_append": q_session_append,

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -74,3 +74,10 @@ def local_path(path: str) -> str:
     if "://" in path:
         raise ValueError(f"{path} is not in a mounted folder")
     return path
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
