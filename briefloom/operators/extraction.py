@@ -51,8 +51,9 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
     """
     responses = one_answer(responses)
     answered = F.col("content").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == "")
-    parsed = strict_extraction(extract_json_block(F.col("content")))
-    r = responses.withColumn("_p", F.when(answered, parsed)).withColumn("_answered", answered)
+    # The block is a column of its own: inside the decoder it would be cut out anew for each use.
+    r = (responses.withColumn("_block", extract_json_block(F.col("content")))
+         .withColumn("_p", F.when(answered, strict_extraction("_block"))).withColumn("_answered", answered))
     ok = F.col("_p").isNotNull()
     empty = F.array().cast("array<string>")
     cols = [F.when(ok, F.col("_p.summary")).when(F.col("_answered"), F.col("content"))
@@ -122,7 +123,8 @@ def parse_plans(responses: DataFrame) -> DataFrame:
     answered = F.col("content").isNotNull() & (F.coalesce(F.col("error"), F.lit("")) == "")
     p = F.col("_p")
     valid = p.isNotNull() & ~((p["goal"] == "") & (p["copy_ready_prompt"] == ""))
-    r = responses.withColumn("_p", F.when(answered, strict_plan(extract_json_block(F.col("content")))))
+    r = (responses.withColumn("_block", extract_json_block(F.col("content")))
+         .withColumn("_p", F.when(answered, strict_plan("_block"))))
     empty = F.array().cast("array<string>")
     refs_empty = F.array().cast("array<struct<path:string,reason:string>>")
 

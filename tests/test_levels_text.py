@@ -3,7 +3,8 @@
 import pytest
 
 from briefloom.functions import levels as L
-from briefloom.functions.json_strict import EXTRACTION_SHAPE, PLAN_SHAPE, canonical_json
+from briefloom.functions.json_strict import EXTRACTION_SHAPE, PLAN_SHAPE
+from strict_reference import canonical_json
 from briefloom.functions.text import extract_json_block, relevance_haystack, relevance_score, tokenize
 
 LEVEL_CASES = [("compact", "compact", True), ("standard", "standard", True), ("detailed", "detailed", True),
