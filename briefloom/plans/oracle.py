@@ -301,7 +301,7 @@ fx_valid_requests AS (
 
 
 def _x_body(c, t):
-    return (f"'{{\"summary\": \"turn ' || {t} || ' of ' || {c} || '\", \"goal\": \"finish task ' || {c} || "
+    return (f"'{{\"summary\": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ', \"goal\": \"finish task ' || {c} || "
             f"'\", \"actions\": [\"edit f' || {c} || '.go\", null], \"decisions\": [], \"blockers\": null' || "
             f"', \"next_actions\": [\"test ' || {c} || '\", \"ship ' || {t} || "
             f"'\"], \"files_mentioned\": [\"f' || {c} || '.go\"], \"extra\": {{\"k\": ' || {t} || '}}}}'")

@@ -303,15 +303,17 @@ def plan_requests_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extraction_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(request_id, output_id, content, error) -- model answers to extraction
     requests, one per assistant turn, in seven shapes: bare JSON, fenced,
-    upper-case fence, prose-wrapped, wrong type, two objects, plain text."""
+    upper-case fence, prose-wrapped, wrong type, two objects, plain text.
+    The summary is the whole turn, escaped."""
     c = (read_table(spark, sf_dir, "conversations")
          .where(F.col("role") == "assistant")
-         .select("conv_id", "turn"))
+         .select("conv_id", "turn", "text"))
+    packed = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("v")))
+    quoted = F.substring(packed, F.lit(6), F.length(packed) - 6)
     cid, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
     key = F.col("conv_id") * 16 + F.col("turn")
     body = F.concat(
-        F.lit('{"summary": "turn '), turn, F.lit(' of '), cid,
-        F.lit('", "goal": "finish task '), cid,
+        F.lit('{"summary": '), quoted, F.lit(', "goal": "finish task '), cid,
         F.lit('", "actions": ["edit f'), cid, F.lit('.go", null], "decisions": [], "blockers": null'),
         F.lit(', "next_actions": ["test '), cid, F.lit('", "ship '), turn,
         F.lit('"], "files_mentioned": ["f'), cid, F.lit('.go"], "extra": {"k": '), turn, F.lit("}}"),
