@@ -147,6 +147,14 @@ def near(a: str, b: str, edits: int) -> bool:
     return bool(k) and (Counter(x) & Counter(y)).total() >= n - k and within_tokens(x, y, k)
 
 
+def near_tokens(a: str, b: str, x: list, y: list, edits: int) -> bool:
+    """``near`` of lines whose tokens are at hand and whose counts of tokens are near each other."""
+    if abs(len(a) - len(b)) <= edits and within(a, b, edits):
+        return True
+    k = max(len(x), len(y)) // SHARE
+    return bool(k) and abs(len(x) - len(y)) <= k and within_tokens(x, y, k)
+
+
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
     """(start, length) of the even segments of a line of n characters."""
     parts, out, at = edits + 1, [], 0
@@ -171,7 +179,7 @@ def probes(n: int, edits: int) -> list[tuple[int, int, int, int]]:
 
 class _Digests(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[token] = out = xxhash.xxh3_64_intdigest(token)
         return out
@@ -288,11 +296,12 @@ def _verified(edits: int):
     return run
 
 
-def _bins(lines: list[str], digests: dict[str, int]) -> np.ndarray:
-    out = np.zeros((len(lines), _BINS), np.int32)
-    for i, x in enumerate(lines):
-        out[i] = np.bincount(np.array([digests[t] % _BINS for t in _TOKEN.findall(x)], np.int64), minlength=_BINS)
-    return out
+def _bins(tokens: list[list[int]]) -> np.ndarray:
+    """Of each line, how many of its tokens fall in each bin."""
+    sizes = [len(t) for t in tokens]
+    owner = np.repeat(np.arange(len(tokens)), sizes)
+    flat = np.fromiter((t for x in tokens for t in x), np.uint64, sum(sizes))
+    return np.bincount(owner * _BINS + (flat % np.uint64(_BINS)).astype(np.int64), minlength=len(tokens) * _BINS).reshape(-1, _BINS).astype(np.int16)
 
 
 def _blocks(edits: int):
@@ -308,14 +317,22 @@ def _blocks(edits: int):
                 group_of[v] = v = group_of[group_of[v]]
             return v
 
-        x, y = _bins(left["line"].tolist(), digests), _bins(right["line"].tolist(), digests)
-        sizes, lids, lines = y.sum(axis=1), right["lid"].tolist(), right["line"].tolist()
+        mine, lines, texts, lids = left["lid"].tolist(), right["line"].tolist(), left["line"].tolist(), right["lid"].tolist()
+        own = [[digests[t] for t in _TOKEN.findall(x)] for x in texts]
+        others = own if same else [[digests[t] for t in _TOKEN.findall(x)] for x in lines]
+        x, y = _bins(own), _bins(others)
+        sizes = y.sum(axis=1, dtype=np.int64)
         out = []
-        for i, (lid, line) in enumerate(zip(left["lid"], left["line"], strict=True)):
-            allowed = np.maximum(4 * edits, 2 * (np.maximum(sizes, x[i].sum()) // SHARE))
-            for j in np.flatnonzero(np.abs(y - x[i]).sum(axis=1) <= allowed).tolist():
+        for i, (lid, line) in enumerate(zip(mine, texts, strict=True)):
+            n = len(own[i])
+            most = np.maximum(sizes, n) // SHARE
+            # Cheapest first: counts of tokens, then bins of those that are left.
+            j = np.flatnonzero(np.abs(sizes - n) <= np.maximum(2 * edits, most))
+            j = j[j > i] if same else j
+            j = j[np.abs(y[j] - x[i]).sum(axis=1, dtype=np.int64) <= np.maximum(4 * edits, 2 * most[j])]
+            for j in j.tolist():
                 # What further lines connect already needs no link of its own.
-                if (not same or j > i) and (one := top(lid)) != (other := top(lids[j])) and near(line, lines[j], edits):
+                if (one := top(lid)) != (other := top(lids[j])) and near_tokens(line, lines[j], own[i], others[j], edits):
                     group_of[one] = other
                     out.append((min(lid, lids[j]), max(lid, lids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
