@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,4 +80,4 @@ def test_kept_rows_repeated_ids_and_empty(spark):
 
 def test_order_is_by_hash():
     s = shingle_set(b"a b c d e f g h", _Hashes())
-    assert (np.diff(s) > 0).all()
+    assert (s[1:] > s[:-1]).all()  # a difference of hashes can overflow
