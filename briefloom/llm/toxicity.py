@@ -1,19 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses.  Five small transducers read a clause's words
-side by side: *insult* (word stems with learned weights), *threat* and
-*target* (fixed words), *negation* (a cue reaches ``REACH`` words on) and
-*reported* (a speech verb or an open quotation mark holds to the clause's
-end).  Composed, they turn each insult or threat into one weighted arc of a
-category (plain, targeted, negated, reported, threat); a clause's score is
-the weight on its arcs, and a text's score the logistic of all clauses'.
+A text is cut into clauses, and a clause's words into symbols by a *lexicon*,
+a transducer over characters: insult stems with learned weights, threats,
+targets, negations, reporting verbs, quotation marks, other words.  Three
+transducers rewrite the symbols one after the other:
+
+* *negation*: an insult within ``REACH`` words behind a cue is negated, a
+  threat there is none;
+* *reported*: what follows a reporting verb, or stands in open quotation
+  marks, is reported;
+* *target*: guesses at the clause's start whether a target comes; a guess that
+  proves wrong has no path to the end.  What no one before it marked is plain
+  or targeted, and a threat without a target is none.
+
+``compose`` builds one machine of the three, state pairs that can be reached
+alone.  A path's weight is the sum over its arcs of the word's weight under
+the arc's category (plain, targeted, negated, reported, threat); a clause has
+the sum over all its paths that end in a final state, and a text's score is
+the logistic of all clauses'.  Clauses without insult or threat have no
+weighted arc and are not run.
 
 Stems and category weights are learned from a bounded sample of labelled
 rows (``sample_rows``, chosen by a hash of the id).  A stem must occur almost
 only in toxic texts, and each toxic text supports only the commonest such
 stem it has, so words that merely come along with copied texts get no support;
-texts without a supported stem vote again.  A short fixed list of insults
-counts too, with a prior weight.
+texts without a supported stem vote again.  The ``stems_kept`` best supported
+candidates bound what the driver holds.  A short fixed list of insults counts
+too, with a prior weight.
 Scoring reads every whole text; labels, language, source and id are no input.
 
 Defined cases: null and empty texts get the grammar's base score; null labels
@@ -25,7 +38,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,6 +74,176 @@ VOTES = 3
 _WORD = re.compile(r"[^\W\d_]+|[\"“”«»„]")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _QUOTES = frozenset("\"“”«»„")
+_WORDS_KEPT = 200_000  # before a grammar's table of words starts anew
+
+# Symbols between the transducers.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = "other", "insult", "threat", "target", "negation", "report", "quote"
+SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """States and arcs; of a symbol without an arc in a state the path ends.
+
+    ``arcs``: {(state, symbol): ((next state, output), ...)}.
+    """
+
+    starts: tuple
+    finals: frozenset
+    arcs: dict
+
+    def paths(self, symbols: Sequence[str]) -> Iterator[tuple[str, ...]]:
+        """Outputs of every path that ends in a final state, one by one."""
+        def walk(state, at):
+            if at == len(symbols):
+                if state in self.finals:
+                    yield ()
+                return
+            for to, out in self.arcs.get((state, symbols[at]), ()):
+                for rest in walk(to, at + 1):
+                    yield out, *rest
+        for state in self.starts:
+            yield from walk(state, 0)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that passes the outputs of ``first`` on to ``second``."""
+    after: dict = {}
+    for (state, symbol), ends in second.arcs.items():
+        after.setdefault(state, {})[symbol] = ends
+    by_state: dict = {}
+    for (state, symbol), ends in first.arcs.items():
+        by_state.setdefault(state, []).append((symbol, ends))
+    starts = tuple((a, b) for a in first.starts for b in second.starts)
+    arcs: dict = {}
+    seen, todo = set(starts), list(starts)
+    while todo:
+        a, b = state = todo.pop()
+        for symbol, ends in by_state.get(a, ()):
+            both = tuple(((to, to2), out2) for to, out in ends for to2, out2 in after.get(b, {}).get(out, ()))
+            if both:
+                arcs[state, symbol] = both
+                new = {to for to, _ in both} - seen
+                seen |= new
+                todo += new
+    return Transducer(starts, frozenset(s for s in seen if s[0] in first.finals and s[1] in second.finals), arcs)
+
+
+def negation(reach: int = REACH) -> Transducer:
+    """States: how many more words a cue reaches."""
+    arcs = {}
+    for left in range(reach + 1):
+        for s in SYMBOLS:
+            out = {INSULT: "negated", THREAT: OTHER}.get(s, s) if left else s
+            arcs[left, s] = ((reach if s == NEGATION else max(0, left - 1), out),)
+    return Transducer((0,), frozenset(range(reach + 1)), arcs)
+
+
+def reported() -> Transducer:
+    """States: (a verb was there, quotation marks are open)."""
+    states = [(verb, quote) for verb in (False, True) for quote in (False, True)]
+    arcs = {}
+    for verb, quote in states:
+        for s in (*SYMBOLS, "negated"):
+            out = "reported" if (verb or quote) and s in (INSULT, "negated") else s
+            arcs[(verb, quote), s] = (((verb or s == REPORT, quote != (s == QUOTE)), out),)
+    return Transducer(((False, False),), frozenset(states), arcs)
+
+
+def target() -> Transducer:
+    """States: no target in this clause, one is to come, one was there."""
+    arcs = {}
+    for state in ("none", "awaited", "met"):
+        for s in (*SYMBOLS, "negated", "reported"):
+            if state == "none":
+                out = {INSULT: "plain", "negated": "negated", "reported": "reported"}.get(s, OTHER)
+            else:
+                out = {INSULT: "targeted", THREAT: "threat", "negated": "negated", "reported": "reported"}.get(s, OTHER)
+            if s != TARGET:
+                arcs[state, s] = ((state, out),)
+            elif state != "none":
+                arcs[state, s] = (("met", out),)
+    return Transducer(("none", "awaited"), frozenset(["none", "met"]), arcs)
+
+
+class Machine:
+    """The composed clause transducer, its states numbered, its outputs as places in CATEGORIES (or -1)."""
+
+    def __init__(self, t: Transducer):
+        number: dict = {}
+        for s in (*t.starts, *(to for ends in t.arcs.values() for to, _ in ends)):
+            number.setdefault(s, len(number))
+        self.starts = [number[s] for s in t.starts]
+        self.finals = {number[s] for s in t.finals}
+        place = {c: i for i, c in enumerate(CATEGORIES)}
+        self.arcs = {(number[s], symbol): [(number[to], place.get(out, -1)) for to, out in ends] for (s, symbol), ends in t.arcs.items()}
+
+    def run(self, clause: list[tuple[str, float]]) -> np.ndarray:
+        """Weight by category, summed over all paths: of each state how many paths lead there and their sum."""
+        here = {s: (self.starts.count(s), np.zeros(len(CATEGORIES))) for s in self.starts}
+        for symbol, weight in clause:
+            there: dict[int, tuple[int, np.ndarray]] = {}
+            for state, (n, total) in here.items():
+                for to, place in self.arcs.get((state, symbol), ()):
+                    moved = total
+                    if place >= 0:
+                        moved = total.copy()
+                        moved[place] += n * weight
+                    if to in there:
+                        n2, total2 = there[to]
+                        there[to] = n + n2, moved + total2
+                    else:
+                        there[to] = n, moved
+            here = there
+        return sum((total for s, (_, total) in here.items() if s in self.finals), np.zeros(len(CATEGORIES)))
+
+
+CLAUSE = Machine(compose(compose(negation(), reported()), target()))
+
+
+class Lexicon:
+    """Words to weighted symbols: function words and threats whole, insults by their longest stem."""
+
+    def __init__(self, stems: dict[str, float]):
+        # Over characters: arcs and the weight of states in which a stem ends.
+        self.arcs: dict[tuple[int, str], int] = {}
+        self.ends: dict[int, float] = {}
+        size = 1
+        for stem, weight in stems.items():
+            state = 0
+            for c in stem:
+                to = self.arcs.get((state, c))
+                if to is None:
+                    to = self.arcs[state, c] = size
+                    size += 1
+                state = to
+            self.ends[state] = weight
+        self.words: dict[str, tuple[str, float]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.words.clear()
+        for symbol, weight, words in ((TARGET, 0.0, TARGETS), (THREAT, THREAT_WEIGHT, THREATS), (REPORT, 0.0, REPORTS),
+                                      (NEGATION, 0.0, NEGATIONS), (QUOTE, 0.0, _QUOTES)):
+            self.words.update(dict.fromkeys(words, (symbol, weight)))
+
+    def insult(self, word: str) -> float:
+        state, weight = 0, 0.0
+        for c in word:
+            state = self.arcs.get((state, c))
+            if state is None:
+                break
+            weight = self.ends.get(state, weight)
+        return weight
+
+    def symbol(self, word: str) -> tuple[str, float]:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > _WORDS_KEPT:
+                self.clear()
+            weight = self.insult(word)
+            found = self.words[word] = (INSULT, weight) if weight else (OTHER, 0.0)
+        return found
 
 
 @dataclass
@@ -71,39 +254,19 @@ class Grammar:
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self):
+        self.lexicon = Lexicon(self.stems)
         self.starts = {s[:STEM] for s in self.stems} | {t[:STEM] for t in THREATS}
-        self.longest = max(map(len, self.stems), default=0)
-
-    def insult(self, word: str) -> float:
-        for n in range(min(len(word), self.longest), STEM - 1, -1):
-            if (w := self.stems.get(word[:n])) is not None:
-                return w
-        return 0.0
-
-    def clause(self, words: list[str]) -> np.ndarray:
-        """Arc weights by category of one clause."""
-        out, negated, reported, quoted = np.zeros(len(CATEGORIES)), 0, False, False
-        targeted = not TARGETS.isdisjoint(words)
-        for word in words:
-            if word in _QUOTES:
-                quoted = not quoted
-            elif word in NEGATIONS:
-                negated = REACH + 1
-            elif word in REPORTS:
-                reported = True
-            elif word in THREATS:
-                if targeted and not negated:
-                    out[4] += THREAT_WEIGHT
-            elif w := self.insult(word):
-                out[3 if reported or quoted else 2 if negated else 1 if targeted else 0] += w
-            negated = max(0, negated - 1)
-        return out
 
     def arcs(self, text: str) -> np.ndarray:
-        low = text.lower()
+        """Arc weights by category of a text's clauses."""
+        low, out = text.lower(), np.zeros(len(CATEGORIES))
         if self.starts.isdisjoint(w[:STEM] for w in _WORD.findall(low)):
-            return np.zeros(len(CATEGORIES))
-        return np.sum([self.clause(_WORD.findall(c)) for c in _CLAUSE.split(low)], axis=0)
+            return out
+        for c in _CLAUSE.split(low):
+            clause = [self.lexicon.symbol(w) for w in _WORD.findall(c)]
+            if any(weight for _, weight in clause):
+                out += CLAUSE.run(clause)
+        return out
 
     def score(self, text: str) -> float:
         z = float(self.weights[0] + self.weights[1:] @ self.arcs(text))
