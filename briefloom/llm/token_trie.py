@@ -6,7 +6,9 @@ prefix under a unigram model (the best sum of piece scores over all ways to
 cut it) with the fewest pieces that reach it, worked out once from the nodes
 above it.  A terminal node's piece count is the pre-token's token count, and a
 text's count the sum over its words.  Nothing is shuffled: each task keeps a
-trie of its own, which starts anew at ``NODES`` nodes.
+trie of its own, which starts anew at ``NODES`` nodes.  Of a word of more than
+``DEEP`` characters the rest is worked out by the same rule behind its node,
+with the scores of the last few prefixes at hand, and kept nowhere.
 
 The vocabulary is that of a public tokenizer (a parameter) and is not trained
 here; a piece of rank r scores -ln(r + ``SHIFT``), Zipf's law.  A character
@@ -20,7 +22,8 @@ columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,7 @@ from briefloom.llm.common import text_or_empty
 MARK = "▁"
 SHIFT = 2.7
 NODES = 2_000_000
+DEEP = 200
 _TRIES: dict = {}
 
 
@@ -50,8 +54,8 @@ def piece_scores(path: str) -> dict[str, float]:
 class Trie:
     """Forward scores and piece counts of prefixes; ``counts`` of whole pre-tokens."""
 
-    def __init__(self, scores: dict[str, float], nodes: int = NODES):
-        self.scores, self.nodes = scores, nodes
+    def __init__(self, scores: dict[str, float], nodes: int = NODES, deep: int = DEEP):
+        self.scores, self.nodes, self.deep = scores, nodes, deep
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - 1.0
         self.clear()
@@ -62,30 +66,43 @@ class Trie:
         self.pieces: list[int] = [0]
         self.counts: dict[bytes, int] = {}
 
+    def _step(self, text: str, i: int, best: Sequence[float], pieces: Sequence[int]) -> tuple[float, int]:
+        """Score and pieces of text[:i + 1]; ``best`` and ``pieces`` end with those of text[:i]."""
+        # A character's bytes, if no piece covers it.
+        size = len(text[i].encode())
+        score, count = best[-1] + self.byte * size, pieces[-1] + size
+        for back in range(min(self.longest, i + 1), 0, -1):
+            s = self.scores.get(text[i + 1 - back:i + 1])
+            if s is not None:
+                b, n = best[-back] + s, pieces[-back] + 1
+                if b > score or b == score and n < count:
+                    score, count = b, n
+        return score, count
+
     def insert(self, word: bytes) -> int:
-        """Tokens of a word; adds the nodes that its prefixes lack."""
+        """Tokens of a word; adds the nodes that its first ``DEEP`` prefixes lack."""
         if len(self.best) >= self.nodes:
             self.clear()
         text = MARK + word.decode("utf-8", "replace")
-        path = [0]
-        for i, c in enumerate(text):
-            node = self.child.get((path[-1], c))
-            if node is None:
-                # A character's bytes, if no piece covers it.
-                size = len(c.encode())
-                best, count = self.best[path[i]] + self.byte * size, self.pieces[path[i]] + size
-                for j in range(max(0, i + 1 - self.longest), i + 1):
-                    s = self.scores.get(text[j:i + 1])
-                    if s is not None:
-                        b, n = self.best[path[j]] + s, self.pieces[path[j]] + 1
-                        if b > best or b == best and n < count:
-                            best, count = b, n
-                node = self.child[path[-1], c] = len(self.best)
-                self.best.append(best)
+        node, best, pieces = 0, deque([0.0], self.longest), deque([0], self.longest)
+        for i in range(min(len(text), self.deep)):
+            to = self.child.get((node, text[i]))
+            if to is None:
+                score, count = self._step(text, i, best, pieces)
+                to = self.child[node, text[i]] = len(self.best)
+                self.best.append(score)
                 self.pieces.append(count)
-            path.append(node)
-        n = self.counts[word] = self.pieces[path[-1]]
-        return n
+            node = to
+            best.append(self.best[node])
+            pieces.append(self.pieces[node])
+        if len(text) <= self.deep:
+            self.counts[word] = pieces[-1]
+            return pieces[-1]
+        for i in range(self.deep, len(text)):
+            score, count = self._step(text, i, best, pieces)
+            best.append(score)
+            pieces.append(count)
+        return pieces[-1]
 
 
 def _trie(path: str) -> Trie:

@@ -27,11 +27,22 @@ def brute(text, scores, byte):
 def test_equals_all_segmentations():
     rng = random.Random(1)
     scores = {MARK: -1.5} | {"".join(rng.choice("abé") for _ in range(rng.randrange(1, 4))): -rng.random() * 4 for _ in range(14)}
-    trie, small = Trie(scores), Trie(scores, nodes=20)
+    trie, small, flat = Trie(scores), Trie(scores, nodes=20), Trie(scores, deep=3)
     for _ in range(400):
         w = "".join(rng.choice("abéz漢") for _ in range(rng.randrange(1, 8))).encode()
         want = brute(MARK + w.decode(), scores, trie.byte)
         assert trie.insert(w) == want and trie.insert(w) == want and small.insert(w) == want
+        assert flat.insert(w) == want
+        assert len(MARK + w.decode()) <= 3 or w not in flat.counts
+
+
+def test_a_long_word_leaves_no_more_than_its_first_prefixes():
+    rng = random.Random(2)
+    scores = piece_scores(default_vocabulary())
+    word = "".join(rng.choice("abcdefgh") for _ in range(200_000)).encode()
+    trie, deep = Trie(scores), Trie(scores, deep=300_000)
+    assert trie.insert(word) == deep.insert(word) == trie.insert(word)
+    assert len(trie.best) == len(trie.child) + 1 == trie.deep + 1 and not trie.counts
 
 
 def test_documents(spark):
