@@ -60,7 +60,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def op8_license_scan(spark, sf_dir):
-    return license_scan(table(spark, sf_dir, "documents")).drop("matches")
+    return license_scan(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark, sf_dir):
