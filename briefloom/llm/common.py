@@ -28,6 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_TABLES: dict[str, dict] = {}
+
+
+def tables(owner: str) -> dict:
+    """What this Python worker keeps from task to task for one operator.
+
+    Workers outlive a stage and serve the next one too: what another operator
+    kept here is dropped.
+    """
+    if owner not in _TABLES:
+        _TABLES.clear()
+        _TABLES[owner] = {}
+    return _TABLES[owner]
+
+
 @contextmanager
 def _drop_shuffles(spark: SparkSession):
     before = spark.conf.get(_CLEANUP, None)

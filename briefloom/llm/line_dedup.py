@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import components, keyed, stored, text_or_empty, with_texts
+from briefloom.llm.common import components, keyed, stored, tables, text_or_empty, with_texts
 
 EDITS = 2
 MIN_CHARS = 20
@@ -223,6 +223,7 @@ def _keys(edits: int):
                 [(p, p + size, seed(length, i)) for length, i, p, size in probes(n, allowed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables("line_dedup")
         plans: dict[tuple[int, int], tuple[list, list]] = {}
         digests = _Digests()
 

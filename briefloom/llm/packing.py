@@ -32,12 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import stored, text_or_empty
+from briefloom.llm.common import stored, tables, text_or_empty
 
 CAPACITY = 2048
 END = 0
 _WORDS_KEPT = 2_000_000  # before a worker's table starts anew
-_TOKENIZERS: dict[str, tuple] = {}
 
 
 def default_tokenizer() -> str:
@@ -126,9 +125,10 @@ class WordIds(dict):
 
 def _word_ids(path: str) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    kept = tables("packing")
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):

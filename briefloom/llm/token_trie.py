@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import text_or_empty
+from briefloom.llm.common import tables, text_or_empty
 
 MARK = "▁"
 SHIFT = 2.7
 NODES = 2_000_000
 DEEP = 200
-_TRIES: dict = {}
 
 
 def default_vocabulary() -> str:
@@ -106,9 +105,10 @@ class Trie:
 
 
 def _trie(path: str) -> Trie:
-    if path not in _TRIES:
-        _TRIES[path] = Trie(piece_scores(path))
-    return _TRIES[path]
+    kept = tables("token_trie")
+    if path not in kept:
+        kept[path] = Trie(piece_scores(path))
+    return kept[path]
 
 
 def _count(path: str):

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import stored, text_or_empty
+from briefloom.llm.common import stored, tables, text_or_empty
 
 # Function words of the grammar, in four languages.
 TARGETS = frozenset("you your youre u he she they him her them this du dich dir dein ihr euch sie er tu te toi vous ton "
@@ -79,6 +79,7 @@ _WORDS_KEPT = 200_000  # before a grammar's table of words starts anew
 # Symbols between the transducers.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = "other", "insult", "threat", "target", "negation", "report", "quote"
 SYMBOLS = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE)
+_UNMARKED = (OTHER, 0.0)
 
 
 @dataclass(frozen=True)
@@ -242,7 +243,7 @@ class Lexicon:
             if len(self.words) > _WORDS_KEPT:
                 self.clear()
             weight = self.insult(word)
-            found = self.words[word] = (INSULT, weight) if weight else (OTHER, 0.0)
+            found = self.words[word] = (INSULT, weight) if weight else _UNMARKED
         return found
 
 
@@ -284,6 +285,7 @@ def _features(text: str) -> set[str]:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tables("toxicity")
     for b in batches:
         seen: dict[str, list[int]] = {}
         for text, toxic in zip(b["text"], b["toxic"], strict=True):
@@ -369,6 +371,7 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
     """``docs`` with ``score`` and ``predicted``; every whole text is read."""
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
+        tables("toxicity")
         return texts.map(grammar.score)
 
     return (docs.withColumn("score", of(text_or_empty(text_col)))

@@ -2,6 +2,7 @@
 
 import random
 
+from briefloom.llm.common import tables
 from briefloom.llm.token_trie import MARK, Trie, default_vocabulary, piece_scores, token_counts
 
 
@@ -56,3 +57,10 @@ def test_documents(spark):
     assert got == sorted([(1, 7, total), (1, 7, total), (2, 0, 0), (3, 0, 0), (4, 0, 0), (None, 2, 2 * fresh("the")),
                           (6, 20_000, 20_000 * fresh("the"))], key=str)
     assert token_counts(df.limit(0)).count() == 0
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    one = tables("one")
+    one["x"] = 1
+    assert tables("one") is one
+    assert tables("two") == {} and tables("one") == {}
