@@ -10,24 +10,26 @@ blanks between words each character is one.
 
 Candidates, from keys of each line alone, lose no near pair:
 
-* Character edits, lines of few tokens: each line is cut into ``edits + 1``
-  even segments.  A line within that many edits of it must hold one of the
-  segments unchanged, at a place that the two lengths and the edits allow; so
-  each line probes the segment index of its own and the next smaller lengths
-  with just those substrings.
-* Token edits, up to ``BANDS``: the same over tokens, with as many segments for
-  each band of lengths as its edits plus one; a line just below a band is
-  indexed for that band as well.
-* Longer lines: ``k`` edits leave a run of at least (n - k) / (k + 1) of the n
-  tokens as it is, never fewer than ``RUN``.  Of every ``RUN`` tokens in a
-  row the run of ``GRAM`` tokens with the smallest hash is a key, so a run
-  that two lines share gives both of them the same key.  So do a few character
-  edits, which touch at most three tokens each.
+* A line's segments are each two tokens in a row; the same segment again is
+  one of its own.  ``k`` token edits spoil at most ``2 * k`` segments, a character
+  edit three (four, where characters are words).  So of any one segment more than
+  edits can spoil, one is in the other line as well.  In an order that holds for
+  all lines, the first so many segments of each are its keys: the smallest
+  segment that two near lines share is among the first of both.  Frequent
+  segments are last in that order, so what many lines hold joins few of them.
+* Lines of so few tokens that edits may spoil every segment: each is cut into
+  ``edits + 1`` even segments of its characters.  A line within that many edits of
+  it must hold one of them unchanged, at a place that the two lengths and the
+  edits allow; so each such line probes the segment index of its own and the
+  next smaller lengths with just those substrings.  Of a pair with one longer
+  line, that line's two-token segments are enough.
 
 Keys that two lines share give the candidate pairs, if their counts of tokens
-allow it: groups of up to ``GROUP`` lines as rows, larger ones cut by that
-count and then block against block inside tasks, which sift by token counts
-and return verified links alone.  Links are verified by banded bit-parallel
+and the parities of these counts by bin allow it.  Each line meets the first such
+line of its groups; what those links join is not compared again.  Further pairs
+of groups of up to ``GROUP`` lines are compared one by one; larger groups are cut
+by token counts and then compared block against block inside tasks, which sift
+by token counts and return verified links alone.  Links are verified by banded bit-parallel
 edit distance.
 
 Defined cases: null and empty texts have no lines and stay as they are;
@@ -41,6 +43,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -53,14 +56,19 @@ from briefloom.llm.common import components, keyed, stored, tables, text_or_empt
 
 EDITS = 2
 MIN_CHARS = 20
-GROUP = 32
+GROUP = 512
 BLOCK = 256
 SHARE = 10  # tokens for each token edit
-BANDS = 3
-LONG = (BANDS + 1) * (SHARE - 1)  # tokens from which on a line may be within more edits of another
-RUN = 8  # tokens in a row that near lines of LONG tokens or more share
-GRAM = 5
 _BINS = 64
+_BASE = 0x9E3779B97F4A7C15
+_ROWS = 1 << 12  # lines at once
+_CHUNK = 1 << 18  # characters at once
+_BLOCK = {"k": np.int64, "lid": np.int64, "tokens": np.int32, "odd0": np.uint64, "odd1": np.uint64}
+_MET = ["k", "a", "b", "tokens", "indexed", "odd0", "odd1", "n"]
+_AT_ONCE = 1 << 18  # keys of a task that are dealt together
+_SLOTS = 1 << 20  # of counts of segments
+_SAMPLED = 32
+_FREQUENT = 50_000
 _APART = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
 _TOKEN = re.compile(rf"[^\s{_APART}]+|\S")
 
@@ -190,103 +198,286 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def anchors(tokens: list[list[str]], digests: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): of each RUN tokens in a row the smallest hash of GRAM tokens."""
-    sizes = np.array([len(x) for x in tokens], np.int64)
-    each = np.fromiter((digests[t] for x in tokens for t in x), np.uint64, int(sizes.sum()))
-    grams = np.zeros(max(0, len(each) - GRAM + 1), np.uint64)
-    for i in range(GRAM):
-        grams = grams * np.uint64(0x100000001B3) + each[i:len(each) - GRAM + 1 + i]
-    grams = _mixed(grams)
-    width = RUN - GRAM + 1
-    least = grams[:max(0, len(grams) - width + 1)].copy()
-    for i in range(1, width):
-        np.minimum(least, grams[i:len(least) + i], out=least)
-    row = np.repeat(np.arange(len(tokens)), sizes)
-    inside = np.flatnonzero(row[:len(least)] == row[RUN - 1:RUN - 1 + len(least)])
-    row, least = row[inside], least[inside]
-    order = np.lexsort((least, row))
-    row, least = row[order], least[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-    return row[new], least[new]
-
-
-def _keys(edits: int):
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 white space, 1 a character of a word, 2 one that is a word by itself."""
+    out = np.ones(0x110000, np.uint8)
+    out[[c for c in range(0x3100) if chr(c).isspace()]] = 0
+    ends = [ord(c) for c in _APART.replace("-", "")]
+    for lo, hi in zip(ends[::2], ends[1::2], strict=True):
+        out[lo:hi + 1] = np.minimum(out[lo:hi + 1], 1) * 2
+    return out
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, for the places of a chunk."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        each = np.full(_CHUNK + 1, b, np.uint64)
+        each[0] = 1
+        out.append(np.cumprod(each))
+    return out[0], out[1]
+
+
+def _token_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, hash) of each token of some lines, and of each line whether characters of it stand for themselves."""
+    text = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(text) > _CHUNK and len(lines) > 1:
+        half = len(lines) // 2
+        (r1, h1, a1), (r2, h2, a2) = _token_hashes(lines[:half]), _token_hashes(lines[half:])
+        return np.concatenate([r1, r2 + half]), np.concatenate([h1, h2]), np.concatenate([a1, a2])
+    kind = _kinds()[text]
+    apart = kind == 2
+    inside = kind != 0
+    start = inside.copy()
+    start[1:] &= apart[1:] | apart[:-1] | ~inside[:-1]
+    end = inside.copy()
+    end[:-1] &= apart[:-1] | apart[1:] | ~inside[1:]  # the last character is a line's end
+    start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+    powers, inverse = _powers()
+    hashes = np.zeros(len(start), np.uint64)
+    for o in range(0, len(text), _CHUNK):  # more than one chunk: a single line
+        part = text[o:o + _CHUNK]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint32(1)) * powers[:len(part)], out=sums[1:])
+        i, j = int(np.searchsorted(end, o, "right")), int(np.searchsorted(start, o + len(part)))
+        own = sums[np.minimum(end[i:j] - o, len(part))] - sums[np.maximum(start[i:j] - o, 0)]
+        own *= inverse[np.maximum(start[i:j] - o, 0)]
+        if i < j and start[i] < o:  # begun in a chunk before
+            own[:1] *= np.uint64(pow(_BASE, int(o - start[i]), 1 << 64))
+        hashes[i:j] += own
+    odd = np.bincount(np.searchsorted(ends, np.flatnonzero(apart), "right"), minlength=len(lines)) > 0
+    return np.searchsorted(ends, start, "right"), _mixed(hashes), odd
+
+
+def _grams(row: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each two tokens in a row."""
+    both = row[1:] == row[:-1]
+    return row[1:][both], _mixed(token[:-1] * np.uint64(0x100000001B3) + token[1:])[both]
+
+
+def _parities(row: np.ndarray, token: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line 128 bits: whether the number of its tokens in a bin is odd."""
+    full = np.flatnonzero(width)
+    starts = (np.cumsum(width) - width)[full]
+    out = np.zeros((2, len(width)), np.uint64)
+    if len(full):
+        bit, high = np.uint64(1) << (token >> np.uint64(58)), token >> np.uint64(57) & np.uint64(1)
+        for i in (0, 1):
+            out[i][full] = np.bitwise_xor.reduceat(np.where(high == i, bit, np.uint64(0)), starts)
+    return out[0], out[1]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often segments fall in each slot."""
+    n = np.zeros(_SLOTS, np.int64)
+    for b in batches:
+        lines = b.column("line").to_pylist()
+        for i in range(0, len(lines), _ROWS):
+            gram = _grams(*_token_hashes(lines[i:i + _ROWS])[:2])[1]
+            n += np.bincount((gram % np.uint64(_SLOTS)).astype(np.int64), minlength=_SLOTS)
+    slot = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n[slot])], ["slot", "n"])
+
+
+def frequent(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of frequent segments and the place of each in the order of segments.
+
+    From one line in ``_SAMPLED``. Any order finds every near pair; in this one fewer others meet.
+    """
+    some = lines.select("line").where(F.pmod(F.xxhash64("line", F.lit(3)), F.lit(_SAMPLED)) == 0)
+    top = (some.mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 2")
+           .orderBy(F.desc("n"), "slot").limit(_FREQUENT).toPandas())
+    return top["slot"].to_numpy(np.int64), np.minimum(255, 8 * np.log2(top["n"].to_numpy(np.float64))).astype(np.uint8)
+
+
+def _keys(edits: int, slots: tuple[np.ndarray, np.ndarray] | None = None):
     digest = xxhash.xxh3_64_intdigest
-    # Below: pairs within ``edits`` character edits share no run of RUN tokens for sure.
-    few = max(LONG, RUN * (edits + 1) + 3 * edits) + 2 * edits
 
-    def plan(n: int, allowed: int, base: int) -> tuple[list, list]:
-        seed = lambda length, i: base + (length * (allowed + 1) + i) * 8
-        return ([(p, p + size, seed(n, i)) for i, (p, size) in enumerate(segments(n, allowed))],
-                [(p, p + size, seed(length, i)) for length, i, p, size in probes(n, allowed)])
+    def plan(n: int) -> tuple[list, list]:
+        seed = lambda length, i: (length * (edits + 1) + i) * 8
+        return ([(p, p + size, seed(n, i)) for i, (p, size) in enumerate(segments(n, edits))],
+                [(p, p + size, seed(length, i)) for length, i, p, size in probes(n, edits)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables("line_dedup")
-        plans: dict[tuple[int, int], tuple[list, list]] = {}
-        digests = _Digests()
-
-        def planned(n: int, allowed: int, base: int) -> tuple[list, list]:
-            if (n, base) not in plans:
-                if len(plans) > 100_000:
-                    plans.clear()
-                plans[n, base] = plan(n, allowed, base)
-            return plans[n, base]
+        plans: dict[int, tuple[list, list]] = {}
+        order = np.zeros(_SLOTS, np.uint8)
+        if slots is not None:
+            order[slots[0]] = slots[1]
 
         for b in batches:
-            lids = b.column("lid").to_pylist()
-            keys, owner, indexed, width, long, at = [], [], [], [], [], []
-            for row, line in enumerate(b.column("line").to_pylist()):
-                tokens = _TOKEN.findall(line)
-                n = len(tokens)
-                width.append(n)
-                own, found = set(), set()
-                if n < few:
-                    cut, look = planned(len(line), edits, 0)
-                    own.update(digest(line[p:q], seed) for p, q, seed in cut)
-                    found.update(digest(line[p:q], seed) for p, q, seed in look)
-                for k in range(1, BANDS + 1):
-                    if (SHARE - 1) * k <= n < SHARE * (k + 1):
-                        cut, look = planned(n, k, k)
-                        own.update(digest("".join(tokens[p:q]), seed) for p, q, seed in cut)
-                        if n >= SHARE * k:
-                            found.update(digest("".join(tokens[p:q]), seed) for p, q, seed in look)
-                if n >= LONG:
-                    long.append(tokens)
-                    at.append(row)
-                found -= own
-                keys += own
-                keys += found
-                owner += [row] * (len(own) + len(found))
-                indexed += [True] * len(own) + [False] * len(found)
-            row, least = anchors(long, digests)
-            keys = np.concatenate([np.array(keys, np.uint64), least])
-            owner = np.concatenate([np.array(owner, np.int64), np.array(at, np.int64)[row]])
+            lids, lines = b.column("lid").to_numpy(), b.column("line").to_pylist()
+            for at in range(0, len(lines), _ROWS):
+                some = lines[at:at + _ROWS]
+                row, token, apart = _token_hashes(some)
+                width = np.bincount(row, minlength=len(some))
+                odd = _parities(row, token, width)
+                row, gram = _grams(row, token)
+                # A line's segments, the least frequent first.
+                value = order[(gram % np.uint64(_SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(42) | gram >> np.uint64(22)
+                value = np.sort(row.astype(np.uint64) << np.uint64(50) | value)
+                row = (value >> np.uint64(50)).astype(np.int64)
+                first = np.searchsorted(row, np.arange(len(some)))
+                spoilt = np.where(apart, 4, 3) * edits
+                taken = 1 + np.maximum(spoilt, 2 * (width // SHARE) + (width % SHARE == SHARE - 1))
+                place = np.arange(len(row))
+                # The same segment again is one of its own, by its number.
+                again = np.zeros(len(row), np.int64)
+                again[1:] = value[1:] == value[:-1]
+                if again.any():
+                    again = place - np.maximum.accumulate(np.where(again == 0, place, 0))
+                take = place - first[row] < taken[row]
+                row, value, again = row[take], value[take], again[take].astype(np.uint64)
+                key = _mixed((value & np.uint64((1 << 50) - 1)) * np.uint64(0x100000001B3) + again)
+                # Lines of so few segments that edits may spoil all: by parts of their characters.
+                keys, owner, indexed = [], [], []
+                for i in np.flatnonzero(width - 1 <= spoilt).tolist():
+                    line = some[i]
+                    if len(line) not in plans:
+                        if len(plans) > 100_000:
+                            plans.clear()
+                        plans[len(line)] = plan(len(line))
+                    cut, look = plans[len(line)]
+                    own = {digest(line[p:q], seed) for p, q, seed in cut}
+                    found = {digest(line[p:q], seed) for p, q, seed in look} - own
+                    keys += [*own, *found]
+                    owner += [i] * (len(own) + len(found))
+                    indexed += [True] * len(own) + [False] * len(found)
+                key = np.concatenate([key, np.array(keys, np.uint64)])
+                row = np.concatenate([row, np.array(owner, np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(lids[at + row]), pa.array(width[row].astype(np.int32)),
+                     pa.array(np.concatenate([np.ones(len(key) - len(keys), bool), np.array(indexed, bool)])),
+                     *(pa.array(x[row].view(np.int64)) for x in odd)], ["k", "lid", "tokens", "indexed", "odd0", "odd1"])
+    return run
+
+
+def _dealt(keys, buckets: int):
+    """Rows of keys as blocks of bytes, one for each bucket and _AT_ONCE keys of a task: they move for little."""
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k, lid, tokens, indexed, *odd = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(6))
+        bucket = (_mixed(k.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
+        ids, starts = np.unique(bucket[by], return_index=True)
+        data = k[by], lid[by], tokens[by].astype(np.int32) * 2 + indexed[by], odd[0][by], odd[1][by]
+        ends = [*starts[1:].tolist(), len(by)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), *(pa.array([x[p:q].tobytes() for p, q in zip(starts.tolist(), ends, strict=True)], pa.binary()) for x in data)],
+            ["bucket", *_BLOCK])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in keys(batches):
+            held.append(b)
+            n += b.num_rows
+            if n >= _AT_ONCE:
+                yield blocks(held)
+                held, n = [], 0
+        if n:
+            yield blocks(held)
+    return run
+
+
+def _like(k: np.ndarray, tokens: np.ndarray, indexed: np.ndarray, odd: list[np.ndarray], x: np.ndarray, edits: int,
+          most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y), at most ``most`` apart, of lines of one key that may be near; for rows sorted by key, the nearest places first.
+
+    A token edit changes the count of tokens by one at most and two parities, a character edit two and four.
+    """
+    d = 0
+    while len(x) and d < most:
+        d += 1
+        x = x[x + d < len(k)]
+        x = x[k[x] == k[x + d]]
+        y = x + d
+        words = np.maximum(tokens[x], tokens[y]) // SHARE
+        ok = (indexed[x] | indexed[y]) & (np.abs(tokens[x] - tokens[y]) <= np.maximum(2 * edits, words))
+        ok &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) <= np.maximum(4 * edits, 2 * words)
+        yield x[ok], y[ok]
+
+
+def _met(edits: int, group: int):
+    """Of each bucket's keys those that lines share.
+
+    As pairs (a, b) of each line and the first before it (of the last ``group``) that it may be near; as rows
+    (k, a, ...) where there are further pairs, or more than ``group`` lines.
+    """
+    def of(blocks: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        k, lid, tokens, *odd = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blocks, strict=True), _BLOCK.values(), strict=True))
+        by = np.lexsort((tokens, lid, k))
+        last = np.ones(len(by), bool)  # a line has a key once
+        last[:-1] = (k[by][1:] != k[by][:-1]) | (lid[by][1:] != lid[by][:-1])
+        by = by[last]
+        starts = np.flatnonzero(np.concatenate([[True], k[by][1:] != k[by][:-1]]))
+        sizes = np.diff(np.append(starts, len(by)))
+        met = np.logical_or.reduceat((tokens[by] & 1).astype(bool), starts) & (sizes > 1)
+        by, sizes = by[np.repeat(met, sizes)], sizes[met]
+        k, lid, indexed, tokens, odd = k[by], lid[by], tokens[by] & 1 > 0, tokens[by].astype(np.int64) >> 1, [x[by] for x in odd]
+        of_size = np.repeat(sizes, sizes)
+        first, found = np.full(len(k), -1), np.zeros(len(k), np.int64)
+        for x, y in _like(k, tokens, indexed, odd, np.arange(len(k)), edits, group):
+            first[y] = x
+            found[y] += 1
+        y = np.flatnonzero(found)
+        pairs = np.unique(np.stack([lid[first[y]], lid[y]], 1), axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none.cast(pa.int32()), none.cast(pa.bool_()),
+                                          none, none, none], _MET)
+        if len(sizes):
+            more = np.repeat((np.maximum.reduceat(found, np.cumsum(sizes) - sizes) > 1) | (sizes > group), sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(np.array(lids, np.int64)[owner]), pa.array(np.array(width, np.int32)[owner]),
-                 pa.array(np.concatenate([np.array(indexed, bool), np.ones(len(least), bool)]))], ["k", "lid", "tokens", "indexed"])
+                [pa.array(k[more]), pa.array(lid[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(tokens[more].astype(np.int32)),
+                 pa.array(indexed[more]), *(pa.array(x[more].view(np.int64)) for x in odd), pa.array(of_size[more])], _MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for b in batches:
+            for i, *block in zip(*(b.column(c).to_pylist() for c in ("bucket", *_BLOCK)), strict=True):
+                if i != bucket and held:
+                    yield from of(held)
+                    held = []
+                bucket = i
+                held.append(block)
+        if held:
+            yield from of(held)
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``k`` those whose key another row has."""
-    held = None  # the last row so far, its key, and whether a row before it has the key
-    for b in batches:
-        if b.num_rows == 0:
-            continue
-        k = b.column("k").to_numpy()
-        same, keep = k[1:] == k[:-1], np.zeros(len(k), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if held is not None:
-            keep[0] |= held[1] == k[0]
-            if held[2] or held[1] == k[0]:
-                yield held[0]
-        held = b.slice(b.num_rows - 1), k[-1], bool(keep[-1])
-        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
-    if held is not None and held[2]:
-        yield held[0]
+def _open(edits: int):
+    """Pairs (a, b) of lines that may be near and are not of one label yet; of rows sorted by ``k``."""
+    def of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        k, lid, label, tokens, indexed, *odd = (
+            np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows])
+            for c in ("k", "lid", "label", "tokens", "indexed", "odd0", "odd1"))
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        apart = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        x = np.flatnonzero(np.repeat(apart, np.diff(np.append(starts, len(k)))))
+        pairs = [np.empty((0, 2), np.int64)]
+        for x, y in _like(k, tokens.astype(np.int64), indexed, [o.view(np.uint64) for o in odd], x, edits, len(k)):
+            new = label[x] != label[y]
+            pairs.append(np.sort(np.stack([lid[x[new]], lid[y[new]]], 1), axis=1))
+        a, b = np.unique(np.concatenate(pairs), axis=0).T
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            k = b.column("k").to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))  # the last key may go on
+            if held and (cut or held[0].column("k")[0].as_py() != k[0]):
+                yield of([*held, b.slice(0, cut)])
+                held = []
+            elif cut:
+                yield of([b.slice(0, cut)])
+            held.append(b.slice(cut))
+        if held:
+            yield of(held)
+    return run
 
 
 def _verified(edits: int):
@@ -308,10 +499,12 @@ def _bins(tokens: list[list[int]]) -> np.ndarray:
 def _blocks(edits: int):
     """One pair of blocks of a group: a token edit changes at most two token counts by one, a character edit four."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        if group["label"].nunique() == 1:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
         left, right = group[group["side"] == 0], group[group["side"] == 1]
         same = len(right) == 0
         right = left if same else right
-        digests, group_of = _Digests(), {lid: lid for lid in group["lid"]}
+        digests, group_of = _Digests(), {lid: lid for lid in group["label"]} | dict(zip(group["lid"], group["label"], strict=True))
 
         def top(v: int) -> int:
             while group_of[v] != v:
@@ -324,12 +517,15 @@ def _blocks(edits: int):
         x, y = _bins(own), _bins(others)
         sizes = y.sum(axis=1, dtype=np.int64)
         out = []
+        labels, label = left["label"].tolist(), right["label"].to_numpy()
         for i, (lid, line) in enumerate(zip(mine, texts, strict=True)):
             n = len(own[i])
             most = np.maximum(sizes, n) // SHARE
-            # Cheapest first: counts of tokens, then bins of those that are left.
-            j = np.flatnonzero(np.abs(sizes - n) <= np.maximum(2 * edits, most))
+            # Cheapest first: labels and counts of tokens, then bins of those that are left.
+            j = np.flatnonzero((label != labels[i]) & (np.abs(sizes - n) <= np.maximum(2 * edits, most)))
             j = j[j > i] if same else j
+            if not len(j):
+                continue
             j = j[np.abs(y[j] - x[i]).sum(axis=1, dtype=np.int64) <= np.maximum(4 * edits, 2 * most[j])]
             for j in j.tolist():
                 # What further lines connect already needs no link of its own.
@@ -351,43 +547,57 @@ def _lengths(edits: int) -> Column:
 
 def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) of stored distinct lines (lid, line)."""
-    schema = "k long, lid long, tokens int, indexed boolean"
-    # Most keys are met once: they move once, and no further than to the sort that shows it.
-    keys = (lines.select("lid", "line").mapInArrow(_keys(edits), schema).repartition("k").sortWithinPartitions("k")
-            .mapInArrow(_shared, schema))
-    keys = stored(keys, "line-keys")
-    met = keys.groupBy("k").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.count("*").alias("n"),
-                                F.max("indexed").alias("any")).where("lo < hi and any").select("k", "n")
-    rows = stored(keys.join(met, "k"), "line-rows")
+    lines = lines.select("lid", "line")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Most keys are met once: they move once, in blocks, and no further than to the sort that shows it.
+    met = stored(lines.mapInArrow(_dealt(_keys(edits, frequent(lines)), 4 * parts), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOCK))
+                 .repartition(parts, "bucket").sortWithinPartitions("bucket")
+                 .mapInArrow(_met(edits, group), "k long, a long, b long, tokens int, indexed boolean, odd0 long, odd1 long, n long"), "line-met")
+    rows = met.where(F.col("k").isNotNull()).withColumnRenamed("a", "lid")
     # Larger groups are cut by counts of tokens: each line is in its own range and meets the range below.
     cut = stored(rows.where(F.col("n") > group).withColumn("range", _lengths(edits))
                  .withColumn("range", F.explode(F.array("range", F.col("range") + 1)))
-                 .select(F.xxhash64("k", "range").alias("k"), "lid", "tokens", "indexed").distinct(), "line-cut")
+                 .select(F.xxhash64("k", "range").alias("k"), "lid", "tokens", "indexed", "odd0", "odd1").distinct(), "line-cut")
     # Of groups of the same lines one is enough.
     of = (cut.groupBy("k").agg(F.count("*").alias("n"), F.max("indexed").alias("any"), F.min("indexed").alias("all"),
                                F.sum(F.xxhash64("lid").cast("decimal(20,0)")).alias("s1"),
                                F.sum(F.xxhash64("lid", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
           .where("n > 1 and any").groupBy("n", "all", "s1", "s2", F.when(~F.col("all"), F.col("k")).alias("own")).agg(F.min("k").alias("k")))
     counted = cut.join(of.select("k", "n"), "k")
-    small = rows.where(F.col("n") <= group).unionByName(counted.where(F.col("n") <= group))
-    x, y = (small.select("k", F.col("lid").alias(c), F.col("indexed").alias(f"i_{c}"), F.col("tokens").alias(f"t_{c}")) for c in "ab")
-    far = F.abs(F.col("t_a") - F.col("t_b")) > F.greatest(F.lit(2 * edits), F.floor(F.greatest("t_a", "t_b") / SHARE))
-    pairs = stored(x.join(y, "k").where("a < b and (i_a or i_b)").where(~far).select("a", "b").distinct(), "line-pairs")
     # What is still larger: every block of at most about ``block`` lines meets every other once.
     large = stored(counted.where(F.col("n") > group).select("k", "lid", "n").distinct(), "line-large")
+    # Each line and the first that it may be near: what these links join needs no further comparison.
+    pairs = stored(met.where(F.col("b").isNotNull()).select("a", "b").distinct(), "line-pairs")
     # Only lines of some group are compared: their texts move once, not in every join.
-    grouped = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(large.select("lid")).distinct()
-    text = stored(with_texts(lines.select("lid", "line")).join(grouped, "lid", "left_semi"), "line-texts")
-    links = (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
-             .join(text.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
-             .mapInArrow(_verified(edits), "a long, b long"))
-
+    grouped = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(rows.select("lid")).distinct()
+    text = stored(with_texts(lines).join(grouped, "lid", "left_semi"), "line-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(text.select(F.col("lid").alias("a"), F.col("line").alias("line_a")), "a")
+                .join(text.select(F.col("lid").alias("b"), F.col("line").alias("line_b")), "b")
+                .mapInArrow(_verified(edits), "a long, b long"))
+
+    first = stored(verified(pairs), "line-links")
+    up = first.groupBy(F.col("b").alias("lid")).agg(F.min("a").alias("label"))
+    top = up.select(F.col("lid").alias("label"), F.col("label").alias("top"))
+    labels = stored(up.join(top, "label", "left").select("lid", F.coalesce("top", "label").alias("label")), "line-labels")
+    labelled = lambda df: df.join(labels, "lid", "left").withColumn("label", F.coalesce("label", "lid"))
+    kept = ["k", "lid", "tokens", "indexed", "odd0", "odd1"]
+    more = labelled(rows.where(F.col("n") <= group).select(kept).unionByName(counted.where(F.col("n") <= group).select(kept)))
+    more = (more.select(*kept, "label").repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_open(edits), "a long, b long")
+            .distinct().join(pairs, ["a", "b"], "left_anti"))
+    links = first.unionByName(verified(stored(more, "line-pairs")))
+
+    # Groups of one label are done.
+    large = labelled(large)
+    mixed = large.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
+    large = stored(large.join(mixed, "k", "left_semi"), "line-large")
     if not large.isEmpty():
         blocks = F.ceil(F.col("n") / block)
         one = (large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("lid"), F.col("blocks")))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       (F.col("mine") > F.col("other")).cast("int").alias("side"), "lid"))
+                       (F.col("mine") > F.col("other")).cast("int").alias("side"), "lid", "label"))
         links = links.unionByName(one.join(text, "lid").groupBy("k", "i", "j").applyInPandas(_blocks(edits), "a long, b long"))
     return stored(links.distinct(), "line-links")
 

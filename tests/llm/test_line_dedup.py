@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
+from briefloom.llm import line_dedup as m
 from briefloom.llm.line_dedup import _keys, line_dedup, near, probes, segments, within, within_tokens
 
 
@@ -174,3 +175,37 @@ def test_distance_of_tokens_equals_full_distance():
         b = edited(rng, a, rng.randrange(0, 7))
         for k in (0, 1, 3, 6):
             assert within_tokens(list(a), list(b), k) == (distance(a, b) <= k), (a, b, k)
+
+
+def test_tokens_are_hashed_as_they_are_cut(monkeypatch):
+    rng = random.Random(11)
+    lines = ["".join(rng.choice("ab c　漢字\x85é\U00020001 \t-") for _ in range(rng.randrange(40))) for _ in range(500)]
+    want = [(i, t) for i, line in enumerate(lines) for t in m._TOKEN.findall(line)]
+    seen = []
+    for chunk in (m._CHUNK, 16):  # a line may be longer than a chunk
+        monkeypatch.setattr(m, "_CHUNK", chunk)
+        m._powers.cache_clear()
+        row, hashes, _ = m._token_hashes(lines)
+        assert row.tolist() == [i for i, _ in want]
+        seen.append(hashes.tolist())
+    m._powers.cache_clear()
+    of = dict(zip((t for _, t in want), seen[0], strict=True))
+    assert len(set(of.values())) == len(of) and [of[t] for _, t in want] == seen[0] == seen[1]
+
+
+def test_a_line_has_few_keys():
+    rng = random.Random(12)
+    for n in (12, 25, 39, 58, 130):
+        line = " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+        out, = _keys(2)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([line])], ["lid", "line"])]))
+        assert len(set(out["k"].to_pylist())) == out.num_rows <= max(7, 2 * (n // 10) + 2)
+
+
+def test_a_common_passage_is_no_key():
+    rng = random.Random(13)
+    lines = [" ".join([*(f"w{rng.randrange(10 ** 9)}" for _ in range(30)), "all of these lines end in this"]) for _ in range(40)]
+    common = m._grams(*m._token_hashes(["all of these lines end in this"])[:2])[1]
+    slots = (common % m.np.uint64(m._SLOTS)).astype("int64"), m.np.full(len(common), 200, "uint8")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(lines)], ["lid", "line"])
+    keys = [k for out in _keys(2, slots)(iter([batch])) for k in out["k"].to_pylist()]
+    assert len(set(keys)) == len(keys)
