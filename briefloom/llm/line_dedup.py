@@ -24,12 +24,14 @@ Candidates, from keys of each line alone, lose no near pair:
   next smaller lengths with just those substrings.  Of a pair with one longer
   line, that line's two-token segments are enough.
 
-Keys that two lines share give the candidate pairs, if their counts of tokens
-and the parities of these counts by bin allow it.  Each line meets the first such
-line of its groups; what those links join is not compared again.  Further pairs
-of groups of up to ``GROUP`` lines are compared one by one; larger groups are cut
-by token counts and then compared block against block inside tasks, which sift
-by token counts and return verified links alone.  Links are verified by banded bit-parallel
+Keys that two lines share give the candidate pairs, if their lengths, their counts
+of tokens and the parities of these counts by bin allow it.  Each line meets the
+first such line of its groups; what those links join is not compared again.  Of
+groups of up to ``GROUP`` lines those that further pairs leave open meet again with
+their texts, a pair in the first open group of both alone; larger groups are cut
+by token counts and then compared block against block.  Both are done inside tasks,
+which return verified links alone, none between what they have joined already: no
+pair that is not a link is ever a row.  Links are verified by banded bit-parallel
 edit distance.
 
 Defined cases: null and empty texts have no lines and stay as they are;
@@ -63,8 +65,9 @@ _BINS = 64
 _BASE = 0x9E3779B97F4A7C15
 _ROWS = 1 << 12  # lines at once
 _CHUNK = 1 << 18  # characters at once
-_BLOCK = {"k": np.int64, "lid": np.int64, "tokens": np.int32, "odd0": np.uint64, "odd1": np.uint64}
-_MET = ["k", "a", "b", "tokens", "indexed", "odd0", "odd1", "n"]
+_BLOCK = {"k": np.int64, "lid": np.int64, "tokens": np.int32, "size": np.int8, "odd0": np.uint64, "odd1": np.uint64}
+_MET = ["k", "a", "b", "tokens", "indexed", "size", "odd0", "odd1", "n"]
+_OPEN = ["k", "lid", "label", "tokens", "size", "odd0", "odd1"]
 _AT_ONCE = 1 << 18  # keys of a task that are dealt together
 _SLOTS = 1 << 20  # of counts of segments
 _SAMPLED = 32
@@ -155,12 +158,15 @@ def near(a: str, b: str, edits: int) -> bool:
     return bool(k) and (Counter(x) & Counter(y)).total() >= n - k and within_tokens(x, y, k)
 
 
-def near_tokens(a: str, b: str, x: list, y: list, edits: int) -> bool:
-    """``near`` of lines whose tokens are at hand and whose counts of tokens are near each other."""
+def near_tokens(a: str, b: str, x: list, y: list, edits: int, counts: tuple[Counter, Counter] | None = None) -> bool:
+    """``near`` of lines whose tokens are at hand, with their ``counts`` or of about the same."""
     if abs(len(a) - len(b)) <= edits and within(a, b, edits):
         return True
-    k = max(len(x), len(y)) // SHARE
-    return bool(k) and abs(len(x) - len(y)) <= k and within_tokens(x, y, k)
+    n = max(len(x), len(y))
+    k = n // SHARE
+    if not k or abs(len(x) - len(y)) > k or counts and (counts[0] & counts[1]).total() < n - k:
+        return False
+    return within_tokens(x, y, k)
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -315,6 +321,8 @@ def _keys(edits: int, slots: tuple[np.ndarray, np.ndarray] | None = None):
                 row, token, apart = _token_hashes(some)
                 width = np.bincount(row, minlength=len(some))
                 odd = _parities(row, token, width)
+                # Lengths modulo 256: two that differ by a few do so there as well.
+                size = np.fromiter(map(len, some), np.int64, len(some)).astype(np.uint8).view(np.int8)
                 row, gram = _grams(row, token)
                 # A line's segments, the least frequent first.
                 value = order[(gram % np.uint64(_SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(42) | gram >> np.uint64(22)
@@ -351,18 +359,19 @@ def _keys(edits: int, slots: tuple[np.ndarray, np.ndarray] | None = None):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(lids[at + row]), pa.array(width[row].astype(np.int32)),
                      pa.array(np.concatenate([np.ones(len(key) - len(keys), bool), np.array(indexed, bool)])),
-                     *(pa.array(x[row].view(np.int64)) for x in odd)], ["k", "lid", "tokens", "indexed", "odd0", "odd1"])
+                     pa.array(size[row]), *(pa.array(x[row].view(np.int64)) for x in odd)],
+                    ["k", "lid", "tokens", "indexed", "size", "odd0", "odd1"])
     return run
 
 
 def _dealt(keys, buckets: int):
     """Rows of keys as blocks of bytes, one for each bucket and _AT_ONCE keys of a task: they move for little."""
     def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        k, lid, tokens, indexed, *odd = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(6))
+        k, lid, tokens, indexed, size, *odd = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(7))
         bucket = (_mixed(k.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
         by = np.argsort(bucket, kind="stable")
         ids, starts = np.unique(bucket[by], return_index=True)
-        data = k[by], lid[by], tokens[by].astype(np.int32) * 2 + indexed[by], odd[0][by], odd[1][by]
+        data = k[by], lid[by], tokens[by].astype(np.int32) * 2 + indexed[by], size[by], odd[0][by], odd[1][by]
         ends = [*starts[1:].tolist(), len(by)]
         return pa.RecordBatch.from_arrays(
             [pa.array(ids), *(pa.array([x[p:q].tobytes() for p, q in zip(starts.tolist(), ends, strict=True)], pa.binary()) for x in data)],
@@ -381,11 +390,11 @@ def _dealt(keys, buckets: int):
     return run
 
 
-def _like(k: np.ndarray, tokens: np.ndarray, indexed: np.ndarray, odd: list[np.ndarray], x: np.ndarray, edits: int,
+def _like(k: np.ndarray, tokens: np.ndarray, size: np.ndarray, odd: list[np.ndarray], x: np.ndarray, edits: int,
           most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (x, y), at most ``most`` apart, of lines of one key that may be near; for rows sorted by key, the nearest places first.
 
-    A token edit changes the count of tokens by one at most and two parities, a character edit two and four.
+    A token edit changes the count of tokens by one at most and two parities, a character edit two and four and the length by one.
     """
     d = 0
     while len(x) and d < most:
@@ -394,8 +403,9 @@ def _like(k: np.ndarray, tokens: np.ndarray, indexed: np.ndarray, odd: list[np.n
         x = x[k[x] == k[x + d]]
         y = x + d
         words = np.maximum(tokens[x], tokens[y]) // SHARE
-        ok = (indexed[x] | indexed[y]) & (np.abs(tokens[x] - tokens[y]) <= np.maximum(2 * edits, words))
-        ok &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) <= np.maximum(4 * edits, 2 * words)
+        chars = np.abs(size[x] - size[y]) <= edits
+        ok = (chars | (words > 0)) & (np.abs(tokens[x] - tokens[y]) <= np.where(chars, np.maximum(2 * edits, words), words))
+        ok &= sum(np.bitwise_count(o[x] ^ o[y]).astype(np.int64) for o in odd) <= np.where(chars, np.maximum(4 * edits, 2 * words), 2 * words)
         yield x[ok], y[ok]
 
 
@@ -403,10 +413,10 @@ def _met(edits: int, group: int):
     """Of each bucket's keys those that lines share.
 
     As pairs (a, b) of each line and the first before it (of the last ``group``) that it may be near; as rows
-    (k, a, ...) where there are further pairs, or more than ``group`` lines.
+    (k, a, ...) the lines of further pairs, and all where there are more than ``group``.
     """
     def of(blocks: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        k, lid, tokens, *odd = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blocks, strict=True), _BLOCK.values(), strict=True))
+        k, lid, tokens, size, *odd = (np.frombuffer(b"".join(x), t) for x, t in zip(zip(*blocks, strict=True), _BLOCK.values(), strict=True))
         by = np.lexsort((tokens, lid, k))
         last = np.ones(len(by), bool)  # a line has a key once
         last[:-1] = (k[by][1:] != k[by][:-1]) | (lid[by][1:] != lid[by][:-1])
@@ -415,22 +425,24 @@ def _met(edits: int, group: int):
         sizes = np.diff(np.append(starts, len(by)))
         met = np.logical_or.reduceat((tokens[by] & 1).astype(bool), starts) & (sizes > 1)
         by, sizes = by[np.repeat(met, sizes)], sizes[met]
-        k, lid, indexed, tokens, odd = k[by], lid[by], tokens[by] & 1 > 0, tokens[by].astype(np.int64) >> 1, [x[by] for x in odd]
+        k, lid, indexed, tokens, size, odd = k[by], lid[by], tokens[by] & 1 > 0, tokens[by].astype(np.int64) >> 1, size[by], [x[by] for x in odd]
         of_size = np.repeat(sizes, sizes)
-        first, found = np.full(len(k), -1), np.zeros(len(k), np.int64)
-        for x, y in _like(k, tokens, indexed, odd, np.arange(len(k)), edits, group):
+        first, more = np.full(len(k), -1), of_size > group
+        for x, y in _like(k, tokens, size, odd, np.arange(len(k)), edits, group):
+            ok = indexed[x] | indexed[y]
+            x, y = x[ok], y[ok]
+            again = y[first[y] >= 0]
+            more[again] = more[first[again]] = True
             first[y] = x
-            found[y] += 1
-        y = np.flatnonzero(found)
+        y = np.flatnonzero(first >= 0)
         pairs = np.unique(np.stack([lid[first[y]], lid[y]], 1), axis=0)
         none = pa.nulls(len(pairs), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none.cast(pa.int32()), none.cast(pa.bool_()),
-                                          none, none, none], _MET)
-        if len(sizes):
-            more = np.repeat((np.maximum.reduceat(found, np.cumsum(sizes) - sizes) > 1) | (sizes > group), sizes)
+                                          none.cast(pa.int8()), none, none, none], _MET)
+        if more.any():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k[more]), pa.array(lid[more]), pa.nulls(int(more.sum()), pa.int64()), pa.array(tokens[more].astype(np.int32)),
-                 pa.array(indexed[more]), *(pa.array(x[more].view(np.int64)) for x in odd), pa.array(of_size[more])], _MET)
+                 pa.array(indexed[more]), pa.array(size[more]), *(pa.array(x[more].view(np.int64)) for x in odd), pa.array(of_size[more])], _MET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -446,40 +458,87 @@ def _met(edits: int, group: int):
     return run
 
 
-def _open(edits: int):
-    """Pairs (a, b) of lines that may be near and are not of one label yet; of rows sorted by ``k``."""
-    def of(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        k, lid, label, tokens, indexed, *odd = (
-            np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in rows])
-            for c in ("k", "lid", "label", "tokens", "indexed", "odd0", "odd1"))
-        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        apart = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        x = np.flatnonzero(np.repeat(apart, np.diff(np.append(starts, len(k)))))
-        pairs = [np.empty((0, 2), np.int64)]
-        for x, y in _like(k, tokens.astype(np.int64), indexed, [o.view(np.uint64) for o in odd], x, edits, len(k)):
-            new = label[x] != label[y]
-            pairs.append(np.sort(np.stack([lid[x[new]], lid[y[new]]], 1), axis=1))
-        a, b = np.unique(np.concatenate(pairs), axis=0).T
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
+def _by_key(of):
+    """``of`` over batches of whole keys; rows are sorted by ``k``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        each, held = of(), []
         for b in batches:
             if b.num_rows == 0:
                 continue
             k = b.column("k").to_numpy()
             cut = int(np.searchsorted(k, k[-1]))  # the last key may go on
             if held and (cut or held[0].column("k")[0].as_py() != k[0]):
-                yield of([*held, b.slice(0, cut)])
+                yield each([*held, b.slice(0, cut)])
                 held = []
             elif cut:
-                yield of([b.slice(0, cut)])
+                yield each([b.slice(0, cut)])
             held.append(b.slice(cut))
         if held:
-            yield of(held)
+            yield each(held)
     return run
 
 
+def _column(rows: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([b.column(name).to_numpy(zero_copy_only=False) for b in rows])
+
+
+def _open(edits: int):
+    """Lines that may be near another one of their key and are not of one label with it yet."""
+    def of():
+        def each(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            k, lid, label, tokens, size, *odd = columns = [_column(rows, c) for c in _OPEN]
+            indexed = _column(rows, "indexed")
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            apart = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+            x = np.flatnonzero(np.repeat(apart, np.diff(np.append(starts, len(k)))))
+            left = np.zeros(len(k), bool)
+            for x, y in _like(k, tokens.astype(np.int64), size, [o.view(np.uint64) for o in odd], x, edits, len(k)):
+                new = (label[x] != label[y]) & (indexed[x] | indexed[y])
+                left[x[new]] = left[y[new]] = True
+            return pa.RecordBatch.from_arrays([pa.array(c[left]) for c in columns], _OPEN)
+        return each
+    return _by_key(of)
+
+
+def _compared(edits: int):
+    """Verified links (a, b) of open lines; each pair is compared in the first of the keys that both have."""
+    def of():
+        up: dict[int, int] = {}  # of labels that links of this task have joined
+
+        def top(v: int) -> int:
+            while (over := up.get(v, v)) != v:
+                up[v] = v = up.get(over, over)
+            return v
+
+        def each(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            k, lid, label, tokens, size, *odd = (_column(rows, c) for c in _OPEN)
+            lines, keys = (pa.chunked_array([b.column(c) for b in rows]) for c in ("line", "keys"))
+            held: dict[int, tuple[str, list, Counter, set]] = {}
+
+            def row(i: int) -> tuple[str, list, Counter, set]:
+                if (found := held.get(lid[i])) is None:
+                    line = lines[i].as_py()
+                    cut = _TOKEN.findall(line)
+                    held[lid[i]] = found = line, cut, Counter(cut), set(keys[i].as_py())
+                return found
+
+            links = [np.empty((0, 2), np.int64)]
+            for x, y in _like(k, tokens.astype(np.int64), size, [o.view(np.uint64) for o in odd], np.arange(len(k)), edits, len(k)):
+                new = label[x] != label[y]
+                for i, j in zip(x[new].tolist(), y[new].tolist(), strict=True):
+                    one, other = top(int(label[i])), top(int(label[j]))
+                    if one == other:
+                        continue
+                    (a, own, n, mine), (b, others, m, its) = row(i), row(j)
+                    if min(mine & its) == k[i] and near_tokens(a, b, own, others, edits, (n, m)):
+                        up[other] = one
+                        links.append(np.sort(lid[[i, j]])[None])
+            a, b = np.concatenate(links).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return each
+    return _by_key(of)
+
+
 def _verified(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -552,12 +611,12 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
     # Most keys are met once: they move once, in blocks, and no further than to the sort that shows it.
     met = stored(lines.mapInArrow(_dealt(_keys(edits, frequent(lines)), 4 * parts), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOCK))
                  .repartition(parts, "bucket").sortWithinPartitions("bucket")
-                 .mapInArrow(_met(edits, group), "k long, a long, b long, tokens int, indexed boolean, odd0 long, odd1 long, n long"), "line-met")
+                 .mapInArrow(_met(edits, group), "k long, a long, b long, tokens int, indexed boolean, size byte, odd0 long, odd1 long, n long"), "line-met")
     rows = met.where(F.col("k").isNotNull()).withColumnRenamed("a", "lid")
     # Larger groups are cut by counts of tokens: each line is in its own range and meets the range below.
     cut = stored(rows.where(F.col("n") > group).withColumn("range", _lengths(edits))
                  .withColumn("range", F.explode(F.array("range", F.col("range") + 1)))
-                 .select(F.xxhash64("k", "range").alias("k"), "lid", "tokens", "indexed", "odd0", "odd1").distinct(), "line-cut")
+                 .select(F.xxhash64("k", "range").alias("k"), "lid", "tokens", "indexed", "size", "odd0", "odd1").distinct(), "line-cut")
     # Of groups of the same lines one is enough.
     of = (cut.groupBy("k").agg(F.count("*").alias("n"), F.max("indexed").alias("any"), F.min("indexed").alias("all"),
                                F.sum(F.xxhash64("lid").cast("decimal(20,0)")).alias("s1"),
@@ -578,15 +637,16 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
                 .mapInArrow(_verified(edits), "a long, b long"))
 
     first = stored(verified(pairs), "line-links")
-    up = first.groupBy(F.col("b").alias("lid")).agg(F.min("a").alias("label"))
-    top = up.select(F.col("lid").alias("label"), F.col("label").alias("top"))
-    labels = stored(up.join(top, "label", "left").select("lid", F.coalesce("top", "label").alias("label")), "line-labels")
+    labels = stored(components(first).select(F.col("v").alias("lid"), "label"), "line-labels")
     labelled = lambda df: df.join(labels, "lid", "left").withColumn("label", F.coalesce("label", "lid"))
-    kept = ["k", "lid", "tokens", "indexed", "odd0", "odd1"]
+    kept = ["k", "lid", "tokens", "indexed", "size", "odd0", "odd1"]
     more = labelled(rows.where(F.col("n") <= group).select(kept).unionByName(counted.where(F.col("n") <= group).select(kept)))
-    more = (more.select(*kept, "label").repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_open(edits), "a long, b long")
-            .distinct().join(pairs, ["a", "b"], "left_anti"))
-    links = first.unionByName(verified(stored(more, "line-pairs")))
+    left = stored(more.select(*kept, "label").repartition(parts, "k").sortWithinPartitions("k")
+                  .mapInArrow(_open(edits), "k long, lid long, label long, tokens int, size byte, odd0 long, odd1 long"), "line-open")
+    # Each line that is left with the keys of its open groups; in each it meets the others with its text.
+    again = left.groupBy(*[c for c in _OPEN if c != "k"]).agg(F.collect_list("k").alias("keys"))
+    links = first.unionByName(with_texts(again).join(text, "lid").select("*", F.explode("keys").alias("k"))
+                              .repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_compared(edits), "a long, b long"))
 
     # Groups of one label are done.
     large = labelled(large)

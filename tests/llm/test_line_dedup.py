@@ -209,3 +209,39 @@ def test_a_common_passage_is_no_key():
     batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(lines)], ["lid", "line"])
     keys = [k for out in _keys(2, slots)(iter([batch])) for k in out["k"].to_pylist()]
     assert len(set(keys)) == len(keys)
+
+
+def open_rows(lines, shared):
+    """Rows of lines that have all of the keys ``shared``, as the steps after ``_met`` take them; ids and labels count the lines."""
+    row, token, _ = m._token_hashes(lines)
+    width = m.np.bincount(row, minlength=len(lines))
+    odd = [x.view("int64").tolist() * len(shared) for x in m._parities(row, token, width)]
+    n, ids = len(lines), list(range(len(lines))) * len(shared)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k for k in shared for _ in range(n)]), pa.array(ids), pa.array(ids), pa.array(width.tolist() * len(shared), pa.int32()),
+         pa.array([len(x) % 256 - (len(x) % 256 > 127) * 256 for x in lines] * len(shared), pa.int8()), *(pa.array(x) for x in odd),
+         pa.array([True] * n * len(shared)), pa.array([shared] * n * len(shared)), pa.array(lines * len(shared))],
+        [*m._OPEN, "indexed", "keys", "line"])
+
+
+def test_open_groups_make_no_more_rows_than_they_have(monkeypatch):
+    # Of 60 lines each two may be near by length and counts, but none are; ten near copies of one are among them.
+    rng = random.Random(14)
+    lines = ["one and the same opening " + "".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(60)]
+    lines += [lines[0][:-1] + c for c in "ijklmnopqr"]
+    rows = open_rows(lines, [5, 7, 9])
+    left = pa.Table.from_batches(m._open(2)(iter([rows])))
+    assert sorted(zip(left["k"].to_pylist(), left["lid"].to_pylist(), strict=True)) == [(k, i) for k in (5, 7, 9) for i in range(70)]
+    seen = []
+    verify = m.near_tokens
+    monkeypatch.setattr(m, "near_tokens", lambda a, b, *more: seen.append((a, b)) or verify(a, b, *more))
+    links = pa.Table.from_batches(m._compared(2)(iter([rows.slice(i, 50) for i in range(0, len(rows), 50)]))).to_pydict()
+    assert len(seen) == len(set(seen)) <= 70 * 69 // 2
+    assert {x for ab in zip(links["a"], links["b"], strict=True) for x in ab} == {0, *range(60, 70)}
+    assert len(links["a"]) == 10  # no link between lines that are joined already
+
+
+def test_lines_of_unlike_lengths_and_few_words_do_not_meet():
+    rows = open_rows(["edes | thshth | are the same", "the | thsh | onornd are the same", "edes | thshth | are the some"], [3])
+    left = pa.Table.from_batches(m._open(2)(iter([rows])))
+    assert left["lid"].to_pylist() == [0, 2]
