@@ -30,8 +30,8 @@ first such line of its groups; what those links join is not compared again.  Of
 groups of up to ``GROUP`` lines those that further pairs leave open meet again with
 their texts, a pair in the first open group of both alone; larger groups are cut
 by token counts and then compared block against block.  Both are done inside tasks,
-which return verified links alone, none between what they have joined already: no
-pair that is not a link is ever a row.  Links are verified by banded bit-parallel
+which return verified links alone, none between what they have joined already: of
+pairs that are no links only first ones are rows, one a line and key at most.  Links are verified by banded bit-parallel
 edit distance.
 
 Defined cases: null and empty texts have no lines and stay as they are;
