@@ -22,12 +22,14 @@ other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,13 @@ from briefloom.llm.common import stored, tables, text_or_empty
 
 CAPACITY = 2048
 END = 0
-_WORDS_KEPT = 2_000_000  # before a worker's table starts anew
+_WORDS_KEPT = 200_000  # in each of a worker's two tables
+_CHUNK = 1 << 22  # bytes of texts at once
+_MARKS = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
+# Letters that case and normal form change one by one: of those up to U+024F all but one.
+_ODD = re.compile("[\u0130\u0250-\U0010ffff]")
+_LETTERS = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131-\u024f]+")
+_CLOSED = re.compile("[0-9a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u012f\u0131-\u024f]\\Z")
 
 
 def default_tokenizer() -> str:
@@ -44,44 +52,56 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids, as little-endian bytes, of words between ASCII white space.
 
     The tokenizer drops white space, ignores case and parts letters and digits
     from marks, so a text's ids are those of its words, and a word's those of
     its lower-case stem and the marks behind it.  Parts not met before are
     encoded together, as one text.
+
+    Two tables of up to ``_WORDS_KEPT`` entries: where the newer is full it
+    becomes the older, whose words move up when they are met again.
     """
 
     def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
         self.tokenizer = Tokenizer.from_file(path)
+        # Of words that its normalizer leaves as they are.
+        self.normal = Tokenizer.from_file(path)
+        self.normal.normalizer = normalizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @staticmethod
     def parts(word: bytes) -> tuple[bytes, ...]:
         if b"<" in word:  # may hold a special token, which is spelt one way only
             return (word,)
         low = word.lower()
-        stem = low.rstrip(b".,!?")
-        return (stem, low[len(stem):]) if stem and stem != low and stem[-1:].isalnum() else (low,)
-
-    def _plain(self, parts: list[bytes]) -> bool:
-        """Ids of parts of ASCII letters, each of which ends with an id that closes a word."""
-        texts = [b" ".join(parts[i:i + 200]).decode() for i in range(0, len(parts), 200)]
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(parts):
-            return False
-        data, begin = ids.tobytes(), 0
-        for p, end in zip(parts, (4 * ends).tolist(), strict=True):
-            self[p] = data[begin:end]
-            begin = end
-        return True
+        if low.isalpha():
+            return (low,)
+        if not low.isascii() and not _ODD.search(text := low.decode("utf-8", "replace")):
+            low = text.lower().encode()
+        stem = low.rstrip(_MARKS)
+        return (stem, low[len(stem):]) if stem and stem != low and _CLOSED.search(stem.decode("utf-8", "replace")) else (low,)
+
+    def _plain(self, parts: list[bytes]) -> list[bytes]:
+        """Learns parts that the normalizer leaves as they are and that hold one id that closes a word, their last; returns the others."""
+        groups, rest = [parts[i:i + 200] for i in range(0, len(parts), 200)], []
+        for group, got in zip(groups, self.normal.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(group):
+                rest += group
+                continue
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.new[p] = data[begin:end]
+                begin = end
+        return rest
 
     def _any(self, parts: list[bytes]) -> None:
         """Ids of any parts, told apart by their places in the joined text."""
@@ -92,35 +112,58 @@ class WordIds(dict):
         part = np.searchsorted(starts, [o[0] for o in got.offsets], "right") - 1
         begin = 0
         for p, end in zip(parts, (4 * np.searchsorted(part, np.arange(len(parts)), "right")).tolist(), strict=True):
-            self[p] = data[begin:end]
+            self.new[p] = data[begin:end]
             begin = end
 
-    def learn(self, words: set[bytes]) -> None:
-        split = {w: self.parts(w) for w in words}
-        new = {p for parts in split.values() for p in parts if p not in self}
-        plain = [p for p in new if p.isalpha()]
-        if plain and not self._plain(plain):
-            self._any(plain)
-        if other := [p for p in new if not p.isalpha()]:
-            self._any(other)
-        for w, parts in split.items():
-            if w not in self:
-                self[w] = self[parts[0]] + self[parts[1]] if len(parts) > 1 else self[parts[0]]
-
-    def encode_all(self, texts: list[bytes], at_once: int = 32) -> Iterator[bytes]:
-        for i in range(0, len(texts), at_once):
-            split = [t.split() for t in texts[i:i + at_once]]
-            new = {w for words in split for w in words if w not in self}
-            if new and len(self) + 2 * len(new) > _WORDS_KEPT:
-                self.clear()
-                new = {w for words in split for w in words}
-            if new:
-                self.learn(new)
-            for words in split:
-                yield b"".join(map(self.__getitem__, words))
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct words."""
+        if len(self.new) > _WORDS_KEPT:
+            self.old, self.new = self.new, {}
+        new = self._moved(words)
+        if new:
+            plain = [w for w in new if w.isalpha() and w.islower()]
+            split = {w: self.parts(w) for w in set(new).difference(plain)}
+            other = self._moved(list({p for x in split.values() for p in x}.difference(plain)))
+            fit = {p for p in other if _LETTERS.fullmatch(p.decode("utf-8", "replace"))}
+            if rest := [*set(other).difference(fit), *self._plain([*plain, *fit])]:
+                self._any(rest)
+            for w, x in split.items():
+                if x[0] != w:
+                    self.new[w] = b"".join(map(self.new.__getitem__, x))
+        return list(map(self.new.__getitem__, words))
+
+    def _moved(self, words: list[bytes]) -> list[bytes]:
+        """Those of ``words`` that neither table holds; what only the older holds moves up."""
+        rest = [w for w in words if w not in self.new]
+        self.new.update({w: self.old[w] for w in rest if w in self.old})
+        return [w for w in rest if w not in self.old]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of some chunk of texts each distinct word is looked up once; the rest is Arrow's and numpy's."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _CHUNK, "right")))
+            some = texts[at:end]
+            split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(some, "<"), some, pc.ascii_lower(some)))
+            coded = split.flatten().dictionary_encode()
+            of = self.of(coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+            ids = np.frombuffer(b"".join(of), "<u4")
+            lengths = np.fromiter(map(len, of), np.int64, len(of)) // 4
+            starts = np.cumsum(lengths) - lengths
+            code = coded.indices.to_numpy()
+            n = lengths[code]
+            ends = np.cumsum(n)
+            got = ids[np.repeat(starts[code] - (ends - n), n) + np.arange(n.sum())].tobytes()
+            last = np.append(0, ends)[np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]
+            begin = 0
+            for stop in (4 * last).tolist():
+                yield got[begin:stop]
+                begin = stop
+            at = end
 
     def encode(self, text: bytes) -> bytes:
-        return next(self.encode_all([text]))
+        return next(self.encode_all(pa.array([text], pa.binary()).cast(pa.string())))
 
 
 def _word_ids(path: str) -> WordIds:
@@ -138,7 +181,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         words = _word_ids(path)
         for b in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, data in enumerate(words.encode_all(b.column("text").cast(pa.binary()).to_pylist())):
+            for row, data in enumerate(words.encode_all(b.column("text"))):
                 data += last
                 for k, i in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[i:i + 4 * capacity]

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from briefloom.llm import packing
@@ -23,6 +24,27 @@ def test_ids_equal_the_tokenizers(monkeypatch, kept):
             assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == want, t
 
 
+def test_letters_of_any_case_and_marks_take_the_short_path(monkeypatch):
+    words, slow = WordIds(default_tokenizer()), []
+    any_ = words._any
+    monkeypatch.setattr(words, "_any", lambda parts: (slow.extend(parts), any_(parts)))
+    odd = ["ÉÊen,%%% Äpf,*** ciónñ élan", "İ,, ŉ' a…, ½, a=\u0338 é'", "x's, Γεια, ǅ! <é, ºª; é\u0301,", "<|endoftext|> É <|ENDOFTEXT|>, B,%%%"]
+    for text in odd + TEXTS:
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert not {w.encode() for w in ("éêen", "äpf", "ciónñ", "élan", "b")} & set(slow)
+    assert not any(p.endswith(b"%%%") and p[:1].isalpha() for p in slow)
+
+
+def test_a_worker_keeps_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(packing, "_WORDS_KEPT", 100)
+    monkeypatch.setattr(packing, "_CHUNK", 200)
+    words = WordIds(default_tokenizer())
+    texts = [f"word{i} again other{i % 7}, Mark{i}!?" for i in range(1000)]
+    for got, text in zip(words.encode_all(pa.array(texts)), texts, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(words.new) + len(words.old) < 400
+
+
 def test_layout_and_checksums(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(int(2 ** rng.uniform(0, 12.5))))) for i in range(300)]
