@@ -61,7 +61,8 @@ MIN_CHARS = 20
 GROUP = 512
 BLOCK = 256
 SHARE = 10  # tokens for each token edit
-_BINS = 64
+_BINS, _WIDE = 64, 2048
+_MOST = 32767
 _BASE = 0x9E3779B97F4A7C15
 _ROWS = 1 << 12  # lines at once
 _CHUNK = 1 << 18  # characters at once
@@ -148,14 +149,22 @@ def within_tokens(a: list[str], b: list[str], edits: int) -> bool:
     return score <= edits
 
 
+def tokens_of(line: str) -> list[str]:
+    try:
+        line.isascii() or line.encode("latin-1")  # no scripts without blanks
+    except UnicodeEncodeError:
+        return _TOKEN.findall(line)
+    return line.split()
+
+
 def near(a: str, b: str, edits: int) -> bool:
     """Whether a and b are within ``edits`` character edits or their share of token edits."""
     if within(a, b, edits):
         return True
-    x, y = _TOKEN.findall(a), _TOKEN.findall(b)
+    x, y = tokens_of(a), tokens_of(b)
     n = max(len(x), len(y))
     k = n // SHARE
-    return bool(k) and (Counter(x) & Counter(y)).total() >= n - k and within_tokens(x, y, k)
+    return bool(k) and abs(len(x) - len(y)) <= k and (Counter(x) & Counter(y)).total() >= n - k and within_tokens(x, y, k)
 
 
 def near_tokens(a: str, b: str, x: list, y: list, edits: int, counts: tuple[Counter, Counter] | None = None) -> bool:
@@ -518,7 +527,7 @@ def _compared(edits: int):
             def row(i: int) -> tuple[str, list, Counter, set]:
                 if (found := held.get(lid[i])) is None:
                     line = lines[i].as_py()
-                    cut = _TOKEN.findall(line)
+                    cut = tokens_of(line)
                     held[lid[i]] = found = line, cut, Counter(cut), set(keys[i].as_py())
                 return found
 
@@ -547,48 +556,76 @@ def _verified(edits: int):
     return run
 
 
-def _bins(tokens: list[list[int]]) -> np.ndarray:
+def _bins(tokens: list[list[int]], bins: int) -> np.ndarray:
     """Of each line, how many of its tokens fall in each bin."""
     sizes = [len(t) for t in tokens]
     owner = np.repeat(np.arange(len(tokens)), sizes)
     flat = np.fromiter((t for x in tokens for t in x), np.uint64, sum(sizes))
-    return np.bincount(owner * _BINS + (flat % np.uint64(_BINS)).astype(np.int64), minlength=len(tokens) * _BINS).reshape(-1, _BINS).astype(np.int16)
+    out = np.bincount(owner * bins + (flat % np.uint64(bins)).astype(np.int64), minlength=len(tokens) * bins)
+    return np.minimum(out, _MOST).reshape(-1, bins).astype(np.int16)
 
 
 def _blocks(edits: int):
-    """One pair of blocks of a group: a token edit changes at most two token counts by one, a character edit four."""
+    """One pair of blocks of a group: a token edit changes at most two token counts by one, a character edit four.
+
+    Lines that share further large groups are compared in the first of these alone.
+    """
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame([], columns=["a", "b"], dtype="int64")
         if group["label"].nunique() == 1:
-            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
+            return none
+        k = int(group["k"].iloc[0])
         left, right = group[group["side"] == 0], group[group["side"] == 1]
         same = len(right) == 0
         right = left if same else right
-        digests, group_of = _Digests(), {lid: lid for lid in group["label"]} | dict(zip(group["lid"], group["label"], strict=True))
+        group_of = {lid: lid for lid in group["label"]} | dict(zip(group["lid"], group["label"], strict=True))
 
         def top(v: int) -> int:
             while group_of[v] != v:
                 group_of[v] = v = group_of[group_of[v]]
             return v
 
-        mine, lines, texts, lids = left["lid"].tolist(), right["line"].tolist(), left["line"].tolist(), right["lid"].tolist()
-        own = [[digests[t] for t in _TOKEN.findall(x)] for x in texts]
-        others = own if same else [[digests[t] for t in _TOKEN.findall(x)] for x in lines]
-        x, y = _bins(own), _bins(others)
-        sizes = y.sum(axis=1, dtype=np.int64)
-        out = []
-        labels, label = left["label"].tolist(), right["label"].to_numpy()
-        for i, (lid, line) in enumerate(zip(mine, texts, strict=True)):
-            n = len(own[i])
-            most = np.maximum(sizes, n) // SHARE
-            # Cheapest first: labels and counts of tokens, then bins of those that are left.
-            j = np.flatnonzero((label != labels[i]) & (np.abs(sizes - n) <= np.maximum(2 * edits, most)))
-            j = j[j > i] if same else j
-            if not len(j):
-                continue
-            j = j[np.abs(y[j] - x[i]).sum(axis=1, dtype=np.int64) <= np.maximum(4 * edits, 2 * most[j])]
+        def columns(df: pd.DataFrame) -> list[np.ndarray]:
+            return [df[c].to_numpy(t) for c, t in (("label", np.int64), ("tokens", np.int64), ("size", np.int8),
+                                                   ("odd0", np.int64), ("odd1", np.int64))]
+
+        # Cheapest first: labels, counts of tokens and their parities by bin, as in _like.
+        label, n, size, *odd = columns(right)
+        met: dict[int, np.ndarray] = {}
+        for i, (own, m, chars, *mine) in enumerate(zip(*columns(left), strict=True)):
+            words, few = np.maximum(n, m) // SHARE, np.abs(size - chars) <= edits
+            ok = (label != own) & (few | (words > 0)) & (np.abs(n - m) <= np.where(few, np.maximum(2 * edits, words), words))
+            ok &= (sum(np.bitwise_count((o ^ x).view(np.uint64)).astype(np.int64) for o, x in zip(odd, mine, strict=True))
+                   <= np.where(few, np.maximum(4 * edits, 2 * words), 2 * words))
+            if same:
+                ok[:i + 1] = False
+            if ok.any():
+                met[i] = np.flatnonzero(ok)
+        if not met:
+            return none
+        digests = _Digests()
+
+        def cut(df: pd.DataFrame, used: list[int]) -> tuple[dict[int, tuple[str, list[int], set]], np.ndarray, np.ndarray, np.ndarray]:
+            some = df.iloc[used]
+            rows = [(line, [digests[t] for t in tokens_of(line)], set(keys)) for line, keys in zip(some["line"], some["keys"], strict=True)]
+            place = np.zeros(len(df), np.int64)
+            place[used] = np.arange(len(used))
+            return dict(zip(used, rows, strict=True)), place, *(_bins([r[1] for r in rows], b) for b in (_BINS, _WIDE))
+
+        used = sorted({*met, *np.concatenate(list(met.values())).tolist()}) if same else sorted(met)
+        mine, at, x, wide_x = cut(left, used)
+        others, to, y, wide_y = (mine, at, x, wide_x) if same else cut(right, np.unique(np.concatenate(list(met.values()))).tolist())
+        lids, out = right["lid"].tolist(), []
+        for (i, j), lid in zip(met.items(), left["lid"].iloc[list(met)].tolist(), strict=True):
+            line, tokens, keys = mine[i]
+            most = np.maximum(4 * edits, 2 * (np.maximum(n[j], len(tokens)) // SHARE))
+            for narrow, own in ((y, x[at[i]]), (wide_y, wide_x[at[i]])):
+                ok = np.abs(narrow[to[j]].astype(np.int32) - own).sum(axis=1, dtype=np.int64) <= most
+                j, most = j[ok], most[ok]
             for j in j.tolist():
+                other_line, other_tokens, its = others[j]
                 # What further lines connect already needs no link of its own.
-                if (one := top(lid)) != (other := top(lids[j])) and near_tokens(line, lines[j], own[i], others[j], edits):
+                if (one := top(lid)) != (other := top(lids[j])) and min(keys & its) == k and near_tokens(line, other_line, tokens, other_tokens, edits):
                     group_of[one] = other
                     out.append((min(lid, lids[j]), max(lid, lids[j])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
@@ -624,7 +661,7 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
           .where("n > 1 and any").groupBy("n", "all", "s1", "s2", F.when(~F.col("all"), F.col("k")).alias("own")).agg(F.min("k").alias("k")))
     counted = cut.join(of.select("k", "n"), "k")
     # What is still larger: every block of at most about ``block`` lines meets every other once.
-    large = stored(counted.where(F.col("n") > group).select("k", "lid", "n").distinct(), "line-large")
+    large = stored(counted.where(F.col("n") > group).select("k", "lid", "n", "tokens", "size", "odd0", "odd1").distinct(), "line-large")
     # Each line and the first that it may be near: what these links join needs no further comparison.
     pairs = stored(met.where(F.col("b").isNotNull()).select("a", "b").distinct(), "line-pairs")
     # Only lines of some group are compared: their texts move once, not in every join.
@@ -657,8 +694,9 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
         one = (large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("lid"), F.col("blocks")))
                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
                .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                       (F.col("mine") > F.col("other")).cast("int").alias("side"), "lid", "label"))
-        links = links.unionByName(one.join(text, "lid").groupBy("k", "i", "j").applyInPandas(_blocks(edits), "a long, b long"))
+                       (F.col("mine") > F.col("other")).cast("int").alias("side"), "lid", "label", "tokens", "size", "odd0", "odd1"))
+        keys = large.groupBy("lid").agg(F.collect_list("k").alias("keys"))
+        links = links.unionByName(one.join(text.join(keys, "lid"), "lid").groupBy("k", "i", "j").applyInPandas(_blocks(edits), "a long, b long"))
     return stored(links.distinct(), "line-links")
 
 

@@ -245,3 +245,24 @@ def test_lines_of_unlike_lengths_and_few_words_do_not_meet():
     rows = open_rows(["edes | thshth | are the same", "the | thsh | onornd are the same", "edes | thshth | are the some"], [3])
     left = pa.Table.from_batches(m._open(2)(iter([rows])))
     assert left["lid"].to_pylist() == [0, 2]
+
+
+def test_blocks_compare_a_pair_in_its_first_group_alone(monkeypatch):
+    # All share most of their words; every other pair differs in more of them than edits may change.
+    rng = random.Random(15)
+    often = [f"w{i}" for i in range(40)]
+    lines = [" ".join([*rng.sample(often, 30), *(f"x{rng.randrange(10 ** 6)}" for _ in range(10))]) for _ in range(20)]
+    lines += [x.replace("x", "y", 1) for x in lines]
+    rows = open_rows(lines, [5, 7]).to_pandas()
+    rows["side"] = (rows["lid"] % 2).astype(int)
+    seen = []
+    verify = m.near_tokens
+    monkeypatch.setattr(m, "near_tokens", lambda a, b, *more: seen.append((a, b)) or verify(a, b, *more))
+    for same in (False, True):
+        seen.clear()
+        got = [m._blocks(2)(g.assign(side=0) if same else g) for _, g in rows.groupby("k")]
+        links = {(a, b) for g in got for a, b in zip(g["a"], g["b"], strict=True)}
+        assert links == {(i, i + 20) for i in range(20)} if same else links <= {(i, i + 20) for i in range(20)}
+        assert len(seen) == len(set(seen)) == len(links)
+    japanese, accents = "東京 is 大阪", "été\xa0und\x85so fort"
+    assert [m.tokens_of(x) for x in (japanese, accents)] == [m._TOKEN.findall(x) for x in (japanese, accents)]
