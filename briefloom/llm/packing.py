@@ -266,6 +266,7 @@ def opened(left: np.ndarray, placed: np.ndarray, capacity: int, largest_gap: int
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables("pack")  # all pieces are stored: their words are done with
     at, part = 0, TaskContext.get().partitionId()
     for b in batches:
         n = b.num_rows

@@ -2,12 +2,13 @@
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from briefloom.llm import packing
+from briefloom.llm import common, packing
 from briefloom.llm.packing import WordIds, best_fit, default_tokenizer, opened, sequences, sweep
 
 TEXTS = ["", " \n\t", "The quick brown fox, jumped!", "á éx É", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>", "x\x1cy z q r s",
@@ -45,6 +46,13 @@ def test_a_worker_keeps_a_bounded_number_of_words(monkeypatch):
     assert len(words.new) + len(words.old) < 400
 
 
+def test_words_are_dropped_when_the_pieces_are_stored(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    common.tables("packing")["a tokenizer"] = "its words"
+    assert list(packing._numbered(iter([]))) == []
+    assert "packing" not in common._TABLES
+
+
 def test_layout_and_checksums(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(int(2 ** rng.uniform(0, 12.5))))) for i in range(300)]
