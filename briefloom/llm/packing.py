@@ -39,7 +39,7 @@ from briefloom.llm.common import stored, tables, text_or_empty
 CAPACITY = 2048
 END = 0
 _WORDS_KEPT = 200_000  # in each of a worker's two tables
-_CHUNK = 1 << 22  # bytes of texts at once
+_CHUNK = 1 << 20  # bytes of texts at once
 _MARKS = b"!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 # Letters that case and normal form change one by one: of those up to U+024F all but one.
 _ODD = re.compile("[\u0130\u0250-\U0010ffff]")
@@ -65,11 +65,11 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        # Of words that its normalizer leaves as they are.
-        self.normal = Tokenizer.from_file(path)
-        self.normal.normalizer = normalizers.Sequence([])
+        # Of words that its normalizer leaves as they are; the model is the same.
+        self.normal = Tokenizer(self.tokenizer.model)
+        self.normal.pre_tokenizer = self.tokenizer.pre_tokenizer
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a word
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
