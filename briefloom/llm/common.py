@@ -22,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # Shuffle files of a finished write are dead once its result is stored.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_AT_FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+# For up to this many partitions each task of a shuffle opens a file for every one of them; for more it sorts them into one.
+_FILES = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,17 +46,28 @@ def tables(owner: str) -> dict:
     return _TABLES[owner]
 
 
+def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions as set, or a few more where a file for each in every task would cost more than what it holds."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 256 if 64 < n <= _FILES else n
+
+
 @contextmanager
-def _drop_shuffles(spark: SparkSession):
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _writing(spark: SparkSession):
+    new = {_CLEANUP: "true"}
+    if spark.conf.get(_AT_FIRST, None) is None:
+        new[_AT_FIRST] = str(partitions(spark))
+    before = {k: spark.conf.get(k, None) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -65,7 +79,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark, f"llm/{purpose}")
-    with _drop_shuffles(spark):
+    with _writing(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -94,17 +108,35 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the smallest vertex that edges (a, b) connect to v."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
-                    .select("v", F.least("v", "label").alias("label")), "labels")
-    while True:
-        near = (both.join(labels.select(F.col("v").alias("b"), F.col("label").alias("l")), "b")
-                .groupBy(F.col("a").alias("v")).agg(F.min("l").alias("l")))
-        met = stored(labels.join(near, "v").select("v", "label", F.least("label", "l").alias("new")), "labels")
-        up = met.select(F.col("v").alias("new"), F.col("new").alias("top"))
-        new = stored(met.join(up, "new").select("v", F.col("label").alias("old"), F.least("new", "top").alias("label")), "labels")
-        labels = new.select("v", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(v, label): the smallest vertex that edges (a, b) connect to v; ``known`` are the labels of edges before them.
+
+    Each round hangs every vertex on its smallest neighbour, if that is smaller,
+    and all on the ends of such chains. Only edges between different ends go on:
+    a round has at most half the vertices of the one before.
+    """
+    def over(df: DataFrame, ends: DataFrame, *cols: str) -> DataFrame:
+        for c in cols:
+            df = (df.join(ends.select(F.col("v").alias(c), F.col("label").alias("_end")), c, "left")
+                  .withColumn(c, F.coalesce("_end", c)).drop("_end"))
+        return df
+
+    def between(df: DataFrame) -> DataFrame:
+        return stored(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+    labels = None if known is None else known.where("v <> label").select("v", "label")
+    edges = between(edges if labels is None else over(edges.select("a", "b"), labels, "a", "b"))
+    while not edges.isEmpty():
+        ends = stored(edges.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("label")), "labels")
+        while True:
+            up = ends.select(F.col("v").alias("label"), F.col("label").alias("_up"))
+            moved = stored(ends.join(up, "label", "left").select("v", F.coalesce("_up", "label").alias("label"),
+                                                                 F.col("_up").isNotNull().alias("moved")), "labels")
+            ends = moved.select("v", "label")
+            if moved.where("moved").isEmpty():
+                break
+        labels = ends if labels is None else stored(over(labels, ends, "label").unionByName(ends), "labels")
+        edges = between(over(edges, ends, "a", "b"))
+    if labels is None:
+        return edges.select(F.col("a").alias("v"), F.col("b").alias("label"))
+    return stored(labels.unionByName(labels.select(F.col("label").alias("v"), "label").distinct()), "labels")

@@ -50,11 +50,12 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import components, keyed, stored, tables, text_or_empty, with_texts
+from briefloom.llm.common import components, keyed, partitions, stored, tables, text_or_empty, with_texts
 
 EDITS = 2
 MIN_CHARS = 20
@@ -62,6 +63,7 @@ GROUP = 512
 BLOCK = 256
 SHARE = 10  # tokens for each token edit
 _BINS, _WIDE = 64, 2048
+_WORDS = 4
 _MOST = 32767
 _BASE = 0x9E3779B97F4A7C15
 _ROWS = 1 << 12  # lines at once
@@ -200,14 +202,6 @@ def probes(n: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-class _Digests(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        self[token] = out = xxhash.xxh3_64_intdigest(token)
-        return out
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(29)
@@ -509,6 +503,32 @@ def _open(edits: int):
     return _by_key(of)
 
 
+def _before(k: np.ndarray, at: np.ndarray, key: np.ndarray) -> list[np.ndarray]:
+    """Of each row, as bits, which keys below its own its line has, of those that most lines of its group have.
+
+    ``key`` are the keys of the rows ``at``. Two lines of a group with a bit in common have met in an earlier group.
+    """
+    out = [np.zeros(len(k), np.uint64) for _ in range(_WORDS)]
+    below = key < k[at]
+    at, key = at[below], key[below]
+    if not len(at):
+        return out
+    by = np.lexsort((key, k[at]))
+    at, key, group = at[by], key[by], k[at][by]
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
+    sizes = np.diff(np.append(starts, len(at)))
+    by = np.lexsort((-sizes, group[starts]))
+    first = group[starts][by]
+    first = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    place = np.repeat(np.where(sizes > 1, place, 64 * _WORDS), sizes)
+    for i, word in enumerate(out):
+        own = place >> 6 == i
+        np.bitwise_or.at(word, at[own], np.uint64(1) << (place[own] & 63).astype(np.uint64))
+    return out
+
+
 def _compared(edits: int):
     """Verified links (a, b) of open lines; each pair is compared in the first of the keys that both have."""
     def of():
@@ -523,6 +543,8 @@ def _compared(edits: int):
             k, lid, label, tokens, size, *odd = (_column(rows, c) for c in _OPEN)
             lines, keys = (pa.chunked_array([b.column(c) for b in rows]) for c in ("line", "keys"))
             held: dict[int, tuple[str, list, Counter, set]] = {}
+            of = pa.chunked_array([b.column("keys") for b in rows]).combine_chunks()
+            before = _before(k, np.repeat(np.arange(len(k)), pc.list_value_length(of).to_numpy()), of.flatten().to_numpy())
 
             def row(i: int) -> tuple[str, list, Counter, set]:
                 if (found := held.get(lid[i])) is None:
@@ -534,6 +556,8 @@ def _compared(edits: int):
             links = [np.empty((0, 2), np.int64)]
             for x, y in _like(k, tokens.astype(np.int64), size, [o.view(np.uint64) for o in odd], np.arange(len(k)), edits, len(k)):
                 new = label[x] != label[y]
+                for word in before:
+                    new &= word[x] & word[y] == 0
                 for i, j in zip(x[new].tolist(), y[new].tolist(), strict=True):
                     one, other = top(int(label[i])), top(int(label[j]))
                     if one == other:
@@ -556,12 +580,9 @@ def _verified(edits: int):
     return run
 
 
-def _bins(tokens: list[list[int]], bins: int) -> np.ndarray:
-    """Of each line, how many of its tokens fall in each bin."""
-    sizes = [len(t) for t in tokens]
-    owner = np.repeat(np.arange(len(tokens)), sizes)
-    flat = np.fromiter((t for x in tokens for t in x), np.uint64, sum(sizes))
-    out = np.bincount(owner * bins + (flat % np.uint64(bins)).astype(np.int64), minlength=len(tokens) * bins)
+def _bins(n: int, row: np.ndarray, token: np.ndarray, bins: int) -> np.ndarray:
+    """Of each of n lines, how many of its tokens fall in each bin."""
+    out = np.bincount(row * bins + (token % np.uint64(bins)).astype(np.int64), minlength=n * bins)
     return np.minimum(out, _MOST).reshape(-1, bins).astype(np.int16)
 
 
@@ -589,7 +610,9 @@ def _blocks(edits: int):
             return [df[c].to_numpy(t) for c, t in (("label", np.int64), ("tokens", np.int64), ("size", np.int8),
                                                    ("odd0", np.int64), ("odd1", np.int64))]
 
-        # Cheapest first: labels, counts of tokens and their parities by bin, as in _like.
+        # Cheapest first: labels, counts of tokens and their parities by bin, as in _like, and earlier groups.
+        lists = [*left["keys"], *([] if same else right["keys"])]
+        before = _before(np.full(len(lists), k), np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists))
         label, n, size, *odd = columns(right)
         met: dict[int, np.ndarray] = {}
         for i, (own, m, chars, *mine) in enumerate(zip(*columns(left), strict=True)):
@@ -597,28 +620,31 @@ def _blocks(edits: int):
             ok = (label != own) & (few | (words > 0)) & (np.abs(n - m) <= np.where(few, np.maximum(2 * edits, words), words))
             ok &= (sum(np.bitwise_count((o ^ x).view(np.uint64)).astype(np.int64) for o, x in zip(odd, mine, strict=True))
                    <= np.where(few, np.maximum(4 * edits, 2 * words), 2 * words))
+            for word in before:
+                ok &= word[-len(right):] & word[i] == 0
             if same:
                 ok[:i + 1] = False
             if ok.any():
                 met[i] = np.flatnonzero(ok)
         if not met:
             return none
-        digests = _Digests()
 
-        def cut(df: pd.DataFrame, used: list[int]) -> tuple[dict[int, tuple[str, list[int], set]], np.ndarray, np.ndarray, np.ndarray]:
+        def cut(df: pd.DataFrame, used: list[int]) -> tuple[dict[int, tuple[str, list[str], set]], np.ndarray, np.ndarray, np.ndarray]:
             some = df.iloc[used]
-            rows = [(line, [digests[t] for t in tokens_of(line)], set(keys)) for line, keys in zip(some["line"], some["keys"], strict=True)]
+            rows = [(line, tokens_of(line), set(keys)) for line, keys in zip(some["line"], some["keys"], strict=True)]
             place = np.zeros(len(df), np.int64)
             place[used] = np.arange(len(used))
-            return dict(zip(used, rows, strict=True)), place, *(_bins([r[1] for r in rows], b) for b in (_BINS, _WIDE))
+            row, token, _ = _token_hashes([r[0] for r in rows])
+            return dict(zip(used, rows, strict=True)), place, *(_bins(len(rows), row, token, b) for b in (_BINS, _WIDE))
 
         used = sorted({*met, *np.concatenate(list(met.values())).tolist()}) if same else sorted(met)
         mine, at, x, wide_x = cut(left, used)
         others, to, y, wide_y = (mine, at, x, wide_x) if same else cut(right, np.unique(np.concatenate(list(met.values()))).tolist())
         lids, out = right["lid"].tolist(), []
-        for (i, j), lid in zip(met.items(), left["lid"].iloc[list(met)].tolist(), strict=True):
+        for (i, j), lid, chars in zip(met.items(), left["lid"].iloc[list(met)].tolist(), left["size"].iloc[list(met)].to_numpy(np.int8), strict=True):
             line, tokens, keys = mine[i]
-            most = np.maximum(4 * edits, 2 * (np.maximum(n[j], len(tokens)) // SHARE))
+            words = 2 * (np.maximum(n[j], len(tokens)) // SHARE)
+            most = np.where(np.abs(size[j] - chars) <= edits, np.maximum(4 * edits, words), words)
             for narrow, own in ((y, x[at[i]]), (wide_y, wide_x[at[i]])):
                 ok = np.abs(narrow[to[j]].astype(np.int32) - own).sum(axis=1, dtype=np.int64) <= most
                 j, most = j[ok], most[ok]
@@ -642,9 +668,9 @@ def _lengths(edits: int) -> Column:
 
 
 def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block: int = BLOCK) -> DataFrame:
-    """Verified links (a, b) of stored distinct lines (lid, line)."""
+    """(lid, label) of those stored distinct lines (lid, line) that verified links connect; the label is the smallest such lid."""
     lines = lines.select("lid", "line")
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(lines.sparkSession)
     # Most keys are met once: they move once, in blocks, and no further than to the sort that shows it.
     met = stored(lines.mapInArrow(_dealt(_keys(edits, frequent(lines)), 4 * parts), "bucket int, " + ", ".join(f"{c} binary" for c in _BLOCK))
                  .repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -674,7 +700,8 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
                 .mapInArrow(_verified(edits), "a long, b long"))
 
     first = stored(verified(pairs), "line-links")
-    labels = stored(components(first).select(F.col("v").alias("lid"), "label"), "line-labels")
+    known = components(first)
+    labels = known.withColumnRenamed("v", "lid")
     labelled = lambda df: df.join(labels, "lid", "left").withColumn("label", F.coalesce("label", "lid"))
     kept = ["k", "lid", "tokens", "indexed", "size", "odd0", "odd1"]
     more = labelled(rows.where(F.col("n") <= group).select(kept).unionByName(counted.where(F.col("n") <= group).select(kept)))
@@ -682,22 +709,28 @@ def line_links(lines: DataFrame, edits: int = EDITS, group: int = GROUP, block:
                   .mapInArrow(_open(edits), "k long, lid long, label long, tokens int, size byte, odd0 long, odd1 long"), "line-open")
     # Each line that is left with the keys of its open groups; in each it meets the others with its text.
     again = left.groupBy(*[c for c in _OPEN if c != "k"]).agg(F.collect_list("k").alias("keys"))
-    links = first.unionByName(with_texts(again).join(text, "lid").select("*", F.explode("keys").alias("k"))
-                              .repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_compared(edits), "a long, b long"))
+    links = (with_texts(again).join(text, "lid").select("*", F.explode("keys").alias("k"))
+             .repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_compared(edits), "a long, b long"))
 
-    # Groups of one label are done.
+    # Of large groups a label of many lines has blocks of its own, which need not meet each other; others share some.
     large = labelled(large)
-    mixed = large.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
-    large = stored(large.join(mixed, "k", "left_semi"), "line-large")
+    of = (large.groupBy("k", "label").agg(F.count("*").alias("n"))
+          .groupBy("k", F.when(F.col("n") > block, F.col("label")).otherwise(F.lit(-1)).alias("own")).agg(F.sum("n").alias("n"))
+          .groupBy("k").agg(F.collect_list(F.struct("own", F.ceil(F.col("n") / block).alias("blocks"))).alias("of")))
+    alone = (F.size("of") == 1) & (F.col("of")[0]["own"] >= 0)  # one label: done
+    large = stored(large.join(of.where(~alone), "k"), "line-large")
     if not large.isEmpty():
-        blocks = F.ceil(F.col("n") / block)
-        one = (large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("lid"), F.col("blocks")))
-               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        own = F.when(F.exists("of", lambda x: x["own"] == F.col("label")), F.col("label")).otherwise(F.lit(-1))
+        one = (large.withColumn("own", own)
+               .withColumn("mine", F.struct("own", F.pmod(F.xxhash64("lid"), F.filter("of", lambda x: x["own"] == F.col("own"))[0]["blocks"]).alias("block")))
+               .withColumn("of", F.explode(F.filter("of", lambda x: (x["own"] != F.col("own")) | (x["own"] < 0))))
+               .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of.blocks") - 1)))
+               .withColumn("other", F.struct(F.col("of.own"), F.col("other").alias("block")))
                .select("k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
                        (F.col("mine") > F.col("other")).cast("int").alias("side"), "lid", "label", "tokens", "size", "odd0", "odd1"))
         keys = large.groupBy("lid").agg(F.collect_list("k").alias("keys"))
         links = links.unionByName(one.join(text.join(keys, "lid"), "lid").groupBy("k", "i", "j").applyInPandas(_blocks(edits), "a long, b long"))
-    return stored(links.distinct(), "line-links")
+    return components(links, known).withColumnRenamed("v", "lid")
 
 
 def line_classes(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -712,17 +745,13 @@ def line_classes(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")
     distinct = stored(line.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
                       .withColumn("lid", F.monotonically_increasing_id()), "lines")
-    links = line_links(distinct, edits)
+    of = line_links(distinct, edits)
     named = distinct.select("lid", "n", "first", h1, h2)
     alone = named.where("n > 1")
-    if links.isEmpty():
-        repeated = alone.select("h1", "h2", "first")
-    else:
-        of = components(links).select(F.col("v").alias("lid"), "label")
-        linked = stored(named.join(of, "lid"), "line-linked")
-        firsts = linked.groupBy("label").agg(F.min("first").alias("first"))
-        repeated = (alone.join(of, "lid", "left_anti").select("h1", "h2", "first")
-                    .unionByName(linked.drop("first").join(firsts, "label").select("h1", "h2", "first")))
+    linked = stored(named.join(of, "lid"), "line-linked")
+    firsts = linked.groupBy("label").agg(F.min("first").alias("first"))
+    repeated = (alone.join(of, "lid", "left_anti").select("h1", "h2", "first")
+                .unionByName(linked.drop("first").join(firsts, "label").select("h1", "h2", "first")))
     return line.select("_key", "pos", h1, h2, place.alias("place")), stored(repeated, "line-repeated")
 
 

@@ -266,3 +266,42 @@ def test_blocks_compare_a_pair_in_its_first_group_alone(monkeypatch):
         assert len(seen) == len(set(seen)) == len(links)
     japanese, accents = "東京 is 大阪", "été\xa0und\x85so fort"
     assert [m.tokens_of(x) for x in (japanese, accents)] == [m._TOKEN.findall(x) for x in (japanese, accents)]
+
+
+def test_a_group_of_one_label_makes_rows_in_proportion(spark, monkeypatch):
+    # 60 copies of one line with one character changed each, and two other lines that share its words: they meet in large groups.
+    rng = random.Random(16)
+    base = " ".join(f"word{i}" for i in range(30))
+    lines = [base[:-1] + chr(0x4e00 + i) for i in range(60)] + [f"{base} {' '.join(f'z{i}{x}' for i in range(12))}" for x in "ab"]
+    rng.shuffle(lines)
+    blocks = m._blocks
+    monkeypatch.setattr(m.line_links, "__defaults__", (2, 8, 8))
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(edits):
+        run = blocks(edits)
+
+        def each(group):
+            rows.add(len(group))
+            return run(group)
+        return each
+
+    monkeypatch.setattr(m, "_blocks", counted)
+    got = {r.doc_id: r.lines_dropped for r in line_dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    first = next(i for i, x in enumerate(lines) if "z" not in x)
+    assert got == {i: int(i != first and "z" not in x) for i, x in enumerate(lines)}
+    assert rows.value <= 4 * len(lines) * 20
+
+
+def test_pairs_of_an_earlier_group_are_sifted():
+    np = m.np
+    rng = random.Random(17)
+    keys = {i: sorted(rng.sample(range(40), rng.randrange(1, 12))) for i in range(50)}
+    rows = sorted((k, i) for i, own in keys.items() for k in own)
+    k = np.array([r[0] for r in rows])
+    before = m._before(k, np.repeat(np.arange(len(rows)), [len(keys[i]) for _, i in rows]), np.array([x for _, i in rows for x in keys[i]]))
+    for x, (key, i) in enumerate(rows):
+        for y in range(x):
+            if rows[y][0] == key:
+                met = any(int(w[x] & w[y]) for w in before)
+                assert met == (min({*keys[i]} & {*keys[rows[y][1]]}) < key)
