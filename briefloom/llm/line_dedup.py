@@ -79,6 +79,34 @@ _APART = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf90
 _TOKEN = re.compile(rf"[^\s{_APART}]+|\S")
 
 
+def _stripped(a: Sequence, b: Sequence) -> tuple[Sequence, Sequence]:
+    """a and b without what they have in common at both ends: it never needs an edit."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:  # slices are compared at once
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[len(a) - mid:len(a) - lo] == b[len(b) - mid:len(b) - lo] else (lo, mid - 1)
+    return a[:len(a) - lo], b[:len(b) - lo]
+
+
+def _few(a: Sequence, b: Sequence) -> bool:
+    """Whether two edits make b of a; neither their first nor their last places are equal.
+
+    So one edit is at the start and one at the end, and all between is the same.
+    """
+    if max(len(a), len(b)) <= 2:
+        return True
+    for i, j in ((1, 1), (1, 0), (0, 1)):
+        for x, y in ((1, 1), (1, 0), (0, 1)):
+            if len(a) - i - x == len(b) - j - y >= 0 and a[i:len(a) - x] == b[j:len(b) - y]:
+                return True
+    return False
+
+
 def within(a: Sequence, b: Sequence, edits: int) -> bool:
     """Whether the edit distance of a and b is at most ``edits``.
 
@@ -87,16 +115,11 @@ def within(a: Sequence, b: Sequence, edits: int) -> bool:
     """
     if abs(len(a) - len(b)) > edits:
         return False
-    # Common ends never need an edit.
-    n, lo = min(len(a), len(b)), 0
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    a, b = _stripped(a, b)
     if not a or not b:
         return max(len(a), len(b)) <= edits
+    if edits <= 2:
+        return _few(a, b) if edits == 2 else max(len(a), len(b)) <= edits
     # Banded automaton: bit j of state[e]: a[:i] matches b[:i - edits + j] with e edits.
     width, full = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
     where: dict[str, int] = {}
@@ -125,13 +148,9 @@ def within(a: Sequence, b: Sequence, edits: int) -> bool:
 
 def within_tokens(a: list[str], b: list[str], edits: int) -> bool:
     """The same for many edits: bit-parallel over the whole of b, whose bits are one number."""
-    n, lo = min(len(a), len(b)), 0
-    while lo < n and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    a, b = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    if edits <= 2:
+        return within(a, b, edits)
+    a, b = _stripped(a, b)
     if not a or not b:
         return max(len(a), len(b)) <= edits
     where: dict[str, int] = {}
@@ -166,7 +185,7 @@ def near(a: str, b: str, edits: int) -> bool:
     x, y = tokens_of(a), tokens_of(b)
     n = max(len(x), len(y))
     k = n // SHARE
-    return bool(k) and abs(len(x) - len(y)) <= k and (Counter(x) & Counter(y)).total() >= n - k and within_tokens(x, y, k)
+    return bool(k) and abs(len(x) - len(y)) <= k and (k <= 2 or (Counter(x) & Counter(y)).total() >= n - k) and within_tokens(x, y, k)
 
 
 def near_tokens(a: str, b: str, x: list, y: list, edits: int, counts: tuple[Counter, Counter] | None = None) -> bool:
@@ -175,7 +194,7 @@ def near_tokens(a: str, b: str, x: list, y: list, edits: int, counts: tuple[Coun
         return True
     n = max(len(x), len(y))
     k = n // SHARE
-    if not k or abs(len(x) - len(y)) > k or counts and (counts[0] & counts[1]).total() < n - k:
+    if not k or abs(len(x) - len(y)) > k or k > 2 and counts and (counts[0] & counts[1]).total() < n - k:
         return False
     return within_tokens(x, y, k)
 
@@ -738,15 +757,18 @@ def line_classes(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
 
     places: (_key, pos, h1, h2, place) of each line that counts; repeated:
     (h1, h2, first) of lines whose class has further places than ``first``.
+    A place is one number: a long, if all keys are of 31 bits.
     """
+    ends = rows.agg(F.min("_key").alias("lo"), F.max("_key").alias("hi")).first()
+    wide = ends["lo"] is not None and not -(1 << 31) < ends["lo"] <= ends["hi"] < 1 << 31
     line = (rows.select("_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
             .where(F.length("line") >= min_chars))
-    place = (F.col("_key").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
+    place = F.col("_key") * F.lit(1 << 31) + F.col("pos") if not wide else (F.col("_key").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(38,0)")
     h1, h2 = F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")
     distinct = stored(line.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-                      .withColumn("lid", F.monotonically_increasing_id()), "lines")
+                      .select("line", "n", "first", h1, h2, F.monotonically_increasing_id().alias("lid")), "lines")
     of = line_links(distinct, edits)
-    named = distinct.select("lid", "n", "first", h1, h2)
+    named = distinct.select("lid", "n", "first", "h1", "h2")
     alone = named.where("n > 1")
     linked = stored(named.join(of, "lid"), "line-linked")
     firsts = linked.groupBy("label").agg(F.min("first").alias("first"))

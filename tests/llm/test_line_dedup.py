@@ -305,3 +305,27 @@ def test_pairs_of_an_earlier_group_are_sifted():
             if rows[y][0] == key:
                 met = any(int(w[x] & w[y]) for w in before)
                 assert met == (min({*keys[i]} & {*keys[rows[y][1]]}) < key)
+
+
+def test_keys_of_more_than_31_bits(spark):
+    line = "a long enough line of text"
+    for ids in ((1 << 40, (1 << 40) + 1, -(1 << 50)), (-5, 3, 7), (-(1 << 63), 0, (1 << 63) - 1)):
+        got = line_dedup(spark.createDataFrame([(i, f"{line}\n{line}") for i in ids], "doc_id long, text string"))
+        assert {r.doc_id: r.lines_dropped for r in got.collect()} == {i: 1 + (i != min(ids)) for i in ids}
+
+
+def test_few_edits_of_tokens_need_no_automaton(monkeypatch):
+    rng = random.Random(18)
+    for n in (20, 200):
+        a = [f"w{rng.randrange(50)}" for _ in range(n)]
+        seen = []
+
+        class Seen(str):
+            def __hash__(self):
+                seen.append(self)
+                return str.__hash__(self)
+
+        b = [Seen(x) for x in a]
+        b[1], b[-2] = "new", "other"
+        assert within_tokens(a, b, 2) and not within_tokens(a, b, 1) and not seen
+        assert distance(a, b) == 2
