@@ -186,7 +186,7 @@ def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = ST
     # at: the token's place in the whole set, unshared tokens included.
     rows = stored(classes.select("_key", "n", "alone", *BITS, F.posexplode("p1").alias("i", "tok"))
                   .select("_key", "n", "alone", *BITS, "tok", (F.col("alone") + F.col("i") + 1).alias("at")), "p1")
-    edges, comp = None, None
+    comp = None
 
     def labelled() -> DataFrame:
         if comp is None:
@@ -198,12 +198,11 @@ def link(classes: DataFrame, similarity: int = SIMILARITY, star_rounds: int = ST
         return stored(labelled(), "rows")
 
     def join_up(found: DataFrame):
-        nonlocal edges, comp
+        nonlocal comp
         found = stored(found, "links")
         if found.isEmpty():
             return False
-        edges = found if edges is None else edges.unionByName(found)
-        comp = components(edges)
+        comp = components(found, comp)
         return True
 
     for seed in range(star_rounds):
