@@ -300,6 +300,7 @@ def _parities(row: np.ndarray, token: np.ndarray, width: np.ndarray) -> tuple[np
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often segments fall in each slot."""
+    tables("line_dedup")
     n = np.zeros(_SLOTS, np.int64)
     for b in batches:
         lines = b.column("line").to_pylist()
@@ -786,16 +787,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = stored(places.join(repeated, ["h1", "h2"]).where("place <> first")
                    .groupBy("_key").agg(F.collect_list("pos").alias("drops")), "line-drops")
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, drops: pd.Series) -> pd.Series:
-        out = []
-        for text, d in zip(texts, drops, strict=True):
-            if d is not None and len(d):
-                gone = set(d)
-                text = "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    return (with_texts(rows).join(drops, "_key", "left").withColumn("text", without("text", "drops"))
+    # A text that keeps all its lines is passed on as it is. The split lines are named once, so each is looked up in them.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
+    kept = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
+    without = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept[0])
+    return (with_texts(rows).join(drops, "_key", "left").withColumn("text", without)
             .select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.{c}") for c in docs.columns],
                     F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("lines_dropped")))

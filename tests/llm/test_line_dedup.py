@@ -329,3 +329,11 @@ def test_few_edits_of_tokens_need_no_automaton(monkeypatch):
         b[1], b[-2] = "new", "other"
         assert within_tokens(a, b, 2) and not within_tokens(a, b, 1) and not seen
         assert distance(a, b) == 2
+
+
+def test_documents_of_many_equal_lines(spark):
+    line = "a long enough line of text"
+    rows = [(1, "\n".join(["short", line, ""] * 100_000)), (2, "\n".join([line] * 3)), (3, f"{line}\n\nshort\n"), (4, None)]
+    got = {r.doc_id: (r.text, r.lines_dropped) for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rest = "\n".join(["short", "", *["short", ""] * 99_998, "short", ""])
+    assert got == {1: (f"short\n{line}\n{rest.removeprefix('short\n')}", 99_999), 2: ("", 3), 3: ("\nshort\n", 1), 4: (None, 0)}
