@@ -53,10 +53,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def _writing(spark: SparkSession):
-    new = {_CLEANUP: "true"}
-    if spark.conf.get(_AT_FIRST, None) is None:
-        new[_AT_FIRST] = str(partitions(spark))
+def settings(spark: SparkSession, new: dict[str, str]):
+    """Session settings that hold within this block."""
     before = {k: spark.conf.get(k, None) for k in new}
     for k, v in new.items():
         spark.conf.set(k, v)
@@ -70,6 +68,13 @@ def _writing(spark: SparkSession):
                 spark.conf.set(k, v)
 
 
+def _writing(spark: SparkSession):
+    new = {_CLEANUP: "true"}
+    if spark.conf.get(_AT_FIRST, None) is None:
+        new[_AT_FIRST] = str(partitions(spark))
+    return settings(spark, new)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 

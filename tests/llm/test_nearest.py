@@ -1,10 +1,14 @@
 """Recall against brute force, and the odd vectors."""
 
+import os
 import random
+import threading
 
 import numpy as np
 
-from briefloom.llm.nearest import adaptive_scan, nearest
+from briefloom.llm import nearest as module
+from briefloom.llm.nearest import Asked, Block, Index, adaptive_scan, nearest
+from briefloom.session import local_path
 
 
 def brute(rows, k=20, every=20):
@@ -59,3 +63,79 @@ def test_odd_vectors_and_few_candidates(spark):
         assert {x.id for x in got if x.query_id == q} == {i for i, _ in good} - {q}
         assert sorted(x.rank for x in got if x.query_id == q) == [1, 2, 3, 4, 5]
     assert nearest(df.limit(0)).count() == 0
+
+
+def test_disk_follows_the_table(spark, tmp_path):
+    """Neither what is stored nor what is shuffled holds copies of vectors for the lists and queries that they meet."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((16_000, 64)).astype("f4")
+    table = str(tmp_path / "embeddings")
+    (spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+     .write.option("parquet.enable.dictionary", "false").parquet(table))
+    folders = [local_path(spark.conf.get("spark.checkpoint.dir")),
+               *(d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())]
+
+    def size(*tops):
+        total = 0
+        for d, _, names in (w for top in tops for w in os.walk(top)):
+            for name in names:
+                try:
+                    total += os.stat(os.path.join(d, name)).st_size
+                except OSError:
+                    pass
+        return total
+
+    before, seen, over = size(*folders), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.1):
+            seen.append(size(*folders))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = nearest(spark.read.parquet(table)).collect()
+    finally:
+        over.set()
+        watcher.join()
+    assert max(seen) - before < 4 * size(table), (max(seen) - before, size(table))
+    # The same rows as scoring all, but for what the index misses.
+    want = brute(list(enumerate(x.tolist())), every=400)
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, {})[r.id] = r.score
+    assert len(mine) == 800 and all(len(v) == 20 for v in mine.values())
+    assert sum(len(mine[q].keys() & {i for i, _ in near}) for q, near in want.items()) >= 0.85 * 20 * len(want)
+    for q in want:
+        for i, score in mine[q].items():
+            assert abs(score - float(np.dot(x[q].astype(float), x[i].astype(float)))) < 1e-9
+
+
+def test_rows_of_queries_and_blocks(monkeypatch):
+    """Tiles, pairs and heads give what scoring every vector of the scanned lists gives, whatever their sizes."""
+    rng = np.random.default_rng(5)
+    for norms in (rng.uniform(0.5, 1, (900, 1)), np.r_[np.full((899, 1), 1e-5), [[1e4]]]):  # the second has one very long vector
+        v = rng.standard_normal((900, 20)) * norms
+        index = Index(v, float(np.sqrt((v * v).sum(1)).max()), 900)
+        assert index.real == (np.float32 if norms.min() >= 0.5 else np.float64)
+        lists = index.list_of(v)
+        order = np.argsort(lists, kind="stable")
+        near = np.argsort(index.distances(index.rotate(v[:60], query=True)), axis=1, kind="stable")[:, :index.probes]
+        for tile, pairwise in (((1024, 512), 64), ((7, 11), 1), ((16, 900), 10_000_000)):
+            monkeypatch.setattr(module, "_TILE", tile)
+            monkeypatch.setattr(module, "_PAIRWISE", pairwise)
+            monkeypatch.setattr(module, "EPSILON", 1e9)
+            asked = [Asked(index, np.arange(60), v[:60], np.full(60, -np.inf), home, 10) for home in (True, False)]
+            for at in range(0, 900, 250):
+                o = order[at:at + 250]
+                for a in asked:
+                    a.meet(Block(index, o, lists[o], v[o]))
+            for a, scanned in zip(asked, (near[:, :1], near[:, 1:]), strict=True):
+                rows = a.rows().to_pydict()
+                got = {}
+                for q, i, s in zip(rows["q"], rows["rid"], rows["score"], strict=True):
+                    got.setdefault(q, []).append((-s, i))
+                for q in range(60):
+                    there = np.flatnonzero(np.isin(lists, scanned[q]))
+                    scores = np.cumsum(v[there] * v[q], axis=1)[:, -1]
+                    assert sorted(got.get(q, [])) == sorted(zip(-scores, there.tolist(), strict=True))[:10]
